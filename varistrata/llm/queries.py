@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from varistrata.llm import sharding
+from varistrata.llm import secrets, sharding, tokens
 
 QUERIES: dict[str, Callable] = {
+    "op5_token_counts": tokens.query,
+    "op6_secret_scan": secrets.query,
     "op10_sharding": sharding.query,
 }
 #: Checksums, hashing and trained models have no SQL of DuckDB's; those operators are tested against brute force.
