@@ -23,7 +23,7 @@ LIMIT = 1024
 CACHE = 400_000
 FAR = np.int32(2**31 - 1)
 # The published pre-token pattern of this vocabulary, with white space as Unicode's White_Space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
 
 
