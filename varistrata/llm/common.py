@@ -55,8 +55,9 @@ def bounded_ids(df: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def keyed_texts(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text", carry: Iterable[str] = ()) -> DataFrame:
-    """Texts of a bounded set of keys; ids has a proven bound, so it is broadcast."""
-    return docs.select(key, text).join(F.broadcast(ids.select(key, *carry)), key)
+    """One text for each of a bounded set of keys (the first in order of several); ids has a proven bound, so it is broadcast."""
+    wanted = F.broadcast(ids.groupBy(key).agg(*[F.max(c).alias(c) for c in carry]) if carry else ids.select(key).distinct())
+    return docs.select(key, text).join(wanted, key).groupBy(key, *carry).agg(F.min(text).alias(text))
 
 
 def text_schema(df: DataFrame, key: str) -> str:

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from varistrata.llm import secrets, sharding, tokens
+from varistrata.llm import langid, quality, secrets, sharding, tokens
 
 QUERIES: dict[str, Callable] = {
+    "op1_language_id": langid.query,
+    "op2_quality": quality.query,
     "op5_token_counts": tokens.query,
     "op6_secret_scan": secrets.query,
     "op10_sharding": sharding.query,
