@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from varistrata.llm import langid, quality, secrets, sharding, tokens
+from varistrata.llm import langid, quality, secrets, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_language_id": langid.query,
     "op2_quality": quality.query,
+    "op3_toxicity": toxicity.query,
     "op5_token_counts": tokens.query,
     "op6_secret_scan": secrets.query,
     "op10_sharding": sharding.query,

@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained in numpy.
 
 A word's input joins a vector of the word (one of a learned vocabulary, else that of unknown words) and the
-mean of vectors of its hashed character trigrams. Overlapping windows of words run through a gated recurrent
+scaled sum of vectors of its character 3- and 5-grams (those that were learned, else one for all others). Overlapping windows of words run through a gated recurrent
 unit in both directions; attention pools the states into a logit. All windows of a text are scored; the
 largest logit, on a calibrated curve, is the text's score. Only texts carry labels, so training looks for the
 window that speaks most for a positive text (multiple-instance learning).
@@ -10,7 +10,6 @@ window that speaks most for a positive text (multiple-instance learning).
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,10 +21,12 @@ from varistrata.llm.common import bounded_ids, fold, keyed_texts, pieces, table,
 from varistrata.llm.quality import calibrate
 
 WINDOW, STRIDE = 24, 12
-HIDDEN, WORD_SIZE, CHAR_SIZE, CHAR_ROWS = 8, 8, 8, 4096
+HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 8, 8
 #: Labelled texts of each class that are fitted on, at most; the vocabulary has the words of this many of them or more.
-FIT_ROWS, LEAST_TEXTS = 1200, 5
-ROUNDS, EPOCHS, BATCH, RATE = 4, 6, 128, 0.01
+FIT_ROWS, LEAST_TEXTS = 1200, 3
+ROUNDS, EPOCHS, BATCH, RATE, DECAY = 4, 4, 128, 0.01, 0.01
+#: Windows of negative texts in a round for each text, besides the strongest of each.
+NEGATIVES = 3
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Distinct words whose inputs a worker keeps; windows that run together.
 CACHE, TOGETHER = 200_000, 2048
@@ -37,27 +38,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def char_rows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the character table for the trigrams of all words, and where each word's rows begin."""
-    raw = [b"\x02" + w.encode("utf-8", "replace") + b"\x03" for w in words]
-    lengths = np.fromiter(map(len, raw), dtype=np.int64, count=len(raw))
-    flat = np.frombuffer(b"".join(raw), dtype=np.uint8).astype(np.uint32)
-    code = (flat[:-2] << 16 | flat[1:-1] << 8 | flat[2:]) * np.uint32(2654435761) >> np.uint32(20)
-    ends = np.cumsum(lengths)
-    inside = np.ones(len(code), dtype=bool)
-    inside[ends[:-1] - 1] = inside[ends[:-1] - 2] = False
-    return code[inside].astype(np.int64) % CHAR_ROWS, np.r_[0, np.cumsum(lengths - 2)[:-1]]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the 3- and 5-grams of the characters of all words, ends marked, and where each word's hashes begin."""
+    padded = ["\x02" + w + "\x03" for w in words]
+    lengths = np.fromiter(map(len, padded), dtype=np.int64, count=len(padded))
+    flat = np.frombuffer("".join(padded).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    owner = np.repeat(np.arange(len(words)), lengths)
+    hashes, owners = [], []
+    for size in (3, 5):
+        n = len(flat) - size + 1
+        if n <= 0:
+            continue
+        code = np.full(n, size, dtype=np.uint64)
+        for k in range(size):
+            code = (code ^ flat[k : k + n]) * np.uint64(0x9E3779B97F4A7C15)
+            code ^= code >> np.uint64(29)
+        inside = owner[:n] == owner[size - 1 :]
+        hashes.append(code[inside])
+        owners.append(owner[:n][inside])
+    order = np.argsort(np.concatenate(owners), kind="stable")
+    counts = np.bincount(np.concatenate(owners), minlength=len(words))
+    return np.concatenate(hashes)[order], np.cumsum(counts) - counts
 
 
 class Network:
     """Parameters with their gradients; inputs are numbers of distinct words whose word and character rows are known."""
 
-    def __init__(self, vocabulary: dict[str, int], seed: int = 5, dtype=np.float32):
+    def __init__(self, vocabulary: dict[str, int], known_grams: np.ndarray | None = None, seed: int = 5, dtype=np.float32):
         rng = np.random.default_rng(seed)
         draw = lambda *size, scale=0.3: (rng.standard_normal(size) * scale).astype(dtype)
         inner = WORD_SIZE + CHAR_SIZE
         self.vocabulary = vocabulary
-        self.p = {"words": draw(len(vocabulary) + 2, WORD_SIZE, scale=0.1), "chars": draw(CHAR_ROWS, CHAR_SIZE, scale=0.1), "pool": draw(2 * HIDDEN, 2), "bias": np.zeros(1, dtype)}
+        #: Sorted hashes; row 0 of the character table is that of all other n-grams.
+        self.known_grams = np.zeros(0, dtype=np.uint64) if known_grams is None else known_grams
+        self.p = {"words": draw(len(vocabulary) + 2, WORD_SIZE, scale=0.1), "chars": draw(len(self.known_grams) + 1, CHAR_SIZE, scale=0.1), "pool": draw(2 * HIDDEN, 2), "bias": np.zeros(1, dtype)}
         for d in "fb":
             self.p |= {f"{d}W": draw(inner, 3 * HIDDEN), f"{d}U": draw(HIDDEN, 3 * HIDDEN), f"{d}b": np.zeros(3 * HIDDEN, dtype), f"{d}n": np.zeros(HIDDEN, dtype)}
         self.slope, self.offset = 1.0, 0.0
@@ -67,10 +81,21 @@ class Network:
     def known(self, words: list[str]) -> np.ndarray:
         return np.fromiter((self.vocabulary.get(w, -1) + 2 for w in words), dtype=np.int64, count=len(words))
 
-    def inputs(self, words: list[str]) -> np.ndarray:
-        rows, starts = char_rows(words)
+    def char_rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        hashes, starts = grams(words)
+        if not len(self.known_grams):
+            return np.zeros(len(hashes), dtype=np.int64), starts
+        at = np.minimum(np.searchsorted(self.known_grams, hashes), len(self.known_grams) - 1)
+        return np.where(self.known_grams[at] == hashes, at + 1, 0), starts
+
+    def pooled(self, rows: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """For each word the sum of its n-grams' vectors over the root of their number."""
         sizes = np.diff(np.r_[starts, len(rows)])
-        chars = np.add.reduceat(self.p["chars"][rows], starts, axis=0) / sizes[:, None].astype(np.float32)
+        return np.add.reduceat(self.p["chars"][rows], starts, axis=0) / np.sqrt(sizes)[:, None].astype(self.p["chars"].dtype)
+
+    def inputs(self, words: list[str]) -> np.ndarray:
+        rows, starts = self.char_rows(words)
+        chars = self.pooled(rows, starts)
         return np.concatenate([self.p["words"][self.known(words)], chars], axis=1)
 
     def pad_input(self) -> np.ndarray:
@@ -139,7 +164,7 @@ class Network:
         np.add.at(g["words"], word_rows, dx[:, :WORD_SIZE])
         rows, starts = chars
         sizes = np.diff(np.r_[starts, len(rows)])
-        np.add.at(g["chars"], rows, np.repeat(dx[1:, WORD_SIZE:] / sizes[:, None], sizes, axis=0))
+        np.add.at(g["chars"], rows, np.repeat(dx[1:, WORD_SIZE:] / np.sqrt(sizes)[:, None], sizes, axis=0))
         return loss, g
 
     def probability(self, logit: np.ndarray) -> np.ndarray:
@@ -232,25 +257,33 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
         net = Network({})
         net.slope, net.offset = 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         return net
-    # Word vectors begin with the word's smoothed log odds in one place; words of few texts are unknown words.
-    kept, seen = [Counter(), Counter()], set()
+    # Words and n-grams of few texts count as unknown. The vectors of the others begin with smoothed log odds in one place.
+    hashes, begins = grams(distinct)
+    sizes = np.diff(np.r_[begins, len(hashes)])
+    all_grams, gram = np.unique(hashes, return_inverse=True)
+    place = {w: i for i, w in enumerate(distinct)}
+    seen, total = set(), np.zeros(2)
+    in_word, in_gram = np.zeros((2, len(distinct))), np.zeros((2, len(all_grams)))
     for (w, c), out in zip(docs, held, strict=True):
         if not out and (content := hash(tuple(w))) not in seen:
             seen.add(content)
-            kept[c].update(set(w))
-    vocabulary = {w: i for i, w in enumerate(w for w in distinct if kept[0][w] + kept[1][w] >= LEAST_TEXTS)}
-    total = [sum(1 for (_, c), out in zip(docs, held, strict=True) if c == k and not out) for k in (0, 1)]
-    odds = {w: float(np.log((kept[1][w] + 1) / (total[1] + 2)) - np.log((kept[0][w] + 1) / (total[0] + 2))) for w in vocabulary}
-    net = Network(vocabulary)
-    for w, i in vocabulary.items():
-        net.p["words"][i + 2, 0] = odds[w] / 2
+            own = np.array(sorted({place[x] for x in w}))
+            in_word[c, own] += 1
+            in_gram[c, np.unique(np.concatenate([gram[begins[i] : begins[i] + sizes[i]] for i in own]))] += 1
+            total[c] += 1
+    odds = lambda n: np.log((n[1] + 1) / (total[1] + 2)) - np.log((n[0] + 1) / (total[0] + 2))
+    frequent_word, frequent_gram = in_word.sum(axis=0) >= LEAST_TEXTS, in_gram.sum(axis=0) >= LEAST_TEXTS
+    vocabulary = {distinct[i]: k for k, i in enumerate(np.flatnonzero(frequent_word))}
+    net = Network(vocabulary, all_grams[frequent_gram])
+    net.p["words"][2:, 0] = odds(in_word)[frequent_word] / 2
+    net.p["chars"][1:, 0] = odds(in_gram)[frequent_gram] / 2
     number = {w: i + 1 for i, w in enumerate(distinct)}
     flat, starts, first = windows([np.array([number[x] for x in w], dtype=np.int64) for w, _ in docs])
     owner = np.repeat(np.arange(len(docs)), np.diff(np.r_[first, len(starts)]))
-    rows, begins = char_rows(distinct)
-    sizes = np.diff(np.r_[begins, len(rows)])
+    rows, begins = net.char_rows(distinct)
     word_rows = np.r_[0, net.known(distinct)]
-    strength = np.array([0.0, *[odds.get(w, 0.0) for w in distinct]])
+    by_gram = np.maximum.reduceat(np.where(frequent_gram, odds(in_gram), 0.0)[gram], begins)
+    strength = np.r_[0.0, np.where(frequent_word, odds(in_word), by_gram)]
     score = strength[flat[starts[:, None] + np.arange(WINDOW)]].max(axis=1)
     fit_docs = np.flatnonzero(~held)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
@@ -260,7 +293,7 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
         chosen = [best[fit_docs]]
         negative = fit_docs[labels[fit_docs] == 0]
         others = np.flatnonzero(np.isin(owner, negative))
-        chosen.append(rng.choice(others, size=min(len(others), 3 * len(fit_docs)), replace=False))
+        chosen.append(rng.choice(others, size=min(len(others), NEGATIVES * len(fit_docs)), replace=False))
         pool = np.unique(np.concatenate(chosen))
         target = labels[owner[pool]].astype(np.float32)
         weight = np.where(target == 1, 0.5 / max(1, target.sum()), 0.5 / max(1, (1 - target).sum())).astype(np.float32) * len(pool)
@@ -273,7 +306,7 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
                 own = used[1:] - 1
                 span = np.repeat(begins[own], sizes[own]) + np.arange(sizes[own].sum()) - np.repeat(np.cumsum(sizes[own]) - sizes[own], sizes[own])
                 chars = (rows[span], np.cumsum(sizes[own]) - sizes[own])
-                pooled = np.add.reduceat(net.p["chars"][chars[0]], chars[1], axis=0) / sizes[own][:, None].astype(np.float32)
+                pooled = net.pooled(*chars)
                 x = np.concatenate([net.p["words"][word_rows[used]], np.concatenate([np.zeros((1, CHAR_SIZE), np.float32), pooled])], axis=1)
                 w = weight[order[i : i + BATCH]]
                 _, g = net.gradient(ids, x, target[order[i : i + BATCH]], w / len(take), word_rows[used], chars)
@@ -282,7 +315,7 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
                     m, s = moments[k]
                     m += 0.1 * (g[k] - m)
                     s += 0.001 * (g[k] ** 2 - s)
-                    v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + RATE * 1e-3 * v
+                    v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + RATE * DECAY * v
         gates = net.gates(np.concatenate([net.pad_input(), net.inputs(distinct)]))
         score = window_logits(net, flat, starts, gates)
     top = np.maximum.reduceat(score, first).astype(float)
