@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from varistrata.llm import langid, media, neardup, quality, secrets, sharding, tokens, toxicity
+from varistrata.llm import decontam, langid, media, mixing, neardup, quality, secrets, sharding, tokens, toxicity
 
 QUERIES: dict[str, Callable] = {
     "op1_language_id": langid.query,
     "op2_quality": quality.query,
     "op3_toxicity": toxicity.query,
+    "op4_mixing": mixing.query,
     "op5_token_counts": tokens.query,
     "op6_secret_scan": secrets.query,
     "op7_near_duplicates": neardup.query,
+    "op8_decontamination": decontam.query,
     "op9_media": media.query,
     "op10_sharding": sharding.query,
 }
 #: Checksums, hashing and trained models have no SQL of DuckDB's; those operators are tested against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op8_decontamination": decontam.ORACLE}
