@@ -2,9 +2,12 @@
 
 A register is the truncated logarithm, in steps of BASE, of the least hash of a document's shingles, taken as an
 exponential variable: registers of two sets are merged by the larger value and agree with a probability close to
-the sets' similarity. Bands of registers give buckets. In each bucket all are compared with its least document;
-what is linked so forms components, and then all pairs of a bucket that lie in different components are compared
-too, so no candidate pair of different components is left out. A pair is compared by its joint likelihood
+the sets' similarity. Bands of registers give buckets. In each bucket all are compared with its hub, the member that shares most
+buckets with others;
+what is linked so forms components. Linked sets share one of their rarest shingles (an exact filter), so
+only documents that share one with another component are then compared across components, on their full sets,
+block by block of those with a common hub. A task gives back one link between two components at most, so no link
+between components is left out and no group is expanded into all its pairs. A pair is compared by its joint likelihood
 estimate from both sketches and the known sizes, and links are confirmed on the full sets.
 Documents with equal sets are one from the start.
 """
@@ -27,6 +30,10 @@ BANDS, ROWS = 30, 5
 BASE, SHIFT = 1.1, 40
 #: Estimates this low are six standard errors below the least similarity of a link.
 ESTIMATE_MARGIN = 0.2
+#: Buckets of hashes in which shingle frequencies are counted, as a power of two.
+COUNT_POWER = 20
+#: Documents of a block; two blocks meet in a task.
+BLOCK = 64
 WORDS_IN_SHINGLE, PERCENT = 5, 80
 MULTIPLIERS = np.random.default_rng(909).integers(0, 1 << 63, size=BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -149,19 +156,105 @@ def _estimated(a, b, na, nb):
     return pd.Series(estimate(rows(a), rows(b), na.to_numpy(float), nb.to_numpy(float)))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, k: int, percent: int, key: str, text: str) -> DataFrame:
-    """Those of the distinct pairs (a, c) that are links. sets: id, n, regs of all distinct sets."""
+def likely(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the distinct pairs (a, c) whose sizes and sketches allow a link. sets: id, n, regs of all distinct sets."""
     side = lambda end: sets.select(F.col("id").alias(end), F.col("n").alias(f"n{end}"), F.col("regs").alias(f"r{end}"))
     sized = pairs.join(side("a"), "a").join(side("c"), "c").where(100 * F.least("na", "nc") >= percent * F.greatest("na", "nc"))
-    likely = cut_lineage(sized.where(_estimated("ra", "rc", "na", "nc") >= percent / 100 - ESTIMATE_MARGIN).select("a", "c"))
-    ids = likely.select(F.explode(F.array("a", "c")).alias("id")).distinct()
-    wanted = SharedFilter.of(ids.select(F.col("id").cast("string").cast("binary").alias("digest")))
-    shingles = full_sets(docs, wanted, k, key, text)
+    return sized.where(_estimated("ra", "rc", "na", "nc") >= percent / 100 - ESTIMATE_MARGIN).select("a", "c")
+
+
+def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, c) that are links by their full sets (id, shingles)."""
     part = lambda end: shingles.select(F.col("id").alias(end), F.col("shingles").alias(f"s{end}"))
-    both = likely.join(part("a"), "a").join(part("c"), "c").withColumn("common", F.size(F.array_intersect("sa", "sc")))
+    both = pairs.join(part("a"), "a").join(part("c"), "c").withColumn("common", F.size(F.array_intersect("sa", "sc")))
     return both.where(100 * F.col("common") >= percent * (F.size("sa") + F.size("sc") - F.col("common"))).select("a", "c")
 
 
+def id_filter(ids: DataFrame) -> SharedFilter:
+    """A filter of fixed size over distinct ids, for scans that need few of the texts; wrong hits do no harm."""
+    return SharedFilter.of(ids.select(F.col("id").cast("string").cast("binary").alias("digest")))
+
+
+def prefixes(shingles: DataFrame, percent: int) -> DataFrame:
+    """(id, component, n, s) for the rarest shingles of each set, enough that two linked sets share one.
+
+    Sets that share percent % of their union share that much of either set, so of any fixed order of all shingles
+    their first n - ceil(percent % of n) + 1 have one in common. The order is by frequency, counted in buckets of
+    hashes (a table of fixed size), so the first ones are those that few sets have.
+    """
+    counted = shingles.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit((1 << COUNT_POWER) - 1)).alias("w")).agg(F.count("*").alias("v")).toPandas()
+    counts = np.zeros(1 << COUNT_POWER, dtype=np.int64)
+    counts[counted["w"].to_numpy(dtype=np.int64)] = counted["v"].to_numpy(dtype=np.int64)
+    counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = []
+            for own in batch.column(3):
+                s = own.values.to_numpy(zero_copy_only=False)
+                c = counts[s & ((1 << COUNT_POWER) - 1)]
+                first = np.lexsort((s, c))[: len(s) - (percent * len(s) + 99) // 100 + 1]
+                kept.append(s[first[c[first] > 1]])
+            rows = np.repeat(np.arange(len(kept)), [len(k) for k in kept])
+            flat = np.concatenate(kept) if kept else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(pa.array(rows)) for i in range(3)), pa.array(flat, pa.int64())], ["id", "component", "n", "s"])
+
+    return shingles.select("id", "component", "n", "shingles").mapInArrow(run, "id long, component long, n long, s long")
+
+
+def block_pairs(members: DataFrame, percent: int) -> DataFrame:
+    """pair, id: which documents meet in which task, from distinct (hub, id, component, n).
+
+    A hub's documents fall into rings by size, linked ones in the same or the next; in a ring a large component
+    has blocks of its own and the others share blocks, of about BLOCK documents each. Blocks of one component
+    never meet, since they hold nothing that is not known.
+    """
+    ringed = members.withColumn("ring", F.floor(F.log("n") / float(-np.log(percent / 100)) + 1e-9).cast("int"))
+    of = ["hub", "ring", "component"]
+    counted = cut_lineage(ringed.groupBy(*of).agg(F.count("*").alias("own")))
+    kinds = counted.withColumn("kind", F.when(F.col("own") >= BLOCK, F.col("component")))
+    blocks = cut_lineage(kinds.groupBy("hub", "ring", "kind").agg(F.sum("own").alias("held")).withColumn("blocks", F.ceil(F.col("held") / BLOCK).cast("int")))
+    large = cut_lineage(kinds.where("kind is not null").select(*of, F.lit(True).alias("large")))
+    placed = ringed.join(large, of, "left").withColumn("kind", F.when(F.col("large"), F.col("component"))).drop("large")
+    x, y = placed.alias("x"), blocks.alias("y")
+    placed = cut_lineage(x.join(y, (F.col("x.hub") == F.col("y.hub")) & (F.col("x.ring") == F.col("y.ring")) & F.col("x.kind").eqNullSafe(F.col("y.kind"))).select("x.*", F.struct("x.ring", "x.kind", F.pmod(F.xxhash64("x.id"), F.col("y.blocks")).alias("no")).alias("block")))
+    numbered = blocks.select("hub", "ring", "kind", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("no"))
+    each = numbered.select("hub", F.struct("ring", "kind", F.col("no").cast("long").alias("no")).alias("block"))
+    p, q = each.select("hub", F.col("block").alias("p")), each.select(F.col("hub").alias("_hub"), F.col("block").alias("q"))
+    known = F.col("p.kind").isNotNull() & (F.col("p.kind") == F.col("q.kind"))
+    meet = p.join(q, (F.col("hub") == F.col("_hub")) & (F.col("p") <= F.col("q")) & (F.abs(F.col("p.ring") - F.col("q.ring")) <= 1) & ~F.coalesce(known, F.lit(False)))
+    meet = meet.select("hub", "p", "q", F.xxhash64("hub", "p", "q").alias("pair"))
+    sides = cut_lineage(meet.select("hub", F.col("p").alias("block"), "pair").unionByName(meet.where("p != q").select("hub", F.col("q").alias("block"), "pair")))
+    return placed.join(sides, ["hub", "block"]).select("pair", "id", "component")
+
+
+def _links_in_block(percent: int):
+    def run(group: pa.Table) -> pa.Table:
+        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        sets = group.column("shingles").combine_chunks()
+        sizes = np.diff(sets.offsets.to_numpy())
+        _, column = np.unique(sets.flatten().to_numpy(), return_inverse=True)
+        row = np.repeat(np.arange(len(ids)), sizes)
+        often = np.bincount(column) > 1
+        dense = np.cumsum(often) - 1
+        row, column = row[often[column]], dense[column[often[column]]]
+        common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        order = np.argsort(column, kind="stable")
+        row, column = row[order], column[order]
+        for start in range(0, int(often.sum()), 8192):
+            a, b = np.searchsorted(column, [start, start + 8192])
+            held = np.zeros((len(ids), 8192), dtype=np.float32)
+            held[row[a:b], column[a:b] - start] = 1
+            common += held @ held.T
+        i, j = np.nonzero((100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (component[:, None] < component[None, :]))
+        # One link between two components says all.
+        first = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)[1] if len(i) else i
+        a, c = ids[i[first]], ids[j[first]]
+        return pa.table({"a": pa.array(np.minimum(a, c), pa.int64()), "c": pa.array(np.maximum(a, c), pa.int64())})
+
+    return run
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id and component (its least id) of all ends of the edges: labels fall to the least of the neighbours', then to the label's label."""
     both = cut_lineage(edges.select("a", "c").unionByName(edges.select(F.col("c").alias("a"), F.col("a").alias("c"))).distinct())
@@ -187,21 +280,33 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = P
     # One row for each distinct set, known by its least document.
     sets = cut_lineage(rows.where("same is not null and doc_id is not null").groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("regs").alias("regs")))
     entries = sets.select("id", F.explode("bands").alias("b"))
-    buckets = cut_lineage(entries.groupBy("b").agg(F.min("id").alias("first"), F.count("*").alias("members")).where("members > 1"))
-    members = cut_lineage(entries.join(buckets.select("b", "first"), "b"))
+    buckets = cut_lineage(entries.groupBy("b").agg(F.count("*").alias("members")).where("members > 1"))
+    shared = cut_lineage(entries.join(buckets, "b"))
+    # A bucket's hub is its member with the most company over all bands: of copies of a text, the one changed least.
+    company = cut_lineage(shared.groupBy("id").agg(F.sum("members").alias("company")))
+    ranked = shared.join(company, "id").select("b", "id", F.struct((-F.col("company")).alias("_less"), F.col("id").alias("first")).alias("_rank"))
+    hubs = cut_lineage(ranked.groupBy("b").agg(F.min("_rank").alias("_rank")).select("b", F.col("_rank.first").alias("first")))
+    members = cut_lineage(shared.select("b", "id").join(hubs, "b"))
     narrow = sets.select("id", "n", "regs")
-    stars = members.where("id != first").select(F.col("first").alias("a"), F.col("id").alias("c")).distinct()
-    links = cut_lineage(confirmed(stars, narrow, docs, k, percent, key, text))
+    stars = cut_lineage(likely(members.where("id != first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("c")).distinct(), narrow, percent))
+    ends = stars.select("a").unionByName(stars.select(F.col("c").alias("a"))).distinct().select(F.col("a").alias("id"))
+    links = cut_lineage(confirmed(stars, full_sets(docs, id_filter(ends), k, key, text), percent))
     labels = components(links)
-    # Buckets whose members are not all in one component: the pairs across components.
+    # Buckets whose members are not all in one component: what may link across components, by the rarest shingles.
     known = cut_lineage(members.join(labels, "id", "left").select("b", "first", "id", F.coalesce("component", "id").alias("component")))
     mixed = cut_lineage(known.groupBy("b").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where("_low != _high and _n > 2").select("b"))
-    sizes = sets.select("id", "n")
-    left = cut_lineage(known.where("id != first").join(mixed, "b").join(sizes, "id"))
-    x = left.select("b", F.col("id").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    y = left.select("b", F.col("id").alias("c"), F.col("component").alias("cc"), F.col("n").alias("nc"))
-    across = x.join(y, (x["b"] == y["b"]) & (x["a"] < y["c"]) & (x["ca"] != y["cc"]) & (100 * F.least("na", "nc") >= percent * F.greatest("na", "nc")))
-    links = links.unionByName(confirmed(across.select("a", "c").distinct(), narrow, docs, k, percent, key, text))
+    left = cut_lineage(known.join(mixed, "b").select("id", "component").distinct())
+    shingles = cut_lineage(full_sets(docs, id_filter(left), k, key, text).join(left, "id").select("id", "component", F.size("shingles").cast("long").alias("n"), "shingles"))
+    rare = cut_lineage(prefixes(shingles, percent))
+    # Only documents that share such a shingle with another component can be linked to one.
+    both = cut_lineage(rare.groupBy("s").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("s"))
+    active = cut_lineage(rare.join(both, "s").select("id", "n").distinct())
+    groups = cut_lineage(known.where("id != first").select(F.col("first").alias("hub"), "id", "component").distinct().join(active, "id"))
+    split = cut_lineage(groups.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("hub"))
+    tasks = block_pairs(groups.join(split, "hub"), percent)
+    met = tasks.join(shingles.select("id", "shingles"), "id")
+    across = met.groupBy("pair").applyInArrow(_links_in_block(percent), "a long, c long")
+    links = cut_lineage(links.unionByName(across.distinct()))
     labels = components(links)
     named = cut_lineage(sets.select("same", "id").join(labels, "id", "left").select("same", F.coalesce("component", "id").alias("component")))
     linked = rows.where("same is not null and doc_id is not null").select("doc_id", "n", "same").join(named, "same").select("doc_id", "n", "component")
