@@ -140,10 +140,9 @@ RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 class SharedFilter:
     """Bloom filter over digests; the JVM and Python use the same hashes."""
 
-    def __init__(self, rows: list):
-        self.words = np.zeros(1 << (FILTER_POWER - 5), dtype=np.int64)
-        for r in rows:
-            self.words[r[0]] = r[1]
+    def __init__(self, at: np.ndarray, words: np.ndarray):
+        self.words = np.zeros(1 << (FILTER_POWER - 5), dtype=np.uint32)
+        self.words[at] = words
 
     def __contains__(self, d: bytes) -> bool:
         h = xxhash.xxh64_intdigest(d, seed=42)
@@ -160,7 +159,8 @@ class SharedFilter:
         bits = F.array(*[F.shiftrightunsigned(h, FILTER_POWER * k).bitwiseAND(F.lit((1 << FILTER_POWER) - 1)) for k in range(FILTER_HASHES)])
         each = digests.select(F.explode(bits).alias("b"))
         words = each.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 31))")).alias("v"))
-        return SharedFilter(words.collect())
+        found = words.toArrow()
+        return SharedFilter(found["w"].to_numpy(), found["v"].to_numpy().astype(np.uint32))
 
 
 def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ BASE, SHIFT = 1.1, 40
 #: Estimates this low are six standard errors below the least similarity of a link.
 ESTIMATE_MARGIN = 0.2
 #: Buckets of hashes in which shingle frequencies are counted, as a power of two.
-COUNT_POWER = 20
+COUNT_POWER = 18
 #: Documents of a block; two blocks meet in a task.
 BLOCK = 64
 WORDS_IN_SHINGLE, PERCENT = 5, 80
@@ -182,10 +182,9 @@ def prefixes(shingles: DataFrame, percent: int) -> DataFrame:
     their first n - ceil(percent % of n) + 1 have one in common. The order is by frequency, counted in buckets of
     hashes (a table of fixed size), so the first ones are those that few sets have.
     """
-    counted = shingles.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit((1 << COUNT_POWER) - 1)).alias("w")).agg(F.count("*").alias("v")).toPandas()
-    counts = np.zeros(1 << COUNT_POWER, dtype=np.int64)
-    counts[counted["w"].to_numpy(dtype=np.int64)] = counted["v"].to_numpy(dtype=np.int64)
-    counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
+    counted = shingles.select(F.explode("shingles").alias("s")).groupBy(F.col("s").bitwiseAND(F.lit((1 << COUNT_POWER) - 1)).alias("w")).agg(F.count("*").alias("v")).toArrow()
+    counts = np.zeros(1 << COUNT_POWER, dtype=np.int32)
+    counts[counted["w"].to_numpy()] = np.minimum(counted["v"].to_numpy(), 2**31 - 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
