@@ -43,30 +43,36 @@ def canonical(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(out), *LAST))
 
 
-def _windows(df: DataFrame, size: int, *carry: str) -> DataFrame:
-    """carry, pos (from 0), slotted (the window with values) and h (hash without them), from a column `tokens`."""
-    n = F.size("tokens")
-    each = F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.array_join(F.slice("tokens", i, size), " "))
-    out = df.where(n >= size).select(*carry, F.posexplode(each).alias("pos", "slotted"))
-    bare = F.when(F.contains(F.col("slotted"), F.lit("#")), F.regexp_replace("slotted", *VALUE)).otherwise(F.col("slotted"))
-    return out.withColumn("h", F.xxhash64(bare, F.lit(size)))
+def _templates(df: DataFrame, *carry: str) -> DataFrame:
+    """carry, n (tokens), th (hash of each token, placeholders without value) and slots (place and token of the placeholders), from a column `canon`."""
+    tokens = df.select(*carry, F.contains("canon", F.lit("#")).alias("slotted"), F.split("canon", " ").alias("tokens"))
+    bare = lambda t: F.when(t.startswith("#"), F.substring_index(t, "=", 1)).otherwise(t)
+    placed = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda s: s["token"].startswith("#"))
+    return tokens.select(*carry, F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(bare(t))).alias("th"), F.when(F.col("slotted"), placed).alias("slots"))
 
 
-def _slots(window: str) -> Column:
-    return F.filter(F.split(window, " "), lambda t: t.startswith("#"))
+def _windows(templates: DataFrame, size: int, *carry: str) -> DataFrame:
+    """carry, slots, pos (from 0) and h for all windows of that many tokens."""
+    each = F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.xxhash64(F.slice("th", i, size))))
+    return templates.select(*carry, "slots", F.posexplode(each).alias("pos", "h"))
+
+
+def _within(slots: str, start: str, size: str) -> Column:
+    """The placeholders of a window, in order."""
+    inside = F.filter(slots, lambda s: (s["at"] >= F.col(start)) & (s["at"] < F.col(start) + F.col(size)))
+    return F.coalesce(F.transform(inside, lambda s: s["token"]), F.array().cast("array<string>"))
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item_windows, size, ipos, islotted, h: windows of WINDOW tokens, or the whole of a shorter item."""
-    items = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("item_id"), F.split(canonical(text), " ").alias("tokens")).distinct()
-    sized = items.withColumn("size", F.least(F.size("tokens"), F.lit(WINDOW))).where(F.col("size") >= SHORTEST)
-    sized = sized.withColumn("item_windows", F.size("tokens") - F.col("size") + 1)
+    """item_id, item_windows, size, ipos, islots, h: windows of WINDOW tokens, or the whole of a shorter item."""
+    items = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("item_id"), canonical(text).alias("canon")).distinct()
+    sized = _templates(items, "item_id").withColumn("size", F.least("n", F.lit(WINDOW))).where(F.col("size") >= SHORTEST).withColumn("item_windows", F.col("n") - F.col("size") + 1)
     parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "size") for s in range(SHORTEST, WINDOW + 1)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    literal = F.col("size") - F.size(_slots("slotted"))
-    return out.where(10 * literal >= LITERAL_TENTHS * F.col("size")).withColumnsRenamed({"pos": "ipos", "slotted": "islotted"})
+    out = out.withColumn("islots", _within("slots", "pos", "size")).where(10 * (F.col("size") - F.size("islots")) >= LITERAL_TENTHS * F.col("size"))
+    return out.drop("slots").withColumnRenamed("pos", "ipos")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -80,13 +86,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     counts = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}
     if sum(counts.values()) <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    tokens = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), F.split(canonical(text), " ").alias("tokens"))
+    templates = _templates(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), canonical(text).alias("canon")), "doc_id")
     hits = None
     for size in sorted({WINDOW, *counts}):
-        own = _windows(tokens, size, "doc_id").join(wanted.where(F.col("size") == size), "h")
+        own = _windows(templates, size, "doc_id").join(wanted.where(F.col("size") == size), "h")
         hits = own if hits is None else hits.unionByName(own)
-    slots = F.filter(F.arrays_zip(_slots("islotted").alias("i"), _slots("slotted").alias("d")), lambda p: p["i"].isNotNull())
-    pairs = F.when(F.contains(F.col("islotted"), F.lit("#")), slots)
+    zipped = F.arrays_zip(F.col("islots").alias("i"), _within("slots", "pos", "size").alias("d"))
+    pairs = F.when(F.size("islots") > 0, zipped)
     runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("distance")).agg(
         F.first("item_windows").alias("item_windows"),
         F.size(F.collect_set("ipos")).alias("windows"),
