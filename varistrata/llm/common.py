@@ -62,3 +62,10 @@ def keyed_texts(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str
 
 def text_schema(df: DataFrame, key: str) -> str:
     return df.schema[key].dataType.simpleString()
+
+
+def salted_join(large: DataFrame, small: DataFrame, on: list[str], spread: Column, salts: int = 16) -> DataFrame:
+    """Inner join in which the rows of one key of `large` are dealt to several tasks; `small` is repeated for each salt."""
+    left = large.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
+    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return left.join(right, [*on, "_salt"]).drop("_salt")

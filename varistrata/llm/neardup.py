@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varistrata.llm.common import cut_lineage, pieces, table
+from varistrata.llm.common import cut_lineage, pieces, salted_join, table
 from varistrata.llm.media import SharedFilter, digest
 
 BANDS, ROWS = 30, 5
@@ -302,7 +302,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = P
     active = cut_lineage(rare.join(both, "s").select("id", "n").distinct())
     groups = cut_lineage(known.where("id != first").select(F.col("first").alias("hub"), "id", "component").distinct().join(active, "id"))
     split = cut_lineage(groups.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("hub"))
-    tasks = block_pairs(groups.join(split, "hub"), percent)
+    tasks = block_pairs(salted_join(groups, split, ["hub"], F.col("id")), percent)
     met = tasks.join(shingles.select("id", "shingles"), "id")
     across = met.groupBy("pair").applyInArrow(_links_in_block(percent), "a long, c long")
     links = cut_lineage(links.unionByName(across.distinct()))
