@@ -19,7 +19,7 @@ def _q(name: str) -> Column:
 
 def wide_to_long(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name: str = "column", value: str = "value") -> DataFrame:
     """One row for each key and column; NULLs stay."""
-    return df.select(*keys, *[_q(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), list(columns), name, value)
+    return df.select(*keys, *[_q(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), [_q(c) for c in columns], name, value)
 
 
 def long_to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, columns: Sequence | None = None) -> DataFrame:

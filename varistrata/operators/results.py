@@ -169,10 +169,12 @@ def bootstrap_intervals(df: DataFrame, keys: Sequence[str], value: str, level: f
     """
     import numpy as np
     import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
 
     names = list(keys)
     kinds = [df.schema[k] for k in names]
     schema = T.StructType([*kinds, T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.DoubleType()))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches):
         import zlib
@@ -189,7 +191,7 @@ def bootstrap_intervals(df: DataFrame, keys: Sequence[str], value: str, level: f
                 held[0] += w * r["_value"]
                 held[1] += w
         columns = {k: [g[i] for g in groups] for i, k in enumerate(names)}
-        yield pa.RecordBatch.from_pydict(columns | {"sums": [h[0].tolist() for h in groups.values()], "counts": [h[1].tolist() for h in groups.values()]})
+        yield pa.RecordBatch.from_pydict(columns | {"sums": [h[0].tolist() for h in groups.values()], "counts": [h[1].tolist() for h in groups.values()]}, schema=arrow)
 
     parts = df.select(*names, F.col(value).cast("double").alias("_value"), F.xxhash64(*df.columns).alias("_at")).mapInArrow(run, schema)
     each = parts.select(*names, F.posexplode(F.arrays_zip("sums", "counts")).alias("draw", "x")).groupBy(*names, "draw").agg((F.sum("x.sums") / F.sum("x.counts")).alias("mean"))
