@@ -20,7 +20,11 @@ def duck():
 
 def rows(df: pd.DataFrame):
     names = sorted(df.columns)
-    plain = lambda v: None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
+
+    def plain(v):
+        v = v.item() if hasattr(v, "item") else v
+        return None if pd.isna(v) else int(v) if isinstance(v, float) and v.is_integer() else v
+
     return sorted((tuple(plain(v) for v in r) for r in df[names].itertuples(index=False)), key=str)
 
 

@@ -134,7 +134,7 @@ def level_name(level) -> str:
 def one_hot(df: DataFrame, column: str, levels: Sequence | None = None, keep=None) -> DataFrame:
     """df with a 0/1 column for each level instead of the column; NULL gives 0 everywhere. keep: that level's column only."""
     if levels is None:
-        levels = sorted(r[0] for r in df.select(column).where(_q(column).isNotNull()).distinct().collect())
+        levels = sorted(r[0] for r in df.select(_q(column)).where(_q(column).isNotNull()).distinct().collect())
     if keep is not None and keep not in levels:
         raise KeyError(f"{column} has no level {keep}")
     wanted = [keep] if keep is not None else list(levels)
@@ -255,14 +255,26 @@ def inverse_normal(long: DataFrame, value: str = "value", partition: Sequence[st
 
 
 def fit_quantiles(df: DataFrame, columns: Sequence[str], most: int = 1000) -> dict[str, list[float]]:
-    """Quantiles of each column at even steps: one aggregation over (column, value) rows, however many columns there are."""
+    """Quantiles of each column at even steps: one aggregation over (column, value) rows, however many columns there are.
+
+    The neighbouring order statistics are fetched as they are and interpolated here, so ties stay ties to the last bit.
+    """
+    import numpy as np
+
     long = wide_to_long(df, [], columns).where("value is not null")
     counts = {r["column"]: r["n"] for r in long.groupBy("column").agg(F.count("*").alias("n")).collect()}
     found = {}
-    for n in sorted({max(2, min(most, c)) for c in counts.values()}):
-        own = [c for c, k in counts.items() if max(2, min(most, k)) == n]
-        steps = F.array(*[F.lit(i / (n - 1)) for i in range(n)])
-        found |= {r["column"]: list(r["q"]) for r in long.where(F.col("column").isin(own)).groupBy("column").agg(F.percentile("value", steps).alias("q")).collect()}
+    for n in sorted(set(counts.values())):
+        own = [c for c, k in counts.items() if k == n]
+        at = np.linspace(0, 1, max(2, min(most, n))) * (n - 1)
+        low = np.floor(at).astype(int)
+        ranks = sorted({*low.tolist(), *np.minimum(low + 1, n - 1).tolist()})
+        shares = ", ".join(repr((k + 0.5) / n) for k in ranks)
+        rows = long.where(F.col("column").isin(own)).groupBy("column").agg(F.expr(f"percentile_disc(array({shares})) WITHIN GROUP (ORDER BY value)").alias("q")).collect()
+        for r in rows:
+            value = np.array(r["q"])
+            a, b, t = value[np.searchsorted(ranks, low)], value[np.searchsorted(ranks, np.minimum(low + 1, n - 1))], at - low
+            found[r["column"]] = np.where(t >= 0.5, b - (b - a) * (1 - t), a + (b - a) * t).tolist()
     return found
 
 
