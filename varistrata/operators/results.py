@@ -199,3 +199,17 @@ def bootstrap_intervals(df: DataFrame, keys: Sequence[str], value: str, level: f
     return each.groupBy(*names).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"))
 
 
+
+
+def heatmap_tables(means: DataFrame, stds: DataFrame, null: DataFrame, sizes: Sequence[int], feature: str = "feature", size: str = "sample_size") -> dict[str, DataFrame]:
+    """mag, rank, mask and std: a row for each feature, a column for each size. means and stds: feature, size, value; null: feature, low, high of the largest size."""
+    wide = lambda df, value: df.groupBy(feature).pivot(size, list(sizes)).agg(F.first(value))
+    masks = significance_mask(means, null, feature, [size])
+    magnitude = means.withColumn("value", F.abs("value"))
+    return {"mag": wide(magnitude, "value"), "rank": wide(ordinal_rank(magnitude, [size], "value", feature), "rank"), "mask": wide(masks, "masked"), "std": wide(stds, "value")}
+
+
+def loadings_with_bounds(loadings: DataFrame, low: DataFrame, high: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, value, low, high; a feature that one of them lacks stays, with NULL."""
+    named = [loadings.select(*keys, "value"), low.select(*keys, F.col("value").alias("low")), high.select(*keys, F.col("value").alias("high"))]
+    return named[0].join(named[1], list(keys), "full_outer").join(named[2], list(keys), "full_outer")
