@@ -138,7 +138,7 @@ def test_design(spark):
     learn, val = d.where("set_name = 'learn'"), d.where("set_name = 'val'")
     assert {(r.rep, r.sample_size): r["count"] for r in learn.groupBy("rep", "sample_size").count().collect()} == {(r, s): s for r in range(3) for s in (20, 50)}
     assert learn.join(val, ["rep", "eid"]).count() == 0 and learn.groupBy("rep", "sample_size", "eid").count().where("count > 1").count() == 0
-    assert val.groupBy("rep").count().where("count != 150").count() == 0
+    assert val.groupBy("rep").count().where("count != 100").count() == 0
     drawn = sampling.design(subjects, [100], 2, replace=True, match_validation=True)
     assert drawn.groupBy("rep", "set_name").count().where("count != 100").count() == 0 and drawn.distinct().count() == drawn.count() > drawn.select("rep", "set_name", "eid").distinct().count()
     assert sampling.stratified_quota({"a": 5, "b": 3}, 4) == {"a": 3, "b": 1}

@@ -218,9 +218,11 @@ def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(_q(c).cast("double"), F.lit(row[c])) for c in columns})
 
 
-def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x - median) / interquartile range; a range of 0 counts as 1."""
-    row = df.agg(*[F.percentile(_q(c).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(c) for c in columns]).first()
+def robust_scale(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """(x - median) / interquartile range; a range of 0 counts as 1. accuracy: approximate quantiles, for columns with very many distinct values."""
+    steps = [0.25, 0.5, 0.75]
+    quartiles = lambda x: F.percentile(x, F.array(*map(F.lit, steps))) if accuracy is None else F.percentile_approx(x, steps, accuracy)
+    row = df.agg(*[quartiles(_q(c).cast("double")).alias(c) for c in columns]).first()
     scaled = {c: (_q(c) - F.lit(row[c][1])) / F.lit((row[c][2] - row[c][0]) or 1.0) for c in columns if row[c]}
     return df.withColumns(scaled)
 
@@ -239,18 +241,36 @@ def probit(p):
     return pd.Series(kernels.probit(p.to_numpy(float)))
 
 
+#: Ranges of values in which ranks are worked out separately.
+RANGES = 64
+
+
+def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str = "_n") -> DataFrame:
+    """counts (distinct values of each group and how often they occur) with `_upto`, the rows up to each value, and `_total`.
+
+    Approximate quantiles part a group's values into ranges; each range is summed by itself and starts where
+    the ones before end. Rough quantiles only make uneven ranges, the sums are exact.
+    """
+    steps = [i / RANGES for i in range(1, RANGES)]
+    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("_bounds"), F.sum(n).alias("_total"))
+    ranged = counts.join(F.broadcast(bounds), list(keys)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_range").agg(F.sum(n).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
+    own = F.sum(n).over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn("_upto", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
 def inverse_normal(long: DataFrame, value: str = "value", partition: Sequence[str] = ("column",), method: str = "blom") -> DataFrame:
     """long with `score`: normal quantiles of the average ranks within each column.
 
-    Equal values are ranked once from their counts, so only the distinct values of a column are sorted.
+    Equal values are ranked once from their counts, and the distinct values of a column are ranked range by range.
     """
     c = kernels.RANK_CONSTANTS[method]
     keys = list(partition)
     counts = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
-    total = F.sum("_n").over(Window.partitionBy(*keys))
-    rank = before - (F.col("_n") - 1) / 2
-    scores = counts.withColumn("score", probit((rank - F.lit(c)) / (total - F.lit(2 * c) + 1))).drop("_n")
+    rank = F.col("_upto") - (F.col("_n") - 1) / 2
+    ranked = running_counts(counts, keys, value)
+    scores = ranked.withColumn("score", probit((rank - F.lit(c)) / (F.col("_total") - F.lit(2 * c) + 1))).select(*keys, value, "score")
     return long.join(scores, [*keys, value], "left")
 
 

@@ -41,6 +41,19 @@ def _order(key: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), *[p.cast("string") for p in parts]))
 
 
+def _positions(df: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """df with `pos` from 1 in the order of `_o` (then key) within keys.
+
+    The first three digits of the hash part the rows into 4096 ranges; a range's rows are numbered by themselves
+    and start where the ranges before end, so no repetition is sorted in one task.
+    """
+    ranged = df.withColumn("_range", F.substring("_o", 1, 3))
+    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_o", key))
+    return ranged.withColumn("_row", within).join(starts, [*keys, "_range"]).withColumn("pos", (F.col("_start") + F.col("_row")).cast("int")).drop("_range", "_row", "_start")
+
+
 def split_in_out(subjects: DataFrame, n_reps: int, n_in: int, key: str = "eid", strata: str | None = None, seed: int | None = None) -> DataFrame:
     """rep, key, pos (from 1 in the order of the draw), is_in for every repetition and subject; the first n_in are in.
 
@@ -51,13 +64,11 @@ def split_in_out(subjects: DataFrame, n_reps: int, n_in: int, key: str = "eid",
     order = _order(key, F.col("rep")) if seed is None else _order(key, F.col("rep"), F.lit(seed))
     crossed = subjects.select(*keep).crossJoin(reps).withColumn("_o", order)
     if strata is None:
-        pos = F.row_number().over(Window.partitionBy("rep").orderBy("_o", key))
-        return crossed.withColumn("pos", pos).select("rep", key, "pos", (F.col("pos") <= n_in).alias("is_in"))
+        return _positions(crossed, ["rep"], key).select("rep", key, "pos", (F.col("pos") <= n_in).alias("is_in"))
     counts = {r[strata]: r["n"] for r in subjects.groupBy(strata).agg(F.count("*").alias("n")).collect()}
     quota = stratified_quota(counts, n_in)
     quotas = F.broadcast(subjects.sparkSession.createDataFrame([(g, q) for g, q in quota.items()], f"_g {subjects.schema[strata].dataType.simpleString()}, _q int"))
-    pos = F.row_number().over(Window.partitionBy("rep", strata).orderBy("_o", key))
-    ranked = crossed.withColumn("pos", pos).join(quotas, F.col(strata).eqNullSafe(F.col("_g")))
+    ranked = _positions(crossed, ["rep", strata], key).join(quotas, F.col(strata).eqNullSafe(F.col("_g")))
     return ranked.select("rep", key, "pos", (F.col("pos") <= F.col("_q")).alias("is_in"))
 
 
@@ -71,24 +82,23 @@ def stratified_quota(counts: dict, n: int) -> dict:
     return out
 
 
-def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "eid", subset: str = "all", replace: bool = False, match_validation: bool = False, strata: str | None = None, seed: int = SEED) -> DataFrame:
+def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "eid", subset: str = "all", replace: bool = False, match_validation: bool = False, strata: str | None = None, seed: int = SEED, n_in: int | None = None) -> DataFrame:
     """subset, rep, sample_size, set_name, draw, key: the learning sample of each size within the largest, and the validation sample.
 
-    Learning subjects come from the first max(sizes) of a repetition's order, validation subjects from the rest: all of
-    them (sample_size null), or as many as the size. With replacement, a draw takes the subject at a hashed place, and
+    Learning subjects come from the first n_in (half of all, or the largest size if that is more) of a repetition's
+    order, validation subjects from the rest: all of them (sample_size null), or as many as the size. With replacement, a draw takes the subject at a hashed place, and
     `draw` tells repeated ones apart.
     """
-    most = max(sizes)
-    places = split_in_out(subjects, n_reps, most, key, strata, seed)
+    inside = max(subjects.count() // 2, *sizes) if n_in is None else n_in
+    places = split_in_out(subjects, n_reps, inside, key, strata, seed)
     spark = subjects.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(int(s),) for s in sizes], "sample_size int"))
-    ordered = lambda name: Window.partitionBy("rep", "sample_size").orderBy(_order(key, F.col("rep"), F.col("sample_size"), F.lit(f"{name}{seed}")), key)
-
     def draw(pool: DataFrame, name: str) -> DataFrame:
         if not replace:
-            ranked = pool.crossJoin(wanted).withColumn("draw", F.row_number().over(ordered(name)))
+            crossed = pool.drop("pos").crossJoin(wanted).withColumn("_o", _order(key, F.col("rep"), F.col("sample_size"), F.lit(f"{name}{seed}")))
+            ranked = _positions(crossed, ["rep", "sample_size"], key).withColumnRenamed("pos", "draw")
             return ranked.where("draw <= sample_size").select("rep", "sample_size", "draw", key)
-        numbered = pool.withColumn("_at", F.row_number().over(Window.partitionBy("rep").orderBy("pos", key)))
+        numbered = _positions(pool.drop("pos").withColumn("_o", _order(key, F.col("rep"), F.lit(f"{name}{seed}"))), ["rep"], key).withColumnRenamed("pos", "_at").drop("_o")
         held = numbered.groupBy("rep").agg(F.max("_at").alias("_held"))
         draws = held.crossJoin(wanted).select("rep", "sample_size", "_held", F.explode(F.sequence(F.lit(1), "sample_size")).alias("draw"))
         at = draws.withColumn("_at", (F.pmod(F.xxhash64("rep", "sample_size", "draw", F.lit(seed), F.lit(name)), F.col("_held")) + 1).cast("int"))

@@ -88,10 +88,8 @@ def robust_scale(spark, sf_dir):
 @query("""SELECT l_quantity, round((min(r) + max(r)) / 2.0, 6) AS rank, CAST(count(*) AS BIGINT) AS n FROM (SELECT l_quantity, row_number() OVER (ORDER BY l_quantity) AS r FROM lineitem) GROUP BY 1""")
 def avg_rank_quantile(spark, sf_dir):
     counts = A.table(spark, sf_dir, "lineitem").groupBy("l_quantity").agg(F.count("*").alias("n"))
-    from pyspark.sql.window import Window
-
-    before = F.sum("n").over(Window.orderBy("l_quantity").rowsBetween(Window.unboundedPreceding, 0))
-    return counts.select("l_quantity", A.r6((before - (F.col("n") - 1) / 2).cast("double")).alias("rank"), "n")
+    ranked = columns.running_counts(counts.withColumn("column", F.lit("l_quantity")), ["column"], "l_quantity", "n")
+    return ranked.select("l_quantity", A.r6((F.col("_upto") - (F.col("n") - 1) / 2).cast("double")).alias("rank"), "n")
 
 
 @query("SELECT 'c_acctbal' AS col, CAST(count(c_acctbal) AS BIGINT) AS n, min(c_acctbal) AS low, max(c_acctbal) AS high, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS sd, round(quantile_cont(c_acctbal, 0.5), 6) AS middle FROM customer")
