@@ -190,3 +190,30 @@ def test_result_tables(spark):
     normal = spark.createDataFrame([(float(v),) for v in np.random.default_rng(7).standard_normal(400)], "v double").withColumn("k", F.lit(1))
     band = results.bootstrap_intervals(normal, ["k"], "v").first()
     assert band.low < normal.agg(F.avg("v")).first()[0] < band.high and band.high - band.low == pytest.approx(0.196, rel=0.25)
+
+
+def test_nested_and_unique(spark):
+    rows = results.nested_rows({50: {"learn": 0.5, "val": 0.1}, 61: {"learn": 0.4, "val": 0.2}}, ["sample_size", "set_name"])
+    df = spark.createDataFrame(rows, "sample_size int, set_name string, value double")
+    assert results.require_unique(df, ["sample_size", "set_name"]).count() == 4
+    for bad in (lambda: results.require_unique(df, ["set_name"]), lambda: results.nested_rows({1: {"a": 1}, 2: {"b": 1}}, ["x", "y"]), lambda: results.nested_rows({}, ["x"]), lambda: results.nested_rows({1: 2}, ["x", "y"])):
+        with pytest.raises(RuntimeError):
+            bad()
+    tables_ = results.heatmap_tables(
+        spark.createDataFrame([("f", 50, -0.5), ("g", 50, 0.1), ("f", 61, 0.2), ("g", 61, None)], "feature string, sample_size int, value double"), spark.createDataFrame([("f", 50, 0.1)], "feature string, sample_size int, value double"),
+        spark.createDataFrame([("f", -0.3, 0.3), ("g", 0.2, 0.2)], "feature string, low double, high double"), [50, 61],
+    )
+    got = {n: {r.feature: (r["50"], r["61"]) for r in t.collect()} for n, t in tables_.items()}
+    assert got["mag"] == {"f": (0.5, 0.2), "g": (0.1, None)} and got["rank"] == {"f": (1, 0), "g": (0, None)} and got["mask"]["f"] == (False, True) and got["mask"]["g"][0] is True
+    low = spark.createDataFrame([("f", -1.0)], "feature string, value double")
+    bounds = results.loadings_with_bounds(spark.createDataFrame([("g", 2.0)], "feature string, value double"), low, low, ["feature"])
+    assert sorted(map(tuple, bounds.collect())) == [("f", None, -1.0, -1.0), ("g", 2.0, None, None)]
+
+
+def test_build_study(spark):
+    a = spark.createDataFrame([(1, 2.0), (2, 3.0)], "eid long, x double")
+    study = cohort.build_study({"behavioural": a, "conf": a}, {"disease": a}, "conf", a, a)
+    assert study.datasets == {"behavioural": ["behavioural__x"], "conf": ["conf__x"]} and study.subset(a.where("eid = 1")).extra["disease"].count() == 1
+    with pytest.raises(ValueError):
+        cohort.build_study({})
+    assert cohort.select_rows([np.arange(5)], [1, 3])[0].tolist() == [1, 3]

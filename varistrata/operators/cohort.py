@@ -130,3 +130,24 @@ class StudyData:
 
     def filter(self, fn: Callable[[DataFrame], Column]) -> StudyData:
         return self.subset(self.frame.where(fn(self.frame)))
+
+
+def build_study(datasets: dict[str, DataFrame], extra: dict[str, DataFrame] | None = None, confounds: str | None = None, group: DataFrame | None = None, holdout: DataFrame | None = None, key: str = "eid") -> StudyData:
+    """All datasets of one cohort as one wide table; the first gives the subjects, and all must have the same."""
+    if not datasets:
+        raise ValueError("no datasets")
+    out = StudyData.of(next(iter(datasets.values())), key)
+    for name, df in datasets.items():
+        out = out.add_dataset(name, df)
+    for name, df in (extra or {}).items():
+        out = out.add_extra(name, df)
+    if confounds is not None:
+        out = out.set_confounds(confounds)
+    if group is not None:
+        out = out.set_group(group)
+    return out if holdout is None else out.set_holdout(holdout)
+
+
+def select_rows(data, at: Sequence[int]):
+    """Rows at the places of a numpy array, or of each of a list of them."""
+    return [select_rows(x, at) for x in data] if isinstance(data, list) else data[at]

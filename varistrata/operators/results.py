@@ -213,3 +213,33 @@ def loadings_with_bounds(loadings: DataFrame, low: DataFrame, high: DataFrame, k
     """keys, value, low, high; a feature that one of them lacks stays, with NULL."""
     named = [loadings.select(*keys, "value"), low.select(*keys, F.col("value").alias("low")), high.select(*keys, F.col("value").alias("high"))]
     return named[0].join(named[1], list(keys), "full_outer").join(named[2], list(keys), "full_outer")
+
+
+def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """df, after making sure that no two rows have the same keys."""
+    twice = df.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).collect()
+    if twice:
+        raise RuntimeError(f"more than one row for {[twice[0][k] for k in keys]}")
+    return df
+
+
+def nested_rows(items: dict, levels: Sequence[str]) -> list[tuple]:
+    """(level keys ..., value) of a nested mapping, down to the named levels; every branch must have the same keys at a level."""
+    rows: list[tuple] = []
+    known: dict[int, set] = {}
+
+    def walk(value, at: int, path: tuple) -> None:
+        if at == len(levels):
+            rows.append((*path, value))
+            return
+        if not isinstance(value, dict):
+            raise RuntimeError(f"there is no level {levels[at]} below {path}")
+        if known.setdefault(at, set(value)) != set(value):
+            raise RuntimeError(f"branches have different keys at level {levels[at]}")
+        for k, v in value.items():
+            walk(v, at + 1, (*path, k))
+
+    walk(items, 0, ())
+    if not rows:
+        raise RuntimeError("nothing to aggregate")
+    return rows
