@@ -289,7 +289,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = P
     narrow = sets.select("id", "n", "regs")
     stars = cut_lineage(likely(members.where("id != first").select(F.least("first", "id").alias("a"), F.greatest("first", "id").alias("c")).distinct(), narrow, percent))
     ends = stars.select("a").unionByName(stars.select(F.col("c").alias("a"))).distinct().select(F.col("a").alias("id"))
-    links = cut_lineage(confirmed(stars, full_sets(docs, id_filter(ends), k, key, text), percent))
+    links = cut_lineage(confirmed(stars, cut_lineage(full_sets(docs, id_filter(ends), k, key, text)), percent))
     labels = components(links)
     # Buckets whose members are not all in one component: what may link across components, by the rarest shingles.
     known = cut_lineage(members.join(labels, "id", "left").select("b", "first", "id", F.coalesce("component", "id").alias("component")))
