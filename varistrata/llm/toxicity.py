@@ -29,7 +29,9 @@ ROUNDS, EPOCHS, BATCH, RATE, DECAY = 4, 4, 128, 0.01, 0.01
 NEGATIVES = 3
 FOLDS, HELD, THRESHOLD = 4, 2, 0.3
 #: Distinct words whose inputs a worker keeps; windows that run together.
-CACHE, TOGETHER = 200_000, 2048
+CACHE, TOGETHER = 120_000, 2048
+#: Words whose inputs are worked out together.
+PART = 20_000
 PAD = 0
 _words = re.compile(r"\w+").findall
 
@@ -206,8 +208,8 @@ class Scorer:
         self.filled = 1
 
     def _add(self, new: list[str]):
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), PART):
+            part = new[i : i + PART]
             gates = self.net.gates(self.net.inputs(part))
             if self.filled + len(part) > len(self.tables[0]):
                 self.tables = [np.concatenate([t, np.zeros((self.filled + len(part), t.shape[1]), np.float32)]) for t in self.tables]
@@ -248,43 +250,50 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
     """
     rng = np.random.default_rng(seed)
     prior = shares[1] / sum(shares) if sum(shares) else 0.0
-    docs = [(_words((t or "").lower()), c) for t, c in zip(texts, y, strict=True)]
-    docs = [(w, c) for w, c in docs if w]
-    distinct = sorted(set().union(*[set(w) for w, _ in docs])) if docs else []
+    # Texts become numbers of their distinct words (from 1) at once.
+    number: dict[str, int] = {}
+    docs, kept_labels = [], []
+    for t, c in zip(texts, y, strict=True):
+        words = _words((t or "").lower())
+        if words:
+            docs.append(np.fromiter((number.setdefault(w, len(number) + 1) for w in words), dtype=np.int32, count=len(words)))
+            kept_labels.append(c)
+    distinct = list(number)
     held = np.arange(len(docs)) % 3 == 2
-    labels = np.array([c for _, c in docs])
+    labels = np.array(kept_labels)
     if len(docs) < 6 or len(set(labels[~held].tolist())) < 2:
         net = Network({})
         net.slope, net.offset = 0.0, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
         return net
     # Words and n-grams of few texts count as unknown. The vectors of the others begin with smoothed log odds in one place.
-    hashes, begins = grams(distinct)
-    sizes = np.diff(np.r_[begins, len(hashes)])
-    all_grams, gram = np.unique(hashes, return_inverse=True)
-    place = {w: i for i, w in enumerate(distinct)}
+    parts = [grams(distinct[i : i + PART]) for i in range(0, len(distinct), PART)]
+    sizes = np.concatenate([np.diff(np.r_[b, len(h)]) for h, b in parts])
+    begins = np.cumsum(sizes) - sizes
+    all_grams, gram = np.unique(np.concatenate([h for h, _ in parts]), return_inverse=True)
+    del parts
+    gram = gram.astype(np.int32)
     seen, total = set(), np.zeros(2)
-    in_word, in_gram = np.zeros((2, len(distinct))), np.zeros((2, len(all_grams)))
-    for (w, c), out in zip(docs, held, strict=True):
-        if not out and (content := hash(tuple(w))) not in seen:
+    in_word, in_gram = np.zeros((2, len(distinct)), np.int32), np.zeros((2, len(all_grams)), np.int32)
+    for ids, c, out in zip(docs, kept_labels, held, strict=True):
+        if not out and (content := ids.tobytes()) not in seen:
             seen.add(content)
-            own = np.array(sorted({place[x] for x in w}))
+            own = np.unique(ids) - 1
             in_word[c, own] += 1
             in_gram[c, np.unique(np.concatenate([gram[begins[i] : begins[i] + sizes[i]] for i in own]))] += 1
             total[c] += 1
     odds = lambda n: np.log((n[1] + 1) / (total[1] + 2)) - np.log((n[0] + 1) / (total[0] + 2))
     frequent_word, frequent_gram = in_word.sum(axis=0) >= LEAST_TEXTS, in_gram.sum(axis=0) >= LEAST_TEXTS
-    vocabulary = {distinct[i]: k for k, i in enumerate(np.flatnonzero(frequent_word))}
-    net = Network(vocabulary, all_grams[frequent_gram])
+    net = Network({distinct[i]: k for k, i in enumerate(np.flatnonzero(frequent_word))}, all_grams[frequent_gram])
     net.p["words"][2:, 0] = odds(in_word)[frequent_word] / 2
     net.p["chars"][1:, 0] = odds(in_gram)[frequent_gram] / 2
-    number = {w: i + 1 for i, w in enumerate(distinct)}
-    flat, starts, first = windows([np.array([number[x] for x in w], dtype=np.int64) for w, _ in docs])
+    flat, starts, first = windows(docs)
     owner = np.repeat(np.arange(len(docs)), np.diff(np.r_[first, len(starts)]))
-    rows, begins = net.char_rows(distinct)
+    rows = np.where(frequent_gram, np.cumsum(frequent_gram), 0).astype(np.int32)[gram]
     word_rows = np.r_[0, net.known(distinct)]
-    by_gram = np.maximum.reduceat(np.where(frequent_gram, odds(in_gram), 0.0)[gram], begins)
+    by_gram = np.maximum.reduceat(np.where(frequent_gram, odds(in_gram), 0.0).astype(np.float32)[gram], begins)
     strength = np.r_[0.0, np.where(frequent_word, odds(in_word), by_gram)]
-    score = strength[flat[starts[:, None] + np.arange(WINDOW)]].max(axis=1)
+    score = np.concatenate([strength[flat[starts[i : i + TOGETHER, None] + np.arange(WINDOW)]].max(axis=1) for i in range(0, len(starts), TOGETHER)])
+    del gram, by_gram, in_gram
     fit_docs = np.flatnonzero(~held)
     moments = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in net.p.items()}
     step = 0
@@ -316,7 +325,9 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
                     m += 0.1 * (g[k] - m)
                     s += 0.001 * (g[k] ** 2 - s)
                     v -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.999**step)) + 1e-8) + RATE * DECAY * v
-        gates = net.gates(np.concatenate([net.pad_input(), net.inputs(distinct)]))
+        each = [net.gates(net.pad_input()), *(net.gates(net.inputs(distinct[i : i + PART])) for i in range(0, len(distinct), PART))]
+        gates = [np.concatenate([g[k] for g in each]) for k in range(2)]
+        del each
         score = window_logits(net, flat, starts, gates)
     top = np.maximum.reduceat(score, first).astype(float)
     base = np.flatnonzero(held)
