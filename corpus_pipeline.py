@@ -8,14 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from varistrata.llm import decontam, mixing, neardup, sharding, toxicity
-from varistrata.llm.common import table
+from varistrata.llm.common import bounded_batches, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return toxicity.keep_clean(docs, toxicity.model(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return neardup.drop_near_duplicates(docs)
 
 

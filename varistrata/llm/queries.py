@@ -3,20 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from varistrata.llm import decontam, langid, media, mixing, neardup, quality, secrets, sharding, tokens, toxicity
+from varistrata.llm.common import bounded_batches
+
+
+def _bounded(fn: Callable) -> Callable:
+    @wraps(fn)
+    def query(spark, sf_dir: str):
+        bounded_batches(spark)
+        return fn(spark, sf_dir)
+
+    return query
+
 
 QUERIES: dict[str, Callable] = {
-    "op1_language_id": langid.query,
-    "op2_quality": quality.query,
-    "op3_toxicity": toxicity.query,
-    "op4_mixing": mixing.query,
-    "op5_token_counts": tokens.query,
-    "op6_secret_scan": secrets.query,
-    "op7_near_duplicates": neardup.query,
-    "op8_decontamination": decontam.query,
-    "op9_media": media.query,
-    "op10_sharding": sharding.query,
+    "op1_language_id": _bounded(langid.query),
+    "op2_quality": _bounded(quality.query),
+    "op3_toxicity": _bounded(toxicity.query),
+    "op4_mixing": _bounded(mixing.query),
+    "op5_token_counts": _bounded(tokens.query),
+    "op6_secret_scan": _bounded(secrets.query),
+    "op7_near_duplicates": _bounded(neardup.query),
+    "op8_decontamination": _bounded(decontam.query),
+    "op9_media": _bounded(media.query),
+    "op10_sharding": _bounded(sharding.query),
 }
 #: Checksums, hashing and trained models have no SQL of DuckDB's; those operators are tested against brute force.
 ORACLES: dict[str, str] = {"op8_decontamination": decontam.ORACLE}
