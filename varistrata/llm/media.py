@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varistrata.llm.common import cut_lineage, pieces, table, text_schema
@@ -213,12 +213,15 @@ def describe_frames(rebuilt: DataFrame) -> DataFrame:
     return rebuilt.select("media", "frames").mapInArrow(run, f"media binary, {RESULT}")
 
 
-def _has_shared(shared: SharedFilter) -> Column:
-    @F.udf("boolean")
-    def hit(digests):
-        return any(bytes(d) in shared for d in digests)
+def having_shared(known: DataFrame, shared: SharedFilter) -> DataFrame:
+    """Rows of recipes with a digest that hits the filter."""
 
-    return hit("digests")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index("digests")).to_pylist()
+            yield batch.filter(pa.array([any(d in shared for d in digests) for digests in column], pa.bool_()))
+
+    return known.mapInArrow(run, known.schema)
 
 
 def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +244,7 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array(size, pa.int64()), *_result_arrays(rows)], ["doc_id", "n_bytes", *RESULT_NAMES])
 
     in_place = docs.select(key, text).mapInArrow(alone, f"doc_id {text_schema(docs, key)}, n_bytes long, {RESULT}")
-    sharing = known.where(_has_shared(shared))
+    sharing = having_shared(known, shared)
     store = cut_lineage(chunk_store(docs, shared, text))
     described_once = cut_lineage(describe_frames(rebuild(sharing.groupBy("media").agg(F.first("digests").alias("digests")), store)))
     through_store = sharing.select("doc_id", "n_bytes", "media").join(described_once, "media").select("doc_id", "n_bytes", *RESULT_NAMES)
