@@ -317,7 +317,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = P
 def drop_near_duplicates(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose document stands for its group; rows without key stay."""
     gone = near_duplicates(docs, k, percent, key, text).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(gone, key, "left_anti").select(*docs.columns)
+    return docs.join(gone, key, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
