@@ -86,3 +86,31 @@ def test_whole_table(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = N.query(spark, "/root/testdata/sf0.01").collect()
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute([tuple(r) for r in docs.select("doc_id", "text").collect()], 4, 80)
+
+
+def test_one_large_group_of_copies(spark):
+    """Copies changed a little to a lot: a large component and many documents near it that have no link."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    base = [word() for _ in range(120)]
+    rows = []
+    for i in range(420):
+        copy = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            copy[rng.randrange(len(copy))] = word()
+        rows.append((i, " ".join(copy)))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 4, 80).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
+    assert sum(r.kept for r in got) > 5
+
+
+def test_equals_sql(spark):
+    import duckdb
+
+    from varistrata.llm import oracles
+
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    want = con.sql(oracles.NEAR_DUPLICATES)
+    got = N.query(spark, "/root/testdata/sf0.01").select(*want.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
