@@ -217,3 +217,15 @@ def test_build_study(spark):
     with pytest.raises(ValueError):
         cohort.build_study({})
     assert cohort.select_rows([np.arange(5)], [1, 3])[0].tolist() == [1, 3]
+
+
+def test_component_regression_equals_rows(spark):
+    from varistrata.plans import adapters, tables as plan_tables
+
+    sf = "/root/testdata/sf0.01"
+    got = {(r.components, r.set_name): r.r2 for r in plan_tables.component_regression(spark, sf).collect()}
+    v = adapters.halves(spark, sf).select("*", (F.xxhash64("eid") % 2 == 0).alias("_fit")).toPandas()
+    x = v[[f"x{i}" for i in range(32)]].to_numpy()
+    want = plan_tables.twin_regression(kernels.NanPca(5).fit(x).transform(x), v.y0.to_numpy(), v._fit.to_numpy())
+    for k, (fit, test) in enumerate(want, 1):
+        assert got[k, "fit"] == pytest.approx(fit) and got[k, "test"] == pytest.approx(test)

@@ -20,4 +20,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from varistrata.plans import models, relational, statistics  # noqa: E402, F401
+from varistrata.plans import models, relational, statistics, tables  # noqa: E402, F401
