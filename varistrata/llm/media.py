@@ -5,7 +5,7 @@ stored once each, found by digest with Spark joins; the ordered chunk list of a
 chunk and the whole are verified.
 
 Only chunks that several payloads have are moved. Which digests are shared is counted from digests alone; a
-Bloom filter of fixed size over the shared ones routes the rows: a payload without a hit owns all its chunks, so
+Bloom filter of bounded size over the shared ones routes the rows: a payload without a hit owns all its chunks, so
 its stored form is written and read back in place. All others go through the chunk store. Wrong hits of a full
 filter only send more rows through the store.
 """
@@ -31,8 +31,8 @@ UNIT = 64
 LEAST, MOST, CUT_BITS = 1024, 16384, 12
 LEVEL = 3
 MAGIC = b"VCHK"
-#: Bits of the filter over shared digests, as a power of two; hashes that set one each.
-FILTER_POWER, FILTER_HASHES = 24, 2
+#: Bits of a filter for each key, least and most bits as powers of two (2**28 bits are 32 MB), and hashes that set one each.
+FILTER_BITS, FILTER_POWERS, FILTER_HASHES = 16, (12, 28), 2
 GEAR = np.random.default_rng(4242).integers(0, 1 << 32, size=256, dtype=np.uint64).astype(np.uint32)
 
 
@@ -138,29 +138,32 @@ RESULT_NAMES = [x.split()[0] for x in RESULT.split(", ")]
 
 
 class SharedFilter:
-    """Bloom filter over digests; the JVM and Python use the same hashes."""
+    """Bloom filter over digests, of bounded size; the JVM and Python use the same hashes. A fuller one only hits too often."""
 
-    def __init__(self, at: np.ndarray, words: np.ndarray):
-        self.words = np.zeros(1 << (FILTER_POWER - 5), dtype=np.uint32)
+    def __init__(self, power: int, at: np.ndarray, words: np.ndarray):
+        self.power = power
+        self.words = np.zeros(1 << (power - 5), dtype=np.uint32)
         self.words[at] = words
 
     def __contains__(self, d: bytes) -> bool:
         h = xxhash.xxh64_intdigest(d, seed=42)
         for k in range(FILTER_HASHES):
-            bit = h >> (FILTER_POWER * k) & ((1 << FILTER_POWER) - 1)
+            bit = h >> (self.power * k) & ((1 << self.power) - 1)
             if not int(self.words[bit >> 5]) >> (bit & 31) & 1:
                 return False
         return True
 
     @staticmethod
     def of(digests: DataFrame) -> SharedFilter:
-        """At most 2**FILTER_POWER / 32 numbers come to the driver, whatever the input."""
+        """Sized by the number of keys; at most 2**28 bits, as at most 2**23 words, come to the driver, whatever the input."""
+        power = int(np.ceil(np.log2(max(1, FILTER_BITS * digests.count()))))
+        power = min(max(power, FILTER_POWERS[0]), FILTER_POWERS[1])
         h = F.xxhash64("digest")
-        bits = F.array(*[F.shiftrightunsigned(h, FILTER_POWER * k).bitwiseAND(F.lit((1 << FILTER_POWER) - 1)) for k in range(FILTER_HASHES)])
+        bits = F.array(*[F.shiftrightunsigned(h, power * k).bitwiseAND(F.lit((1 << power) - 1)) for k in range(FILTER_HASHES)])
         each = digests.select(F.explode(bits).alias("b"))
         words = each.groupBy(F.shiftright("b", 5).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(b & 31))")).alias("v"))
         found = words.toArrow()
-        return SharedFilter(found["w"].to_numpy(), found["v"].to_numpy().astype(np.uint32))
+        return SharedFilter(power, found["w"].to_numpy(), found["v"].to_numpy().astype(np.uint32))
 
 
 def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

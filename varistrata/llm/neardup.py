@@ -171,7 +171,7 @@ def confirmed(pairs: DataFrame, shingles: DataFrame, percent: int) -> DataFrame:
 
 
 def id_filter(ids: DataFrame) -> SharedFilter:
-    """A filter of fixed size over distinct ids, for scans that need few of the texts; wrong hits do no harm."""
+    """A filter of bounded size over distinct ids, for scans that need few of the texts; wrong hits do no harm."""
     return SharedFilter.of(ids.select(F.col("id").cast("string").cast("binary").alias("digest")))
 
 
