@@ -100,6 +100,14 @@ def test_scores_match_kernels(spark):
     assert np.allclose(got, kernels.quantile_normal(x, kernels.quantile_references(x)))
 
 
+@pytest.mark.parametrize("digits", [1, 2, 9])
+def test_quantiles_of_many_values(spark, digits):
+    x = np.round(np.random.default_rng(digits).exponential(size=7001), digits)
+    df = spark.createDataFrame([(float(v), 1.0) for v in x], "v double, one double")
+    got = columns.fit_quantiles(df, ["v", "one"])
+    assert got["v"] == kernels.quantile_references(x).tolist() and set(got["one"]) == {1.0} and len(got["one"]) == 1000
+
+
 def test_linear_models(spark):
     rng = np.random.default_rng(1)
     c, s = rng.standard_normal((400, 2)), rng.standard_normal((400, 1))
