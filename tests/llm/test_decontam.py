@@ -48,3 +48,12 @@ def test_shuffled_join_gives_the_same(spark, monkeypatch, broadcast):
     want = sorted(decontam.query(spark, SF).collect())
     monkeypatch.setattr(decontam, "BROADCAST_WINDOWS", broadcast)
     assert sorted(decontam.query(spark, SF).collect()) == want and want
+
+
+def test_items_with_few_or_no_literal_windows(spark):
+    train = "A train covers 120 km in 2 hours and 90 km in 3 hours. What is its mean speed?"
+    dense = "12 km 3 hours 40 dollars 7 kg"
+    texts = [(1, "Look. " + train), (2, "Look. " + train.replace("120", "75").replace("3 hours", "4 hours")), (3, "All: " + dense + "."), (4, "All: " + dense.replace("40", "41")), (5, train[:40])]
+    _, got, _ = rows(spark, texts, [train, dense])
+    assert set(got) == {(1, 0), (2, 0), (3, 1)}
+    assert not got[1, 0][2] and got[2, 0][2] and not got[3, 1][2]

@@ -43,17 +43,30 @@ def canonical(text: str | Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(out), *LAST))
 
 
-def _templates(df: DataFrame, *carry: str) -> DataFrame:
-    """carry, n (tokens), th (hash of each token, placeholders without value) and slots (place and token of the placeholders), from a column `canon`."""
+def _templates(df: DataFrame, *carry: str, exact: bool = False) -> DataFrame:
+    """carry, n (tokens), th (hash of each token, placeholders without value) and slots (place and token of the placeholders), from a column `canon`.
+
+    With `exact` also slotted, tokens and eh (hash of each token as it is).
+    """
     tokens = df.select(*carry, F.contains("canon", F.lit("#")).alias("slotted"), F.split("canon", " ").alias("tokens"))
     bare = lambda t: F.when(t.startswith("#"), F.substring_index(t, "=", 1)).otherwise(t)
     placed = F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("at"), t.alias("token"))), lambda s: s["token"].startswith("#"))
-    return tokens.select(*carry, F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(bare(t))).alias("th"), F.when(F.col("slotted"), placed).alias("slots"))
+    more = ["slotted", "tokens", F.when(F.col("slotted"), F.transform("tokens", lambda t: F.xxhash64(t))).alias("eh")] if exact else []
+    return tokens.select(*carry, F.size("tokens").alias("n"), F.transform("tokens", lambda t: F.xxhash64(bare(t))).alias("th"), F.when(F.col("slotted"), placed).alias("slots"), *more)
+
+
+def _literal(slots: Column, size: int | Column) -> Column:
+    """Whether a window with so many placeholders has enough literal tokens to be looked for by its template."""
+    return 10 * (size - slots) >= LITERAL_TENTHS * size
 
 
-def _windows(templates: DataFrame, size: int, *carry: str) -> DataFrame:
-    """carry, slots, pos (from 0) and h for all windows of that many tokens."""
-    each = F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), lambda i: F.xxhash64(F.slice("th", i, size))))
+def _windows(templates: DataFrame, size: int, *carry: str, exact: bool = False) -> DataFrame:
+    """carry, slots, pos (from 0) and h for all windows of that many tokens; with `exact`, h of a window with too many placeholders takes their values in."""
+    own = lambda i: F.xxhash64(F.slice("th", i, size))
+    if exact:
+        held = lambda i: F.size(F.filter(F.slice("tokens", i, size), lambda t: t.startswith("#")))
+        own = lambda i: F.when(F.col("slotted") & ~_literal(held(i), F.lit(size)), F.xxhash64(F.slice("eh", i, size))).otherwise(F.xxhash64(F.slice("th", i, size)))
+    each = F.when(F.col("n") >= size, F.transform(F.sequence(F.lit(1), F.col("n") - size + 1), own))
     return templates.select(*carry, "slots", F.posexplode(each).alias("pos", "h"))
 
 
@@ -64,44 +77,69 @@ def _within(slots: str, start: str, size: str) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item_windows, size, ipos, islots, h: windows of WINDOW tokens, or the whole of a shorter item."""
+    """item_id, item_windows, literal_windows, size, ipos, islots, literal, h: windows of WINDOW tokens, or the whole of a shorter item.
+
+    Windows that are not `literal` (too many placeholders) have the values in h, so only equal ones are found.
+    """
     items = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("item_id"), canonical(text).alias("canon")).distinct()
-    sized = _templates(items, "item_id").withColumn("size", F.least("n", F.lit(WINDOW))).where(F.col("size") >= SHORTEST).withColumn("item_windows", F.col("n") - F.col("size") + 1)
-    parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "size") for s in range(SHORTEST, WINDOW + 1)]
+    sized = _templates(items, "item_id", exact=True).withColumn("size", F.least("n", F.lit(WINDOW))).where(F.col("size") >= SHORTEST).withColumn("item_windows", F.col("n") - F.col("size") + 1)
+    held = lambda i: F.size(F.filter(F.slice("tokens", i, F.col("size")), lambda t: t.startswith("#")))
+    sized = sized.withColumn("literal_windows", F.size(F.filter(F.sequence(F.lit(1), F.col("item_windows")), lambda i: _literal(held(i), F.col("size")))))
+    parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "literal_windows", "size", exact=True) for s in range(SHORTEST, WINDOW + 1)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("islots", _within("slots", "pos", "size")).where(10 * (F.col("size") - F.size("islots")) >= LITERAL_TENTHS * F.col("size"))
+    out = out.withColumn("islots", _within("slots", "pos", "size")).withColumn("literal", _literal(F.size("islots"), F.col("size")))
     return out.drop("slots").withColumnRenamed("pos", "ipos")
 
 
+def _places(hits: Column) -> Column:
+    return F.size(F.array_distinct(F.transform(hits, lambda h: h["ipos"])))
+
+
+def _pairs(hits: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(hits, lambda h: h["pairs"])))
+
+
+def _consistent(hits: Column) -> Column:
+    return F.size(_pairs(hits)) == F.size(F.array_distinct(F.transform(_pairs(hits), lambda p: p["i"])))
+
+
+def _changed(hits: Column) -> Column:
+    return F.exists(_pairs(hits), lambda p: p["i"] != p["d"])
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it has: doc_id, item_id, windows (most at one distance),
-    item_windows, reworded (in all such places some number, name or unit differs).
+    item_windows, reworded (in all such places some number, name or unit of the literal windows differs).
 
-    Null and empty texts have none. Rows with equal keys count as one document. Items of under SHORTEST tokens
-    or without a literal window are not looked for.
+    NEEDED windows make a hit, or all of an item with fewer, or all its literal windows; windows with too many
+    placeholders are found by their values. Null and empty texts have none. Rows with equal keys count as one
+    document. Items of under SHORTEST tokens are not looked for.
     """
     wanted = benchmark_windows(benchmark)
-    counts = {r["size"]: r["n"] for r in wanted.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    if sum(counts.values()) <= BROADCAST_WINDOWS:
+    counts = {r["size"]: (r["n"], r["valued"]) for r in wanted.groupBy("size").agg(F.count("*").alias("n"), F.bool_or(~F.col("literal")).alias("valued")).collect()}
+    if sum(n for n, _ in counts.values()) <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    templates = _templates(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), canonical(text).alias("canon")), "doc_id")
+    valued = any(v for _, v in counts.values())
+    templates = _templates(docs.where(F.col(text).isNotNull()).select(F.col(key).alias("doc_id"), canonical(text).alias("canon")), "doc_id", exact=valued)
     hits = None
     for size in sorted({WINDOW, *counts}):
-        own = _windows(templates, size, "doc_id").join(wanted.where(F.col("size") == size), "h")
+        own = _windows(templates, size, "doc_id", exact=counts.get(size, (0, False))[1]).join(wanted.where(F.col("size") == size), "h")
         hits = own if hits is None else hits.unionByName(own)
-    zipped = F.arrays_zip(F.col("islots").alias("i"), _within("slots", "pos", "size").alias("d"))
-    pairs = F.when(F.size("islots") > 0, zipped)
+    pairs = F.arrays_zip(F.col("islots").alias("i"), _within("slots", "pos", "size").alias("d"))
     runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("distance")).agg(
         F.first("item_windows").alias("item_windows"),
-        F.size(F.collect_set("ipos")).alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"),
+        F.first("literal_windows").alias("literal_windows"),
+        F.collect_set(F.struct("ipos", "literal", pairs.alias("pairs"))).alias("hits"),
     )
-    consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"])))
-    changed = F.exists("pairs", lambda p: p["i"] != p["d"])
-    found = runs.where((F.col("windows") >= F.least(F.lit(NEEDED), F.col("item_windows"))) & consistent)
-    return found.groupBy("doc_id", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.first("item_windows").cast("long").alias("item_windows"), F.min(changed).alias("reworded"))
+    literal = F.filter("hits", lambda h: h["literal"])
+    all_needed, literal_needed = (F.least(F.lit(NEEDED), F.col(c)) for c in ("item_windows", "literal_windows"))
+    # By literal windows alone, or by all windows: then those with values must agree as well.
+    by_literal = (F.col("literal_windows") > 0) & (_places(literal) >= literal_needed) & _consistent(literal)
+    by_all = (_places(F.col("hits")) >= all_needed) & _consistent(F.col("hits"))
+    found = runs.where(by_literal | by_all).select("doc_id", "item_id", "item_windows", F.when(by_literal, _places(literal)).otherwise(_places(F.col("hits"))).alias("windows"), _changed(literal).alias("changed"))
+    return found.groupBy("doc_id", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.first("item_windows").cast("long").alias("item_windows"), F.min("changed").alias("reworded"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
