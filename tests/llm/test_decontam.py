@@ -57,3 +57,11 @@ def test_items_with_few_or_no_literal_windows(spark):
     _, got, _ = rows(spark, texts, [train, dense])
     assert set(got) == {(1, 0), (2, 0), (3, 1)}
     assert not got[1, 0][2] and got[2, 0][2] and not got[3, 1][2]
+
+
+def test_items_after_a_word_or_comma(spark):
+    short, named = "What is the capital of France?", "Tom has 12 apples and sells most of them"
+    texts = [(1, "Question: " + short), (2, "Quiz. " + short), (3, "so, " + short), (4, "we ask " + short), (5, "Then " + named), (6, "here " + named.replace("Tom", "Ann")), (7, "it takes 5 minutes to walk from the old mill"), (8, "we ask how is the capital of France?")]
+    _, got, _ = rows(spark, texts, [short, named, "minutes to walk from the old mill"])
+    assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2)}
+    assert {k for k, v in got.items() if v[2]} == {(6, 1)}

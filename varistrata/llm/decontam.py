@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from varistrata.llm.common import table
 
@@ -76,21 +77,33 @@ def _within(slots: str, start: str, size: str) -> Column:
     return F.coalesce(F.transform(inside, lambda s: s["token"]), F.array().cast("array<string>"))
 
 
+def _after(word: str, text: str) -> Column:
+    """The canonical form of a text as it reads after a word."""
+    return F.regexp_replace(canonical(F.concat(F.lit(f"{word} "), F.regexp_replace(text, r"^\s+", ""))), "^[^ ]* ?", "")
+
+
 def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "text") -> DataFrame:
-    """item_id, item_windows, literal_windows, size, ipos, islots, literal, h: windows of WINDOW tokens, or the whole of a shorter item.
+    """item_id, item_windows, literal_windows, size, ipos, islots, literal, plain, h: windows of WINDOW tokens, or the whole of a shorter item.
 
-    Windows that are not `literal` (too many placeholders) have the values in h, so only equal ones are found.
+    Windows that are not `literal` (too many placeholders) have the values in h, so only equal ones are found. What
+    stands before an item in a document can make a name or unit of its first word: its first window is there in each
+    such form, `plain` in the form of the item alone, and counts as literal if it is in all forms.
     """
-    items = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("item_id"), canonical(text).alias("canon")).distinct()
-    sized = _templates(items, "item_id", exact=True).withColumn("size", F.least("n", F.lit(WINDOW))).where(F.col("size") >= SHORTEST).withColumn("item_windows", F.col("n") - F.col("size") + 1)
+    texts = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull())
+    forms = F.array(*[F.struct(c.alias("canon"), F.lit(p).alias("plain")) for c, p in ((canonical(text), True), (_after("a", text), False), (_after("1", text), False))])
+    own = F.filter(forms, lambda f: f["plain"] | (f["canon"] != forms[0]["canon"]))
+    items = texts.select(F.col(key).alias("item_id"), F.explode(own).alias("form"), forms[0]["canon"].alias("own")).select("item_id", "form.*", "own").distinct()
+    sized = _templates(items, "item_id", "plain", "own", exact=True).withColumn("size", F.least("n", F.lit(WINDOW))).where(F.col("size") >= SHORTEST).withColumn("item_windows", F.col("n") - F.col("size") + 1)
     held = lambda i: F.size(F.filter(F.slice("tokens", i, F.col("size")), lambda t: t.startswith("#")))
     sized = sized.withColumn("literal_windows", F.size(F.filter(F.sequence(F.lit(1), F.col("item_windows")), lambda i: _literal(held(i), F.col("size")))))
-    parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "literal_windows", "size", exact=True) for s in range(SHORTEST, WINDOW + 1)]
+    of_item = Window.partitionBy("item_id", "own")
+    sized = sized.withColumns({"literal_windows": F.min("literal_windows").over(of_item), "first_literal": F.min(_literal(held(F.lit(1)), F.col("size"))).over(of_item)})
+    parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "literal_windows", "size", "first_literal", "plain", exact=True).where("plain or pos = 0") for s in range(SHORTEST, WINDOW + 1)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    out = out.withColumn("islots", _within("slots", "pos", "size")).withColumn("literal", _literal(F.size("islots"), F.col("size")))
-    return out.drop("slots").withColumnRenamed("pos", "ipos")
+    out = out.withColumn("islots", _within("slots", "pos", "size")).withColumn("literal", _literal(F.size("islots"), F.col("size")) & (F.col("first_literal") | (F.col("pos") > 0)))
+    return out.drop("slots", "first_literal").withColumnRenamed("pos", "ipos")
 
 
 def _places(hits: Column) -> Column:
@@ -118,7 +131,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     document. Items of under SHORTEST tokens are not looked for.
     """
     wanted = benchmark_windows(benchmark)
-    counts = {r["size"]: (r["n"], r["valued"]) for r in wanted.groupBy("size").agg(F.count("*").alias("n"), F.bool_or(~F.col("literal")).alias("valued")).collect()}
+    counts = {r["size"]: (r["n"], r["valued"]) for r in wanted.groupBy("size").agg(F.count("*").alias("n"), F.bool_or(~_literal(F.size("islots"), F.col("size"))).alias("valued")).collect()}
     if sum(n for n, _ in counts.values()) <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     valued = any(v for _, v in counts.values())
@@ -131,14 +144,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     runs = hits.groupBy("doc_id", "item_id", (F.col("pos") - F.col("ipos")).alias("distance")).agg(
         F.first("item_windows").alias("item_windows"),
         F.first("literal_windows").alias("literal_windows"),
-        F.collect_set(F.struct("ipos", "literal", pairs.alias("pairs"))).alias("hits"),
+        F.collect_set(F.struct("ipos", "literal", "plain", pairs.alias("pairs"))).alias("hits"),
     )
     literal = F.filter("hits", lambda h: h["literal"])
+    plain = F.filter("hits", lambda h: h["literal"] & h["plain"])
     all_needed, literal_needed = (F.least(F.lit(NEEDED), F.col(c)) for c in ("item_windows", "literal_windows"))
     # By literal windows alone, or by all windows: then those with values must agree as well.
     by_literal = (F.col("literal_windows") > 0) & (_places(literal) >= literal_needed) & _consistent(literal)
     by_all = (_places(F.col("hits")) >= all_needed) & _consistent(F.col("hits"))
-    found = runs.where(by_literal | by_all).select("doc_id", "item_id", "item_windows", F.when(by_literal, _places(literal)).otherwise(_places(F.col("hits"))).alias("windows"), _changed(literal).alias("changed"))
+    # Hits of the plain form are counted and compared alone where they are enough.
+    by_plain = (F.col("literal_windows") > 0) & (_places(plain) >= literal_needed) & _consistent(plain)
+    windows = F.when(by_plain, _places(plain)).when(by_literal, _places(literal)).otherwise(_places(F.col("hits")))
+    changed = F.when(by_plain, _changed(plain)).otherwise(_changed(literal))
+    found = runs.where(by_plain | by_literal | by_all).select("doc_id", "item_id", "item_windows", windows.alias("windows"), changed.alias("changed"))
     return found.groupBy("doc_id", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.first("item_windows").cast("long").alias("item_windows"), F.min("changed").alias("reworded"))
 
 
