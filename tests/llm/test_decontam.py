@@ -65,3 +65,11 @@ def test_items_after_a_word_or_comma(spark):
     _, got, _ = rows(spark, texts, [short, named, "minutes to walk from the old mill"])
     assert set(got) == {(1, 0), (2, 0), (3, 0), (4, 0), (5, 1), (6, 1), (7, 2)}
     assert {k for k, v in got.items() if v[2]} == {(6, 1)}
+
+
+def test_long_verbatim_part_with_one_changed_name(spark):
+    item = "Here Tom told Tom that the old mill by the river has been sold to a man who wants to make paper and not flour again"
+    mixed = "Here Tom sells and 12 of us buy from Tom what Tom had"
+    texts = [(1, "Well. " + item.replace("Tom", "Ann", 1)), (2, "Well. " + item), (3, "Well. " + mixed.replace("Tom", "Ann", 1))]
+    _, got, _ = rows(spark, texts, [item, mixed])
+    assert set(got) == {(1, 0), (2, 0)} and got[1, 0][2] and not got[2, 0][2]

@@ -122,12 +122,19 @@ def _changed(hits: Column) -> Column:
     return F.exists(_pairs(hits), lambda p: p["i"] != p["d"])
 
 
+def _undisputed(hits: Column) -> Column:
+    """Windows with equal values, none of which stands for another value elsewhere in the run."""
+    other = F.transform(F.filter(_pairs(hits), lambda p: p["i"] != p["d"]), lambda p: p["i"])
+    return F.filter(hits, lambda h: ~F.exists(h["pairs"], lambda p: (p["i"] != p["d"]) | F.array_contains(other, p["i"])))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document and benchmark item that it has: doc_id, item_id, windows (most at one distance),
     item_windows, reworded (in all such places some number, name or unit of the literal windows differs).
 
     NEEDED windows make a hit, or all of an item with fewer, or all its literal windows; windows with too many
-    placeholders are found by their values. Null and empty texts have none. Rows with equal keys count as one
+    placeholders are found by their values. Slots must be consistent; in a run where they are not, NEEDED windows with
+    equal values, without any value that is disputed in the run, make a hit. Null and empty texts have none. Rows with equal keys count as one
     document. Items of under SHORTEST tokens are not looked for.
     """
     wanted = benchmark_windows(benchmark)
@@ -154,9 +161,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     by_all = (_places(F.col("hits")) >= all_needed) & _consistent(F.col("hits"))
     # Hits of the plain form are counted and compared alone where they are enough.
     by_plain = (F.col("literal_windows") > 0) & (_places(plain) >= literal_needed) & _consistent(plain)
-    windows = F.when(by_plain, _places(plain)).when(by_literal, _places(literal)).otherwise(_places(F.col("hits")))
-    changed = F.when(by_plain, _changed(plain)).otherwise(_changed(literal))
-    found = runs.where(by_plain | by_literal | by_all).select("doc_id", "item_id", "item_windows", windows.alias("windows"), changed.alias("changed"))
+    # A long verbatim part is enough, whatever windows with a disputed value hold.
+    undisputed = _places(_undisputed(F.col("hits")))
+    by_part = undisputed >= NEEDED
+    windows = F.when(by_plain, _places(plain)).when(by_literal, _places(literal)).when(by_all, _places(F.col("hits"))).otherwise(undisputed)
+    changed = F.when(by_plain, _changed(plain)).when(by_literal | by_all, _changed(literal)).otherwise(_changed(F.col("hits")))
+    found = runs.where(by_plain | by_literal | by_all | by_part).select("doc_id", "item_id", "item_windows", windows.alias("windows"), changed.alias("changed"))
     return found.groupBy("doc_id", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.first("item_windows").cast("long").alias("item_windows"), F.min("changed").alias("reworded"))
 
 
