@@ -237,3 +237,19 @@ def test_component_regression_equals_rows(spark):
     want = plan_tables.twin_regression(kernels.NanPca(5).fit(x).transform(x), v.y0.to_numpy(), v._fit.to_numpy())
     for k, (fit, test) in enumerate(want, 1):
         assert got[k, "fit"] == pytest.approx(fit) and got[k, "test"] == pytest.approx(test)
+
+
+def test_imputation_uses_all_rows(spark, monkeypatch):
+    from varistrata.plans import adapters, models
+
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((20_500, 1)) @ np.ones((1, 6)) + 0.3 * rng.standard_normal((20_500, 6)) + 40
+    x[rng.random(x.shape) < 0.2] = np.nan
+    x[5], x[6, 2] = np.nan, np.inf
+    wide = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())], ["eid", *adapters.COLUMNS[:6]]).repartition(5)
+    monkeypatch.setattr(adapters, "wide", lambda spark, sf_dir: wide)
+    got = models.iterative_impute(spark, "").toPandas().sort_values("eid")
+    want = kernels.iterative_impute(x)
+    assert got["eid"].tolist() == list(range(len(x))) and np.allclose(got.drop(columns="eid").to_numpy(), want, rtol=0, atol=1e-8)
+    few = spark.createDataFrame([(1, 1.0, None), (2, 3.0, None)], "eid long, a double, b double")
+    assert sorted(tuple(r) for r in linear.iterative_impute(few, ["a", "b"], "eid").collect()) == [(1, 1.0, 0.0), (2, 3.0, 0.0)]

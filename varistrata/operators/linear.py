@@ -18,6 +18,8 @@ from varistrata.functions import kernels
 
 #: Partial sums that reach the driver, at most.
 BLOCKS = 16
+#: Sets of missing columns that imputation can work with on the driver (12 columns have no more), and rounds that one pass over the data measures.
+MOST_PATTERNS, ROUNDS = 4096, 10
 
 
 def _block(batch: pa.RecordBatch) -> np.ndarray:
@@ -88,6 +90,97 @@ def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "i string, j string, value double")
 
 
+def _by_pattern(batch: pa.RecordBatch, p: int, shift: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """pattern (bits of the missing columns), places of its rows and [1, values less shift, missing ones as 0] of them; the columns are the batch's last p."""
+    x = _block(batch.select(list(range(batch.num_columns - p, batch.num_columns))))
+    gone = ~np.isfinite(x)
+    e = np.column_stack([np.ones(len(x)), np.where(gone, 0.0, x - shift)])
+    bits = gone @ (1 << np.arange(p))
+    for pattern in np.unique(bits):
+        at = np.flatnonzero(bits == pattern)
+        yield int(pattern), at, e[at]
+
+
+def iterative_impute(df: DataFrame, columns: Sequence[str], key: str, rounds: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
+    """key and the columns, missing values filled as kernels.IterativeImputer fills one block of all rows.
+
+    A filled value is a linear function of its row's known values, the same in all rows that miss the same columns.
+    So sums of products by missing columns give every round's regressions, and rows are filled where they lie.
+    """
+    p = len(columns)
+    rows = df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
+    shift = moments(rows, columns).means
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        top = 0.0
+        for batch in batches:
+            for pattern, _, e in _by_pattern(batch, p, shift):
+                total[pattern] = total.get(pattern, 0.0) + (e.T @ e).ravel()
+                top = max([top, *(np.abs(e[:, 1 + j] + shift[j]).max() for j in range(p) if not pattern >> j & 1)])
+        for pattern, values in (total | {-1: np.array([top])}).items():
+            yield pa.RecordBatch.from_arrays([pa.array([pattern] * len(values), pa.int64()), pa.array(range(len(values)), pa.int32()), pa.array(values)], ["pattern", "k", "value"])
+
+    added = rows.mapInArrow(sums, "pattern long, k int, value double").groupBy("pattern", "k").agg(F.when(F.col("pattern") < 0, F.max("value")).otherwise(F.sum("value")).alias("value"))
+    if added.where("k = 0 and pattern >= 0").count() > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} sets of missing columns: impute fewer columns")
+    found = {(r["pattern"], r["k"]): r["value"] for r in added.collect()}
+    limit = tolerance * found.pop((-1, 0), 0.0)
+    patterns = sorted({pattern for pattern, _ in found})
+    index = {pattern: i for i, pattern in enumerate(patterns)}
+    products = np.array([[found[q, k] for k in range((p + 1) ** 2)] for q in patterns]).reshape(-1, p + 1, p + 1)
+    gone = np.array([[bool(q >> j & 1) for j in range(p)] for q in patterns]).reshape(-1, p)
+    missing = gone.T @ products[:, 0, 0]
+    order = [j for j in np.argsort(missing, kind="stable") if not gone[:, j].all()]
+    # [1, known] @ maps[i] are the filled columns of pattern i.
+    maps = np.where(gone[:, None, :], 0.0, np.eye(p + 1)[None, :, 1:])
+    one = np.eye(p + 1)[:, :1]
+
+    def next_round(maps: np.ndarray) -> np.ndarray:
+        maps = maps.copy()
+        for j in order:
+            whole = np.concatenate([np.broadcast_to(one, (len(maps), p + 1, 1)), maps], axis=2)
+            g = np.einsum("iab,iac,icd->bd", whole[~gone[:, j]], products[~gone[:, j]], whole[~gone[:, j]])
+            m, others = g[0, 1:] / g[0, 0], [k for k in range(p) if k != j]
+            centred = g[1:, 1:] - g[0, 0] * np.outer(m, m)
+            gram = centred[np.ix_(others, others)]
+            lift = ridge * (np.trace(gram) / max(1, p - 1) + 1e-12) * np.eye(p - 1)
+            w = np.linalg.solve(gram + lift, centred[others, j])
+            maps[gone[:, j], :, j] = (maps[:, :, others] @ w)[gone[:, j]] + one[:, 0] * (m[j] - m[others] @ w)
+        return maps
+
+    done = 0
+    while gone.any() and done < rounds:
+        steps = [maps]
+        for _ in range(min(ROUNDS, rounds - done)):
+            steps.append(next_round(steps[-1]))
+        moved = np.diff(np.array(steps), axis=0)
+
+        def changes(batches: Iterator[pa.RecordBatch], moved: np.ndarray = moved) -> Iterator[pa.RecordBatch]:
+            top = np.zeros(len(moved))
+            for batch in batches:
+                for pattern, _, e in _by_pattern(batch, p, shift):
+                    top = np.maximum(top, [np.abs(e @ d[index[pattern]]).max() for d in moved])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(top)), pa.int32()), pa.array(top)], ["round", "change"])
+
+        top = {r["round"]: r["change"] for r in rows.mapInArrow(changes, "round int, change double").groupBy("round").agg(F.max("change").alias("change")).collect()}
+        last = next((r for r in range(len(moved)) if top[r] < limit), None)
+        maps = steps[-1 if last is None else last + 1]
+        done += len(moved)
+        if last is not None:
+            break
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = _block(batch.select(list(range(1, p + 1))))
+            for pattern, at, e in _by_pattern(batch, p, shift):
+                lost = [j for j in range(p) if pattern >> j & 1]
+                out[np.ix_(at, lost)] = (e @ maps[index[pattern]] + shift)[:, lost]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in out.T]], names=[key, *columns])
+
+    return rows.mapInArrow(fill, rows.schema)
+
+
 def _dot(columns: Sequence[str], weights: np.ndarray) -> Column:
     return sum((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) * float(w) for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
 

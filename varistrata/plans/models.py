@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from varistrata.functions import kernels
 from varistrata.operators import columns, experiment, linear, results, sampling
 from varistrata.plans import adapters as A
 from varistrata.plans.registry import query
@@ -82,17 +81,9 @@ def nan_pca(spark, sf_dir):
 
 @query()
 def iterative_impute(spark, sf_dir):
-    """Confounds are few: each part of the cohort is imputed by itself, in parts of bounded size."""
+    """Regressions over all rows, from sums of products."""
     w = A.wide(spark, sf_dir).select("eid", *[F.col(f"`{c}`").alias(f"v{i}") for i, c in enumerate(A.COLUMNS[:6])])
-    names = [f"v{i}" for i in range(6)]
-
-    def fill(pdf):
-        pdf = pdf.sort_values("eid")
-        pdf[names] = kernels.iterative_impute(pdf[names].to_numpy(float))
-        return pdf[["eid", *names]]
-
-    parts = w.count() // 20_000 + 1
-    return w.groupBy(F.pmod(F.xxhash64("eid"), F.lit(parts)).alias("_part")).applyInPandas(lambda pdf: fill(pdf), "eid long, " + ", ".join(f"{n} double" for n in names))
+    return linear.iterative_impute(w, [f"v{i}" for i in range(6)], "eid")
 
 
 def _grid(spark, sf_dir, null_model: bool = False, reps: int = 3, **settings):
