@@ -253,3 +253,8 @@ def test_imputation_uses_all_rows(spark, monkeypatch):
     assert got["eid"].tolist() == list(range(len(x))) and np.allclose(got.drop(columns="eid").to_numpy(), want, rtol=0, atol=1e-8)
     few = spark.createDataFrame([(1, 1.0, None), (2, 3.0, None)], "eid long, a double, b double")
     assert sorted(tuple(r) for r in linear.iterative_impute(few, ["a", "b"], "eid").collect()) == [(1, 1.0, 0.0), (2, 3.0, 0.0)]
+
+
+def test_closure_of_a_deep_tree(spark):
+    tree = spark.createDataFrame([(i, i + 1) for i in range(36)] + [(36, 0)], "parent_id int, child_id int").coalesce(1)
+    assert sorted(r[0] for r in catalog.category_closure(tree, [0]).collect()) == list(range(37))

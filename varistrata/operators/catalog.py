@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -22,8 +23,6 @@ VALUE_TYPES = {
     "numeric": [11, 21, 22, 31],
     "all": [11, 21, 22, 31, 41, 51, 61, 101],
 }
-#: Categories below which the tree is followed; a cycle would go on forever without a bound.
-MOST_LEVELS = 32
 
 
 def value_types(wanted: str | int | Sequence) -> list[int]:
@@ -43,9 +42,11 @@ def category_closure(tree: DataFrame, roots: Sequence) -> DataFrame:
     kind = tree.schema["parent_id"].dataType.simpleString()
     start = spark.createDataFrame([(r,) for r in roots], f"category_id {kind}").distinct()
     seen, frontier = start, start
-    for _ in range(MOST_LEVELS):
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varistrata-"))
+    while True:
         below = frontier.join(tree, frontier["category_id"] == tree["parent_id"]).select(F.col("child_id").alias("category_id")).distinct()
-        frontier = below.join(seen, "category_id", "left_anti")
+        frontier = below.join(seen, "category_id", "left_anti").checkpoint()  # or the plan doubles with each level
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
