@@ -8,6 +8,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Arrow batches are cut into pieces of about this many characters before Python works on them.
 PIECE_CHARS = 8_000_000
@@ -34,11 +35,20 @@ def fold(key: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(col.cast("string")), F.lit(n))
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, a temporary folder, but only in a single process (tests): executors don't share one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="varistrata-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use spark.checkpoint.dir; only where that is unset (tests) a temporary folder."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varistrata-"))
+        context.setCheckpointDir(shared_folder(spark))
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
@@ -47,6 +57,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Scratch:
+    """Checkpoints of one job: those that its result doesn't read are deleted at its end."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        out = cut_lineage(df)
+        self.held.append(out)
+        return out
+
+    def release(self, *keep: DataFrame) -> None:
+        for df in self.held:
+            if not any(df is k for k in keep):
+                file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+                if file.isDefined():
+                    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+                    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        self.held = [df for df in self.held if any(df is k for k in keep)]
+
+
 def pieces(batches: Iterable[pa.RecordBatch], text: str = "text", chars: int = PIECE_CHARS) -> Iterator[tuple[pa.RecordBatch, list]]:
     """Slices of record batches with their texts as Python strings, of bounded size each (a longer single text stands alone)."""
     for batch in batches:
@@ -65,10 +96,17 @@ def bounded_ids(df: DataFrame, key: str, n: int) -> DataFrame:
     return df.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
 
 
-def keyed_texts(docs: DataFrame, ids: DataFrame, key: str = "doc_id", text: str = "text", carry: Iterable[str] = ()) -> DataFrame:
-    """One text for each of a bounded set of keys (the first in order of several); ids has a proven bound, so it is broadcast."""
-    wanted = F.broadcast(ids.groupBy(key).agg(*[F.max(c).alias(c) for c in carry]) if carry else ids.select(key).distinct())
-    return docs.select(key, text).join(wanted, key).groupBy(key, *carry).agg(F.min(text).alias(text))
+def labelled_texts(docs: DataFrame, ids: DataFrame, label: str, most_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, text, label: one text (the first in order of several) for each of a bounded set of keys.
+
+    Of each label's rows, in the order of their hashes, those stay with which the texts have most_bytes in all; a
+    row stays whole or goes. ids has a proven bound, so it is broadcast, and so are the windows bounded.
+    """
+    wanted = F.broadcast(ids.groupBy(key).agg(F.max(label).alias(label)))
+    found = docs.select(key, text).join(wanted, key).groupBy(key, label).agg(F.min(text).alias(text))
+    size = F.coalesce(F.octet_length(text), F.lit(0))
+    held = F.sum(size).over(Window.partitionBy(label).orderBy(F.xxhash64(key), key).rowsBetween(Window.unboundedPreceding, 0))
+    return found.where(size <= most_bytes).withColumn("_held", held).where(F.col("_held") <= most_bytes).select(key, text, label)
 
 
 def text_schema(df: DataFrame, key: str) -> str:

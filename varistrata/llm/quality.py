@@ -17,14 +17,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varistrata.llm.common import bounded_ids, fold, keyed_texts, pieces, table, text_schema
+from varistrata.llm.common import bounded_ids, fold, labelled_texts, pieces, table, text_schema
 
-#: Labelled texts of each class that are fitted on, at most.
-FIT_ROWS = 1200
+#: Labelled texts of each class that are fitted on, and their bytes, at most: whole texts, all of whose parts count.
+FIT_ROWS, FIT_BYTES = 1200, 8 << 20
 DICTIONARY_BYTES = 98_304
 BLOCK_BYTES = 1024
-#: Size and number of the pieces of labelled text from which a dictionary is trained.
-SAMPLE_BYTES, SAMPLES = 2048, 4000
+#: Size of the pieces into which labelled text is cut for training a dictionary; all pieces count.
+SAMPLE_BYTES = 2048
 LEVEL = 3
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.5
@@ -32,12 +32,11 @@ THRESHOLD = 0.5
 
 def _dictionary(texts: list[bytes]) -> bytes:
     cut = [t[i : i + SAMPLE_BYTES] for t in texts for i in range(0, len(t), SAMPLE_BYTES)]
-    order = np.random.default_rng(11).permutation(len(cut))[:SAMPLES]
-    samples = [cut[i] for i in order]
+    samples = [cut[i] for i in np.random.default_rng(11).permutation(len(cut))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
-    except zstandard.ZstdError:  # too few samples: the text itself
-        return b"".join(samples)[-DICTIONARY_BYTES:]
+    except zstandard.ZstdError:  # too few samples: all of the text itself
+        return b"".join(samples)
 
 
 @dataclass
@@ -115,12 +114,15 @@ def fit_texts(texts: list[str | None], y: list[int], shares: tuple[float, float]
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> CompressionModel:
-    """From at most `rows` labelled texts of each class, those whose keys have the smallest hashes; null labels don't count."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> CompressionModel:
+    """From at most `rows` labelled texts of each class with most_bytes in all, those whose keys have the smallest hashes.
+
+    Null labels don't count. Without texts of both classes (empty tables too) all texts get the share of label 1, 0.5 if there is none.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     shares = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
     ids = [bounded_ids(known.where(F.col(label) == k), key, rows).withColumn("_y", F.lit(k)) for k in (0, 1)]
-    found = sorted(keyed_texts(docs, ids[0].unionByName(ids[1]), key, text, ["_y"]).collect(), key=lambda r: (str(r[key])[::-1], r["_y"]))
+    found = sorted(labelled_texts(docs, ids[0].unionByName(ids[1]), "_y", most_bytes, key, text).collect(), key=lambda r: (str(r[key])[::-1], r["_y"]))
     return fit_texts([r[text] for r in found], [r["_y"] for r in found], (float(shares.get(0, 0)), float(shares.get(1, 0))))
 
 

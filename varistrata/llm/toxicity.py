@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from varistrata.llm.common import bounded_ids, fold, keyed_texts, pieces, table, text_schema
+from varistrata.llm.common import bounded_ids, fold, labelled_texts, pieces, table, text_schema
 from varistrata.llm.quality import calibrate
 
 WINDOW, STRIDE = 24, 12
 HIDDEN, WORD_SIZE, CHAR_SIZE = 8, 8, 8
-#: Labelled texts of each class that are fitted on, at most; the vocabulary has the words of this many of them or more.
-FIT_ROWS, LEAST_TEXTS = 1200, 3
+#: Labelled texts of each class that are fitted on, and their bytes, at most (whole texts).
+FIT_ROWS, FIT_BYTES = 1200, 8 << 20
+#: The vocabulary has the words of this many texts or more.
+LEAST_TEXTS = 3
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 4, 4, 128, 0.01, 0.01
 #: Windows of negative texts in a round for each text, besides the strongest of each.
 NEGATIVES = 3
@@ -338,12 +340,15 @@ def train(texts: list[str | None], y: list[int], shares: tuple[float, float], se
     return net
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS) -> Network:
-    """From at most `rows` labelled texts of each class, those whose keys have the smallest hashes; null labels don't count."""
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", key: str = "doc_id", text: str = "text", rows: int = FIT_ROWS, most_bytes: int = FIT_BYTES) -> Network:
+    """From at most `rows` labelled texts of each class with most_bytes in all, those whose keys have the smallest hashes.
+
+    Null labels don't count. Without texts of both classes (empty tables too) the network stays untrained and all texts with a word get the share of label 1.
+    """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull())
     shares = {r[label]: r["n"] for r in known.groupBy(label).agg(F.count("*").alias("n")).collect()}
     ids = [bounded_ids(known.where(F.col(label) == k), key, rows).withColumn("_y", F.lit(k)) for k in (0, 1)]
-    found = sorted(keyed_texts(docs, ids[0].unionByName(ids[1]), key, text, ["_y"]).collect(), key=lambda r: (str(r[key])[::-1], r["_y"]))
+    found = sorted(labelled_texts(docs, ids[0].unionByName(ids[1]), "_y", most_bytes, key, text).collect(), key=lambda r: (str(r[key])[::-1], r["_y"]))
     return train([r[text] for r in found], [r["_y"] for r in found], (float(shares.get(0, 0)), float(shares.get(1, 0))))
 
 
