@@ -31,9 +31,10 @@ def with_shards(docs: DataFrame, weights: Sequence[float], key: str = "doc_id",
     """Rows of docs with `shard` and, for one more shard of weight `grown`, `grown_shard`; columns of those names are replaced.
 
     Only the key and the shard list decide, so a further shard takes rows only into itself. A null
-    key is replaced by the hash of the text; null texts with null keys share a shard. Equal keys share a shard.
+    key of any type is replaced by the hash of the text; null texts with null keys share a shard. Equal keys share a shard.
     """
-    stable = F.coalesce(F.xxhash64(F.col(key)) if dict(docs.dtypes)[key] != "bigint" else F.col(key), F.xxhash64(F.col(text)))
+    own = F.col(key) if dict(docs.dtypes)[key] == "bigint" else F.xxhash64(F.col(key))
+    stable = F.when(F.col(key).isNull(), F.xxhash64(F.col(text))).otherwise(own)
     out = docs.withColumn("shard", rendezvous(stable, weights, seed))
     return out if grown is None else out.withColumn("grown_shard", rendezvous(stable, [*weights, grown], seed))
 
