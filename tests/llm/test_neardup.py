@@ -114,3 +114,67 @@ def test_equals_sql(spark):
     want = con.sql(oracles.NEAR_DUPLICATES)
     got = N.query(spark, "/root/testdata/sf0.01").select(*want.columns)
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_rows_that_share_a_key(spark, kind):
+    """Rows of one key with two texts are two documents; keys may be strings."""
+    words = [f"w{i}" for i in range(60)]
+    t1, t2 = " ".join(words[:30]), " ".join(words[30:])
+    rows = [(1, t1), (1, t2), (2, t2 + " zz"), (3, t1 + " yy"), (4, t2 + " zz"), (5, "on its own here now")]
+    own = (lambda d: d) if kind == "long" else (lambda d: f"k{d}")
+    docs = spark.createDataFrame([(own(d), t) for d, t in rows], f"doc_id {kind}, text string")
+    got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in N.near_duplicates(docs, 4, 80).collect())
+    assert got == sorted([(own(1), 27, own(1), True), (own(1), 27, own(1), True), (own(2), 28, own(1), False), (own(3), 28, own(1), False), (own(4), 28, own(1), False), (own(5), 2, own(5), True)])
+    assert sorted(map(tuple, N.drop_near_duplicates(docs, 4, 80).collect())) == sorted([(own(1), t1), (own(1), t2), (own(5), rows[5][1])])
+    twice = spark.createDataFrame([(2, t1), (1, t2), (1, t1), (1, t1), (3, t2 + " q")], "doc_id long, text string")
+    assert sorted(map(tuple, N.drop_near_duplicates(twice, 4, 80).collect())) == sorted([(1, t1), (1, t1), (1, t2)])
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(3)
+    base = [str(rng.randrange(10**6)) for _ in range(60_000)]
+    near, far = list(base), list(base)
+    for at in range(0, 60_000, 60):
+        near[at] = "x"
+    for at in range(0, 60_000, 20):
+        far[at] = "y"
+    rows = [(i, " ".join(t)) for i, t in enumerate([near, base, far, base[:20_000], base[:19_900], near[:50_000]])]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 4, 80).collect()
+    assert {(r.doc_id, r.n_shingles, r.component_id) for r in got} == brute(rows, 4, 80)
+
+
+def test_copies_that_stay_apart_are_not_compared(spark):
+    """Copies changed so far that no two have a link: the filters leave no block of them, however many they are."""
+    rng = random.Random(12)
+    base = [f"b{i}" for i in range(120)]
+    rows = []
+    for i in range(600):
+        copy = list(base)
+        for at in rng.sample(range(120), 7):
+            copy[at] = f"n{i}x{at}"
+        rows.append((i, " ".join(copy)))
+    rows.append((600, " ".join(base)))
+    assert {c for _, _, c in brute(rows, 4, 80)} == set(range(601))
+    seen = []
+    real = N.block_pairs
+    try:
+        N.block_pairs = lambda members, *a: seen.append(members.count()) or real(members, *a)
+        got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(7), 4, 80).collect()
+    finally:
+        N.block_pairs = real
+    assert {r.component_id for r in got} == set(range(601)) and seen == [0]
+
+
+def test_checkpoints_are_deleted(spark, tmp_path):
+    import os
+
+    context = spark.sparkContext
+    before = context.getCheckpointDir()
+    context.setCheckpointDir(str(tmp_path))
+    try:
+        docs = spark.createDataFrame(made(4, 80), "doc_id long, text string")
+        out = N.near_duplicates(docs, 4, 80)
+        assert sum(len(d) for d in (os.listdir(f"{tmp_path}/{x}") for x in os.listdir(tmp_path))) == 2 and out.count() == 80
+    finally:
+        context.setCheckpointDir(before or "/tmp/varistrata-tests")
