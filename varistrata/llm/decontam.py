@@ -18,8 +18,8 @@ from varistrata.llm.common import table
 WINDOW = 8
 #: Windows at one distance that make a hit (13 tokens in a row), or all of a shorter item.
 NEEDED = 6
-#: Share of a benchmark window's tokens that must be literal, in tenths; shortest item that counts, in tokens.
-LITERAL_TENTHS, SHORTEST = 6, 3
+#: Share of a benchmark window's tokens that must be literal, in tenths, to be looked for whatever its slots hold.
+LITERAL_TENTHS = 6
 #: A benchmark of at most so many windows is broadcast (about 200 MB); a larger one is joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
 # Units, longer ones first.
@@ -92,13 +92,13 @@ def benchmark_windows(benchmark: DataFrame, key: str = "item_id", text: str = "t
     texts = benchmark.where(F.col(text).isNotNull() & F.col(key).isNotNull())
     forms = F.array(*[F.struct(c.alias("canon"), F.lit(p).alias("plain")) for c, p in ((canonical(text), True), (_after("a", text), False), (_after("1", text), False))])
     own = F.filter(forms, lambda f: f["plain"] | (f["canon"] != forms[0]["canon"]))
-    items = texts.select(F.col(key).alias("item_id"), F.explode(own).alias("form"), forms[0]["canon"].alias("own")).select("item_id", "form.*", "own").distinct()
-    sized = _templates(items, "item_id", "plain", "own", exact=True).withColumn("size", F.least("n", F.lit(WINDOW))).where(F.col("size") >= SHORTEST).withColumn("item_windows", F.col("n") - F.col("size") + 1)
+    items = texts.select(F.col(key).alias("item_id"), F.explode(own).alias("form"), forms[0]["canon"].alias("own")).select("item_id", "form.*", "own").where("canon != ''").distinct()
+    sized = _templates(items, "item_id", "plain", "own", exact=True).withColumn("size", F.least("n", F.lit(WINDOW))).withColumn("item_windows", F.col("n") - F.col("size") + 1)
     held = lambda i: F.size(F.filter(F.slice("tokens", i, F.col("size")), lambda t: t.startswith("#")))
     sized = sized.withColumn("literal_windows", F.size(F.filter(F.sequence(F.lit(1), F.col("item_windows")), lambda i: _literal(held(i), F.col("size")))))
     of_item = Window.partitionBy("item_id", "own")
     sized = sized.withColumns({"literal_windows": F.min("literal_windows").over(of_item), "first_literal": F.min(_literal(held(F.lit(1)), F.col("size"))).over(of_item)})
-    parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "literal_windows", "size", "first_literal", "plain", exact=True).where("plain or pos = 0") for s in range(SHORTEST, WINDOW + 1)]
+    parts = [_windows(sized.where(F.col("size") == s), s, "item_id", "item_windows", "literal_windows", "size", "first_literal", "plain", exact=True).where("plain or pos = 0") for s in range(1, WINDOW + 1)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -122,10 +122,9 @@ def _changed(hits: Column) -> Column:
     return F.exists(_pairs(hits), lambda p: p["i"] != p["d"])
 
 
-def _undisputed(hits: Column) -> Column:
-    """Windows with equal values, none of which stands for another value elsewhere in the run."""
-    other = F.transform(F.filter(_pairs(hits), lambda p: p["i"] != p["d"]), lambda p: p["i"])
-    return F.filter(hits, lambda h: ~F.exists(h["pairs"], lambda p: (p["i"] != p["d"]) | F.array_contains(other, p["i"])))
+def _equal(hits: Column) -> Column:
+    """Windows that the document has word for word."""
+    return F.filter(hits, lambda h: ~F.exists(h["pairs"], lambda p: p["i"] != p["d"]))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -133,9 +132,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     item_windows, reworded (in all such places some number, name or unit of the literal windows differs).
 
     NEEDED windows make a hit, or all of an item with fewer, or all its literal windows; windows with too many
-    placeholders are found by their values. Slots must be consistent; in a run where they are not, NEEDED windows with
-    equal values, without any value that is disputed in the run, make a hit. Null and empty texts have none. Rows with equal keys count as one
-    document. Items of under SHORTEST tokens are not looked for.
+    placeholders are found by their values. Slots must be consistent; windows that the document has word for word
+    (NEEDED of them, 13 tokens in a row, or all of a shorter item) are a hit whatever others hold. Every item with a
+    token is looked for: a short one that is a plain word hits every document with that word. Null and empty texts
+    have none. Rows with equal keys count as one document.
     """
     wanted = benchmark_windows(benchmark)
     counts = {r["size"]: (r["n"], r["valued"]) for r in wanted.groupBy("size").agg(F.count("*").alias("n"), F.bool_or(~_literal(F.size("islots"), F.col("size"))).alias("valued")).collect()}
@@ -161,10 +161,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", tex
     by_all = (_places(F.col("hits")) >= all_needed) & _consistent(F.col("hits"))
     # Hits of the plain form are counted and compared alone where they are enough.
     by_plain = (F.col("literal_windows") > 0) & (_places(plain) >= literal_needed) & _consistent(plain)
-    # A long verbatim part is enough, whatever windows with a disputed value hold.
-    undisputed = _places(_undisputed(F.col("hits")))
-    by_part = undisputed >= NEEDED
-    windows = F.when(by_plain, _places(plain)).when(by_literal, _places(literal)).when(by_all, _places(F.col("hits"))).otherwise(undisputed)
+    verbatim = _places(_equal(F.col("hits")))
+    by_part = verbatim >= all_needed
+    windows = F.when(by_plain, _places(plain)).when(by_literal, _places(literal)).when(by_all, _places(F.col("hits"))).otherwise(verbatim)
     changed = F.when(by_plain, _changed(plain)).when(by_literal | by_all, _changed(literal)).otherwise(_changed(F.col("hits")))
     found = runs.where(by_plain | by_literal | by_all | by_part).select("doc_id", "item_id", "item_windows", windows.alias("windows"), changed.alias("changed"))
     return found.groupBy("doc_id", "item_id").agg(F.max("windows").cast("long").alias("windows"), F.first("item_windows").cast("long").alias("item_windows"), F.min("changed").alias("reworded"))
@@ -180,8 +179,8 @@ def query(spark, sf_dir: str) -> DataFrame:
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def _duck_canonical() -> str:
-    out = "translate(text, '#=_', '   ')"
+def _duck_canonical(text: str) -> str:
+    out = f"translate({text}, '#=_', '   ')"
     for pattern, by in STEPS:
         for g in "123":
             by = by.replace(f"${g}", f"\\{g}")
@@ -189,25 +188,36 @@ def _duck_canonical() -> str:
     return f"trim(regexp_replace(lower({out}), '{LAST[0]}', ' ', 'g'))"
 
 
+def _duck_after(word: str) -> str:
+    return f"regexp_replace({_duck_canonical(f"concat('{word} ', regexp_replace(text, '^\\s+', ''))")}, '^[^ ]* ?', '')"
+
+
+_SLOTS = "list_filter({0}, lambda t: starts_with(t, '#'))"
+_ENOUGH = f"10 * (size - len({_SLOTS})) >= {LITERAL_TENTHS} * size"
+_WORDS = f"CASE WHEN literal THEN regexp_replace(array_to_string(w, ' '), '{VALUE[0]}', '', 'g') ELSE array_to_string(w, ' ') END AS h"
+_KINDS = ("every", "lit", "plains", "verbatim")
 ORACLE = f"""
-WITH d AS (SELECT doc_id, string_split({_duck_canonical()}, ' ') AS tokens FROM documents WHERE text IS NOT NULL),
-b AS (SELECT DISTINCT item_id, string_split({_duck_canonical()}, ' ') AS tokens FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
-bs AS (SELECT *, least(len(tokens), {WINDOW}) AS size FROM b WHERE len(tokens) >= {SHORTEST}),
-bp AS (SELECT *, len(tokens) - size + 1 AS item_windows, unnest(range(len(tokens) - size + 1)) AS ipos FROM bs),
-bw AS (SELECT item_id, size, item_windows, ipos, list_slice(tokens, ipos + 1, ipos + size) AS iw FROM bp),
-bx AS (SELECT *, regexp_replace(array_to_string(iw, ' '), '{VALUE[0]}', '', 'g') AS w FROM bw
-       WHERE 10 * len(list_filter(iw, lambda t: NOT starts_with(t, '#'))) >= {LITERAL_TENTHS} * size),
+WITH d AS (SELECT doc_id, string_split({_duck_canonical("text")}, ' ') AS tokens FROM documents WHERE text IS NOT NULL),
+b AS (SELECT item_id, {_duck_canonical("text")} AS own, {_duck_after("a")} AS worded, {_duck_after("1")} AS counted FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+f AS (SELECT DISTINCT item_id, own, own AS canon, true AS plain FROM b UNION SELECT item_id, own, worded, false FROM b WHERE worded <> own UNION SELECT item_id, own, counted, false FROM b WHERE counted <> own),
+bs AS (SELECT *, string_split(canon, ' ') AS tokens, least(len(string_split(canon, ' ')), {WINDOW}) AS size FROM f WHERE canon <> ''),
+bp AS (SELECT *, unnest(range(len(tokens) - size + 1)) AS ipos FROM bs),
+bw AS (SELECT *, list_slice(tokens, ipos + 1, ipos + size) AS w, {_ENOUGH.format("list_slice(tokens, ipos + 1, ipos + size)")} AS literal FROM bp),
+bl AS (SELECT item_id, own, min(n) AS literal_windows, bool_and(first_literal) AS first_literal FROM (SELECT item_id, own, canon, plain, count(*) FILTER (literal) AS n, bool_or(literal) FILTER (ipos = 0) AS first_literal FROM bw GROUP BY ALL) GROUP BY ALL),
+bx AS (SELECT item_id, plain, size, ipos, len(tokens) - size + 1 AS item_windows, literal_windows, literal AND (first_literal OR ipos > 0) AS literal, {_SLOTS.format("w")} AS si, {_WORDS}
+       FROM bw JOIN bl USING (item_id, own) WHERE plain OR ipos = 0),
 sizes AS (SELECT DISTINCT size FROM bs),
 dp AS (SELECT doc_id, tokens, size, unnest(range(len(tokens) - size + 1)) AS pos FROM d, sizes WHERE len(tokens) >= size),
-dw AS (SELECT doc_id, size, pos, list_slice(tokens, pos + 1, pos + size) AS dt FROM dp),
-dx AS (SELECT *, regexp_replace(array_to_string(dt, ' '), '{VALUE[0]}', '', 'g') AS w FROM dw),
-hits AS (SELECT doc_id, item_id, pos - ipos AS distance, ipos, item_windows, list_filter(iw, lambda t: starts_with(t, '#')) AS si, list_filter(dt, lambda t: starts_with(t, '#')) AS sd
-         FROM dx JOIN bx USING (size, w)),
-runs AS (SELECT doc_id, item_id, distance, max(item_windows) AS item_windows, count(DISTINCT ipos) AS windows FROM hits GROUP BY ALL),
-pairs AS (SELECT DISTINCT doc_id, item_id, distance, unnest(si) AS i, unnest(sd) AS d FROM hits),
-good AS (SELECT doc_id, item_id, distance, count(*) = count(DISTINCT i) AS consistent, bool_or(i <> d) AS changed FROM pairs GROUP BY ALL)
-SELECT doc_id, item_id, CAST(max(windows) AS BIGINT) AS windows, CAST(max(item_windows) AS BIGINT) AS item_windows, bool_and(coalesce(changed, false)) AS reworded
-FROM runs LEFT JOIN good USING (doc_id, item_id, distance)
-WHERE windows >= least({NEEDED}, item_windows) AND coalesce(consistent, true)
-GROUP BY doc_id, item_id
+dw AS (SELECT doc_id, size, pos, list_slice(tokens, pos + 1, pos + size) AS w, {_ENOUGH.format("list_slice(tokens, pos + 1, pos + size)")} AS literal FROM dp),
+dx AS (SELECT doc_id, size, pos, {_SLOTS.format("w")} AS sd, {_WORDS} FROM dw),
+hits AS (SELECT doc_id, item_id, pos - ipos AS distance, item_windows, literal_windows, {{'ipos': ipos, 'literal': literal, 'plain': plain, 'pairs': list_transform(list_zip(si, sd), lambda p: {{'i': p[1], 'd': p[2]}}), 'equal': si = sd}} AS hit FROM dx JOIN bx USING (size, h)),
+runs AS (SELECT doc_id, item_id, distance, max(item_windows) AS item_windows, max(literal_windows) AS literal_windows, list(hit) AS every,
+         list(hit) FILTER (hit.literal) AS lit, list(hit) FILTER (hit.literal AND hit.plain) AS plains, list(hit) FILTER (hit.equal) AS verbatim FROM hits GROUP BY ALL),
+places AS (SELECT * EXCLUDE ({", ".join(_KINDS)}), {", ".join(f"coalesce(list_unique(list_transform({k}, lambda x: x.ipos)), 0) AS n_{k}, coalesce(list_distinct(flatten(list_transform({k}, lambda x: x.pairs))), []) AS p_{k}" for k in _KINDS)} FROM runs),
+judged AS (SELECT *, {", ".join(f"len(p_{k}) = list_unique(list_transform(p_{k}, lambda p: p.i)) AS c_{k}, len(list_filter(p_{k}, lambda p: p.i <> p.d)) > 0 AS x_{k}" for k in _KINDS)} FROM places),
+ruled AS (SELECT *, literal_windows > 0 AND n_plains >= least({NEEDED}, literal_windows) AND c_plains AS by_plain, literal_windows > 0 AND n_lit >= least({NEEDED}, literal_windows) AND c_lit AS by_literal,
+          n_every >= least({NEEDED}, item_windows) AND c_every AS by_all, n_verbatim >= least({NEEDED}, item_windows) AS by_part FROM judged),
+told AS (SELECT doc_id, item_id, item_windows, CASE WHEN by_plain THEN n_plains WHEN by_literal THEN n_lit WHEN by_all THEN n_every ELSE n_verbatim END AS windows,
+         CASE WHEN by_plain THEN x_plains WHEN by_literal OR by_all THEN x_lit ELSE x_every END AS changed FROM ruled WHERE by_plain OR by_literal OR by_all OR by_part)
+SELECT doc_id, item_id, CAST(max(windows) AS BIGINT) AS windows, CAST(max(item_windows) AS BIGINT) AS item_windows, bool_and(changed) AS reworded FROM told GROUP BY doc_id, item_id
 """
