@@ -4,10 +4,14 @@ All pre-tokens of a batch that are not cached lie in one flat array of symbols.
 sequence finds its lowest-rank pair and applies all its occurrences, left to right, at the same time
 as all other sequences. A merged symbol only takes part in pairs of higher rank than its own, so this
 gives the same symbols as merging one pair at a time. What survives is counted.
+
+A pre-token of many bytes (no white space for pages) would need a pass over itself for each distinct merge. So it
+keeps the places of each rank instead and a step touches only the places of its lowest rank.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 from collections.abc import Iterator
 
@@ -22,6 +26,8 @@ LIMIT = 1024
 #: Entries of a worker's cache of counts; a fuller cache is emptied between batches.
 CACHE = 400_000
 FAR = np.int32(2**31 - 1)
+#: Bytes from which a pre-token is merged by itself.
+LONG = 4096
 # The published pre-token pattern of this vocabulary, with white space as Unicode's White_Space.
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
@@ -93,6 +99,56 @@ class RankMerger:
             ranks[fresh] = self.rank(symbols[fresh], symbols[fresh + 1])
         return counts
 
+    def survivors_of_one(self, word: bytes) -> int:
+        """The number of symbols that one long sequence ends with: lowest rank by lowest rank, at all its places at once."""
+        n = len(word)
+        symbols = self.byte_ids[np.frombuffer(word, dtype=np.uint8)]
+        after, before = np.arange(1, n + 2), np.arange(-1, n)
+        after[n - 1] = n  # n stands for the end
+        alive = np.ones(n + 1, dtype=bool)
+        alive[n] = False
+        ranks = np.full(n + 1, FAR, dtype=np.int32)
+        waiting: dict[int, list[np.ndarray]] = {}
+        queue: list[int] = []
+
+        def note(at: np.ndarray) -> None:
+            """Work out the ranks of the pairs that begin at these places, and queue them."""
+            at = at[after[at] < n]
+            found = self.rank(symbols[at], symbols[after[at]])
+            ranks[at] = found
+            at, found = at[found != FAR], found[found != FAR]
+            order = np.argsort(found, kind="stable")
+            at, found = at[order], found[order]
+            kinds, starts = np.unique(found, return_index=True)
+            for r, part in zip(kinds.tolist(), np.split(at, starts[1:]), strict=False):
+                if r not in waiting:
+                    waiting[r] = []
+                    heapq.heappush(queue, r)
+                waiting[r].append(part)
+
+        if n > 1:
+            note(np.arange(n - 1))
+        while queue:
+            r = heapq.heappop(queue)
+            at = np.unique(np.concatenate(waiting.pop(r)))
+            at = at[alive[at] & (ranks[at] == r)]
+            if not len(at):
+                continue
+            # Of pairs that overlap, every other one from the left.
+            run = np.r_[True, after[at[:-1]] != at[1:]]
+            start = np.flatnonzero(run)[np.cumsum(run) - 1]
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+            gone = after[at]
+            symbols[at] = self.merged[r]
+            alive[gone] = False
+            ranks[gone] = FAR
+            after[at] = after[gone]
+            before[after[at]] = at
+            ranks[at] = FAR
+            left = before[at]
+            note(np.unique(np.r_[at, left[left >= 0]]))
+        return int(alive.sum())
+
     def counts(self, texts: list[str | None]) -> list[int]:
         """Tokens of each text; a special string inside a text is one token, as the library has it."""
         if len(self.cache) > CACHE:
@@ -106,7 +162,10 @@ class RankMerger:
             new.update(words)
         fresh = [w for w in new if w not in cache]
         if fresh:
-            cache.update(zip(fresh, self.survivors([w.encode() for w in fresh]).tolist(), strict=True))
+            raw = [w.encode() for w in fresh]
+            short = [i for i, w in enumerate(raw) if len(w) < LONG]
+            cache.update(zip([fresh[i] for i in short], self.survivors([raw[i] for i in short]).tolist(), strict=True))
+            cache.update((fresh[i], self.survivors_of_one(w)) for i, w in enumerate(raw) if len(w) >= LONG)
         return [sum(map(cache.__getitem__, words)) + k for words, k in zip(rows, specials, strict=True)]
 
 
