@@ -70,3 +70,47 @@ def test_secret_rows(spark):
     assert got[1].spans == "assign:2:17" and got[1].n_assign == 1
     assert got[1].base_sha256 == hashlib.sha256(b"assign:2:17").hexdigest()
     assert got[2].spans == "" and got[None].base_sha256 == hashlib.sha256(b"").hexdigest()
+
+
+def test_very_long_pre_tokens():
+    from tokenizers import Tokenizer
+
+    rng = random.Random(6)
+    library = Tokenizer.from_file(PATH)
+    texts = ["a" * 50_001, "ab" * 30_000, "".join(rng.choice("etaoinshrdlu") for _ in range(200_000)), "".join(rng.choice("東京大阪é") for _ in range(20_000)), "=" * 9_999, "".join(rng.choice("aab") for _ in range(40_000))]
+    want = [len(x.ids) for x in library.encode_batch(texts, add_special_tokens=False)]
+    merger = tokens.RankMerger(PATH)
+    assert merger.counts(texts) == want
+    assert [merger.survivors_of_one(w) for w in (b"", b"a", b"th", b"the the")] == [0, 1, *merger.survivors([b"th", b"the the"]).tolist()]
+
+
+def test_counts_of_the_whole_table(spark):
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()
+    library = Tokenizer.from_file(PATH)
+    want = {r.doc_id: len(x.ids) for r, x in zip(docs, library.encode_batch([r.text or "" for r in docs], add_special_tokens=False), strict=True)}
+    got = tokens.query(spark, "/root/testdata/sf0.01").collect()
+    texts = {r.doc_id: r.text or "" for r in docs}
+    assert len(got) == len(docs) and all((r.n_tokens, r.n_bytes, r.over_limit) == (want[r.doc_id], len(texts[r.doc_id].encode()), want[r.doc_id] > 1024) for r in got)
+
+
+def test_secrets_of_the_whole_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    kinds = [r.kind for r in secrets.BASE + secrets.EXTRA]
+    got = secrets.query(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(docs) and sum(r.n_assign + r.n_access + r.n_hex for r in got) > 0
+    for r in got:
+        want = plain(docs[r.doc_id])
+        told = lambda spans: ",".join(f"{kinds[k]}:{a}:{b}" for a, k, b in spans)
+        base = [x for x in want if x[1] < 3]
+        assert r.spans == told(want) and r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest()
+        assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == j for _, k, _ in base) for j in range(3)]
+
+
+def test_secrets_in_an_empty_table_and_a_very_long_text(spark):
+    schema = T.StructType().add("doc_id", "long").add("text", "string")
+    assert secrets.find_secrets(spark.createDataFrame([], schema)).count() == 0
+    text = "lorem ipsum " * 200_000 + " token=abcdef12 " + "x" * 500_000 + " AKIA" + "A" * 30
+    got = secrets.find_secrets(spark.createDataFrame([(1, text)], schema)).first()
+    assert got.spans == ",".join(f"{secrets.Scanner().rules[k].kind}:{a}:{b}" for a, k, b in plain(text)) and (got.n_assign, got.n_access) == (1, 1)
