@@ -19,8 +19,8 @@ from varistrata.llm.common import fold, pieces, table, text_schema
 
 DIMENSIONS = 512
 SEED = 77_001
-#: Symbols: 0 for all that is no letter, else 1 plus the code point modulo this less 1. Latin letters with and without accents stay apart.
-SYMBOLS = 191
+#: A trigram is three code points of so many bits in one long; all that is no letter is 0.
+POINT_BITS = 21
 UNDETERMINED = "und"
 FOLDS = 5
 
@@ -31,33 +31,51 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), dtype=bool, count=0x110000)
 
 
+class Letters:
+    """A random vector for each letter of any script, drawn when the letter is first met; it depends on the letter alone."""
+
+    def __init__(self):
+        self.row = np.full(0x110000, -1, dtype=np.int32)
+        #: The vectors, permuted by the place of a letter in its trigram.
+        self.rolled = [np.zeros((0, DIMENSIONS), dtype=np.int8) for _ in range(3)]
+
+    def rows(self, points: np.ndarray) -> np.ndarray:
+        new = np.unique(points[self.row[points] < 0])
+        if len(new):
+            drawn = np.array([np.random.default_rng([SEED, c]).integers(0, 2, DIMENSIONS, dtype=np.int8) for c in new.tolist()]) * 2 - 1
+            self.row[new] = len(self.rolled[0]) + np.arange(len(new))
+            self.rolled = [np.concatenate([have, np.roll(drawn, k, axis=1)]) for have, k in zip(self.rolled, (2, 1, 0), strict=True)]
+        return self.row[points]
+
+
 @cache
-def _items() -> list[np.ndarray]:
-    base = np.random.default_rng(SEED).choice(np.array([-1, 1], dtype=np.int8), size=(SYMBOLS, DIMENSIONS))
-    return [np.roll(base, k, axis=1) for k in (2, 1, 0)]
+def _items() -> Letters:
+    return Letters()
 
 
 def trigrams(text: str | None) -> np.ndarray:
-    """Codes of the trigrams of symbols, letters lower-cased, other runs as one blank; none without a letter."""
+    """Codes of the trigrams of letters, lower-cased, other runs as one blank; none without a letter."""
     points = np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.int64)
     letter = _letters()[points]
     if not letter.any():
         return np.zeros(0, dtype=np.int64)
     symbols = np.zeros(len(points) + 2, dtype=np.int64)
-    symbols[1:-1] = np.where(letter, 1 + points % (SYMBOLS - 1), 0)
+    symbols[1:-1] = np.where(letter, points, 0)
     symbols = symbols[np.r_[True, (symbols[1:] != 0) | (symbols[:-1] != 0)]]
-    return (symbols[:-2] * SYMBOLS + symbols[1:-1]) * SYMBOLS + symbols[2:]
+    return symbols[:-2] << 2 * POINT_BITS | symbols[1:-1] << POINT_BITS | symbols[2:]
 
 
 def bundle(codes: np.ndarray) -> np.ndarray:
     """The sum of the vectors of the n-grams, repeated ones as often as they occur."""
     kinds, counts = np.unique(codes, return_counts=True)
     out = np.zeros(DIMENSIONS)
-    first, second, third = _items()
+    letters = _items()
     for i in range(0, len(kinds), 20_000):
         k = kinds[i : i + 20_000]
-        bound = first[k // (SYMBOLS * SYMBOLS)] * second[k // SYMBOLS % SYMBOLS]
-        bound *= third[k % SYMBOLS]
+        points = np.stack([k >> 2 * POINT_BITS, k >> POINT_BITS & (1 << POINT_BITS) - 1, k & (1 << POINT_BITS) - 1])
+        at = letters.rows(points.ravel()).reshape(3, -1)
+        bound = letters.rolled[0][at[0]] * letters.rolled[1][at[1]]
+        bound *= letters.rolled[2][at[2]]
         out += counts[i : i + 20_000].astype(np.float32) @ bound.astype(np.float32)
     return out
 
@@ -65,7 +83,8 @@ def bundle(codes: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> dict[str, np.ndarray]:
     """Unit prototypes of all languages, from all given rows with a language and a letter.
 
-    A task sends one vector for each language; Spark adds them, and only the sums reach the driver.
+    A task sends one vector for each language; Spark adds them, and only the sums reach the driver. Languages are a
+    catalogue: one vector of DIMENSIONS numbers for each is held by the driver and every worker. An empty table gives none.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
