@@ -44,7 +44,7 @@ def test_mixture_meets_its_budgets(spark):
             sums[r.source] += n
             used[r.source] += n * r.copies
             most[r.source] = max(most[r.source], n)
-        for tag, n, w, epochs, *_ in mixture.sources:
+        for tag, n, w, *_ in mixture.frame.collect():
             s = tag[1:] if tag[0] == "s" else None
             assert sums[s] == n and abs(used[s] - w * mixture.budget) <= most[s] + 8
         if not args:
@@ -58,6 +58,91 @@ def test_mixture_meets_its_budgets(spark):
     assert mixing.mix(docs.limit(0), mixing.fit(docs.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("args", [{}, {"target_entropy": 1.2, "budget": 90_000.0}, {"budget": 30_000.0}])
+def test_blocks_keep_budget_and_order(spark, args):
+    """Blocks against loops over the uses: whole numbers of tokens, weights in every block, an order within each."""
+    rows, docs = corpus(spark)
+    mixture = mixing.fit(docs, **args)
+    counted = Counter((r.doc_id, r.source, r.copies) for r in mixing.with_copies(docs, mixture).collect())
+    uses = mixing.blocks(docs, mixture, block_tokens=5000).collect()
+    want = Counter()
+    for (d, s, n), times in counted.items():
+        for u in range(1, n + 1):
+            want[d, s, n, u] += times
+    assert Counter((r.doc_id, r.source, r.copies, r.use) for r in uses) == want
+    last = max(1, int(np.ceil(mixture.budget / 5000)))
+    by_block, by_source = defaultdict(list), defaultdict(list)
+    for r in uses:
+        by_block[r.block].append(r)
+        by_source[r.source].append(r)
+    assert set(by_block) <= set(range(last))
+    assert all(sorted(r.place for r in b) == list(range(len(b))) for b in by_block.values())
+    for own in by_source.values():
+        w, most = own[0].weight, max(r.n_tokens for r in own)
+        held = Counter()
+        for r in own:
+            held[r.block] += r.n_tokens
+        if w:
+            full = [held[b] for b in range(last - 1) if sum(held[c] for c in range(b + 1, last)) > 0]
+            assert all(abs(h - w * 5000) <= 2 * most for h in full)
+            # A use comes before all later ones of its source.
+            for u in range(1, max(r.use for r in own)):
+                assert max(r.block for r in own if r.use == u and r.n_tokens) <= min(r.block for r in own if r.use == u + 1 and r.n_tokens)
+    big = [b for b in by_block.values() if len(b) > 100]
+    orders = [[r.doc_id for r in sorted(b, key=lambda r: r.place)] for b in big]
+    assert not args or big and all(o != sorted(o, key=lambda d: d or 0) for o in orders)
+
+
+def test_many_sources_stay_distributed(spark, monkeypatch):
+    _, docs = corpus(spark)
+    for args in ({}, {"budget": 30_000.0, "repeat_limit": 4.0}, {"target_entropy": 1.2, "budget": 90_000.0}):
+        want = mixing.fit(docs, **args)
+        copies = sorted(map(str, mixing.with_copies(docs, want).collect()))
+        with monkeypatch.context() as m:
+            m.setattr(mixing, "DRIVER_SOURCES", 0)
+            got = mixing.fit(docs, **args)
+            assert got.exponent == pytest.approx(want.exponent, abs=1e-9)
+            assert [r[:2] + r[3:] for r in sorted(map(tuple, got.frame.collect()))] == [r[:2] + r[3:] for r in sorted(map(tuple, want.frame.collect()))]
+            assert len(mixing.with_copies(docs, got).collect()) == len(copies) and mixing.blocks(docs, got).count() == mixing.blocks(docs, want).count()
+
+
+def test_mixing_of_an_empty_table(spark):
+    _, docs = corpus(spark)
+    assert mixing.blocks(docs.limit(0), mixing.fit(docs.limit(0))).count() == 0
+
+
+def test_null_keys_are_placed_by_their_text(spark):
+    for kind in ("string", "int", "bigint"):
+        docs = spark.createDataFrame([(None, f"text {i}") for i in range(300)] + [(None, None)], f"doc_id {kind}, text string")
+        got = sharding.plan(docs)
+        assert got.select("shard").distinct().count() > 20 and got.count() == 301
+        again = sharding.with_shards(docs.unionByName(docs), [1.0] * 24).select("text", "shard").distinct()
+        assert again.count() == 301
+
+
+def test_shards_of_the_whole_table_by_brute_force(spark):
+    import xxhash
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+
+    def shard(key, n):
+        best = []
+        for s in range(n):
+            h = xxhash.xxh64_intdigest(key.to_bytes(8, "little", signed=True), seed=42)
+            for v in (s, sharding.SEED):
+                h = xxhash.xxh64_intdigest(v.to_bytes(4, "little", signed=True), seed=h)
+            best.append((1 / -np.log(((h >> 12) + 0.5) / 2**52), s))
+        return max(best)[1]
+
+    got = {r.doc_id: r for r in sharding.query(spark, "/root/testdata/sf0.01").collect()}
+    assert len(got) == len(docs)
+    for d, t in docs:
+        raw = (t or "").encode()
+        assert (got[d]["size"], got[d].text_crc32, got[d].shard, got[d].grown_shard) == (len(raw) + 8, zlib.crc32(raw), shard(d, 24), shard(d, 25))
+    for s in range(24):
+        assert sorted(r.slot for r in got.values() if r.shard == s) == list(range(sum(r.shard == s for r in got.values())))
+
+
 def test_shards_slots_and_growth(spark):
     rows, docs = corpus(spark)
     got = sharding.plan(docs).collect()

@@ -6,26 +6,31 @@ part takes the first cells of a permutation of the source's documents: a hash of
 DIGIT_BITS bits, orders the cells, and level by level the cell in which the budget ends is found from sums alone.
 Cells of the last level (about one document each) are taken whole. So no source is ever sorted or gathered, and
 whether a row is taken is decided where the row lies.
+
+`blocks` deals the uses of all documents into blocks of about BLOCK_TOKENS tokens, each with every source's weight of
+it: a source's uses, epoch by epoch and permuted within each, fill its part of one block after the other, and within a
+block all uses are permuted. Tokens before a use are summed cell by cell of the permutation.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from varistrata.llm.common import cut_lineage, table
+from varistrata.llm.common import cut_lineage, salted_join, table
 
 LEVELS, DIGIT_BITS = 3, 12
 SEED = 31
 REPEAT_LIMIT = 2.0
-#: Sources are a catalogue that the driver holds; more than this many is an error.
-MOST_SOURCES = 100_000
+#: Tokens of a block.
+BLOCK_TOKENS = 1 << 18
+#: A catalogue of at most so many sources (about 10 MB) is weighed on the driver and broadcast; a larger one stays distributed.
+DRIVER_SOURCES = 100_000
 
 
 def weights(tokens: Sequence[float], exponent: float) -> np.ndarray:
@@ -55,6 +60,17 @@ def repetition(tokens: Sequence[float], w: np.ndarray, budget: float | None) ->
     return float(np.max(w[n > 0] * (least_budget(n, w) if budget is None else budget) / n[n > 0], initial=0.0))
 
 
+def bisect(within: Callable[[float], bool], steps: int = 60) -> float:
+    """The smallest exponent from 0 (equal weights) to 1 (as they are) that is within; 1 if none is."""
+    if within(0.0):
+        return 0.0
+    low, high = 0.0, 1.0
+    for _ in range(steps):
+        middle = (low + high) / 2
+        low, high = (low, middle) if within(middle) else (middle, high)
+    return high
+
+
 def bisect_exponent(tokens: Sequence[float], target_entropy: float | None = None, repeat_limit: float | None = None, budget: float | None = None, steps: int = 60) -> float:
     """The smallest exponent from 0 (equal weights) to 1 (as they are) that keeps within the limit or the target.
 
@@ -63,16 +79,35 @@ def bisect_exponent(tokens: Sequence[float], target_entropy: float | None = None
     if (target_entropy is None) == (repeat_limit is None):
         raise ValueError("give a target entropy or a limit on repetition")
     if target_entropy is not None:
-        within = lambda e: entropy(weights(tokens, e)) <= target_entropy
-    else:
-        within = lambda e: repetition(tokens, weights(tokens, e), budget) <= repeat_limit
-    if within(0.0):
-        return 0.0
-    low, high = 0.0, 1.0
-    for _ in range(steps):
-        middle = (low + high) / 2
-        low, high = (low, middle) if within(middle) else (middle, high)
-    return high
+        return bisect(lambda e: entropy(weights(tokens, e)) <= target_entropy, steps)
+    return bisect(lambda e: repetition(tokens, weights(tokens, e), budget) <= repeat_limit, steps)
+
+
+class Totals:
+    """Sums over a catalogue of sources of any size: each step of the bisection is one aggregate."""
+
+    def __init__(self, sources: DataFrame):
+        self.rows = sources.where("n > 0").select(F.log(F.col("n").cast("double")).alias("x"))
+        self.least, self.most = (x or 0.0 for x in self.rows.agg(F.min("x"), F.max("x")).first())
+
+    def sums(self, e: float) -> tuple[float, float]:
+        """The logarithm of the sum of tokens to the exponent, and the mean logarithm of tokens under the weights."""
+        scaled = F.exp((F.col("x") - F.lit(self.most)) * F.lit(e))
+        total, mean = self.rows.agg(F.sum(scaled), F.sum(scaled * F.col("x"))).first()
+        return (float(np.log(total)) + e * self.most, mean / total) if total else (0.0, 0.0)
+
+    def entropy(self, e: float) -> float:
+        log_sum, mean = self.sums(e)
+        return log_sum - e * mean
+
+    def least_budget(self, e: float) -> float:
+        return float(np.exp((1 - e) * self.most + self.sums(e)[0]))
+
+    def repetition(self, e: float, budget: float | None) -> float:
+        return float(np.exp((1 - e) * (self.most - self.least))) if budget is None else budget * float(np.exp((e - 1) * self.least - self.sums(e)[0]))
+
+    def exponent(self, target_entropy: float | None, repeat_limit: float | None, budget: float | None) -> float:
+        return bisect(lambda e: self.entropy(e) <= target_entropy if target_entropy is not None else self.repetition(e, budget) <= repeat_limit)
 
 
 def _tag(source: str) -> Column:
@@ -88,20 +123,20 @@ def _digit(place: Column, level: int) -> Column:
     return F.shiftrightunsigned(place, 64 - DIGIT_BITS * (level + 1)).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1)).cast("int")
 
 
+def attached(rows: DataFrame, catalogue: DataFrame, count: int, spread: str) -> DataFrame:
+    """rows with what the catalogue has for their _tag; broadcast only within DRIVER_SOURCES, else dealt out by salts, since a source may hold any share of the rows."""
+    return rows.join(F.broadcast(catalogue), "_tag") if count <= DRIVER_SOURCES else salted_join(rows, catalogue, ["_tag"], F.col(spread))
+
+
 @dataclass
 class Mixture:
     """What a source's rows need: weight, whole epochs, and the digits of the cell in which its budget ends."""
 
     exponent: float
     budget: float
-    #: tag, tokens, weight, epochs, and one digit for each level (-1: no further part).
-    sources: list[tuple]
-
-    def frame(self, spark) -> DataFrame:
-        schema = T.StructType().add("_tag", "string").add("source_tokens", "long").add("weight", "double").add("_epochs", "integer")
-        for i in range(LEVELS):
-            schema = schema.add(f"_end{i}", "integer")
-        return spark.createDataFrame(self.sources, schema)
+    count: int
+    #: _tag, n (tokens), _weight, _epochs, and one digit for each level (_end0, ...; -1: no further part).
+    frame: DataFrame
 
 
 def tokens_of(text: str) -> Column:
@@ -110,67 +145,88 @@ def tokens_of(text: str) -> Column:
 
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", repeat_limit: float | None = REPEAT_LIMIT, target_entropy: float | None = None, budget: float | None = None, seed: int = SEED) -> Mixture:
-    """Weights and the cells in which budgets end. No budget: the least that uses every document once or more."""
-    spark = docs.sparkSession
+    """Weights and the cells in which budgets end. No budget: the least that uses every document once or more.
+
+    Null is a source of its own. A source without tokens has weight 0 and each of its rows is used once. An empty table gives no sources.
+    """
     narrow = cut_lineage(docs.select(_tag(source).alias("_tag"), tokens_of(text).alias("n"), _place(key, text, seed).alias("place")))
-    rows = sorted(narrow.groupBy("_tag").agg(F.sum("n").alias("n")).limit(MOST_SOURCES + 1).collect())
-    if len(rows) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    tokens = [r["n"] for r in rows]
-    exponent = bisect_exponent(tokens, target_entropy, None if target_entropy is not None else repeat_limit, budget)
-    w = weights(tokens, exponent)
-    total = least_budget(tokens, w) if budget is None else float(budget)
-    share = [int(round(x * total)) for x in w]
-    epochs = [s // n if n else 1 for s, n in zip(share, tokens, strict=True)]
-    rest = {r["_tag"]: s - e * n for r, s, e, n in zip(rows, share, epochs, tokens, strict=True) if n}
-    ends: dict[str, list[int]] = {r["_tag"]: [] for r in rows}
+    sources = cut_lineage(narrow.groupBy("_tag").agg(F.sum("n").alias("n")))
+    count = sources.count()
+    totals = Totals(sources)
+    limit = None if target_entropy is not None else repeat_limit
+    if count <= DRIVER_SOURCES:
+        exponent = bisect_exponent(sources.toArrow()["n"].to_numpy(), target_entropy, limit, budget)
+    else:
+        exponent = totals.exponent(target_entropy, limit, budget)
+    total = totals.least_budget(exponent) if budget is None else float(budget)
+    weight = F.when(F.col("n") > 0, F.exp(F.lit(exponent) * F.log(F.col("n").cast("double")) - F.lit(totals.sums(exponent)[0]))).otherwise(0.0)
+    shared = sources.withColumn("_weight", weight).withColumn("_share", F.round(F.col("_weight") * F.lit(total)).cast("long"))
+    shared = shared.withColumn("_epochs", F.when(F.col("n") > 0, F.expr("_share div n")).otherwise(1).cast("int"))
+    state = cut_lineage(shared.withColumn("_rest", F.when(F.col("n") > 0, F.col("_share") - F.col("_epochs") * F.col("n")).otherwise(0)))
     # Level by level: the sums of the cells inside the cell of the level before, and the one in which the rest runs out.
-    open_ = {t: x for t, x in rest.items() if x > 0}
     for level in range(LEVELS):
-        if not open_:
-            break
-        schema = T.StructType().add("_tag", "string").add("_rest", "long")
-        for i in range(level):
-            schema = schema.add(f"_end{i}", "integer")
-        wanted = F.broadcast(spark.createDataFrame([(t, x, *ends[t]) for t, x in open_.items()], schema))
-        on = ["_tag"]
-        cells = narrow.join(wanted, on)
-        for i in range(level):
-            cells = cells.where(_digit(F.col("place"), i) == F.col(f"_end{i}"))
-        sums = cells.groupBy("_tag", "_rest", _digit(F.col("place"), level).alias("cell")).agg(F.sum("n").alias("n"))
-        upto = F.sum("n").over(Window.partitionBy("_tag").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
-        last = sums.withColumn("upto", upto).where("upto - n < _rest and upto >= _rest and n > 0")
-        for r in last.select("_tag", "cell", (F.col("upto") - F.col("n")).alias("before")).collect():
-            ends[r["_tag"]].append(r["cell"])
-            open_[r["_tag"]] -= r["before"]
-    found = [(r["_tag"], r["n"], float(x), int(e), *(ends[r["_tag"]] or [-1] * LEVELS)) for r, x, e in zip(rows, w, epochs, strict=True)]
-    return Mixture(exponent, total, found)
+        ends = [f"_end{i}" for i in range(level)]
+        cells = attached(narrow.withColumnRenamed("n", "_n"), state.where("_rest > 0").select("_tag", "_rest", *ends), count, "place")
+        for i, end in enumerate(ends):
+            cells = cells.where(_digit(F.col("place"), i) == F.col(end))
+        sums = cells.groupBy("_tag", "_rest", _digit(F.col("place"), level).alias("cell")).agg(F.sum("_n").alias("_n"))
+        upto = F.sum("_n").over(Window.partitionBy("_tag").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        last = sums.withColumn("upto", upto).where("upto - _n < _rest and upto >= _rest and _n > 0").select("_tag", "cell", (F.col("upto") - F.col("_n")).alias("before"))
+        found = state.join(last, "_tag", "left").withColumn(f"_end{level}", F.coalesce("cell", F.lit(-1))).withColumn("_rest", F.col("_rest") - F.coalesce("before", F.lit(0)))
+        state = cut_lineage(found.drop("cell", "before"))
+    return Mixture(exponent, total, count, state.select("_tag", "n", "_weight", "_epochs", *[f"_end{i}" for i in range(LEVELS)]))
+
+
+def _with_copies(rows: DataFrame, mixture: Mixture) -> DataFrame:
+    """rows (with _tag and _place) and their weight and copies."""
+    ends = [F.col(f"_end{i}") for i in range(LEVELS)]
+    extra = F.lit(True)  # the cell in which the budget ends is taken too
+    for i in reversed(range(LEVELS)):
+        digit = _digit(F.col("_place"), i)
+        extra = (digit < ends[i]) | ((digit == ends[i]) & extra)
+    joined = attached(rows, mixture.frame.drop("n"), mixture.count, "_place")
+    out = joined.withColumn("copies", F.col("_epochs") + F.coalesce(extra, F.lit(False)).cast("int")).withColumn("weight", F.col("_weight"))
+    return out.drop("_epochs", "_weight", *[f"_end{i}" for i in range(LEVELS)])
 
 
 def with_copies(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED) -> DataFrame:
     """docs with `weight` (of the row's source) and `copies` (how often the row is used); columns of those names are replaced.
 
-    Nothing is shuffled. Rows without tokens get the whole epochs of their source. Rows with equal keys stand or fall together.
+    Nothing is shuffled but for a catalogue of over DRIVER_SOURCES. Rows without tokens get the whole epochs of their source. Rows with equal keys stand or fall together.
     """
-    place, ends = _place(key, text, seed), [F.col(f"_end{i}") for i in range(LEVELS)]
-    extra = F.lit(True)  # the cell in which the budget ends is taken too
-    for i in reversed(range(LEVELS)):
-        digit = _digit(place, i)
-        extra = (digit < ends[i]) | ((digit == ends[i]) & extra)
-    catalogue = F.broadcast(mixture.frame(docs.sparkSession).drop("source_tokens").withColumnRenamed("weight", "_weight"))
-    joined = docs.withColumn("_tag", _tag(source)).join(catalogue, "_tag")
-    out = joined.withColumn("copies", F.col("_epochs") + F.coalesce(extra, F.lit(False)).cast("int")).withColumn("weight", F.col("_weight"))
-    return out.drop("_tag", "_epochs", "_weight", *[f"_end{i}" for i in range(LEVELS)])
+    return _with_copies(docs.withColumns({"_tag": _tag(source), "_place": _place(key, text, seed)}), mixture).drop("_tag", "_place")
+
+
+def blocks(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, n_tokens, weight, copies, use (from 1), block and place (from 0 in the block) for each use of each row.
+
+    A block has each source's weight of block_tokens tokens, up to the document that crosses its end; the last block
+    may have less. Every source goes through its documents in another order for each use, and only then begins anew.
+    Uses of sources without tokens are dealt out over all blocks. Repeated rows have uses of their own; which of them
+    comes first depends on how the rows are stored. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), tokens_of(text).alias("n_tokens"), _tag(source).alias("_tag"), _place(key, text, seed).alias("_place"), F.monotonically_increasing_id().alias("_row"))
+    used = cut_lineage(_with_copies(rows, mixture).where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("use")).withColumn("_spot", F.xxhash64("_place", "use", "_row")))
+    of_cell = ["_tag", "use", "_cell"]
+    celled = used.withColumn("_cell", _digit(F.col("_spot"), 0))
+    sums = celled.groupBy(*of_cell).agg(F.sum("n_tokens").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("_tag").orderBy("use", "_cell").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sums.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
+    own = F.sum("n_tokens").over(Window.partitionBy(*of_cell).orderBy("_spot", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    placed = celled.withColumn("_own", own).join(starts, of_cell)
+    last = max(0, int(np.ceil(mixture.budget / block_tokens)) - 1)
+    filled = F.least(F.floor((F.col("_start") + F.col("_own") - F.col("n_tokens")) / (F.col("weight") * F.lit(block_tokens))), F.lit(last))
+    dealt = placed.withColumn("block", F.when(F.col("weight") > 0, filled).otherwise(F.pmod("_spot", F.lit(last + 1))).cast("long"))
+    within = Window.partitionBy("block").orderBy(F.xxhash64("_spot", F.lit(seed)), "_row", "use")
+    return dealt.withColumn("place", (F.row_number().over(within) - 1).cast("long")).select("doc_id", "source", "n_tokens", "weight", "copies", "use", "block", "place")
 
 
 def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mixture uses it, with the columns of docs."""
+    """The rows of docs, each as often as the mixture uses it, with the columns of docs. `blocks` tells in which order they are to be read."""
     counted = with_copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(source).alias("_s")), mixture, "_k", "_t", "_s")
     return counted.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    mixture = fit(docs)
-    sized = docs.select("doc_id", "source", "text")
-    return with_copies(sized, mixture).select("doc_id", "source", tokens_of("text").alias("n_tokens"), "weight", "copies")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return blocks(docs, fit(docs))
