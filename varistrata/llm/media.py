@@ -4,16 +4,18 @@ A payload is cut where a rolling gear hash has zero high bits, so equal passages
 stored once each, found by digest with Spark joins; the ordered chunk list of a payload rebuilds it, and every
 chunk and the whole are verified.
 
-Only chunks that several payloads have are moved. Which digests are shared is counted from digests alone; a
-Bloom filter of bounded size over the shared ones routes the rows: a payload without a hit owns all its chunks, so
-its stored form is written and read back in place. All others go through the chunk store. Wrong hits of a full
-filter only send more rows through the store.
+A store is a folder of three tables: `chunks` (digest and frame of each chunk that several payloads have), `lists`
+(the ordered chunk lists of payloads with such a chunk) and `own` (the whole stored form of all others). Which digests
+are shared is counted from digests alone; a Bloom filter of bounded size over the shared ones routes the rows, so only
+what is shared is shuffled. Wrong hits of a full filter only send more rows to `chunks`. Features are computed from
+what is read back from the folder.
 """
 
 from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -22,10 +24,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varistrata.llm.common import cut_lineage, pieces, table, text_schema
+from varistrata.llm.common import cut_lineage, pieces, shared_folder, table, text_schema
 
 UNIT = 64
 LEAST, MOST, CUT_BITS = 1024, 16384, 12
@@ -180,7 +182,7 @@ def recipes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
 
 
 def chunk_store(docs: DataFrame, shared: SharedFilter | None = None, text: str = "text") -> DataFrame:
-    """digest and frame of each distinct chunk, of all rows or of those with a chunk in the filter."""
+    """digest and frame of each distinct chunk, of all rows or of those with a chunk in the filter. Null and empty texts have the chunk of one unit of zeros; an empty table has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in pieces(batches, text):
@@ -195,7 +197,7 @@ def chunk_store(docs: DataFrame, shared: SharedFilter | None = None, text: str =
 
 
 def rebuild(wanted: DataFrame, store: DataFrame) -> DataFrame:
-    """media and its frames in order, from distinct (media, digests) rows and the store. A list is as long as its payload at most."""
+    """media and its frames in order, from distinct (media, digests) rows and the store. A list is as long as its payload at most; repeated chunks of a payload come back at each of their places."""
     refs = wanted.select("media", F.posexplode("digests").alias("pos", "digest"))
     return refs.join(store, "digest").groupBy("media").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "frame"))).alias("frames"))
 
@@ -227,8 +229,8 @@ def having_shared(known: DataFrame, shared: SharedFilter) -> DataFrame:
     return known.mapInArrow(run, known.schema)
 
 
-def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes and RESULT for each row. Null and empty texts are payloads of one unit of zeros; repeated rows stay."""
+def write_media(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text") -> None:
+    """The store of all payloads, in a new folder that all executors share."""
     known = cut_lineage(recipes(docs, key, text))
     distinct = known.groupBy("media").agg(F.first("digests").alias("digests"))
     often = distinct.select(F.explode(F.array_distinct("digests")).alias("digest")).groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
@@ -237,21 +239,42 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts in pieces(batches, text):
-            keep, size, rows = [], [], []
+            keep, size, stored = [], [], []
             for t in texts:
                 own = [(digest(c), c) for c in chunks(payload(t))]
                 keep.append(not any(d in shared for d, _ in own))
                 if keep[-1]:
                     size.append(len((t or "").encode()))
-                    rows.append(described(container([(d, squeeze(c)) for d, c in own])))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array(size, pa.int64()), *_result_arrays(rows)], ["doc_id", "n_bytes", *RESULT_NAMES])
-
-    in_place = docs.select(key, text).mapInArrow(alone, f"doc_id {text_schema(docs, key)}, n_bytes long, {RESULT}")
-    sharing = having_shared(known, shared)
-    store = cut_lineage(chunk_store(docs, shared, text))
-    described_once = cut_lineage(describe_frames(rebuild(sharing.groupBy("media").agg(F.first("digests").alias("digests")), store)))
-    through_store = sharing.select("doc_id", "n_bytes", "media").join(described_once, "media").select("doc_id", "n_bytes", *RESULT_NAMES)
-    return in_place.unionByName(through_store)
+                    stored.append(container([(d, squeeze(c)) for d, c in own]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array(size, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "stored"])
+
+    plain = {"compression": "none", "parquet.enable.dictionary": "false"}  # frames are compressed
+    docs.select(key, text).mapInArrow(alone, f"doc_id {text_schema(docs, key)}, n_bytes long, stored binary").write.options(**plain).parquet(f"{folder}/own")
+    chunk_store(docs, shared, text).write.options(**plain).parquet(f"{folder}/chunks")
+    having_shared(known, shared).write.parquet(f"{folder}/lists")
+
+
+def read_media(spark: SparkSession, folder: str) -> DataFrame:
+    """doc_id, n_bytes and RESULT for each row of a store; each chunk is checked against its digest, each rebuilt payload too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_result_arrays([described(x.as_py()) for x in batch.column(2)])], ["doc_id", "n_bytes", *RESULT_NAMES])
+
+    own, lists = spark.read.parquet(f"{folder}/own"), spark.read.parquet(f"{folder}/lists")
+    in_place = own.mapInArrow(run, f"doc_id {text_schema(own, 'doc_id')}, n_bytes long, {RESULT}")
+    described_once = cut_lineage(describe_frames(rebuild(lists.groupBy("media").agg(F.first("digests").alias("digests")), spark.read.parquet(f"{folder}/chunks"))))
+    return in_place.unionByName(lists.select("doc_id", "n_bytes", "media").join(described_once, "media").select("doc_id", "n_bytes", *RESULT_NAMES))
+
+
+def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
+    """doc_id, n_bytes and RESULT for each row, from a store in the folder (a new one in the shared folder, if none is named).
+
+    Null and empty texts are payloads of one unit of zeros; repeated rows stay; an empty table gives no rows.
+    """
+    folder = folder or f"{shared_folder(docs.sparkSession)}/media-{uuid.uuid4().hex}"
+    write_media(docs, folder, key, text)
+    return read_media(docs.sparkSession, folder)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
