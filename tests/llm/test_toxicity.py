@@ -70,5 +70,56 @@ def test_unseen_inflections_and_rows(spark):
 
 
 def test_held_out_toxicity(spark):
-    got = X.query(spark, SF).where("held_out").join(table(spark, SF, "labels"), "doc_id").toPandas()
-    assert (got.predicted == got.toxic).mean() > 0.85
+    """Recall and false alarms on labels that were not learned from: some 40 toxic texts are known at sf0.01, some 400 at sf0.1."""
+    for sf, recall, alarms in (("sf0.01", 0.55, 0.10), ("sf0.1", 0.85, 0.02)):
+        folder = f"/root/testdata/{sf}"
+        got = X.query(spark, folder).where("held_out").join(table(spark, folder, "labels"), "doc_id").toPandas()
+        assert got.predicted[got.toxic == 1].mean() >= recall and got.predicted[got.toxic == 0].mean() <= alarms, sf
+
+
+def test_whole_table_by_brute_force(spark):
+    """The largest logit over all windows, word by word and window by window."""
+    import re
+
+    docs = {r.doc_id: r.text for r in table(spark, SF, "documents").collect()}
+    net = X.model(spark, SF)
+    sig = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+    def logit(words):
+        x = net.inputs(words).astype(float)
+        values = np.zeros((len(words), 2))
+        for k, d in enumerate("fb"):
+            h = np.zeros(X.HIDDEN)
+            w, u, b, n = (net.p[d + c].astype(float) for c in "WUbn")
+            for t in range(len(words)) if d == "f" else range(len(words) - 1, -1, -1):
+                g, a = x[t] @ w + b, h @ u
+                z, r = sig(g[: X.HIDDEN] + a[: X.HIDDEN]), sig(g[X.HIDDEN : 2 * X.HIDDEN] + a[X.HIDDEN : 2 * X.HIDDEN])
+                c = np.tanh(g[2 * X.HIDDEN :] + r * (a[2 * X.HIDDEN :] + n))
+                h = (1 - z) * c + z * h
+                values[t] += h @ net.p["pool"][k * X.HIDDEN : (k + 1) * X.HIDDEN]
+        e = np.exp(values[:, 0] - values[:, 0].max())
+        return float(e / e.sum() @ values[:, 1] + net.p["bias"][0])
+
+    got = {r.doc_id: r for r in X.score(table(spark, SF, "documents"), net).collect()}
+    assert len(got) == len(docs)
+    for d in sorted(docs):
+        words = re.findall(r"\w+", (docs[d] or "").lower())
+        if len(words) > 240 and d % 7:  # long texts cost a loop over each word: every seventh of them
+            continue
+        if not words:
+            assert got[d].score == 0
+            continue
+        starts = sorted({*range(0, max(1, len(words) - 23), 12), max(0, len(words) - 24)})
+        best = max(logit(words[s : s + 24]) for s in starts)
+        # A text shorter than a window is read with padding, over which the state goes on.
+        if len(words) >= 24:
+            want = float(net.probability(np.array([best]))[0])
+            assert abs(got[d].score - want) < 1e-3 and got[d].predicted == int(got[d].score >= 0.3)
+
+
+def test_empty_tables(spark):
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    net = X.fit(docs.limit(0), labels)
+    assert X.score(docs.limit(0), net).count() == 0 and X.keep_clean(docs.limit(0), net).count() == 0
+    none = X.fit(docs, labels.limit(0))
+    assert X.keep_clean(docs, none).count() == docs.count()

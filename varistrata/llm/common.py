@@ -57,6 +57,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 class Scratch:
     """Checkpoints of one job: those that its result doesn't read are deleted at its end."""
 
@@ -73,8 +78,7 @@ class Scratch:
             if not any(df is k for k in keep):
                 file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
                 if file.isDefined():
-                    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
-                    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+                    delete_folder(df.sparkSession, file.get())
         self.held = [df for df in self.held if any(df is k for k in keep)]
 
 
