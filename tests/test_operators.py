@@ -8,6 +8,8 @@ from varistrata.functions import kernels
 from varistrata.operators import catalog, cohort, columns, experiment, linear, results, sampling
 from varistrata.sources import tables
 
+from tests.twins import twin_regression
+
 
 def test_udis_and_paths(spark, tmp_path):
     assert [tuple(r) for r in tables.parse_udis(spark, ["31-2.10"]).collect()] == [("31-2.10", 31, 2, 10)]
@@ -233,8 +235,8 @@ def test_component_regression_equals_rows(spark):
     sf = "/root/testdata/sf0.01"
     got = {(r.components, r.set_name): r.r2 for r in plan_tables.component_regression(spark, sf).collect()}
     v = adapters.halves(spark, sf).select("*", (F.xxhash64("eid") % 2 == 0).alias("_fit")).toPandas()
-    x = v[[f"x{i}" for i in range(32)]].to_numpy()
-    want = plan_tables.twin_regression(kernels.NanPca(5).fit(x).transform(x), v.y0.to_numpy(), v._fit.to_numpy())
+    x = v[[*[f"x{i}" for i in range(32)], *[f"y{i}" for i in range(1, 32)]]].to_numpy()
+    want = twin_regression(kernels.NanPca(5).fit(x).transform(x), v.y0.to_numpy(), v._fit.to_numpy())
     for k, (fit, test) in enumerate(want, 1):
         assert got[k, "fit"] == pytest.approx(fit) and got[k, "test"] == pytest.approx(test)
 

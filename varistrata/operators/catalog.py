@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from varistrata.sources.scratch import cut_lineage
+from varistrata.sources.tables import parse_udis, write_subset
+
 # Codes of value types.
 VALUE_TYPES = {
     "integer": [11],
@@ -42,11 +44,9 @@ def category_closure(tree: DataFrame, roots: Sequence) -> DataFrame:
     kind = tree.schema["parent_id"].dataType.simpleString()
     start = spark.createDataFrame([(r,) for r in roots], f"category_id {kind}").distinct()
     seen, frontier = start, start
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="varistrata-"))
     while True:
         below = frontier.join(tree, frontier["category_id"] == tree["parent_id"]).select(F.col("child_id").alias("category_id")).distinct()
-        frontier = below.join(seen, "category_id", "left_anti").checkpoint()  # or the plan doubles with each level
+        frontier = cut_lineage(below.join(seen, "category_id", "left_anti"))  # or the plan doubles with each level
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
@@ -86,7 +86,7 @@ def filter_by_instance(udis: DataFrame, instances: Sequence[int] | str = "all",
 
 
 def filter_by_field(udis: DataFrame, fields: DataFrame, keep: bool = True) -> DataFrame:
-    return udis.join(F.broadcast(fields.select("field_id").distinct()), "field_id", "left_semi" if keep else "left_anti")
+    return udis.join(fields.select("field_id").distinct(), "field_id", "left_semi" if keep else "left_anti")
 
 
 def merged_catalog(udis: DataFrame, fields: DataFrame, categories: DataFrame) -> DataFrame:
@@ -96,9 +96,33 @@ def merged_catalog(udis: DataFrame, fields: DataFrame, categories: DataFrame) ->
     return udis.join(f, "field_id").join(c, F.col("main_category") == F.col("category_id"))
 
 
-def udis_of_category(catalog: DataFrame, categories: Sequence[int], keep: bool = True) -> DataFrame:
+def udis_of_category(catalog: DataFrame, categories: Sequence[int], keep: bool = True, udis: DataFrame | None = None) -> DataFrame:
+    """Rows of the merged catalogue (of the udis, if given, all of which must be there) whose main category is one of those, or isn't."""
     hit = F.col("main_category").isin(list(categories))
-    return catalog.where(hit if keep else ~hit)
+    return (catalog if udis is None else require(catalog, udis)).where(hit if keep else ~hit)
+
+
+def udis_of_value_type(catalog: DataFrame, wanted: str | int | Sequence, keep: bool = True, udis: DataFrame | None = None) -> DataFrame:
+    return filter_by_value_type(catalog if udis is None else require(catalog, udis), wanted, keep)
+
+
+def categories_of_udis(catalog: DataFrame, udis: DataFrame, distinct: bool = True) -> DataFrame:
+    """main_category and title_category of the udis, each once or once for each udi; one that is not in the catalogue is an error."""
+    found = require(catalog, udis).select("main_category", "title_category")
+    return found.distinct() if distinct else found
+
+
+def category_title(categories: DataFrame, category_id: int) -> str:
+    row = categories.where(F.col("category_id") == category_id).select("title").first()
+    if row is None:
+        raise KeyError(f"no category {category_id}")
+    return row[0]
+
+
+def field_info(table: DataFrame, ids: Sequence[int], key: str = "field_id") -> DataFrame:
+    """The rows of a dictionary table (fields, categories, column identifiers) for some of its keys; a key that isn't there is an error."""
+    wanted = table.sparkSession.createDataFrame([(i,) for i in ids], f"`{key}` {table.schema[key].dataType.simpleString()}").distinct()
+    return require(table, wanted, key)
 
 
 def require(catalog: DataFrame, udis: DataFrame, column: str = "udi") -> DataFrame:
@@ -138,7 +162,7 @@ def labels(encoded: DataFrame, catalog: DataFrame, with_category: bool = False,
         text = F.concat(F.lit("["), "title_category", F.lit("] "), text)
     names = catalog.select("udi", "title_field", "title_category")
     keyed = encoded.withColumn("udi", unencoded(column))
-    return keyed.join(F.broadcast(names), "udi").withColumn("label", text).drop("title_field", "title_category")
+    return keyed.join(names, "udi").withColumn("label", text).drop("title_field", "title_category")
 
 
 #: Named column domains as arguments of select_columns.
@@ -192,3 +216,14 @@ DOMAINS = {
     "viprs": {"categories": [110], "instances": [2]},
     "freesurfer_dkt_aseg": {"categories": [190, 196], "instances": [2]},
 }
+
+
+def select_domain(name: str, data: DataFrame, path: str, fields: DataFrame, tree: DataFrame, recommended: DataFrame, key: str = "eid") -> tuple[dict, tuple[int, int]]:
+    """Write the columns of a named domain to Parquet; its settings, with the columns found, and the rows and columns written."""
+    if name not in DOMAINS:
+        raise ValueError(f"unknown domain {name}: one of {', '.join(DOMAINS)}")
+    udis = parse_udis(data.sparkSession, [c for c in data.columns if c != key])
+    found = [r["udi"] for r in select_columns(udis, fields, tree, recommended, **DOMAINS[name]).select("udi").collect()]
+    wanted = set(found)
+    chosen = [c for c in data.columns if c in wanted]
+    return DOMAINS[name] | {"columns": chosen}, write_subset(data, path, chosen, key=key)

@@ -132,6 +132,16 @@ class StudyData:
         return self.subset(self.frame.where(fn(self.frame)))
 
 
+def join_extracts(extracts: Sequence[DataFrame], key: str = "eid") -> DataFrame:
+    """Columns of several extracts side by side; a subject that one lacks stays, with NULL. A column that two have is an error."""
+    out = extracts[0]
+    for e in extracts[1:]:
+        if twice := (set(out.columns) & set(e.columns)) - {key}:
+            raise ValueError(f"columns {sorted(twice)} are in two extracts")
+        out = out.join(e, key, "full_outer")
+    return out
+
+
 def build_study(datasets: dict[str, DataFrame], extra: dict[str, DataFrame] | None = None, confounds: str | None = None, group: DataFrame | None = None, holdout: DataFrame | None = None, key: str = "eid") -> StudyData:
     """All datasets of one cohort as one wide table; the first gives the subjects, and all must have the same."""
     if not datasets:
@@ -148,6 +158,11 @@ def build_study(datasets: dict[str, DataFrame], extra: dict[str, DataFrame] | No
     return out if holdout is None else out.set_holdout(holdout)
 
 
-def select_rows(data, at: Sequence[int]):
-    """Rows at the places of a numpy array, or of each of a list of them."""
-    return [select_rows(x, at) for x in data] if isinstance(data, list) else data[at]
+def select_rows(data, at, key: str = "eid"):
+    """Rows at the places of a numpy array, or of each of a list of them.
+
+    Of a DataFrame, whose rows have no places, the rows of the keys of another one (a sample), as often as those are there, with its other columns.
+    """
+    if isinstance(data, DataFrame):
+        return data.join(at, key)
+    return [select_rows(x, at, key) for x in data] if isinstance(data, list) else data[at]

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from varistrata.functions import kernels
+from varistrata.functions import kernels, normal
+from varistrata.sources.scratch import cut_lineage
 
 
 def _q(name: str) -> Column:
@@ -27,6 +28,14 @@ def long_to_wide(df: DataFrame, keys: Sequence[str], name: str, value: str, colu
     return df.groupBy(*keys).pivot(name, list(columns) if columns is not None else None).agg(F.first(value, ignorenulls=True))
 
 
+def concat(tables: Sequence[DataFrame]) -> DataFrame:
+    """Rows of several tables under one another, columns by name; one that a table lacks is NULL there."""
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t, allowMissingColumns=True)
+    return out
+
+
 def _one_row(df: DataFrame, exprs: dict[str, Column], value: str) -> DataFrame:
     """Aggregates of many columns in one pass, as rows (column, value)."""
     names = list(exprs)
@@ -58,12 +67,29 @@ def mode_fraction(df: DataFrame, columns: Sequence[str], null_as_value: bool = F
     return counts.groupBy("column").agg((top / present).alias("mode"))
 
 
-def outlier_ratio(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, outlier: the largest squared distance from the median over the mean one; NULL if there is no spread."""
-    middle = df.agg(*[F.percentile(_q(c).cast("double"), F.lit(0.5)).alias(c) for c in columns]).first()
-    squares = {c: (_q(c).cast("double") - F.lit(middle[c])) ** 2 for c in columns}
-    ratio = {c: F.max(s) / F.when(F.avg(s) != 0, F.avg(s)) for c, s in squares.items()}
-    return _one_row(df, ratio, "outlier")
+def outlier_ratio(df: DataFrame, columns: Sequence[str], prepare: str | None = None) -> DataFrame:
+    """column, outlier: the largest squared distance from the median over the mean one; NULL if there is no spread.
+
+    prepare changes the values first: "ranks" to normal scores of their ranks and then z-scores (as in cleaning),
+    "standard" to z-scores (deviation with n), "quantiles" to those and then to normal scores by quantiles (as in a
+    selection of features).
+    """
+    if prepare not in (None, "ranks", "standard", "quantiles"):
+        raise ValueError(f"unknown preparation {prepare}")
+    if prepare in ("standard", "quantiles"):
+        df = zscore(df.select(*[_q(c).cast("double").alias(c) for c in columns]), columns, ddof=0)
+    if prepare == "quantiles":
+        df = quantile_transform(df, fit_quantiles(df, columns))
+    long = wide_to_long(df, [], columns).where("value is not null")
+    if prepare == "ranks":
+        scored = inverse_normal(long).select("column", F.col("score").alias("value"))
+        moments = scored.groupBy("column").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
+        long = scored.join(F.broadcast(moments), "column").select("column", F.try_divide(F.col("value") - F.col("_m"), F.col("_s")).alias("value"))
+    middle = exact_quantiles(long, ["column"], "value", [0.5]).withColumnRenamed("q0", "_middle")
+    square = (F.col("value") - F.col("_middle")) ** 2
+    found = long.join(F.broadcast(middle), "column").groupBy("column").agg(F.try_divide(F.max(square), F.avg(square)).alias("outlier"))
+    names = F.explode(F.array(*[F.lit(c) for c in columns])).alias("column")
+    return df.sparkSession.range(1).select(names).join(found, "column", "left")
 
 
 def row_missing(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
@@ -81,9 +107,38 @@ def histogram(df: DataFrame, value: str, bins: int = 21) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, n, low, high, mean, sd, middle."""
     long = wide_to_long(df, [], columns)
-    return long.groupBy("column").agg(
-        F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.5)).alias("middle")
-    )
+    moments = long.groupBy("column").agg(F.count("value").alias("n"), F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    middle = exact_quantiles(long, ["column"], "value", [0.5]).withColumnRenamed("q0", "middle")
+    return moments.join(F.broadcast(middle), "column", "left")
+
+
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    """level and n; NULL is a level."""
+    return df.groupBy(_q(column).alias("level")).agg(F.count("*").alias("n"))
+
+
+def cohort_summary(df: DataFrame, keys: Sequence[str], numbers: Sequence[str] = (), categories: Sequence[str] = ()) -> DataFrame:
+    """keys, column, level, n, percent, mean, sd: one row for each group and number, and for each group, category and level.
+
+    Numbers have n, mean and sample deviation of their present values, categories the share of each level (NULL is one) in percent.
+    """
+    by = list(keys)
+    told = []
+    if numbers:
+        long = wide_to_long(df, by, numbers)
+        told.append(long.groupBy(*by, "column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).select(*by, "column", F.lit(None).cast("string").alias("level"), "n", F.lit(None).cast("double").alias("percent"), "mean", "sd"))
+    if categories:
+        pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), _q(c).cast("string").alias("level")) for c in categories]))
+        counts = df.select(*by, pairs.alias("_c")).groupBy(*by, "_c.column", "_c.level").agg(F.count("*").alias("n"))
+        share = 100.0 * F.col("n") / F.sum("n").over(Window.partitionBy(*by, "column"))
+        told.append(counts.select(*by, "column", "level", "n", share.alias("percent"), F.lit(None).cast("double").alias("mean"), F.lit(None).cast("double").alias("sd")))
+    out = told[0]
+    return out if len(told) == 1 else out.unionByName(told[1])
+
+
+def absolute_limits(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """keys, limit_value: the largest absolute value of each group."""
+    return df.groupBy(*keys).agg(F.max(F.abs(value)).alias("limit_value"))
 
 
 @dataclass
@@ -94,10 +149,10 @@ class BadColumns:
     dropped: dict[str, list[str]] = field(default_factory=dict)
 
 
-def find_bad_columns(df: DataFrame, columns: Sequence[str], missing: float | None = None, mode: float | None = None, outlier: float | None = None, largest: float | None = None) -> BadColumns:
-    """Filters in this order, each on what the one before left: shares and ratios at the threshold or over it, any value over `largest`."""
+def find_bad_columns(df: DataFrame, columns: Sequence[str], missing: float | None = None, mode: float | None = None, outlier: float | None = None, largest: float | None = None, prepare: str | None = "ranks") -> BadColumns:
+    """Filters in this order, each on what the one before left: shares and ratios at the threshold or over it, any value over `largest`. prepare: as in outlier_ratio."""
     out = BadColumns(list(columns))
-    steps = [("missing", missing, missing_fraction, lambda v, t: v >= t), ("mode", mode, mode_fraction, lambda v, t: v is None or v >= t), ("outlier", outlier, outlier_ratio, lambda v, t: v is None or v >= t), ("largest", largest, largest_value, lambda v, t: v is not None and v > t)]
+    steps = [("missing", missing, missing_fraction, lambda v, t: v >= t), ("mode", mode, mode_fraction, lambda v, t: v is None or v >= t), ("outlier", outlier, lambda d, c: outlier_ratio(d, c, prepare), lambda v, t: v is None or v >= t), ("largest", largest, largest_value, lambda v, t: v is not None and v > t)]
     for name, threshold, statistic, bad in steps:
         if threshold is None or not out.kept:
             continue
@@ -218,12 +273,11 @@ def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.coalesce(_q(c).cast("double"), F.lit(row[c])) for c in columns})
 
 
-def robust_scale(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """(x - median) / interquartile range; a range of 0 counts as 1. accuracy: approximate quantiles, for columns with very many distinct values."""
-    steps = [0.25, 0.5, 0.75]
-    quartiles = lambda x: F.percentile(x, F.array(*map(F.lit, steps))) if accuracy is None else F.percentile_approx(x, steps, accuracy)
-    row = df.agg(*[quartiles(_q(c).cast("double")).alias(c) for c in columns]).first()
-    scaled = {c: (_q(c) - F.lit(row[c][1])) / F.lit((row[c][2] - row[c][0]) or 1.0) for c in columns if row[c]}
+def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(x - median) / interquartile range; a range of 0 counts as 1."""
+    found = exact_quantiles(wide_to_long(df, [], columns), ["column"], "value", [0.25, 0.5, 0.75])
+    row = {r["column"]: (r["q0"], r["q1"], r["q2"]) for r in found.collect()}
+    scaled = {c: (_q(c) - F.lit(row[c][1])) / F.lit((row[c][2] - row[c][0]) or 1.0) for c in columns if c in row}
     return df.withColumns(scaled)
 
 
@@ -234,32 +288,42 @@ def average_rank(value: str, partition: Sequence[str] = ()) -> Column:
     return F.when(F.col(value).isNotNull(), F.rank().over(ordered) + (F.count(value).over(Window.partitionBy(*partition, value)) - 1) / 2)
 
 
-@F.pandas_udf(T.DoubleType())
-def probit(p):
-    import pandas as pd
-
-    return pd.Series(kernels.probit(p.to_numpy(float)))
-
-
-#: Ranges of values in which ranks are worked out separately.
-RANGES = 64
+#: Ranges of values in which ranks are worked out separately, and how many groups' bounds are broadcast (about 500 bytes each).
+RANGES, BROADCAST_GROUPS = 64, 10_000
 
 
 def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str = "_n") -> DataFrame:
     """counts (distinct values of each group and how often they occur) with `_upto`, the rows up to each value, and `_total`.
 
     Approximate quantiles part a group's values into ranges; each range is summed by itself and starts where
-    the ones before end. Rough quantiles only make uneven ranges, the sums are exact.
+    the ones before end. Rough quantiles only make uneven ranges, the sums are exact. They are checkpointed, since
+    they may come out otherwise when they are worked out again.
     """
     steps = [i / RANGES for i in range(1, RANGES)]
-    bounds = counts.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("_bounds"), F.sum(n).alias("_total"))
-    ranged = counts.join(F.broadcast(bounds), list(keys)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
+    bounds = cut_lineage(counts.groupBy(*keys).agg(F.percentile_approx(value, steps, 1000).alias("_bounds"), F.sum(n).alias("_total")))
+    ranged = counts.join(F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds, list(keys)).withColumn("_range", F.size(F.filter("_bounds", lambda b: b < F.col(value)))).drop("_bounds")
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy(*keys, "_range").agg(F.sum(n).alias("_s")).withColumn("_start", F.coalesce(F.sum("_s").over(before), F.lit(0))).drop("_s")
     own = F.sum(n).over(Window.partitionBy(*keys, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
     return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn("_upto", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
 
 
+def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, steps: Sequence[float]) -> DataFrame:
+    """keys, q0, q1, ...: linearly interpolated quantiles of the present values of each group.
+
+    Values are counted and their places worked out range by range, so no group's values are held in one place.
+    """
+    by = list(keys)
+    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = running_counts(counts, by, value)
+    cells = []
+    for i, step in enumerate(steps):
+        at = F.lit(float(step)) * (F.col("_total") - 1)
+        low = F.floor(at)
+        cells += [F.min(F.when(F.col("_upto") > low, F.col(value))).alias(f"_a{i}"), F.min(F.when(F.col("_upto") > F.least(low + 1, F.col("_total") - 1), F.col(value))).alias(f"_b{i}"), F.first(at - low).alias(f"_t{i}")]
+    return placed.groupBy(*by).agg(*cells).select(*by, *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_t{i}")).alias(f"q{i}") for i in range(len(steps))])
+
+
 def inverse_normal(long: DataFrame, value: str = "value", partition: Sequence[str] = ("column",), method: str = "blom") -> DataFrame:
     """long with `score`: normal quantiles of the average ranks within each column.
 
@@ -270,7 +334,8 @@ def inverse_normal(long: DataFrame, value: str = "value", partition: Sequence[st
     counts = long.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
     rank = F.col("_upto") - (F.col("_n") - 1) / 2
     ranked = running_counts(counts, keys, value)
-    scores = ranked.withColumn("score", probit((rank - F.lit(c)) / (F.col("_total") - F.lit(2 * c) + 1))).select(*keys, value, "score")
+    scores = ranked.withColumn("_p", (rank - F.lit(c)) / (F.col("_total") - F.lit(2 * c) + 1))
+    scores = normal.with_quantile(scores, "_p", "score").select(*keys, value, "score")
     return long.join(scores, [*keys, value], "left")
 
 

@@ -6,14 +6,15 @@ if its size is within BROADCAST_BYTES; a larger one is joined to the samples ins
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from dataclasses import dataclass, field
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varistrata.functions import kernels
+from varistrata.operators.columns import filtered_quantile_columns
 
 BROADCAST_BYTES = 256 << 20
 RESULT = "subset string, null_model boolean, sample_size int, rep int, cca_type string, set_name string, metric string, dataset string, feature string, component int, pos long, value double"
@@ -29,25 +30,32 @@ class Settings:
     frequency: float | None = None
     ensemble: str = "nanmean"
     rotation: str = "aligned"
+    #: Of without_cv, repeated_cv and cv (the models of one split into folds, each scored on its own rows and those left out; pos is the fold).
     cca_types: tuple[str, ...] = ("without_cv", "repeated_cv")
     scores: bool = False
     seed: int = 3791
     #: Fits that failed are tried again with other folds at most so often.
     retries: int = 5
     normalise_loadings: bool = True
+    #: Changes a member's scores (a list, one array a view) before they are rotated to the reference.
+    model_transform: Callable[[list], list] | None = None
 
 
 @dataclass
 class Views:
-    """Two blocks of columns and the confounds of some rows; quantile: which columns of each are turned into normal scores."""
+    """Two blocks of columns and the confounds of some rows.
+
+    quantile: which columns of each are turned into normal scores; numeric: which confounds are, and are squared (None: all).
+    """
 
     x: list[np.ndarray]
     names: list[list[str]]
     confounds: np.ndarray | None = None
     quantile: list[np.ndarray] = field(default_factory=list)
+    numeric: np.ndarray | None = None
 
     def rows(self, at: np.ndarray) -> Views:
-        return Views([x[at] for x in self.x], self.names, None if self.confounds is None else self.confounds[at], self.quantile)
+        return replace(self, x=[x[at] for x in self.x], confounds=None if self.confounds is None else self.confounds[at])
 
 
 def selected(x: np.ndarray, missing: float, frequency: float) -> np.ndarray:
@@ -92,7 +100,8 @@ class Preprocessor:
         if v.confounds is not None:
             self.imputer = kernels.IterativeImputer()
             filled = self.imputer.fit_transform(v.confounds)
-            self.confound_scaler = Scaler().fit(filled, np.array([len(np.unique(col)) > 2 for col in filled.T]))
+            self.numeric = np.ones(filled.shape[1], dtype=bool) if v.numeric is None else v.numeric
+            self.confound_scaler = Scaler().fit(filled, self.numeric)
             c = self._confounds(v)
         self.scalers = [Scaler().fit(x, q) for x, q in zip(v.x, v.quantile, strict=True)]
         self.weights, self.pcas = [], []
@@ -107,7 +116,7 @@ class Preprocessor:
         if self.imputer is None:
             return None
         c = self.confound_scaler.transform(self.imputer.transform(v.confounds))
-        return np.concatenate([c, c * c], axis=1)
+        return np.concatenate([c, c[:, self.numeric] ** 2], axis=1)
 
     def deconfounded(self, v: Views) -> list[np.ndarray]:
         c = self._confounds(v)
@@ -127,9 +136,9 @@ class Model:
         own = v
         if shuffle is not None:
             order = shuffle.permutation(len(v.x[0]))
-            own = Views([v.x[0], *[x[order] for x in v.x[1:]]], v.names, v.confounds, v.quantile)
+            own = replace(v, x=[v.x[0], *[x[order] for x in v.x[1:]]])
             # The confounds of the permuted views move with them, so each view is fitted by itself.
-            moved = Views(own.x, v.names, None if v.confounds is None else v.confounds[order], v.quantile)
+            moved = replace(own, confounds=None if v.confounds is None else v.confounds[order])
             self.parts = [Preprocessor(self.settings.n_pcs).fit(own), Preprocessor(self.settings.n_pcs).fit(moved)]
             scores = [self.parts[0].transform(own)[0], *self.parts[1].transform(moved)[1:]]
         else:
@@ -168,11 +177,12 @@ def repeated_cv(learn: Views, sets: dict[str, Views], reference: list[np.ndarray
             if failures > settings.retries:
                 raise
     turned = []
+    changed = settings.model_transform or (lambda scores: scores)
     for m in models:
-        scores = m.transform(learn)
+        scores = changed(m.transform(learn))
         # The rotation comes from the learning rows and holds for every set.
         turns = [np.linalg.lstsq(s, kernels.procrustes(s, r, settings.rotation), rcond=None)[0] for s, r in zip(scores, reference, strict=True)]
-        turned.append({name: [s @ t for s, t in zip(m.transform(v), turns, strict=True)] for name, v in sets.items()})
+        turned.append({name: [s @ t for s, t in zip(changed(m.transform(v)), turns, strict=True)] for name, v in sets.items()})
     out = {}
     for name, v in sets.items():
         scores = kernels.ensemble([t[name] for t in turned], None, settings.ensemble, rotate=False)
@@ -186,7 +196,7 @@ def unit(learn: Views, val: Views, settings: Settings, null_model: bool, seed: S
     rng = np.random.default_rng([settings.seed, *seed])
     frequency = 1 - 1 / settings.n_folds if settings.frequency is None else settings.frequency
     keep = [selected(x, settings.missing, frequency) for x in learn.x]
-    cut = lambda v: Views([x[:, k] for x, k in zip(v.x, keep, strict=True)], [[n for n, ok in zip(names, k, strict=True) if ok] for names, k in zip(v.names, keep, strict=True)], v.confounds, [q[k] for q, k in zip(v.quantile, keep, strict=True)])
+    cut = lambda v: replace(v, x=[x[:, k] for x, k in zip(v.x, keep, strict=True)], names=[[n for n, ok in zip(names, k, strict=True) if ok] for names, k in zip(v.names, keep, strict=True)], quantile=[q[k] for q, k in zip(v.quantile, keep, strict=True)])
     learn, val = cut(learn), cut(val)
     sets = {"learn": learn, "val": val}
     plain = Model(settings).fit(learn, rng if null_model else None)
@@ -198,6 +208,12 @@ def unit(learn: Views, val: Views, settings: Settings, null_model: bool, seed: S
     if "repeated_cv" in settings.cca_types:
         results["repeated_cv"] = repeated_cv(learn, sets, plain.learn_scores, settings, rng, null_model)
     rows = []
+    if "cv" in settings.cca_types:
+        for i, train in enumerate(folds(len(learn.x[0]), settings.n_folds, rng)):
+            out = np.setdiff1d(np.arange(len(learn.x[0])), train)
+            model = Model(settings).fit(learn.rows(train), rng if null_model else None)
+            for set_name, scores in (("learn", model.learn_scores), ("val", model.transform(learn.rows(out)))):
+                rows += [("cv", set_name, "corr", None, None, k + 1, i, float(c)) for k, c in enumerate(kernels.component_scores(scores))]
     for kind, by_set in results.items():
         for set_name, (scores, columns) in by_set.items():
             correlations = kernels.component_scores(scores)
@@ -210,13 +226,21 @@ def unit(learn: Views, val: Views, settings: Settings, null_model: bool, seed: S
     return [(*r[:-1], None if not np.isfinite(r[-1]) else r[-1]) for r in rows]
 
 
-def run_grid(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFrame, settings: Settings, confounds: Sequence[str] = (), quantile: Sequence[str] = (), null_model: bool = False, key: str = "eid", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """RESULT rows of all units. frame: key and the columns of the two datasets and the confounds; samples: as sampling.design gives them."""
+def run_grid(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFrame, settings: Settings, confounds: Sequence[str] = (), quantile: Sequence[str] = (), null_model: bool = False, key: str = "eid", broadcast_bytes: int = BROADCAST_BYTES, value_type: dict[str, int] | None = None) -> DataFrame:
+    """RESULT rows of all units. frame: key and the columns of the two datasets and the confounds; samples: as sampling.design gives them.
+
+    value_type: codes by column; those of integers and continuous values (and row means and deviations) are turned into
+    normal scores, and such confounds are squared. Without it `quantile` names the columns, and all confounds are numeric.
+    """
     import pandas as pd
 
     names = list(datasets)
     columns = [c for n in names for c in datasets[n]] + list(confounds)
     sizes = [len(datasets[n]) for n in names]
+    numeric = np.ones(len(confounds), dtype=bool)
+    if value_type is not None:
+        quantile = filtered_quantile_columns(columns, value_type)
+        numeric = np.array([c in set(quantile) for c in confounds], dtype=bool)
     wanted = set(quantile)
     flags = [np.array([c in wanted for c in datasets[n]]) for n in names]
     has_confounds = bool(confounds)
@@ -224,7 +248,7 @@ def run_grid(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFram
     def views(x: np.ndarray) -> Views:
         ends = np.cumsum([0, *sizes])
         parts = [x[:, a:b] for a, b in zip(ends, ends[1:], strict=False)]
-        return Views(parts, [list(datasets[n]) for n in names], x[:, ends[-1] :] if has_confounds else None, flags)
+        return Views(parts, [list(datasets[n]) for n in names], x[:, ends[-1] :] if has_confounds else None, flags, numeric)
 
     def solved(group: tuple, learn: np.ndarray, val: np.ndarray) -> pd.DataFrame:
         subset, rep, size = group

@@ -28,59 +28,101 @@ def _block(batch: pa.RecordBatch) -> np.ndarray:
 
 @dataclass
 class Moments:
-    """Sums over rows with missing values as 0: n, presence (N = M'M), products (S = X'X) and mixed (T = X'M)."""
+    """Sums over rows of the values less `shift`, missing ones as 0: n, presence (N = M'M), products (S = Z'Z), mixed (T = Z'M) and squares (Q = (Z*Z)'M)."""
 
     columns: list[str]
     n: int
     both: np.ndarray
     products: np.ndarray
     mixed: np.ndarray
+    squares: np.ndarray
+    shift: np.ndarray
 
     @property
     def counts(self) -> np.ndarray:
         return np.diag(self.both)
 
     @property
-    def means(self) -> np.ndarray:
+    def offsets(self) -> np.ndarray:
+        """The means less the shift; 0 for a column without values."""
         with np.errstate(all="ignore"):
             return np.where(self.counts > 0, np.diag(self.mixed) / self.counts, 0.0)
 
+    @property
+    def means(self) -> np.ndarray:
+        return np.where(self.counts > 0, self.shift + self.offsets, 0.0)
+
+    def moved(self, shift: np.ndarray) -> Moments:
+        """The sums of the values less another shift."""
+        d = self.shift - shift
+        products = self.products + d[:, None] * self.mixed.T + self.mixed * d[None, :] + np.outer(d, d) * self.both
+        squares = self.squares + 2 * d[:, None] * self.mixed + (d * d)[:, None] * self.both
+        return Moments(self.columns, self.n, self.both, products, self.mixed + d[:, None] * self.both, squares, np.asarray(shift, float))
+
     def centred(self) -> np.ndarray:
         """Z'Z of the columns less their means, missing values as 0 after that."""
-        m = self.means
-        return self.products - m[:, None] * self.mixed.T - self.mixed * m[None, :] + np.outer(m, m) * self.both
+        return self.moved(self.shift + self.offsets).products
 
     def at(self, columns: Sequence[str]) -> list[int]:
         return [self.columns.index(c) for c in columns]
 
+    def correlation(self, i: int, j: int) -> float | None:
+        """Pearson over the rows that have both; None with fewer than 2 or without spread."""
+        n = self.both[i, j]
+        if n < 2:
+            return None
+        sx, sy = self.mixed[i, j], self.mixed[j, i]
+        sxx, syy, sxy = self.squares[i, j] - sx * sx / n, self.squares[j, i] - sy * sy / n, self.products[i, j] - sx * sy / n
+        return float(sxy / np.sqrt(sxx * syy)) if sxx > 0 and syy > 0 else None
+
+
+def _own_moments(x: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    x = x - shift
+    m = np.isfinite(x)
+    z, mf = np.where(m, x, 0.0), m.astype(float)
+    return np.concatenate([[len(x)], (mf.T @ mf).ravel(), (z.T @ z).ravel(), (z.T @ mf).ravel(), ((z * z).T @ mf).ravel(), shift])
+
 
-def moments(df: DataFrame, columns: Sequence[str], shift: Sequence[float] | None = None) -> Moments:
-    """Of the columns, less `shift` (rough means keep the sums exact where values are far from 0)."""
+def moments(df: DataFrame, columns: Sequence[str], centre: bool = False) -> Moments:
+    """Sums in one pass. With `centre` they are taken around rough means (those of a task's first rows), which keeps them
+    exact where values are far from 0; sums of several tasks are moved to one centre before they are added.
+    """
     p = len(columns)
-    moved = np.zeros(p) if shift is None else np.asarray(shift, float)
+
+    def unpacked(total: np.ndarray) -> Moments:
+        both, products, mixed, squares = total[1 : 1 + 4 * p * p].reshape(4, p, p)
+        return Moments(list(columns), int(total[0]), both, products, mixed, squares, total[1 + 4 * p * p :])
+
+    def added(parts: Iterator[bytes]) -> np.ndarray:
+        total = None
+        for part in parts:
+            one = np.frombuffer(part).copy()
+            if total is None or not total[0]:
+                total = one
+            elif one[0]:
+                m = unpacked(one).moved(total[1 + 4 * p * p :])
+                total[: 1 + 4 * p * p] += np.concatenate([[m.n], m.both.ravel(), m.products.ravel(), m.mixed.ravel(), m.squares.ravel()])
+        return np.zeros(1 + 4 * p * p + p) if total is None else total
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + 3 * p * p)
+        total = None
         for batch in batches:
-            x = _block(batch) - moved
-            m = np.isfinite(x)
-            z, mf = np.where(m, x, 0.0), m.astype(float)
-            total[0] += len(x)
-            total[1:] += np.concatenate([(mf.T @ mf).ravel(), (z.T @ z).ravel(), (z.T @ mf).ravel()])
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+            x = _block(batch)
+            if total is None or not total[0]:
+                near = np.where(np.isfinite(x), x, 0.0).sum(axis=0) / np.maximum(np.isfinite(x).sum(axis=0), 1) if centre else np.zeros(p)
+                total = _own_moments(x, near)
+            else:
+                total[: 1 + 4 * p * p] += _own_moments(x, total[1 + 4 * p * p :])[: 1 + 4 * p * p]
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 + 3 * p * p)
-        for batch in batches:
-            for part in batch.column(0).to_pylist():
-                total += np.frombuffer(part)
+        total = added(part for batch in batches for part in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
     parts = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]).mapInArrow(first, "sums binary")
     few = parts.repartition(BLOCKS).mapInArrow(second, "sums binary")
-    total = sum((np.frombuffer(r["sums"]) for r in few.collect()), np.zeros(1 + 3 * p * p))
-    both, products, mixed = total[1:].reshape(3, p, p)
-    return Moments(list(columns), int(total[0]), both, products, mixed)
+    return unpacked(added(bytes(r["sums"]) for r in few.collect()))
 
 
 def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -109,7 +151,7 @@ def iterative_impute(df: DataFrame, columns: Sequence[str], key: str, rounds: in
     """
     p = len(columns)
     rows = df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    shift = moments(rows, columns).means
+    shift = moments(rows, columns, centre=True).means
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
@@ -185,22 +227,28 @@ def _dot(columns: Sequence[str], weights: np.ndarray) -> Column:
     return sum((F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) * float(w) for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
 
 
-def deconfound(df: DataFrame, columns: Sequence[str], confounds: Sequence[str]) -> DataFrame:
-    """Columns less what the confounds explain (no intercept; missing values of a column count as 0 in the fit and stay missing)."""
-    if not confounds:
-        return df
+def deconfound_weights(df: DataFrame, columns: Sequence[str], confounds: Sequence[str]) -> np.ndarray:
+    """Confounds by columns: least squares without intercept, missing values of a column as 0; one pass."""
     m = moments(df, [*confounds, *columns])
     q = len(confounds)
     if (m.counts[:q] < m.n).any():
         raise ValueError("confounds must have no missing values")
-    w = np.linalg.pinv(m.products[:q, :q]) @ m.products[:q, q:]
-    return df.withColumns({c: F.col(f"`{c}`") - _dot(confounds, w[:, j]) for j, c in enumerate(columns)})
+    return np.linalg.pinv(m.products[:q, :q]) @ m.products[:q, q:]
+
+
+def remove_confounds(df: DataFrame, columns: Sequence[str], confounds: Sequence[str], weights: np.ndarray) -> DataFrame:
+    return df.withColumns({c: F.col(f"`{c}`") - _dot(confounds, weights[:, j]) for j, c in enumerate(columns)})
+
+
+def deconfound(df: DataFrame, columns: Sequence[str], confounds: Sequence[str]) -> DataFrame:
+    """Columns less what the confounds explain (no intercept; missing values of a column count as 0 in the fit and stay missing)."""
+    return remove_confounds(df, columns, confounds, deconfound_weights(df, columns, confounds)) if confounds else df
 
 
 def fit_pca(df: DataFrame, columns: Sequence[str], n_components: int | float | None = None) -> kernels.NanPca:
-    m = moments(df, columns)
-    shifted = moments(df, columns, m.means)
-    return kernels.NanPca.from_moments(m.means, shifted.centred(), m.n, n_components)
+    """In one pass over the rows."""
+    m = moments(df, columns, centre=True)
+    return kernels.NanPca.from_moments(m.means, m.centred(), m.n, n_components)
 
 
 def pca_scores(df: DataFrame, columns: Sequence[str], model: kernels.NanPca, prefix: str = "PC") -> DataFrame:
@@ -213,8 +261,8 @@ def pca_scores(df: DataFrame, columns: Sequence[str], model: kernels.NanPca, pre
 def fit_cca(df: DataFrame, x: Sequence[str], y: Sequence[str], n_components: int | None = None) -> kernels.Cca:
     """From one pass; rows with a missing value in either view are left out."""
     whole = df.na.drop("any", subset=[*x, *y])
-    m = moments(whole, [*x, *y])
-    s = moments(whole, [*x, *y], m.means).centred() / max(1, m.n - 1)
+    m = moments(whole, [*x, *y], centre=True)
+    s = m.centred() / max(1, m.n - 1)
     p = len(x)
     return kernels.Cca.from_moments(m.means[:p], m.means[p:], s[:p, :p], s[p:, p:], s[:p, p:], n_components)
 
@@ -227,30 +275,74 @@ def cca_scores(df: DataFrame, x: Sequence[str], y: Sequence[str], model: kernels
     return df.withColumns(out)
 
 
+def components_reaching(model: kernels.NanPca, fractions: Sequence[float]) -> list[int]:
+    """How many components have each share of the variance."""
+    return [int(np.searchsorted(np.cumsum(model.share), f, side="right")) + 1 for f in fractions]
+
+
+def rotate_to(df: DataFrame, scores: Sequence[str], reference: Sequence[str], mode: str = "aligned") -> DataFrame:
+    """df with the scores rotated to the reference columns; the rotation comes from sums of products of all rows, one pass."""
+    m = moments(df, [*scores, *reference])
+    cross = m.products[: len(scores), len(scores) :]
+    q = kernels.rotation(cross, mode)
+    turned = [sum((F.col(f"`{c}`") * float(w) for c, w in zip(scores, q[:, k], strict=True)), F.lit(0.0)) for k in range(len(scores))]
+    return df.withColumns(dict(zip(scores, turned, strict=True)))
+
+
+def cca_predict(df: DataFrame, x: Sequence[str], y: Sequence[str], model: kernels.Cca, suffix: str = "_predicted") -> DataFrame:
+    """df with each column of the second view as the first view's canonical scores give it."""
+    w = model.weights[0] * model.correlations @ np.linalg.pinv(model.weights[1])
+    value = lambda j: sum(((F.col(f"`{c}`").cast("double") - float(m)) * float(w[i, j]) for i, (c, m) in enumerate(zip(x, model.means[0], strict=True))), F.lit(float(model.means[1][j])))
+    return df.withColumns({f"{c}{suffix}": value(j) for j, c in enumerate(y)})
+
+
+def pca_restore(df: DataFrame, columns: Sequence[str], model: kernels.NanPca, prefix: str = "PC", suffix: str = "_restored") -> DataFrame:
+    """df with the columns as the components' scores give them."""
+    value = lambda j: sum((F.col(f"{prefix}{k + 1}") * float(model.components[j, k]) for k in range(model.components.shape[1])), F.lit(float(model.mean[j])))
+    return df.withColumns({f"{c}{suffix}": value(j) for j, c in enumerate(columns)})
+
+
 def loadings(df: DataFrame, features: Sequence[str], scores: Sequence[str], normalise: bool = True) -> DataFrame:
     """feature, component (from 1), loading: pairwise-complete correlations, or products with missing values as 0; one pass."""
-    m = moments(df, [*features, *scores])
+    m = moments(df, [*features, *scores], centre=normalise)
     rows = []
     for f in features:
         for k, s in enumerate(scores):
             i, j = m.columns.index(f), m.columns.index(s)
-            if not normalise:
-                rows.append((f, k + 1, float(m.products[i, j])))
-                continue
-            rows.append((f, k + 1, pair_correlation(m, i, j, df, f, s)))
+            rows.append((f, k + 1, m.correlation(i, j) if normalise else float(m.products[i, j])))
     return df.sparkSession.createDataFrame(rows, "feature string, component int, loading double")
 
 
-def pair_correlation(m: Moments, i: int, j: int, df: DataFrame | None = None, a: str = "", b: str = "") -> float | None:
-    """Pearson over the rows that have both; sums of squares over those rows come from a second look only if values are missing."""
-    n = m.both[i, j]
-    if n < 2:
-        return None
-    if m.both[i, i] == m.both[j, j] == n:
-        sx, sy = m.mixed[i, i], m.mixed[j, j]
-        sxx, syy, sxy = m.products[i, i] - sx * sx / n, m.products[j, j] - sy * sy / n, m.products[i, j] - sx * sy / n
-        return float(sxy / np.sqrt(sxx * syy)) if sxx > 0 and syy > 0 else None
-    return df.agg(F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double"))).first()[0]
+def simple_regressions(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
+    """keys, slope, intercept, r2 of y on x in each group, over the rows that have both."""
+    return df.groupBy(*keys).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_r2(y, x).alias("r2"))
+
+
+def regression_scores(df: DataFrame, components: Sequence[str], covariates: Sequence[str], y: str, fitted: Column, cumulative: bool = False, method: str = "r2", root: bool = False) -> DataFrame:
+    """components, set_name (fit, test), score: of least squares with intercept, fitted on the rows of `fitted`, scored on those and on the others.
+
+    A regression for each component, or for the first 1, 2, ... of them, with the covariates always in: r2 or mse, if
+    wanted its root. One pass over each of the two sets; rows with a missing value don't count.
+    """
+    if method not in ("r2", "mse"):
+        raise ValueError(f"unknown score {method}")
+    names = [y, *components, *covariates]
+    whole = df.withColumn("_fitted", F.coalesce(fitted, F.lit(False))).na.drop("any", subset=names)
+    parts = {name: moments(whole.where("_fitted" if name == "fit" else "not _fitted"), names, centre=True) for name in ("fit", "test")}
+    own = parts["fit"]
+    z = own.centred()
+    always = own.at(covariates)
+    rows = []
+    for k in range(len(components)):
+        at = [*(range(1, k + 2) if cumulative else [k + 1]), *always]
+        beta = np.linalg.lstsq(z[np.ix_(at, at)], z[at, 0], rcond=None)[0]
+        for name, part in parts.items():
+            q, mean = part.centred(), part.means
+            shift = (mean[0] - own.means[0]) - (mean[at] - own.means[at]) @ beta
+            residual = q[0, 0] - 2 * beta @ q[at, 0] + beta @ q[np.ix_(at, at)] @ beta + part.n * shift**2
+            value = (residual / part.n if method == "mse" else 1 - residual / q[0, 0]) if part.n and q[0, 0] else None
+            rows.append((k + 1, name, None if value is None else float(np.sqrt(value)) if root else float(value)))
+    return df.sparkSession.createDataFrame(rows, "components int, set_name string, score double")
 
 
 def pairwise_score(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:

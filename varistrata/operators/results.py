@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from dataclasses import asdict, dataclass, is_dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
 QUANTILES = (0.025, 0.975, 0.05, 0.95)
 
 
@@ -39,7 +40,7 @@ def significance_mask(means: DataFrame, null: DataFrame, feature: str = "feature
     null: feature, low, high of one (the largest) size. A band without width counts as missing; missing bounds get the mean bound.
     """
     band = null.select(feature, F.when(F.col("low") != F.col("high"), F.col("low")).alias("low"), F.when(F.col("low") != F.col("high"), F.col("high")).alias("high"))
-    joined = means.join(F.broadcast(band), feature, "left")
+    joined = means.join(band, feature, "left")
     over = Window.partitionBy(*keys)
     filled = joined.withColumns({"low": F.coalesce("low", F.avg("low").over(over)), "high": F.coalesce("high", F.avg("high").over(over))})
     return filled.withColumn("masked", (F.col("low") < F.col("value")) & (F.col("value") < F.col("high")))
@@ -83,7 +84,7 @@ def align_signs(loadings: DataFrame, reference: DataFrame, anchor_dataset: str =
     here = reference.where((F.col("dataset") == anchor_dataset) & (F.col("set_name") == "learn"))
     anchors = sign_anchor(here, ["cca_type", "component"], "feature", "loading").select("cca_type", "component", F.col("anchor").alias("feature"))
     keys = ["subset", "sample_size", "rep", "cca_type", "component"]
-    own = loadings.where((F.col("dataset") == anchor_dataset) & (F.col("set_name") == "learn")).join(F.broadcast(anchors), ["cca_type", "component", "feature"])
+    own = loadings.where((F.col("dataset") == anchor_dataset) & (F.col("set_name") == "learn")).join(anchors, ["cca_type", "component", "feature"])
     signs = own.groupBy(*keys).agg(F.when(F.first("loading") < 0, -1.0).otherwise(1.0).alias("_sign"))
     turn = lambda df, value: df.join(signs, keys, "left").withColumn(value, F.col(value) * F.coalesce("_sign", F.lit(1.0))).drop("_sign")
     return turn(loadings, "loading"), None if scores is None else turn(scores, "value")
@@ -107,7 +108,7 @@ def null_threshold(null: DataFrame, keys: Sequence[str], value: str = "r_val", q
 
 def first_size_over(stats: DataFrame, thresholds: DataFrame, keys: Sequence[str], deviations: float = 1.0, size: str = "sample_size") -> DataFrame:
     """keys, size: the least size whose mean is over threshold + deviations * std."""
-    joined = stats.join(F.broadcast(thresholds), list(keys))
+    joined = stats.join(thresholds, list(keys))
     return joined.where(F.col("mean") > F.col("threshold") + deviations * F.coalesce("std", F.lit(0.0))).groupBy(*keys).agg(F.min(size).alias(size))
 
 
@@ -135,8 +136,8 @@ def size_gap(df: DataFrame, keys: Sequence[str], size: str = "sample_size") -> D
 
 def use_largest_null(null: DataFrame, sizes: DataFrame, size: str = "sample_size") -> DataFrame:
     """The rows of the largest size of null, for every size."""
-    most = null.agg(F.max(size).alias("_most"))
-    return null.join(F.broadcast(most), F.col(size) == F.col("_most")).drop("_most", size).crossJoin(F.broadcast(sizes.select(size).distinct()))
+    most = null.agg(F.max(size).alias("_most"))  # one row
+    return null.join(F.broadcast(most), F.col(size) == F.col("_most")).drop("_most", size).join(sizes.select(size).distinct())
 
 
 def overlaps(members: DataFrame, key: str = "eid", group: str = "subset") -> DataFrame:
@@ -162,43 +163,150 @@ def code_label(column: str, names: dict[int, str]) -> Column:
     return out
 
 
-def bootstrap_intervals(df: DataFrame, keys: Sequence[str], value: str, level: float = 95, draws: int = 1000, seed: int = 3791) -> DataFrame:
-    """keys, low, high: percentile interval of the mean.
+def poisson_thresholds() -> list[str]:
+    """Four hexadecimal digits each: a uniform number from 0 to ffff counts as often as it reaches one of them, by Poisson's law with mean 1."""
+    share, term, out, k = 0.0, math.exp(-1), [], 0
+    while (reached := round((share := share + term) * 65536)) < 65536:
+        out.append(f"{reached:04x}")
+        k += 1
+        term /= k
+    return out
+
 
-    Each row counts a Poisson number of times in each resample; sums of the resamples are added up where the rows lie, so no group is gathered.
+def bootstrap_intervals(df: DataFrame, keys: Sequence[str], value: str, level: float = 95, draws: int = 1000, seed: int = 3791, row: str | None = None) -> DataFrame:
+    """keys, low, high: percentile interval of the mean of the present values.
+
+    Each row counts a Poisson number of times in each resample, by a hash of the resample and of the column `row`, which
+    tells rows apart (without it, of the row's place, so intervals then depend a little on how the rows are stored).
+    Sums of the resamples are added up where the rows lie, so no group is gathered. A resample of a group in which no
+    row counts is left out.
     """
-    import numpy as np
-    import pyarrow as pa
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    names = list(keys)
-    kinds = [df.schema[k] for k in names]
-    schema = T.StructType([*kinds, T.StructField("sums", T.ArrayType(T.DoubleType())), T.StructField("counts", T.ArrayType(T.DoubleType()))])
-    arrow = to_arrow_schema(schema)
-
-    def run(batches):
-        import zlib
-
-        groups: dict[tuple, list] = {}
-        for batch in batches:
-            table = batch.to_pylist()
-            for r in table:
-                if r["_value"] is None:
-                    continue
-                rng = np.random.default_rng([seed, zlib.crc32(repr((r["_value"], r["_at"])).encode())])
-                w = rng.poisson(1.0, draws)
-                held = groups.setdefault(tuple(r[k] for k in names), [np.zeros(draws), np.zeros(draws)])
-                held[0] += w * r["_value"]
-                held[1] += w
-        columns = {k: [g[i] for g in groups] for i, k in enumerate(names)}
-        yield pa.RecordBatch.from_pydict(columns | {"sums": [h[0].tolist() for h in groups.values()], "counts": [h[1].tolist() for h in groups.values()]}, schema=arrow)
-
-    parts = df.select(*names, F.col(value).cast("double").alias("_value"), F.xxhash64(*df.columns).alias("_at")).mapInArrow(run, schema)
-    each = parts.select(*names, F.posexplode(F.arrays_zip("sums", "counts")).alias("draw", "x")).groupBy(*names, "draw").agg((F.sum("x.sums") / F.sum("x.counts")).alias("mean"))
+    tag = F.monotonically_increasing_id() if row is None else F.col(row)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"), tag.cast("string").alias("_row"))
+    # One hash has the digits of eight resamples.
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 8))).alias("_b"))
+    digits = F.md5(F.concat_ws("-", F.lit(str(seed)), "_row", F.col("_b").cast("string")))
+    split = each.withColumn("_h", digits).select(*keys, "_value", "_b", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("_h").substr(4 * i + 1, F.lit(4)))).alias("_i", "_x"))
+    counted = sum(((F.col("_x") >= t).cast("int") for t in poisson_thresholds()), F.lit(0))
+    weighed = split.withColumn("_draw", F.col("_b") * 8 + F.col("_i")).where(f"_draw < {draws}").withColumn("_w", counted).where("_w > 0")
+    means = weighed.groupBy(*keys, "_draw").agg((F.sum(F.col("_w") * F.col("_value")) / F.sum("_w")).alias("_mean"))
     low, high = (50 - level / 2) / 100, (50 + level / 2) / 100
-    return each.groupBy(*names).agg(F.percentile("mean", F.lit(low)).alias("low"), F.percentile("mean", F.lit(high)).alias("high"))
+    return means.groupBy(*keys).agg(F.percentile("_mean", F.lit(low)).alias("low"), F.percentile("_mean", F.lit(high)).alias("high"))
+
+
+def subset_label(df: DataFrame) -> DataFrame:
+    """df with subset_cca_type, the two in one."""
+    return df.withColumn("subset_cca_type", F.concat_ws("-", "subset", "cca_type"))
+
+
+def mark_reference(df: DataFrame, column: str, reference) -> DataFrame:
+    """df with is_ref: whether the column has the reference's value."""
+    return df.withColumn("is_ref", F.coalesce(F.col(column) == F.lit(reference), F.lit(False)))
+
+
+def correlation_table(df: DataFrame) -> DataFrame:
+    """Correlations in the order of subset, cca_type, size and repetition."""
+    return df.orderBy("subset", "cca_type", "sample_size", "rep", *[c for c in ("component", "set_name") if c in df.columns])
+
+
+def repetition_matrix(df: DataFrame, features: Sequence[str], rep: str = "rep", feature: str = "feature", value: str = "loading") -> DataFrame:
+    """A row for each repetition, a column for each feature, in order of the repetitions."""
+    return df.groupBy(rep).pivot(feature, list(features)).agg(F.first(value, ignorenulls=True)).orderBy(rep)
+
+
+def by_largest_size(table: DataFrame, sizes: Sequence[int], feature: str = "feature") -> DataFrame:
+    """Rows of a table with a column for each size, largest values of the largest size first, NULL last."""
+    return table.orderBy(F.desc_nulls_last(f"`{max(sizes)}`"), feature)
+
+
+def key_product(*tables: DataFrame) -> DataFrame:
+    """All combinations of the distinct rows of small key tables."""
+    out = tables[0].distinct()
+    for t in tables[1:]:
+        out = out.crossJoin(t.distinct())
+    return out
+
+
+def multiply_correlations(df: DataFrame, factors: Sequence[float], value: str = "corr") -> DataFrame:
+    """Correlations of component k times the k-th factor; there must be one for each component."""
+    n = df.agg(F.max("component")).first()[0]
+    if n != len(factors):
+        raise ValueError(f"{len(factors)} factors for {n} components")
+    return df.withColumn(value, F.col(value) * F.element_at(F.array(*[F.lit(float(f)) for f in factors]), F.col("component").cast("int")))
+
+
+def ensemble_scores(df: DataFrame, keys: Sequence[str], value: str = "value", method: str | Callable[[str], Column] = "nanmean") -> DataFrame:
+    """keys, value: one score for each key from those of several models. Without `nan` a missing one makes the result NULL."""
+    if callable(method):
+        return df.groupBy(*keys).agg(method(value).alias(value))
+    known = {"mean": F.avg, "median": lambda c: F.percentile(c, F.lit(0.5))}
+    if method.removeprefix("nan") not in known:
+        raise ValueError(f"unknown ensemble {method}")
+    found = known[method.removeprefix("nan")](value)
+    return df.groupBy(*keys).agg((found if method.startswith("nan") else F.when(F.count(value) == F.count("*"), found)).alias(value))
+
+
+@dataclass(frozen=True)
+class Nested:
+    """Values under keys of several levels, as rows; a key with several rows holds a list."""
+
+    frame: DataFrame
+    levels: tuple[str, ...]
+    value: str = "value"
+
+    def _match(self, key: Sequence, whole: bool) -> Column:
+        if len(key) > len(self.levels) or (whole and len(key) < len(self.levels)):
+            raise KeyError(f"{len(key)} keys for {len(self.levels)} levels")
+        return reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.lit(k)) for n, k in zip(self.levels, key, strict=False)], F.lit(True))
+
+    def get(self, *key) -> list:
+        """The values under a whole key."""
+        found = [r[0] for r in self.frame.where(self._match(key, True)).select(self.value).collect()]
+        if not found:
+            raise KeyError(key)
+        return found
+
+    def under(self, *prefix) -> Nested:
+        """What is under the first levels, by the levels that are left."""
+        left = self.levels[len(prefix) :]
+        return Nested(self.frame.where(self._match(prefix, False)).select(*left, self.value), left, self.value)
+
+    def _with(self, frame: DataFrame, key: Sequence, value) -> Nested:
+        row = frame.sparkSession.createDataFrame([(*key, value)], frame.select(*self.levels, self.value).schema)
+        return replace(self, frame=frame.select(*self.levels, self.value).unionByName(row))
+
+    def put(self, key: Sequence, value) -> Nested:
+        """The value in place of what is under the key."""
+        return self._with(self.frame.where(~self._match(key, True)), key, value)
+
+    def append(self, key: Sequence, value) -> Nested:
+        """The value after those under the key."""
+        self._match(key, True)
+        return self._with(self.frame, key, value)
+
+    def apply(self, functions: dict[str, Callable[[str], Column]]) -> DataFrame:
+        """One row for each key, a column for each function of its values."""
+        return self.frame.groupBy(*self.levels).agg(*[fn(self.value).alias(n) for n, fn in functions.items()])
+
+
+def list_mean(column: str) -> Column:
+    """The mean of an array's present values; NULL without any."""
+    have = F.filter(column, lambda x: x.isNotNull())
+    return F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, x: a + x), F.size(have))
+
+
+def list_std(column: str) -> Column:
+    """The deviation (with n) of an array's present values."""
+    have = F.filter(column, lambda x: x.isNotNull())
+    mean = list_mean(column)
+    return F.sqrt(F.try_divide(F.aggregate(have, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)), F.size(have)))
 
 
+def told(settings) -> str:
+    """The parameters of a settings object or mapping, a line for each."""
+    items = asdict(settings) if is_dataclass(settings) else dict(settings)
+    width = max(map(len, map(str, items)), default=0)
+    return "\n".join(f"{name!s:<{width}}  {value}" for name, value in items.items())
 
 
 def heatmap_tables(means: DataFrame, stds: DataFrame, null: DataFrame, sizes: Sequence[int], feature: str = "feature", size: str = "sample_size") -> dict[str, DataFrame]:

@@ -41,17 +41,31 @@ def _order(key: str, *parts: Column) -> Column:
     return F.md5(F.concat_ws("-", F.col(key).cast("string"), *[p.cast("string") for p in parts]))
 
 
+def _hash_number(*parts: Column) -> Column:
+    """A whole number from 0 to 2**48 - 1."""
+    return F.conv(F.substring(F.md5(F.concat_ws("-", *[p.cast("string") for p in parts])), 1, 12), 16, 10).cast("long")
+
+
 def _positions(df: DataFrame, keys: list[str], key: str) -> DataFrame:
-    """df with `pos` from 1 in the order of `_o` (then key) within keys.
+    """df with `pos` from 1 in the order of `_o` (then key) within keys, and `_held`, how many rows those keys have.
 
     The first three digits of the hash part the rows into 4096 ranges; a range's rows are numbered by themselves
     and start where the ranges before end, so no repetition is sorted in one task.
     """
     ranged = df.withColumn("_range", F.substring("_o", 1, 3))
     before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    counts = ranged.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
+    starts = counts.withColumns({"_start": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_held": F.sum("_n").over(Window.partitionBy(*keys))}).drop("_n")
     within = F.row_number().over(Window.partitionBy(*keys, "_range").orderBy("_o", key))
-    return ranged.withColumn("_row", within).join(starts, [*keys, "_range"]).withColumn("pos", (F.col("_start") + F.col("_row")).cast("int")).drop("_range", "_row", "_start")
+    numbered = ranged.withColumn("_row", within).alias("n")
+    same = [F.col(f"n.{k}").eqNullSafe(F.col(f"s.{k}")) for k in (*keys, "_range")]  # a NULL stratum is one
+    joined = numbered.join(starts.alias("s"), same).withColumn("pos", (F.col("_start") + F.col("_row")).cast("int"))
+    return joined.select(*[F.col(f"n.{c}") for c in df.columns], "pos", "_held")
+
+
+def ordered_places(df: DataFrame, key: str, seed: str) -> DataFrame:
+    """df with `pos` from 1 in the order of a hash of the key."""
+    return _positions(df.withColumns({"_o": _order(key, F.lit(seed)), "_all": F.lit(0)}), ["_all"], key).drop("_o", "_all", "_held")
 
 
 def split_in_out(subjects: DataFrame, n_reps: int, n_in: int, key: str = "eid", strata: str | None = None, seed: int | None = None) -> DataFrame:
@@ -82,32 +96,70 @@ def stratified_quota(counts: dict, n: int) -> dict:
     return out
 
 
-def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "eid", subset: str = "all", replace: bool = False, match_validation: bool = False, strata: str | None = None, seed: int = SEED, n_in: int | None = None) -> DataFrame:
+def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "eid", subset: str = "all", replace: bool = False, match_validation: bool = False, strata: str | None = None, seed: int = SEED, n_in: int | None = None, cut: bool = True) -> DataFrame:
     """subset, rep, sample_size, set_name, draw, key: the learning sample of each size within the largest, and the validation sample.
 
     Learning subjects come from the first n_in (half of all, or the largest size if that is more) of a repetition's
     order, validation subjects from the rest: all of them (sample_size null), or as many as the size. With replacement, a draw takes the subject at a hashed place, and
-    `draw` tells repeated ones apart.
+    `draw` tells repeated ones apart. strata: each group gives its share of the first n_in and of every draw.
+
+    A draw without replacement or strata looks only at subjects whose hash is so low that the sample lies among them but
+    for a chance of one in 10**20; it stops if that is ever not so (cut=False looks at all).
     """
-    inside = max(subjects.count() // 2, *sizes) if n_in is None else n_in
+    n = subjects.count()
+    inside = max(n // 2, *sizes) if n_in is None else n_in
     places = split_in_out(subjects, n_reps, inside, key, strata, seed)
     spark = subjects.sparkSession
     wanted = F.broadcast(spark.createDataFrame([(int(s),) for s in sizes], "sample_size int"))
-    def draw(pool: DataFrame, name: str) -> DataFrame:
+    if strata is not None:
+        places = places.join(subjects.select(key, F.col(strata).alias("_g")), key)
+
+    def hashed(pool: DataFrame, name: str) -> DataFrame:
+        return pool.drop("pos").crossJoin(wanted).withColumn("_o", _order(key, F.col("rep"), F.col("sample_size"), F.lit(f"{name}{seed}")))
+
+    def draw(pool: DataFrame, name: str, held: int) -> DataFrame:
+        if strata is not None:
+            return stratified(pool, name)
         if not replace:
-            crossed = pool.drop("pos").crossJoin(wanted).withColumn("_o", _order(key, F.col("rep"), F.col("sample_size"), F.lit(f"{name}{seed}")))
+            crossed = hashed(pool, name)
+            if cut:
+                share = (F.col("sample_size") + 10 * F.sqrt("sample_size") + 50) / held
+                crossed = crossed.where(F.conv(F.substring("_o", 1, 8), 16, 10).cast("double") < share * float(1 << 32))
             ranked = _positions(crossed, ["rep", "sample_size"], key).withColumnRenamed("pos", "draw")
+            if cut:
+                short = (F.col("_held") < F.least(F.col("sample_size"), F.lit(held)))
+                ranked = ranked.where(F.when(short, F.raise_error(F.lit("a sample lies beyond the cut: use cut=False"))).otherwise(F.lit(True)).cast("boolean"))
             return ranked.where("draw <= sample_size").select("rep", "sample_size", "draw", key)
-        numbered = _positions(pool.drop("pos").withColumn("_o", _order(key, F.col("rep"), F.lit(f"{name}{seed}"))), ["rep"], key).withColumnRenamed("pos", "_at").drop("_o")
-        held = numbered.groupBy("rep").agg(F.max("_at").alias("_held"))
-        draws = held.crossJoin(wanted).select("rep", "sample_size", "_held", F.explode(F.sequence(F.lit(1), "sample_size")).alias("draw"))
-        at = draws.withColumn("_at", (F.pmod(F.xxhash64("rep", "sample_size", "draw", F.lit(seed), F.lit(name)), F.col("_held")) + 1).cast("int"))
+        numbered = _positions(pool.drop("pos").withColumn("_o", _order(key, F.col("rep"), F.lit(f"{name}{seed}"))), ["rep"], key).withColumnRenamed("pos", "_at").drop("_o", "_held")
+        most = numbered.groupBy("rep").agg(F.max("_at").alias("_held"))
+        draws = most.crossJoin(wanted).select("rep", "sample_size", "_held", F.explode(F.sequence(F.lit(1), "sample_size")).alias("draw"))
+        at = draws.withColumn("_at", (F.pmod(_hash_number(F.col("rep"), F.col("sample_size"), F.col("draw"), F.lit(seed), F.lit(name)), F.col("_held")) + 1).cast("int"))
         return at.join(numbered, ["rep", "_at"]).select("rep", "sample_size", "draw", key)
 
-    inside, outside = places.where("is_in"), places.where("not is_in")
-    learn = draw(inside, "learn").withColumn("set_name", F.lit("learn"))
+    def stratified(pool: DataFrame, name: str) -> DataFrame:
+        """Each group's share of every size: whole numbers, then the largest remainders, as the pool of a repetition has the groups."""
+        groups = pool.groupBy("rep", "_g").agg(F.count("*").alias("_c")).crossJoin(wanted)
+        exact = F.col("sample_size") * F.col("_c") / F.sum("_c").over(Window.partitionBy("rep", "sample_size"))
+        based = groups.withColumn("_base", F.floor(exact)).withColumn("_left", exact - F.col("_base"))
+        rest = F.col("sample_size") - F.sum("_base").over(Window.partitionBy("rep", "sample_size"))
+        turn = F.row_number().over(Window.partitionBy("rep", "sample_size").orderBy(F.desc("_left"), F.col("_g").cast("string")))
+        quotas = based.withColumns({"_rest": rest, "_turn": turn}).select("rep", "sample_size", F.col("_g").alias("_group"), (F.col("_base") + (F.col("_turn") <= F.col("_rest")).cast("int")).cast("int").alias("_q"), F.col("_c").alias("_members"))
+        if replace:
+            numbered = _positions(pool.drop("pos").withColumn("_o", _order(key, F.col("rep"), F.lit(f"{name}{seed}"))), ["rep", "_g"], key).select("rep", F.col("_g").alias("_group"), F.col("pos").alias("_at"), key)
+            draws = quotas.where("_q > 0").select("*", F.explode(F.sequence(F.lit(1), "_q")).alias("_k"))
+            at = draws.withColumn("_at", (F.pmod(_hash_number(F.col("rep"), F.col("sample_size"), F.coalesce(F.col("_group").cast("string"), F.lit("")), F.col("_k"), F.lit(seed), F.lit(name)), F.col("_members")) + 1).cast("int"))
+            chosen = at.alias("a").join(numbered.alias("n"), (F.col("a.rep") == F.col("n.rep")) & F.col("a._group").eqNullSafe(F.col("n._group")) & (F.col("a._at") == F.col("n._at"))).select("a.rep", "sample_size", "_k", "a._group", key)
+            by = Window.partitionBy("rep", "sample_size").orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col("_k").cast("string"))), "_k", key)
+            return chosen.withColumn("draw", F.row_number().over(by)).select("rep", "sample_size", "draw", key)
+        ranked = _positions(hashed(pool, name), ["rep", "sample_size", "_g"], key).withColumnRenamed("pos", "_at").alias("r")
+        chosen = ranked.join(F.broadcast(quotas).alias("q"), (F.col("r.rep") == F.col("q.rep")) & (F.col("r.sample_size") == F.col("q.sample_size")) & F.col("r._g").eqNullSafe(F.col("q._group"))).where("_at <= _q")
+        own = _positions(chosen.select("r.rep", "r.sample_size", "r._o", f"r.{key}"), ["rep", "sample_size"], key)
+        return own.select("rep", "sample_size", F.col("pos").alias("draw"), key)
+
+    kept, outside = places.where("is_in"), places.where("not is_in")
+    learn = draw(kept, "learn", inside).withColumn("set_name", F.lit("learn"))
     if match_validation:
-        held_out = draw(outside, "val").withColumn("set_name", F.lit("val"))
+        held_out = draw(outside, "val", n - inside).withColumn("set_name", F.lit("val"))
     else:
         held_out = outside.select("rep", F.lit(None).cast("int").alias("sample_size"), F.col("pos").alias("draw"), key).withColumn("set_name", F.lit("val"))
     return learn.unionByName(held_out).select(F.lit(subset).alias("subset"), "rep", "sample_size", "set_name", "draw", key)

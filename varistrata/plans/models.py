@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from varistrata.operators import columns, experiment, linear, results, sampling
@@ -17,9 +16,12 @@ def deconfound_one(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 4).alias("x"))
 
 
-@query("WITH e AS (SELECT CAST(embedding[1] AS DOUBLE) AS x0, CAST(embedding[2] AS DOUBLE) AS x1, CAST(embedding[3] AS DOUBLE) AS x2 FROM embeddings) " + " UNION ALL ".join(f"SELECT 'x{i}' AS i, 'x{j}' AS j, round(sum(x{i} * x{j}), 6) AS value FROM e" for i in range(3) for j in range(i, 3)))
+EMBEDDED = [f"{v}{i}" for v in "xy" for i in range(32)]
+
+
+@query("WITH e AS (SELECT CASE WHEN d <= 32 THEN concat('x', d - 1) ELSE concat('y', d - 33) END AS name, d, vec_id, CAST(embedding[d] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS d)) SELECT a.name AS i, b.name AS j, round(sum(a.v * b.v), 6) AS value FROM e a JOIN e b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2")
 def gram_matrix(spark, sf_dir):
-    return linear.gram_matrix(A.halves(spark, sf_dir), ["x0", "x1", "x2"]).select("i", "j", A.r6(F.col("value")).alias("value"))
+    return linear.gram_matrix(A.halves(spark, sf_dir), EMBEDDED).select("i", "j", A.r6(F.col("value")).alias("value"))
 
 
 @query("""WITH s AS (SELECT regr_sxx(v, q) AS qq, regr_syy(v, q) AS vv, regr_sxy(v, q) AS qv, count(*) AS n FROM (SELECT l_quantity AS q, l_discount * 100 AS v FROM lineitem)),
@@ -56,8 +58,7 @@ def loadings_unnormalised(spark, sf_dir):
 
 @query("SELECT l_returnflag, round(regr_r2(l_extendedprice, l_quantity), 6) AS r2, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM lineitem GROUP BY 1")
 def lr_r2(spark, sf_dir):
-    l = A.table(spark, sf_dir, "lineitem")  # noqa: E741
-    return l.groupBy("l_returnflag").agg(A.r6(F.regr_r2("l_extendedprice", "l_quantity")).alias("r2"), F.round(F.regr_slope("l_extendedprice", "l_quantity"), 4).alias("slope"))
+    return linear.simple_regressions(A.table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_extendedprice").select("l_returnflag", A.r6(F.col("r2")).alias("r2"), F.round("slope", 4).alias("slope"))
 
 
 VIEW_A, VIEW_B, CONFOUNDS = ["a0", "a1", "a2"], ["b0", "b1", "b2"], ["c0", "c1"]
@@ -74,7 +75,7 @@ def cca_full(spark, sf_dir):
 @query()
 def nan_pca(spark, sf_dir):
     w = A.wide(spark, sf_dir).withColumnsRenamed({c: "v" + c.replace("-", "_").replace(".", "_") for c in A.COLUMNS})
-    names = [c for c in w.columns if c != "eid"][:20]
+    names = [c for c in w.columns if c != "eid"]
     model = linear.fit_pca(w, names, 5)
     return linear.pca_scores(w, names, model).select("eid", *[f"PC{k + 1}" for k in range(5)])
 
@@ -95,7 +96,8 @@ def _grid(spark, sf_dir, null_model: bool = False, reps: int = 3, **settings):
     design = sampling.design(frame.select("eid"), sizes, reps)
     names = {"behavioural": [f"x{i}" for i in range(32)], "brain": [f"y{i}" for i in range(32)]}
     chosen = experiment.Settings(**({"n_pcs": (5, 5), "cv_reps": 2} | settings))
-    return experiment.run_grid(frame, names, design, chosen, ["c0", "c1", "c2"], [*names["behavioural"], *names["brain"]], null_model)
+    types = {c: 31 for c in EMBEDDED} | {f"c{k}": 21 for k in range(3)}
+    return experiment.run_grid(frame, names, design, chosen, ["c0", "c1", "c2"], null_model=null_model, value_type=types)
 
 
 @query()
@@ -103,15 +105,14 @@ def repeated_cv_ensemble(spark, sf_dir):
     return _grid(spark, sf_dir)
 
 
+@query()
+def cross_validation(spark, sf_dir):
+    """The models of one split into folds, each scored on its own rows and on those left out."""
+    return _grid(spark, sf_dir, cca_types=("cv",)).where("cca_type = 'cv'").select("sample_size", "rep", "set_name", "component", F.col("pos").alias("fold"), F.col("value").alias("corr"))
+
+
 @query()
 def null_model_band(spark, sf_dir):
     """Quantiles of the validation correlations of shuffled data."""
     out = _grid(spark, sf_dir, null_model=True, reps=8, cca_types=("without_cv",))
     return results.null_quantiles(out.where("metric = 'corr' and set_name = 'val'"), ["subset", "sample_size", "cca_type", "component"], "value", skip_missing=False)
-
-
-def twin_cca(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Canonical correlations by QR and SVD, for tests."""
-    qx, _ = np.linalg.qr(x - x.mean(axis=0))
-    qy, _ = np.linalg.qr(y - y.mean(axis=0))
-    return np.linalg.svd(qx.T @ qy, compute_uv=False)

@@ -176,4 +176,4 @@ def result_paths(spark, sf_dir):
 @query("SELECT DISTINCT a.region AS a, b.region AS b FROM (SELECT r_name AS region FROM region) a, (SELECT r_name AS region FROM region) b")
 def key_cross_product(spark, sf_dir):
     r = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("a"))
-    return r.crossJoin(F.broadcast(r.select(F.col("a").alias("b")))).distinct()
+    return results.key_product(r, r.select(F.col("a").alias("b")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from varistrata.functions import normal
 from varistrata.operators import columns, results, sampling
 from varistrata.plans import adapters as A
 from varistrata.plans.registry import query
@@ -43,12 +44,14 @@ def column_filter(spark, sf_dir):
     return spark.createDataFrame([(c,) for c in kept], "col string")
 
 
-@query(f"""WITH {A.LONG}, v AS (SELECT eid, avg(value) AS m, stddev_samp(value) AS s FROM long WHERE col IN ('102-1.0', '102-1.1', '102-1.2') GROUP BY 1)
-SELECT eid, round(m, 6) AS mean3, round(s, 6) AS std3 FROM v""")
+@query(f"""WITH {A.LONG} SELECT eid, split_part(col, '.', 1) AS field, round(avg(value), 6) AS mean3, round(stddev_samp(value), 6) AS std3 FROM long GROUP BY 1, 2""")
 def row_mean_std(spark, sf_dir):
-    own = [c for c in A.COLUMNS if c.startswith("102-1.")]
-    out = columns.row_mean_std(A.wide(spark, sf_dir).select("eid", *[F.col(f"`{c}`") for c in own]), own, "102")
-    return out.select("eid", A.r6(F.col("`102-1.0_mean3`")).alias("mean3"), A.r6(F.col("`102-1.0_std3`")).alias("std3"))
+    """Every field and instance of the wide table."""
+    out, told = A.wide(spark, sf_dir), []
+    for field in dict.fromkeys(c.split(".")[0] for c in A.COLUMNS):
+        out = columns.row_mean_std(out, [c for c in A.COLUMNS if c.startswith(f"{field}.")], field.split("-")[0])
+        told.append(F.struct(F.lit(field).alias("field"), A.r6(F.col(f"`{field}.0_mean3`")).alias("mean3"), A.r6(F.col(f"`{field}.0_std3`")).alias("std3")))
+    return out.select("eid", F.inline(F.array(*told)))
 
 
 @query(f"WITH {A.LONG}, m AS (SELECT eid, CAST(sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS DOUBLE) / {len(A.COLUMNS)} AS f FROM long GROUP BY 1) SELECT CAST(least(floor(f * 21), 20) AS BIGINT) AS bin, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY 1")
@@ -98,17 +101,18 @@ def describe_columns(spark, sf_dir):
     return d.select(F.col("column").alias("col"), "n", "low", "high", *[A.r6(F.col(c)).alias(c) for c in ("mean", "sd", "middle")])
 
 
-@query("SELECT c_mktsegment, CAST(count(*) AS BIGINT) AS n, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS sd, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS BIGINT) AS negative, round(100.0 * count(*) / (SELECT count(*) FROM customer), 6) AS percent FROM customer GROUP BY 1")
+@query("""WITH g AS (SELECT c_mktsegment, 'c_acctbal' AS col, CAST(NULL AS VARCHAR) AS level, CAST(count(*) AS BIGINT) AS n, CAST(NULL AS DOUBLE) AS percent, round(avg(c_acctbal), 6) AS mean, round(stddev_samp(c_acctbal), 6) AS sd FROM customer GROUP BY 1),
+c AS (SELECT c_mktsegment, CAST(c_nationkey AS VARCHAR) AS level, CAST(count(*) AS BIGINT) AS n FROM customer GROUP BY 1, 2)
+SELECT * FROM g UNION ALL SELECT c_mktsegment, 'c_nationkey', level, n, round(100.0 * n / sum(n) OVER (PARTITION BY c_mktsegment), 6), NULL, NULL FROM c""")
 def cohort_summary(spark, sf_dir):
-    c = A.table(spark, sf_dir, "customer")
-    total = F.broadcast(c.agg(F.count("*").alias("_total")))
-    g = c.groupBy("c_mktsegment").agg(F.count("*").alias("n"), A.r6(F.avg("c_acctbal")).alias("mean"), A.r6(F.stddev_samp("c_acctbal")).alias("sd"), F.count_if(F.col("c_acctbal") < 0).alias("negative"))
-    return g.crossJoin(total).select("c_mktsegment", "n", "mean", "sd", "negative", A.r6(100.0 * F.col("n") / F.col("_total")).alias("percent"))
+    out = columns.cohort_summary(A.table(spark, sf_dir, "customer"), ["c_mktsegment"], ["c_acctbal"], ["c_nationkey"])
+    return out.select("c_mktsegment", F.col("column").alias("col"), "level", "n", *[A.r6(F.col(c)).alias(c) for c in ("percent", "mean", "sd")])
 
 
-@query("SELECT o_orderpriority AS level, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
+@query("SELECT CASE WHEN o_totalprice > 300000 THEN o_orderpriority END AS level, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1")
 def value_counts(spark, sf_dir):
-    return A.table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("level")).agg(F.count("*").alias("n"))
+    o = A.table(spark, sf_dir, "orders").select(F.when(F.col("o_totalprice") > 300000, F.col("o_orderpriority")).alias("p"))
+    return columns.value_counts(o, "p")
 
 
 @query(f"SELECT col FROM (SELECT col, count(DISTINCT v) AS k FROM ({LINES} UNION ALL SELECT 'one', 1 FROM lineitem) GROUP BY 1) WHERE k <= 1")
@@ -123,9 +127,11 @@ def constant_columns(spark, sf_dir):
 @query(f"""WITH {A.RESULTS}, r AS (SELECT sample_size, feature, rep, avg(loading) AS x FROM results GROUP BY ALL)
 SELECT CAST(sample_size AS BIGINT) AS sample_size, feature, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS std, round(stddev_pop(x), 6) AS std_pop FROM r GROUP BY 1, 2""")
 def rep_mean_std(spark, sf_dir):
+    """Deviations as of loadings (n - 1) and as of correlations (n)."""
     r = A.results(spark, sf_dir).groupBy("sample_size", "feature", "rep").agg(F.avg("loading").alias("x"))
-    out = r.groupBy("sample_size", "feature").agg(A.r6(F.avg("x")).alias("mean"), A.r6(F.stddev_samp("x")).alias("std"), A.r6(F.stddev_pop("x")).alias("std_pop"))
-    return out.withColumn("sample_size", F.col("sample_size").cast("long"))
+    keys = ["sample_size", "feature"]
+    both = results.mean_std(r, keys, "x", loadings=True).join(results.mean_std(r, keys, "x", loadings=False).select(*keys, F.col("std").alias("std_pop")), keys)
+    return both.select(F.col("sample_size").cast("long").alias("sample_size"), "feature", *[A.r6(F.col(c)).alias(c) for c in ("mean", "std", "std_pop")])
 
 
 @query(f"WITH {A.RESULTS} SELECT CAST(sample_size AS BIGINT) AS sample_size, func, round(x, 6) AS value FROM (SELECT sample_size, avg(loading) AS mean, stddev_samp(loading) AS std, min(loading) AS low FROM results GROUP BY 1) UNPIVOT (x FOR func IN (mean, std, low))")
@@ -204,13 +210,15 @@ def inflation(spark, sf_dir):
 STATS = """stats AS (SELECT event_type, sample_size, avg(loading) AS mean, stddev_samp(loading) AS std FROM results GROUP BY 1, 2)"""
 
 
-@query(f"""WITH {A.RESULTS}, {STATS}, t AS (SELECT event_type, quantile_cont(loading, 0.5) AS threshold FROM results WHERE sample_size = 400 GROUP BY 1)
-SELECT event_type, CAST(min(sample_size) AS BIGINT) AS sample_size FROM stats JOIN t USING (event_type) WHERE mean > threshold + 0.3 * std GROUP BY 1""")
+@query(f"""WITH {A.RESULTS}, {STATS}, nulls AS (SELECT event_type, sample_size, loading / 100 - 2 AS r FROM results),
+t AS (SELECT event_type, quantile_cont(r, 0.99) AS threshold FROM nulls WHERE sample_size = 400 GROUP BY 1), s AS (SELECT event_type, sample_size, avg(r / 2 + 1 + sample_size * 0.0015) AS mean, stddev_samp(r / 2 + 1 + sample_size * 0.0015) AS std FROM nulls GROUP BY 1, 2)
+SELECT event_type, CAST(min(sample_size) AS BIGINT) AS sample_size, round(min(threshold), 6) AS threshold FROM s JOIN t USING (event_type) WHERE mean > threshold + std GROUP BY 1""")
 def first_size_over_null(spark, sf_dir):
-    r = A.results(spark, sf_dir)
-    stats = r.groupBy("event_type", "sample_size").agg(F.avg("loading").alias("mean"), F.stddev_samp("loading").alias("std"))
-    thresholds = results.null_threshold(r, ["event_type"], "loading", 0.5)
-    return results.first_size_over(stats, thresholds, ["event_type"], 0.3).select("event_type", F.col("sample_size").cast("long").alias("sample_size"))
+    """The 0.99 quantile of the null model at the largest size, and one deviation over it."""
+    null = A.results(spark, sf_dir).select("event_type", "sample_size", (F.col("loading") / 100 - 2).alias("r_val"))
+    stats = null.withColumn("r", F.col("r_val") / 2 + 1 + F.col("sample_size") * 0.0015).groupBy("event_type", "sample_size").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("std"))
+    thresholds = results.null_threshold(null, ["event_type"])
+    return results.first_size_over(stats, thresholds, ["event_type"]).join(thresholds, "event_type").select("event_type", F.col("sample_size").cast("long").alias("sample_size"), A.r6(F.col("threshold")).alias("threshold"))
 
 
 @query(f"WITH {A.RESULTS}, {STATS} SELECT event_type, CAST(min(sample_size) AS BIGINT) AS sample_size FROM stats WHERE mean >= 5 GROUP BY 1")
@@ -240,15 +248,16 @@ def largest_null_everywhere(spark, sf_dir):
     return results.use_largest_null(null, r).select("feature", F.col("sample_size").cast("long").alias("sample_size"), "q")
 
 
-@query(f"WITH {A.RESULTS}, m AS (SELECT feature, " + ", ".join(f"avg(CASE WHEN sample_size = {s} AND rep < 2 THEN loading END) AS s{s}" for s in (100, 200, 300, 400)) + " FROM results GROUP BY 1) SELECT feature FROM m WHERE s100 IS NOT NULL AND s200 IS NOT NULL AND s300 IS NOT NULL AND s400 IS NOT NULL")
+@query(f"WITH {A.KEYED}, m AS (SELECT eid, event_type, " + ", ".join(f"avg(CASE WHEN instance = {i} THEN value END) AS s{i}" for i in range(4)) + " FROM keyed GROUP BY 1, 2) SELECT eid, event_type FROM m WHERE s0 IS NOT NULL AND s1 IS NOT NULL AND s2 IS NOT NULL AND s3 IS NOT NULL")
 def complete_rows(spark, sf_dir):
-    wide = columns.long_to_wide(A.results(spark, sf_dir).where("rep < 2"), ["feature"], "sample_size", "loading", [100, 200, 300, 400])
-    return wide.na.drop("any").select("feature")
+    """Users and event types with values in all instances."""
+    wide = columns.long_to_wide(A.keyed_events(spark, sf_dir), ["eid", "event_type"], "instance", "value", [0, 1, 2, 3])
+    return wide.na.drop("any").select("eid", "event_type")
 
 
 @query(f"WITH {A.RESULTS} SELECT event_type, max(abs(loading)) AS limit_value FROM results GROUP BY 1")
 def absolute_limits(spark, sf_dir):
-    return A.results(spark, sf_dir).groupBy("event_type").agg(F.max(F.abs("loading")).alias("limit_value"))
+    return columns.absolute_limits(A.results(spark, sf_dir), ["event_type"], "loading")
 
 
 @query("""WITH o AS (SELECT c_custkey AS eid, r, row_number() OVER (PARTITION BY r ORDER BY md5(concat(CAST(c_custkey AS VARCHAR), '-', CAST(r AS VARCHAR))), c_custkey) AS pos FROM customer, (SELECT unnest(range(5)) AS r))
@@ -268,26 +277,104 @@ def stratified_split(spark, sf_dir):
     return sampling.split_in_out(c, 3, c.count() // 4, strata="nation").select("eid", F.col("rep").cast("long").alias("rep"), "is_in")
 
 
-@query()
+SIZES = """n AS (SELECT count(*) AS n FROM customer), sizes AS (SELECT i, CAST(CASE WHEN i = 0 THEN 5 WHEN i = 5 THEN n // 2 ELSE floor(exp(ln(5) + i * (ln(n // 2) - ln(5)) / 5)) END AS INTEGER) AS s FROM n, (SELECT unnest(range(6)) AS i))"""
+_MD5 = lambda *parts: f"md5(concat_ws('-', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}))"
+_NUMBER = lambda *parts: f"CAST('0x' || substr({_MD5(*parts)}, 1, 12) AS BIGINT)"
+
+
+@query(f"""WITH {SIZES}, places AS (SELECT c_custkey AS eid, r AS rep, row_number() OVER (PARTITION BY r ORDER BY {_MD5('c_custkey', 'r', '3791')}, c_custkey) AS pos FROM customer, (SELECT unnest(range(3)) AS r)),
+l AS (SELECT rep, s, eid, row_number() OVER (PARTITION BY rep, s ORDER BY {_MD5('eid', 'rep', 's', "'learn3791'")}, eid) AS draw FROM places, sizes, n WHERE pos <= n // 2),
+pool AS (SELECT rep, name, eid, row_number() OVER (PARTITION BY rep, name ORDER BY {_MD5('eid', 'rep', "concat(name, '3791')")}, eid) AS spot, count(*) OVER (PARTITION BY rep, name) AS held FROM (SELECT *, CASE WHEN pos <= n // 2 THEN 'learn' ELSE 'val' END AS name FROM places, n)),
+w AS (SELECT rep, s, draw, name, {_NUMBER('rep', 's', 'draw', '3791', 'name')} % held + 1 AS spot FROM (SELECT DISTINCT rep, name, held FROM pool), (SELECT s, unnest(range(1, s + 1)) AS draw FROM sizes))
+SELECT 'all' AS subset, CAST(rep AS BIGINT) AS rep, CAST(s AS BIGINT) AS sample_size, 'learn' AS set_name, CAST(draw AS BIGINT) AS draw, eid FROM l WHERE draw <= s
+UNION ALL SELECT 'all', rep, NULL, 'val', pos, eid FROM places, n WHERE pos > n // 2 UNION ALL SELECT 'matched', w.rep, s, name, draw, eid FROM w JOIN pool USING (rep, name, spot)""")
 def nested_design(spark, sf_dir):
     c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("eid"))
     n = c.count()
     sizes = sampling.planned_sizes(n, 6, 4)
-    return sampling.design(c, sizes, 3).unionByName(sampling.design(c, sizes, 3, subset="matched", replace=True, match_validation=True))
+    out = sampling.design(c, sizes, 3).unionByName(sampling.design(c, sizes, 3, subset="matched", replace=True, match_validation=True))
+    return out.select("subset", "set_name", "eid", *[F.col(c).cast("long").alias(c) for c in ("rep", "sample_size", "draw")])
+
+
+@query(f"""WITH {SIZES}, g AS (SELECT c_nationkey AS g, count(*) AS c, (SELECT n FROM n) AS total, (SELECT n // 2 FROM n) AS inside FROM customer GROUP BY 1), x AS (SELECT *, inside * c / CAST(total AS DOUBLE) AS x FROM g),
+q AS (SELECT *, floor(x) + CASE WHEN row_number() OVER (ORDER BY floor(x) - x, CAST(g AS VARCHAR)) <= inside - sum(floor(x)) OVER () THEN 1 ELSE 0 END AS held FROM x),
+p AS (SELECT g, 'learn' AS name, held AS m, inside AS whole FROM q UNION ALL SELECT g, 'val', c - held, total - inside FROM q),
+y AS (SELECT *, s * m / CAST(sum(m) OVER (PARTITION BY name, s) AS DOUBLE) AS y FROM p, sizes),
+z AS (SELECT *, floor(y) + CASE WHEN row_number() OVER (PARTITION BY name, s ORDER BY y - floor(y) DESC, CAST(g AS VARCHAR)) <= s - sum(floor(y)) OVER (PARTITION BY name, s) THEN 1 ELSE 0 END AS k FROM y)
+SELECT CAST(r AS BIGINT) AS rep, CAST(s AS BIGINT) AS sample_size, name AS set_name, CAST(g AS BIGINT) AS nation, CAST(k AS BIGINT) AS n FROM z, (SELECT unnest(range(2)) AS r) WHERE k > 0""")
+def stratified_design(spark, sf_dir):
+    """How many subjects of each nation are in each learning and matched validation sample."""
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("eid"), F.col("c_nationkey").cast("long").alias("nation"))
+    out = sampling.design(c.select("eid", "nation"), sampling.planned_sizes(c.count(), 6, 4), 2, strata="nation", match_validation=True)
+    counted = out.join(c, "eid").groupBy("rep", "sample_size", "set_name", "nation").agg(F.countDistinct("eid").alias("n"))
+    return counted.select(F.col("rep").cast("long").alias("rep"), F.col("sample_size").cast("long").alias("sample_size"), "set_name", "nation", "n")
+
 
+def ranked_sql(source: str) -> str:
+    """col, x, p: values and the shares of their average ranks, from (col, x)."""
+    return f"SELECT col, x, ((min(k) + max(k)) / 2.0 - 0.375) / (max(n) + 0.25) AS p FROM (SELECT col, x, row_number() OVER (PARTITION BY col ORDER BY x) AS k, count(*) OVER (PARTITION BY col) AS n FROM ({source})) GROUP BY col, x"
 
-@query()
+
+TWO = "SELECT 'l_quantity' AS col, l_quantity AS x FROM lineitem UNION ALL SELECT 'l_extendedprice', l_extendedprice FROM lineitem"
+
+
+@query(f"WITH s AS ({ranked_sql(TWO)}) SELECT col, x AS value, round({normal.sql('p')}, 6) AS score FROM ({TWO}) JOIN s USING (col, x)")
 def inv_norm(spark, sf_dir):
     l = A.table(spark, sf_dir, "lineitem").select("l_quantity", "l_extendedprice")  # noqa: E741
-    return columns.inverse_normal(columns.wide_to_long(l, [], ["l_quantity", "l_extendedprice"]))
+    out = columns.inverse_normal(columns.wide_to_long(l, [], ["l_quantity", "l_extendedprice"]))
+    return out.select(F.col("column").alias("col"), "value", A.r6(F.col("score")).alias("score"))
 
 
-@query()
+def quantile_sql(values: str, out: str, most: int = 1000) -> str:
+    """CTEs that end in `out`: col, x, z for the distinct values of (col, x) in the table `values`: forward and backward interpolation, clipped."""
+    return f"""{out}_q AS (SELECT col, least(count(x), {most}) AS m, quantile_cont(x, [i / {most - 1}.0 FOR i IN range({most})]) AS q, list_sort(list(x)) AS whole FROM {values} WHERE x IS NOT NULL GROUP BY col),
+{out}_r AS (SELECT col, m, CASE WHEN m < {most} THEN whole ELSE q END AS q FROM {out}_q),
+{out}_p AS (SELECT col, x, m, q, len(list_filter(q, lambda r: r < x)) AS below, len(list_filter(q, lambda r: r <= x)) AS upto FROM (SELECT DISTINCT col, x FROM {values} WHERE x IS NOT NULL) JOIN {out}_r USING (col)),
+{out}_u AS (SELECT col, x, least(greatest(CASE WHEN upto = 0 THEN 0 WHEN below = m THEN 1 WHEN upto > below THEN (below + upto - 1) / 2.0 / (m - 1) ELSE (below - 1 + (x - q[below]) / (q[below + 1] - q[below])) / (m - 1) END, 1e-7), 1 - 1e-7) AS u FROM {out}_p),
+{out} AS (SELECT col, x, {normal.sql('u')} AS z FROM {out}_u)"""
+
+
+@query(f"""WITH v AS ({TWO}), {quantile_sql('v', 't')} SELECT l_orderkey, l_linenumber, round(a.z, 4) AS l_quantity, round(b.z, 4) AS l_extendedprice FROM lineitem
+JOIN t a ON a.col = 'l_quantity' AND a.x = l_quantity JOIN t b ON b.col = 'l_extendedprice' AND b.x = l_extendedprice""")
 def quantile_transform(spark, sf_dir):
-    l = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity", "l_extendedprice")  # noqa: E741
-    return columns.quantile_transform(l, columns.fit_quantiles(l, ["l_quantity", "l_extendedprice"]))
+    names = ["l_quantity", "l_extendedprice"]
+    l = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *names)  # noqa: E741
+    out = columns.quantile_transform(l, columns.fit_quantiles(l, names))
+    return out.select("l_orderkey", "l_linenumber", *[F.round(c, 4).alias(c) for c in names])
+
+
+OUTLIER = "m AS (SELECT col, quantile_cont(z, 0.5) AS m FROM {0} GROUP BY 1) SELECT col, round(max((z - m) * (z - m)) / avg((z - m) * (z - m)), 4) AS outlier FROM {0} JOIN m USING (col) GROUP BY 1"
+
+
+def _outliers(spark, sf_dir, prepare: str):
+    found = columns.outlier_ratio(A.table(spark, sf_dir, "lineitem"), ["l_quantity", "l_extendedprice"], prepare)
+    return found.select(F.col("column").alias("col"), F.round("outlier", 4).alias("outlier"))
+
+
+@query(f"WITH s AS ({ranked_sql(TWO)}), i AS (SELECT col, {normal.sql('p')} AS y FROM ({TWO}) JOIN s USING (col, x)), z AS (SELECT col, (y - avg(y) OVER (PARTITION BY col)) / stddev_samp(y) OVER (PARTITION BY col) AS z FROM i), {OUTLIER.format('z')}")
+def outlier_ranks(spark, sf_dir):
+    """Normal scores, z-scores, then the ratio: the statistic of cleaning."""
+    return _outliers(spark, sf_dir, "ranks")
+
+
+@query(f"WITH z AS (SELECT col, (x - avg(x) OVER (PARTITION BY col)) / stddev_pop(x) OVER (PARTITION BY col) AS z FROM ({TWO})), {OUTLIER.format('z')}")
+def outlier_standard(spark, sf_dir):
+    return _outliers(spark, sf_dir, "standard")
+
+
+@query(f"WITH v AS (SELECT col, (x - avg(x) OVER (PARTITION BY col)) / stddev_pop(x) OVER (PARTITION BY col) AS x FROM ({TWO})), {quantile_sql('v', 't')}, z AS (SELECT col, z FROM v JOIN t USING (col, x)), {OUTLIER.format('z')}")
+def outlier_quantiles(spark, sf_dir):
+    """Standardised, then by quantiles: the other order, of the selection of features."""
+    return _outliers(spark, sf_dir, "quantiles")
+
+
+_TIMES = " + ".join(f"CASE WHEN x >= '{t}' THEN 1 ELSE 0 END" for t in results.poisson_thresholds())
 
 
-@query()
+@query(f"""WITH {A.RESULTS}, h AS (SELECT sample_size, event_type, loading, b, md5(concat('3791-', event_id, '-', b)) AS h FROM results, (SELECT unnest(range(25)) AS b)),
+e AS (SELECT sample_size, event_type, loading, b * 8 + i AS draw, substr(h, 4 * i + 1, 4) AS x FROM h, (SELECT unnest(range(8)) AS i)), w AS (SELECT *, {_TIMES} AS w FROM e),
+m AS (SELECT sample_size, event_type, draw, sum(w * loading) / sum(w) AS m FROM w WHERE w > 0 GROUP BY ALL)
+SELECT CAST(sample_size AS BIGINT) AS sample_size, event_type, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m GROUP BY 1, 2""")
 def bootstrap_ci(spark, sf_dir):
-    return results.bootstrap_intervals(A.results(spark, sf_dir), ["sample_size", "event_type"], "loading", draws=200)
+    out = results.bootstrap_intervals(A.results(spark, sf_dir), ["sample_size", "event_type"], "loading", draws=200, row="event_id")
+    return out.select(F.col("sample_size").cast("long").alias("sample_size"), "event_type", A.r6(F.col("low")).alias("low"), A.r6(F.col("high")).alias("high"))

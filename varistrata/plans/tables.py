@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
-from varistrata.functions import kernels
 from varistrata.operators import cohort, columns, linear, results
 from varistrata.plans import adapters as A
 from varistrata.plans.registry import query
@@ -41,15 +39,19 @@ def heatmap_ranks(spark, sf_dir):
     return tables["rank"].select("feature", *[F.col(str(s)).cast("long").alias(f"s{s}") for s in sizes])
 
 
-@query(f"""WITH {A.LONG}, eids AS (SELECT eid FROM wide WHERE coalesce("100-0.0", "100-0.1", "100-0.2") IS NOT NULL), v AS (SELECT eid, avg(value) AS m, stddev_samp(value) AS s FROM long WHERE col IN ('100-0.0', '100-0.1', '100-0.2') GROUP BY 1)
-SELECT v.eid, round(m, 6) AS mean3, round(m * m, 4) AS mean3_squared, round(s, 6) AS std3 FROM v JOIN eids ON v.eid = eids.eid""")
+FIRST = {f: [c for c in A.COLUMNS if c.startswith(f"{f}-0.")] for f in A.FIELDS.values()}
+
+
+@query(f"""WITH {A.LONG}, rest AS (SELECT eid, CAST(count(value) AS BIGINT) AS others FROM long WHERE split_part(col, '-', 2) NOT LIKE '0.%' GROUP BY 1), v AS (SELECT eid, split_part(col, '-', 1) AS field, avg(value) AS m, stddev_samp(value) AS s FROM long WHERE split_part(col, '-', 2) LIKE '0.%' GROUP BY 1, 2),
+k AS (SELECT eid FROM long WHERE value IS NOT NULL GROUP BY 1) SELECT v.eid, field, round(m, 6) AS mean3, round(m * m, 4) AS mean3_squared, round(s, 6) AS std3, others FROM v JOIN rest USING (eid) JOIN k USING (eid)""")
 def clean_domain(spark, sf_dir):
-    own = [c for c in A.COLUMNS if c.startswith("100-0.")]
-    mean = "100-0.0_mean3"
-    domains = {"behavioural": A.wide(spark, sf_dir).select("eid", *[F.col(f"`{c}`") for c in own])}
-    kept, _, _ = columns.clean(domains, {"behavioural": columns.CleaningPlan(average={"100": own}, square=[mean])})
-    out = kept["behavioural"]
-    return out.select("eid", A.r6(F.col(f"`{mean}`")).alias("mean3"), F.round(F.col(f"`{mean}_squared`"), 4).alias("mean3_squared"), A.r6(F.col("`100-0.0_std3`")).alias("std3"))
+    """All columns of a domain: instance 0 of each field averaged and squared, the others as they are."""
+    mean = lambda f: f"{f}-0.0_mean3"
+    plan = columns.CleaningPlan(average={str(f): own for f, own in FIRST.items()}, square=[mean(f) for f in FIRST])
+    kept, _, _ = columns.clean({"behavioural": A.wide(spark, sf_dir)}, {"behavioural": plan})
+    rest = sum((F.col(f"`{c}`").isNotNull().cast("long") for c in A.COLUMNS if not any(c in own for own in FIRST.values())), F.lit(0).cast("long"))
+    told = [F.struct(F.lit(str(f)).alias("field"), A.r6(F.col(f"`{mean(f)}`")).alias("mean3"), F.round(F.col(f"`{mean(f)}_squared`"), 4).alias("mean3_squared"), A.r6(F.col(f"`{f}-0.0_std3`")).alias("std3")) for f in FIRST]
+    return kept["behavioural"].select("eid", rest.alias("others"), F.inline(F.array(*told)))
 
 
 @query(f"WITH {A.DISEASES} SELECT eid, c_acctbal AS demo__balance FROM diseases JOIN customer ON eid = c_custkey WHERE d0 IS NULL AND d1 IS NULL AND d2 IS NULL AND d3 IS NULL")
@@ -75,36 +77,16 @@ def demean_columns(spark, sf_dir):
 @query()
 def explained_variance(spark, sf_dir):
     """How many components reach each share of the variance of the embeddings."""
-    model = linear.fit_pca(A.halves(spark, sf_dir), [f"x{i}" for i in range(32)])
-    upto = np.cumsum(model.share)
-    return spark.createDataFrame([(float(f), int(np.searchsorted(upto, f, side="right")) + 1) for f in (0.25, 0.5, 0.75, 0.9)], "fraction double, components int")
+    shares = [0.25, 0.5, 0.75, 0.9]
+    found = linear.components_reaching(linear.fit_pca(A.halves(spark, sf_dir), [f"{v}{i}" for v in "xy" for i in range(32)]), shares)
+    return spark.createDataFrame(list(zip(shares, found, strict=True)), "fraction double, components int")
 
 
 @query()
 def component_regression(spark, sf_dir):
-    """R2 of a held-out column on the first 1, 2, ... components, fitted on half of the subjects; components come from one pass."""
+    """R2 of a held-out column on the first 1, 2, ... components of all others, fitted on half of the subjects."""
     v = A.halves(spark, sf_dir)
-    names = [f"x{i}" for i in range(32)]
+    names = [*[f"x{i}" for i in range(32)], *[f"y{i}" for i in range(1, 32)]]
     scored = linear.pca_scores(v, names, linear.fit_pca(v, names, 5))
-    own = scored.select("eid", "y0", *[f"PC{k + 1}" for k in range(5)], (F.xxhash64("eid") % 2 == 0).alias("_fit"))
-    columns_ = ["y0", *[f"PC{k + 1}" for k in range(5)]]
-    parts = {}
-    for name, df in (("fit", own.where("_fit")), ("test", own.where("not _fit"))):
-        parts[name] = linear.moments(df, columns_)
-    rows = []
-    for k in range(1, 6):
-        at = list(range(1, k + 1))
-        m = parts["fit"]
-        z = m.centred()
-        beta = np.linalg.solve(z[np.ix_(at, at)], z[at, 0])
-        for name, p in parts.items():
-            q, mean = p.centred(), p.means
-            shift = (mean[0] - m.means[0]) - (mean[at] - m.means[at]) @ beta
-            residual = q[0, 0] - 2 * beta @ q[at, 0] + beta @ q[np.ix_(at, at)] @ beta + p.n * shift**2
-            rows.append((k, name, float(1 - residual / q[0, 0])))
-    return spark.createDataFrame(rows, "components int, set_name string, r2 double")
-
-
-def twin_regression(x: np.ndarray, y: np.ndarray, fit: np.ndarray) -> list[tuple[float, float]]:
-    """The same by least squares on the rows, for tests."""
-    return kernels.component_regressions(x[fit], None, y[fit], (x[~fit], None, y[~fit]), cumulative=True)
+    out = linear.regression_scores(scored, [f"PC{k + 1}" for k in range(5)], [], "y0", F.xxhash64("eid") % 2 == 0, cumulative=True)
+    return out.select("components", "set_name", F.col("score").alias("r2"))

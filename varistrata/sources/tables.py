@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import csv
 import json
+import os
 import re
 from collections.abc import Callable, Iterable, Sequence
+from dataclasses import asdict, dataclass, fields, is_dataclass
+from functools import reduce
 from pathlib import PurePosixPath
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A column identifier: field, instance and array index.
 UDI = r"(\d+)-(\d+)\.(\d+)"
 
 
-def load_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, nrows: int | None = None, sep: str = ",") -> DataFrame:
-    """A CSV/TSV file with header, or Parquet. Only the wanted columns are scanned; NaN and infinities become NULL."""
+def load_table(spark: SparkSession, path: str, columns: Sequence[str] | None = None, nrows: int | None = None, sep: str = ",", schema: str | StructType | None = None) -> DataFrame:
+    """A CSV/TSV file with header, or Parquet. Only the wanted columns are scanned; NaN and infinities become NULL.
+
+    Without a schema the types of text files are worked out from all of their rows, which is one more scan.
+    """
     if path.rstrip("/").endswith((".csv", ".tsv", ".txt")):
-        df = spark.read.csv(path, header=True, inferSchema=True, sep="\t" if path.endswith((".tsv", ".txt")) and sep == "," else sep)
+        tabs = path.rstrip("/").endswith((".tsv", ".txt")) and sep == ","
+        options = {"inferSchema": True} if schema is None else {"schema": schema}
+        df = spark.read.csv(path, header=True, sep="\t" if tabs else sep, escape='"', **options)
     else:
         df = spark.read.parquet(path)
     if columns is not None:
@@ -34,14 +45,22 @@ def missing_to_null(df: DataFrame) -> DataFrame:
 
 
 def load_encoded(spark: SparkSession, path: str) -> tuple[DataFrame, list[tuple[str, str]]]:
-    """A CSV file with two header rows (identifier, encoded identifier): its rows under the encoded names, and the pairs of names."""
-    head = [x.value for x in spark.read.text(path).limit(2).collect()]
-    pairs = list(zip(*(h.split(",") for h in head), strict=True))
-    names = [pairs[0][0] or "eid", *[b for _, b in pairs[1:]]]
-    lines = spark.read.text(path, wholetext=False).withColumn("_at", F.monotonically_increasing_id()).where("_at > 1").select("value")
-    cut = F.split("value", ",")
-    df = lines.select(*[F.when(cut[i] != "", cut[i]).cast("long" if i == 0 else "string").alias(n) for i, n in enumerate(names)])
-    return df, [(a, b) for a, b in pairs[1:]]
+    """CSV files with two header rows each (identifier, encoded identifier): their rows under the encoded names, and the pairs of names.
+
+    Fields may be quoted. A folder's files must have the same headers; each file's are left out.
+    """
+    head = next(csv.reader([spark.read.text(path).first()[0]]))
+    raw = spark.read.csv(path, header=False, escape='"', schema=", ".join(f"c{i} string" for i in range(len(head))))
+    first = reduce(lambda a, b: a & b, [F.col(f"c{i}") == F.lit(h) for i, h in enumerate(head) if i])
+    # The second header row is the one that begins every field with the first's and has no key.
+    second = reduce(lambda a, b: a & b, [F.startswith(F.col(f"c{i}"), F.lit(h)) for i, h in enumerate(head) if i])
+    keyless = F.col("c0").isNull() | ~F.col("c0").rlike(r"^\s*-?\d+\s*$")
+    names = raw.where(second & ~first & keyless).first() or raw.where(first).first()
+    pairs = [(a, b) for a, b in zip(head, names, strict=True)]
+    rows = raw.where(~(keyless & F.coalesce(second, F.lit(False))))
+    new = [head[0] or "eid", *[b for _, b in pairs[1:]]]
+    df = rows.select(F.col("c0").cast("long").alias(new[0]), *[F.col(f"c{i}").alias(n) for i, n in enumerate(new) if i])
+    return df, pairs[1:]
 
 
 def udi_parts(name: str | Column) -> list[Column]:
@@ -92,6 +111,77 @@ def load_json(path: str, kind: type | None = None):
     return value
 
 
+def object_text(value) -> str:
+    """A dataclass, or a fitted kernel (its attributes, arrays as lists), with the name of its class, as JSON."""
+
+    def plain(x):
+        if isinstance(x, np.ndarray):
+            return {"array": x.tolist()}
+        if isinstance(x, dict):
+            return {k: plain(v) for k, v in x.items()}
+        return [plain(v) for v in x] if isinstance(x, list | tuple) else x.item() if isinstance(x, np.generic) else x
+
+    held = asdict(value) if is_dataclass(value) else dict(value.__dict__)
+    return json.dumps({"class": type(value).__name__, "held": plain(held)})
+
+
+def object_of(text: str, kind: type):
+    """What object_text gave; an object of another class is an error."""
+
+    def whole(x):
+        if isinstance(x, dict):
+            return np.array(x["array"]) if set(x) == {"array"} else {k: whole(v) for k, v in x.items()}
+        return [whole(v) for v in x] if isinstance(x, list) else x
+
+    found = json.loads(text)
+    if not isinstance(found, dict) or found.get("class") != kind.__name__:
+        raise TypeError(f"this is no saved {kind.__name__}")
+    out = kind.__new__(kind)
+    out.__dict__.update(whole(found["held"]))
+    return out
+
+
+def save_object(path: str, value) -> None:
+    with open(path, "w", encoding="utf-8") as f:
+        f.write(object_text(value))
+
+
+def load_object(path: str, kind: type):
+    """No such file, or one that holds no saved object, is an error."""
+    try:
+        with open(path, encoding="utf-8") as f:
+            return object_of(f.read(), kind)
+    except (OSError, json.JSONDecodeError) as error:
+        raise RuntimeError(f"{path} holds no saved object") from error
+
+
+@dataclass(frozen=True)
+class Paths:
+    """Where a study lies: folders under one root, each may be set by itself."""
+
+    root: str = "."
+    data: str | None = None
+    schema: str | None = None
+    samples: str | None = None
+    results: str | None = None
+    figures: str | None = None
+
+    def of(self, what: str) -> str:
+        if what not in {f.name for f in fields(self)} - {"root"}:
+            raise ValueError(f"no folder is named {what}")
+        return getattr(self, what) or f"{self.root.rstrip('/')}/{what}"
+
+    @staticmethod
+    def from_environment(prefix: str = "STUDY_") -> Paths:
+        return Paths(**{f.name: os.environ[prefix + f.name.upper()] for f in fields(Paths) if prefix + f.name.upper() in os.environ})
+
+
+def sample_path(subset: str, n_reps: int, sizes: Sequence[int], stratified: bool = False, replace: bool = False) -> str:
+    """The name of a design: subset, repetitions, sizes, and how it was drawn."""
+    tags = [subset, f"{n_reps}reps", f"{len(sizes)}sizes_{min(sizes)}-{max(sizes)}", *(["stratified"] if stratified else []), *(["replace"] if replace else [])]
+    return f"samples-{'-'.join(tags)}.parquet"
+
+
 def result_path(n_pcs: Sequence[int], subset: str, sample_size: int, rep: int, null_model: bool = False) -> str:
     tag = subset + ("-null_model" if null_model else "")
     return f"PCs_{'_'.join(map(str, n_pcs))}/{tag}/sample_size_{sample_size}/sample_size_{sample_size}-rep{rep}.parquet"
@@ -110,6 +200,11 @@ def find_results(paths: DataFrame, labels: DataFrame | None = None, label: int |
     return out if limit is None else out.limit(limit)
 
 
+def write_long_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
+    """A long table as CSV with header, ordered across files."""
+    (df.orderBy(*order) if order else df).write.mode("overwrite").option("header", True).csv(path)
+
+
 def write_results(df: DataFrame, path: str) -> None:
     """Long result tables, one folder for each subset, model and sample size."""
     df.repartition("subset", "null_model", "sample_size").write.mode("overwrite").partitionBy("subset", "null_model", "sample_size").parquet(path)
