@@ -95,7 +95,7 @@ def test_blocks_keep_budget_and_order(spark, args):
 
 def test_many_sources_stay_distributed(spark, monkeypatch):
     _, docs = corpus(spark)
-    for args in ({}, {"budget": 30_000.0, "repeat_limit": 4.0}, {"target_entropy": 1.2, "budget": 90_000.0}):
+    for args in ({"budget": 30_000.0, "repeat_limit": 4.0}, {"target_entropy": 1.2, "budget": 90_000.0}):
         want = mixing.fit(docs, **args)
         copies = sorted(map(str, mixing.with_copies(docs, want).collect()))
         with monkeypatch.context() as m:

@@ -1,5 +1,6 @@
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -9,9 +10,18 @@ from varistrata.llm.common import table
 SF = "/root/testdata/sf0.01"
 
 
-def test_stages_keep_what_they_should(spark):
+@pytest.fixture(scope="module")
+def net(spark):
+    """Trained once; the stage that trains it is given this one."""
+    made = toxicity.model(spark, SF)
+    kept = toxicity.model
+    toxicity.model = lambda *a: made
+    yield made
+    toxicity.model = kept
+
+
+def test_stages_keep_what_they_should(spark, net):
     docs = table(spark, SF, "documents")
-    net = toxicity.model(spark, SF)
     rows = {r.doc_id: r for r in docs.collect()}
     kept = {d for d, s in zip(rows, toxicity.Scorer(net).scores([r.text for r in rows.values()]), strict=True) if s < toxicity.THRESHOLD}
     first = corpus_pipeline.drop_toxic(spark, docs, SF)
@@ -37,7 +47,7 @@ def odd(spark):
     return spark.createDataFrame(rows, SCHEMA)
 
 
-def test_every_stage_takes_odd_rows(spark):
+def test_every_stage_takes_odd_rows(spark, net):
     docs = odd(spark)
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
@@ -48,7 +58,7 @@ def test_every_stage_takes_odd_rows(spark):
         got = Counter((r.doc_id, r.text) for r in out.collect())
         want = Counter((r.doc_id, r.text) for r in docs.collect())
         if name == "toxicity":
-            bad = {(r.doc_id, docs.where(F.col("doc_id") == r.doc_id).first().text) for r in toxicity.score(docs, toxicity.model(spark, SF)).where("predicted = 1").collect()}
+            bad = {(r.doc_id, docs.where(F.col("doc_id") == r.doc_id).first().text) for r in toxicity.score(docs, net).where("predicted = 1").collect()}
             want = Counter({k: n for k, n in want.items() if k not in bad})
             assert all(want[k] for k in [(1, None), (2, ""), (None, None)])
         if name == "near_dedup":

@@ -185,7 +185,7 @@ def chunk_store(docs: DataFrame, shared: SharedFilter | None = None, text: str =
     """digest and frame of each distinct chunk, of all rows or of those with a chunk in the filter. Null and empty texts have the chunk of one unit of zeros; an empty table has none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in pieces(batches, text):
+        for _, texts in pieces(batches, text, 2_000_000):
             found: dict[bytes, bytes] = {}
             for t in texts:
                 own = [(digest(c), c) for c in chunks(payload(t))]
@@ -238,7 +238,7 @@ def write_media(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
     shared = SharedFilter.of(often.select("digest").unionByName(repeated))
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in pieces(batches, text):
+        for batch, texts in pieces(batches, text, 2_000_000):
             keep, size, stored = [], [], []
             for t in texts:
                 own = [(digest(c), c) for c in chunks(payload(t))]
@@ -248,7 +248,7 @@ def write_media(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "
                     stored.append(container([(d, squeeze(c)) for d, c in own]))
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep, pa.bool_())), pa.array(size, pa.int64()), pa.array(stored, pa.binary())], ["doc_id", "n_bytes", "stored"])
 
-    plain = {"compression": "none", "parquet.enable.dictionary": "false"}  # frames are compressed
+    plain = {"compression": "none", "parquet.enable.dictionary": "false", "parquet.block.size": str(8 << 20)}  # frames are compressed; a task holds one row group
     docs.select(key, text).mapInArrow(alone, f"doc_id {text_schema(docs, key)}, n_bytes long, stored binary").write.options(**plain).parquet(f"{folder}/own")
     chunk_store(docs, shared, text).write.options(**plain).parquet(f"{folder}/chunks")
     having_shared(known, shared).write.parquet(f"{folder}/lists")

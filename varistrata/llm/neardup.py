@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from varistrata.llm.common import Scratch, cut_lineage, pieces, salted_join, table, text_schema
 from varistrata.llm.media import SharedFilter, digest
@@ -248,27 +249,26 @@ def block_pairs(members: DataFrame, percent: int, cut: Callable[[DataFrame], Dat
 
 def _links_in_block(percent: int):
     def run(group: pa.Table) -> pa.Table:
-        ids, component = group.column("id").to_numpy(), group.column("component").to_numpy()
+        component = group.column("component").to_numpy()
         sets = group.column("shingles").combine_chunks()
         sizes = np.diff(sets.offsets.to_numpy())
         _, column = np.unique(sets.flatten().to_numpy(), return_inverse=True)
-        row = np.repeat(np.arange(len(ids)), sizes)
+        row = np.repeat(np.arange(len(component)), sizes)
         often = np.bincount(column) > 1
         dense = np.cumsum(often) - 1
         row, column = row[often[column]], dense[column[often[column]]]
-        common = np.zeros((len(ids), len(ids)), dtype=np.float32)
+        common = np.zeros((len(component), len(component)), dtype=np.float32)
         order = np.argsort(column, kind="stable")
         row, column = row[order], column[order]
         for start in range(0, int(often.sum()), 8192):
             a, b = np.searchsorted(column, [start, start + 8192])
-            held = np.zeros((len(ids), 8192), dtype=np.float32)
+            held = np.zeros((len(component), 8192), dtype=np.float32)
             held[row[a:b], column[a:b] - start] = 1
             common += held @ held.T
         i, j = np.nonzero((100 * common >= percent * (sizes[:, None] + sizes[None, :] - common)) & (component[:, None] < component[None, :]))
-        # One link between two components says all.
-        first = np.unique(np.stack([component[i], component[j]]), axis=1, return_index=True)[1] if len(i) else i
-        a, c = ids[i[first]], ids[j[first]]
-        return pa.table({"a": pa.array(np.minimum(a, c), pa.int64()), "c": pa.array(np.maximum(a, c), pa.int64())})
+        # One link between two components says all; they are named here.
+        pairs = np.unique(np.stack([component[i], component[j]]), axis=1)
+        return pa.table({"a": pa.array(pairs[0], pa.int64()), "c": pa.array(pairs[1], pa.int64())})
 
     return run
 
@@ -303,8 +303,8 @@ def grouped(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: st
     buckets = cut(entries.groupBy("b").agg(F.count("*").alias("members")).where("members > 1"))
     shared = cut(entries.join(buckets, "b"))
     # A bucket's hub is its member with the most company over all bands: of copies of a text, the one changed least.
-    company = cut(shared.groupBy("id").agg(F.sum("members").alias("company")))
-    ranked = shared.join(company, "id").select("b", "id", F.struct((-F.col("company")).alias("_less"), F.col("id").alias("first")).alias("_rank"))
+    company = F.sum("members").over(Window.partitionBy("id"))  # a document has BANDS rows at most
+    ranked = shared.select("b", F.struct((-company).alias("_less"), F.col("id").alias("first")).alias("_rank"))
     hubs = cut(ranked.groupBy("b").agg(F.min("_rank").alias("_rank")).select("b", F.col("_rank.first").alias("first")))
     members = cut(shared.select("b", "id").join(hubs, "b"))
     narrow = sets.select("id", "n", "regs")
@@ -312,21 +312,27 @@ def grouped(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: st
     ends = cut(stars.select("a").unionByName(stars.select(F.col("c").alias("a"))).distinct().select(F.col("a").alias("id")).join(known_by, "id"))
     links = cut(confirmed(stars, cut(full_sets(docs, ends, k, key, text).select("id", "shingles")), percent))
     labels = components(links, cut)
-    # Buckets whose members are not all in one component: what may link across components, by the rarest shingles.
+    # Buckets whose members are not all in one component: what may link across components, by the rarest shingles. Hubs have been compared.
     known = cut(members.join(labels, "id", "left").select("b", "first", "id", F.coalesce("component", "id").alias("component")))
     mixed = cut(known.groupBy("b").agg(F.min("component").alias("_low"), F.max("component").alias("_high"), F.count("*").alias("_n")).where("_low != _high and _n > 2").select("b"))
-    left = cut(known.join(mixed, "b").select("id", "component").distinct().join(known_by, "id"))
+    left = cut(known.where("id != first").join(mixed, "b").select("id", "component").distinct().join(known_by, "id"))
     shingles = cut(full_sets(docs, left, k, key, text).select("id", "component", F.size("shingles").cast("long").alias("n"), "shingles"))
     rare = cut(prefixes(shingles, percent))
     active = cut(across_components(rare))
-    groups = cut(known.where("id != first").select(F.col("first").alias("hub"), "id", "component").distinct().join(active, "id"))
-    split = cut(groups.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("hub"))
-    tasks = block_pairs(salted_join(groups, split, ["hub"], F.col("id")), percent, cut)
-    met = tasks.join(shingles.select("id", "shingles"), "id")
-    across = met.groupBy("pair").applyInArrow(_links_in_block(percent), "a long, c long")
-    labels = components(cut(links.unionByName(across.distinct())), cut)
+    merged = None
+    if not active.isEmpty():
+        groups = cut(known.where("id != first").select(F.col("first").alias("hub"), "id", "component").distinct().join(active, "id"))
+        split = cut(groups.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("hub"))
+        tasks = block_pairs(salted_join(groups, split, ["hub"], F.col("id")), percent, cut)
+        met = tasks.join(shingles.select("id", "shingles"), "id")
+        across = cut(met.groupBy("pair").applyInArrow(_links_in_block(percent), "a long, c long").distinct())
+        if not across.isEmpty():
+            merged = components(across, cut).select(F.col("id").alias("_own"), F.col("component").alias("_merged"))
     # A group is known by its first row; a group may have any number of sets, so its name is dealt out by salts.
-    named = cut(sets.select("id", "same", "least").join(labels, "id", "left"))
+    named = sets.select("id", "same", "least").join(labels, "id", "left")
+    if merged is not None:
+        named = named.withColumn("_own", F.coalesce("component", "id")).join(merged, "_own", "left").withColumn("component", F.coalesce("_merged", "component"))
+    named = cut(named.select("id", "same", "least", "component"))
     tops = cut(named.where("component is not null").groupBy("component").agg(F.min("least").alias("top")))
     joined = salted_join(named.where("component is not null"), tops, ["component"], F.col("id")).select("same", "top")
     named = cut(joined.unionByName(named.where("component is null").select("same", F.col("least").alias("top"))))

@@ -502,3 +502,36 @@ def nearest_definite(spark, sf_dir):
     g = linear.moments(A.table(spark, sf_dir, "lineitem"), ["l_tax", "l_discount"]).products
     m = kernels.nearest_spd(g - 2 * g[1, 1] * np.eye(2))
     return spark.createDataFrame([(round(float(m[0, 0]), 4) + 0.0, round(float(m[0, 1]), 4) + 0.0, round(float(m[1, 1]), 4) + 0.0, bool(np.linalg.eigvalsh(m).min() > 0))], "xx double, xy double, yy double, definite boolean")
+
+
+@query("""WITH v AS (SELECT CASE WHEN l_linenumber % 3 > 0 THEN l_quantity END AS q, l_discount * 100 AS v FROM lineitem), z AS (SELECT coalesce(q - avg(q) OVER (), 0) AS q, v - avg(v) OVER () AS v FROM v),
+s AS (SELECT sum(q * q) AS qq, sum(v * v) AS vv, sum(q * v) AS qv, count(*) AS n FROM z), e AS (SELECT n, (qq + vv) / 2 AS m, sqrt((qq - vv) * (qq - vv) / 4 + qv * qv) AS d FROM s)
+SELECT CAST(1 AS BIGINT) AS component, round((m + d) / (n - 1), 4) AS variance FROM e UNION ALL SELECT 2, round((m - d) / (n - 1), 4) FROM e""")
+def nan_pca_2x2(spark, sf_dir):
+    """Components with missing values, which count as 0 after centring."""
+    l = A.table(spark, sf_dir, "lineitem").select(F.when(F.col("l_linenumber") % 3 > 0, F.col("l_quantity")).alias("q"), (F.col("l_discount") * 100).alias("v"))  # noqa: E741
+    return spark.createDataFrame([(k + 1, round(float(v), 4)) for k, v in enumerate(linear.fit_pca(l, ["q", "v"]).variance)], "component long, variance double")
+
+
+@query(f"WITH {A.VIEWS} SELECT round(abs(corr(a1, b2)), 6) AS corr FROM views")
+def views_cca(spark, sf_dir):
+    """Two datasets, each through its own chain, and their canonical correlation."""
+    chain = lambda: estimators.Chain([("scale", estimators.RobustScale()), ("components", estimators.Components(1))])
+    v = A.customer_views(spark, sf_dir).na.drop("any", subset=["a1", "b2"])
+    model = estimators.fit_views_cca(estimators.Views({"a": chain(), "b": chain()}), v, {"a": ["a1"], "b": ["b2"]})
+    return spark.createDataFrame([(round(float(model.correlations[0]), 6),)], "corr double")
+
+
+@query("SELECT c_custkey AS eid, c_acctbal FROM customer WHERE c_custkey % 17 <> 0")
+def strict_withdrawal(spark, sf_dir):
+    """Subjects to drop who must all be there."""
+    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("eid"), "c_acctbal")
+    return cohort.without_subjects(c, c.where("eid % 17 = 0").select("eid"), strict=True)
+
+
+@query(f"WITH {A.RESULTS}, r AS (SELECT sample_size, feature, CASE WHEN event_id % 997 <> 0 THEN loading END AS x FROM results) SELECT CAST(sample_size AS BIGINT) AS sample_size, feature, " + ", ".join(f"round(CASE WHEN count(x) = count(*) THEN quantile_cont(x, {q}) END, 6) AS q{i}" for i, q in enumerate((0.025, 0.975))) + " FROM r GROUP BY 1, 2")
+def quantiles_with_missing(spark, sf_dir):
+    """Quantiles as of correlations: one missing value makes the group's missing."""
+    r = A.results(spark, sf_dir).withColumn("loading", F.when(F.col("event_id") % 997 != 0, F.col("loading")))
+    out = results.null_quantiles(r, ["sample_size", "feature"], "loading", (0.025, 0.975), skip_missing=False)
+    return _long(out, "sample_size").withColumns({c: A.r6(F.col(c)) for c in ("q0", "q1")})
