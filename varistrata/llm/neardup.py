@@ -221,13 +221,15 @@ def across_components(rare: DataFrame) -> DataFrame:
     return rare.join(shared, "s").where(whole | (other & (F.col("_wleast") <= F.col("most")))).select("id", "n").distinct()
 
 
-def block_pairs(members: DataFrame, percent: int, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame:
-    """pair, id: which documents meet in which task, from distinct (hub, id, component, n).
+def block_pairs(members: DataFrame, percent: int, cut: Callable[[DataFrame], DataFrame] = cut_lineage) -> DataFrame | None:
+    """pair, id, component: which documents meet in which task, from distinct (hub, id, component, n); None where there are none.
 
     A hub's documents fall into rings by size, linked ones in the same or the next; in a ring a large component
     has blocks of its own and the others share blocks, of about BLOCK documents and BLOCK_SHINGLES shingles at most each.
     Blocks of one component never meet, since they hold nothing that is not known.
     """
+    if members.isEmpty():
+        return None
     ringed = members.withColumn("ring", F.floor(F.log("n") / float(-np.log(percent / 100)) + 1e-9).cast("int"))
     of = ["hub", "ring", "component"]
     counted = cut(ringed.groupBy(*of).agg(F.count("*").alias("own"), F.sum("n").alias("size")))
@@ -319,11 +321,11 @@ def grouped(docs: DataFrame, k: int, percent: int, key: str = "doc_id", text: st
     shingles = cut(full_sets(docs, left, k, key, text).select("id", "component", F.size("shingles").cast("long").alias("n"), "shingles"))
     rare = cut(prefixes(shingles, percent))
     active = cut(across_components(rare))
+    groups = cut(known.where("id != first").select(F.col("first").alias("hub"), "id", "component").distinct().join(active, "id"))
+    split = cut(groups.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("hub"))
+    tasks = block_pairs(salted_join(groups, split, ["hub"], F.col("id")), percent, cut)
     merged = None
-    if not active.isEmpty():
-        groups = cut(known.where("id != first").select(F.col("first").alias("hub"), "id", "component").distinct().join(active, "id"))
-        split = cut(groups.groupBy("hub").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low != _high").select("hub"))
-        tasks = block_pairs(salted_join(groups, split, ["hub"], F.col("id")), percent, cut)
+    if tasks is not None:
         met = tasks.join(shingles.select("id", "shingles"), "id")
         across = cut(met.groupBy("pair").applyInArrow(_links_in_block(percent), "a long, c long").distinct())
         if not across.isEmpty():
