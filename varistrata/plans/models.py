@@ -116,3 +116,63 @@ def null_model_band(spark, sf_dir):
     """Quantiles of the validation correlations of shuffled data."""
     out = _grid(spark, sf_dir, null_model=True, reps=8, cca_types=("without_cv",))
     return results.null_quantiles(out.where("metric = 'corr' and set_name = 'val'"), ["subset", "sample_size", "cca_type", "component"], "value", skip_missing=False)
+
+
+PAIR = {A.COLUMNS[0]: "u", A.COLUMNS[1]: "v"}
+#: Two columns with missing values: their products after centring (missing ones as 0) and the axes of the ellipse.
+PAIR_AXES = f"""WITH {A.WIDE}, m AS (SELECT avg("{A.COLUMNS[0]}") AS mu, avg("{A.COLUMNS[1]}") AS mv FROM wide),
+z AS (SELECT eid, coalesce("{A.COLUMNS[0]}" - mu, 0) AS u, coalesce("{A.COLUMNS[1]}" - mv, 0) AS v FROM wide, m),
+s AS (SELECT sum(u * u) AS a, sum(v * v) AS d, sum(u * v) AS b, count(*) AS n FROM z),
+t AS (SELECT *, atan2(2 * b, a - d) / 2 AS angle, sqrt((a - d) * (a - d) / 4 + b * b) AS half FROM s),
+axes AS (SELECT 1 AS component, ((a + d) / 2 + half) / (n - 1) AS variance, cos(angle) AS wu, sin(angle) AS wv FROM t
+         UNION ALL SELECT 2, ((a + d) / 2 - half) / (n - 1), -sin(angle), cos(angle) FROM t),
+turned AS (SELECT component, variance, variance / sum(variance) OVER () AS share, wu * turn AS wu, wv * turn AS wv
+           FROM (SELECT *, sign(CASE WHEN abs(wu) >= abs(wv) THEN wu ELSE wv END) AS turn FROM axes))"""
+
+
+def _pair(spark, sf_dir):
+    w = A.wide(spark, sf_dir).select("eid", *[F.col(f"`{c}`").alias(n) for c, n in PAIR.items()])
+    return w, linear.fit_pca(w, list(PAIR.values()))
+
+
+@query(PAIR_AXES + """ SELECT eid, round(max(CASE WHEN component = 1 THEN u * wu + v * wv END), 4) + 0.0 AS pc1,
+ round(max(CASE WHEN component = 2 THEN u * wu + v * wv END), 4) + 0.0 AS pc2 FROM z, turned GROUP BY eid""")
+def nan_pca_2x2(spark, sf_dir):
+    """Scores on both components of two columns with missing values."""
+    w, model = _pair(spark, sf_dir)
+    return linear.pca_scores(w, list(PAIR.values()), model).select("eid", F.round("PC1", 4).alias("pc1"), F.round("PC2", 4).alias("pc2"))
+
+
+@query(PAIR_AXES + " SELECT component, round(variance, 6) AS variance, round(share, 6) AS share FROM turned")
+def nan_pca_spectrum(spark, sf_dir):
+    _, model = _pair(spark, sf_dir)
+    rows = [(k + 1, round(float(v), 6), round(float(s), 6)) for k, (v, s) in enumerate(zip(model.variance, model.share, strict=True))]
+    return spark.createDataFrame(rows, "component int, variance double, share double")
+
+
+FRACTIONS = [k / 20 for k in range(20)]
+
+
+@query(PAIR_AXES + f""", c AS (SELECT sum(share) OVER (ORDER BY component) AS reached FROM turned)
+SELECT fraction, CAST(1 + count(*) FILTER (reached <= fraction) AS INTEGER) AS components FROM c, (SELECT unnest({FRACTIONS}::DOUBLE[]) AS fraction) GROUP BY 1""")
+def components_reaching(spark, sf_dir):
+    """How many components hold each fraction of the variance."""
+    _, model = _pair(spark, sf_dir)
+    return spark.createDataFrame(list(zip(FRACTIONS, linear.components_reaching(model, FRACTIONS), strict=True)), "fraction double, components int")
+
+
+def _regression_sql(x: str, k: int) -> str:
+    """Least squares of b0 on x and the covariate c0, from the rows with even eid, scored on those and on the others."""
+    return f"""SELECT {k} AS components, CASE WHEN even THEN 'fit' ELSE 'test' END AS set_name,
+ round(1 - sum(power(b0 - y - bx * ({x} - mx) - bc * (c0 - mc), 2)) / (var_pop(b0) * count(*)), 6) AS r2,
+ round(sqrt(avg(power(b0 - y - bx * ({x} - mx) - bc * (c0 - mc), 2))), 6) AS rmse
+ FROM whole, (SELECT *, (sxy * scc - scy * sxc) / (sxx * scc - sxc * sxc) AS bx, (scy * sxx - sxy * sxc) / (sxx * scc - sxc * sxc) AS bc FROM
+ (SELECT avg(b0) AS y, avg({x}) AS mx, avg(c0) AS mc, var_pop({x}) AS sxx, var_pop(c0) AS scc, covar_pop({x}, c0) AS sxc, covar_pop({x}, b0) AS sxy, covar_pop(c0, b0) AS scy FROM whole WHERE even)) GROUP BY even"""
+
+
+@query(f"WITH {A.VIEWS}, whole AS (SELECT *, eid % 2 = 0 AS even FROM views WHERE a0 IS NOT NULL AND a1 IS NOT NULL AND b0 IS NOT NULL AND c0 IS NOT NULL) " + " UNION ALL ".join(_regression_sql(x, k) for k, x in ((1, "a0"), (2, "a1"))))
+def regressions_with_covariate(spark, sf_dir):
+    """A regression for each of two columns with a covariate that is always in, fitted on half of the customers: r2 and the root of the mean squared error."""
+    v = A.customer_views(spark, sf_dir)
+    scores = [linear.regression_scores(v, ["a0", "a1"], ["c0"], "b0", F.col("eid") % 2 == 0, method=m, root=m == "mse").withColumnRenamed("score", n) for m, n in (("r2", "r2"), ("mse", "rmse"))]
+    return scores[0].join(scores[1], ["components", "set_name"]).select("components", "set_name", A.r6(F.col("r2")).alias("r2"), A.r6(F.col("rmse")).alias("rmse"))
