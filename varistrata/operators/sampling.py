@@ -152,7 +152,7 @@ def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "e
             by = Window.partitionBy("rep", "sample_size").orderBy(F.md5(F.concat_ws("-", F.col(key).cast("string"), F.col("_k").cast("string"))), "_k", key)
             return chosen.withColumn("draw", F.row_number().over(by)).select("rep", "sample_size", "draw", key)
         ranked = _positions(hashed(pool, name), ["rep", "sample_size", "_g"], key).withColumnRenamed("pos", "_at").alias("r")
-        chosen = ranked.join(F.broadcast(quotas).alias("q"), (F.col("r.rep") == F.col("q.rep")) & (F.col("r.sample_size") == F.col("q.sample_size")) & F.col("r._g").eqNullSafe(F.col("q._group"))).where("_at <= _q")
+        chosen = ranked.join(quotas.alias("q"), (F.col("r.rep") == F.col("q.rep")) & (F.col("r.sample_size") == F.col("q.sample_size")) & F.col("r._g").eqNullSafe(F.col("q._group"))).where("_at <= _q")
         own = _positions(chosen.select("r.rep", "r.sample_size", "r._o", f"r.{key}"), ["rep", "sample_size"], key)
         return own.select("rep", "sample_size", F.col("pos").alias("draw"), key)
 
