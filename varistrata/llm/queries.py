@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from varistrata.llm import decontam, langid, media, mixing, neardup, oracles, quality, secrets, sharding, tokens, toxicity
+from varistrata.llm import decontam, langid, media, merkle, mixing, neardup, oracles, quality, secrets, sharding, tokens, toxicity
 from varistrata.llm.common import bounded_batches
 
 
@@ -29,6 +29,7 @@ QUERIES: dict[str, Callable] = {
     "op8_decontamination": _bounded(decontam.query),
     "op9_media": _bounded(media.query),
     "op10_sharding": _bounded(sharding.query),
+    "op11_merkle_manifest": _bounded(merkle.query),
 }
 #: Checksums, hashing and trained models have no SQL of DuckDB's; those operators are tested against brute force.
-ORACLES: dict[str, str] = {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op7_near_duplicates": oracles.NEAR_DUPLICATES, "op8_decontamination": decontam.ORACLE, "op11_merkle_manifest": merkle.ORACLE}
