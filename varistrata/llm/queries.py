@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
-from varistrata.llm import decontam, langid, media, merkle, mixing, neardup, oracles, quality, rules, secrets, sharding, tokens, toxicity
+from varistrata.llm import decontam, langid, media, merkle, mixing, neardup, oracles, quality, rules, secrets, sharding, tokens, toxicity, whitening
 from varistrata.llm.common import bounded_batches
 
 
@@ -30,6 +30,7 @@ QUERIES: dict[str, Callable] = {
     "op9_media": _bounded(media.query),
     "op10_sharding": _bounded(sharding.query),
     "op11_merkle_manifest": _bounded(merkle.query),
+    "op12_whitening": _bounded(whitening.query),
     "op13_quality_rules": _bounded(rules.query),
 }
 #: Checksums, hashing and trained models have no SQL of DuckDB's; those operators are tested against brute force.
