@@ -137,16 +137,22 @@ def select_columns(
     udis: DataFrame, fields: DataFrame, tree: DataFrame, recommended: DataFrame, categories: Sequence = (), extra_fields: Sequence[int] = (), types: str | Sequence = "all",
     keep_types: bool = True, title: str | None = None, keep_title: bool = True, titles_reject: Sequence[str] = (), instances: Sequence[int] | str = "all", keep_instance: str = "all",
 ) -> DataFrame:
-    """Categories and single fields, then value types, titles and instances, as column identifiers."""
+    """Categories and single fields, then value types, titles and instances, as column identifiers.
+
+    What is "all" is not filtered by: fields of no or an unknown value type stay, and so does any instance.
+    """
     chosen = fields_of_categories(fields, tree, recommended, categories)
     if extra_fields:
         chosen = chosen.unionByName(fields.sparkSession.createDataFrame([(f,) for f in extra_fields], chosen.schema)).distinct()
-    out = filter_by_value_type(fields.join(chosen, "field_id", "left_semi"), types, keep_types)
+    out = fields.join(chosen, "field_id", "left_semi")
+    if types != "all":
+        out = filter_by_value_type(out, types, keep_types)
     if title is not None:
         out = filter_by_title(out, title, keep_title)
     for pattern in titles_reject:
         out = filter_by_title(out, pattern, keep=False)
-    return filter_by_instance(filter_by_field(udis, out), instances, keep_instance)
+    found = filter_by_field(udis, out)
+    return found if instances == "all" and keep_instance == "all" else filter_by_instance(found, instances, keep_instance)
 
 
 def unencoded(name: str | Column) -> Column:
@@ -154,10 +160,10 @@ def unencoded(name: str | Column) -> Column:
     return F.substring_index(F.col(name) if isinstance(name, str) else name, "_", 1)
 
 
-def labels(encoded: DataFrame, catalog: DataFrame, with_category: bool = False, column: str = "udi_encoded") -> DataFrame:
-    """encoded with `label`: [category] title (suffix); the suffixes orig and squared are not shown."""
+def labels(encoded: DataFrame, catalog: DataFrame, with_category: bool = False, column: str = "udi_encoded", suffixes: bool = True) -> DataFrame:
+    """encoded with `label`: [category] title (suffix); the suffixes orig and squared are not shown, a name without one is its own suffix. suffixes=False: titles only."""
     suffix = F.substring_index(F.col(column), "_", -1)
-    text = F.when(suffix.isin("orig", "squared") | ~F.contains(F.col(column), F.lit("_")), F.col("title_field")).otherwise(F.concat("title_field", F.lit(" ("), suffix, F.lit(")")))
+    text = F.when(suffix.isin("orig", "squared") | F.lit(not suffixes), F.col("title_field")).otherwise(F.concat("title_field", F.lit(" ("), suffix, F.lit(")")))
     if with_category:
         text = F.concat(F.lit("["), "title_category", F.lit("] "), text)
     names = catalog.select("udi", "title_field", "title_category")

@@ -165,5 +165,63 @@ def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "e
     return learn.unionByName(held_out).select(F.lit(subset).alias("subset"), "rep", "sample_size", "set_name", "draw", key)
 
 
+#: Draws that one row of the plan stands for before they are made one by one.
+CHUNK = 1 << 16
+
+
+def _permuted(place: Column, n: Column, *key: Column) -> Column:
+    """Places under keyed permutations, by arithmetic on batches."""
+    from varistrata.functions import permutation
+
+    @F.pandas_udf("long")
+    def turn(place, n, *key):
+        import pandas as pd
+
+        return pd.Series(permutation.permuted(place.to_numpy(), n.to_numpy(), *[k.to_numpy() for k in key]))
+
+    return turn(place, n, *key)
+
+
+#: Told apart in the keys of permutations: the places of a repetition, and the draws of learning and validation samples.
+_PLACES, _LEARN, _VAL = 0, 1, 2
+
+
+def keyed_design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "eid", subset: str = "all", replace: bool = False, match_validation: bool = False, seed: int = SEED, n_in: int | None = None) -> DataFrame:
+    """The rows of `design`, made draw by draw: a sample of s subjects is s rows, whatever the cohort's size, and no subject is hashed for a draw it is not in.
+
+    Subjects are numbered once, in the order of a hash. A keyed permutation for each repetition puts them into places, of
+    which the first n_in are the learning pool; another one for each repetition and size orders a pool, so
+    draw d is the subject at a place that is worked out from d alone. With replacement the place is a hash of d.
+    Keys must be distinct; a null key is a subject like any other.
+    """
+    n = subjects.count()
+    inside = max(n // 2, *sizes) if n_in is None else n_in
+    if inside > n or (match_validation and not replace and max(sizes) > n - inside):
+        raise ValueError("a sample has more subjects than there are to draw from")
+    spark = subjects.sparkSession
+    pools = [("learn", 0, inside, _LEARN), *([("val", inside, n - inside, _VAL)] if match_validation else [])]
+    rows = [(r, s, name, start, s, pool, turn) for r in range(n_reps) for s in sizes for name, start, pool, turn in pools]
+    rows += [] if match_validation else [(r, None, "val", inside, n - inside, n - inside, _VAL) for r in range(n_reps)]
+    plan = spark.createDataFrame(rows, "rep int, sample_size int, set_name string, _start long, _take long, _pool long, _turn long").where("_take > 0")
+    chunks = plan.withColumn("_chunk", F.explode(F.expr(f"sequence(0L, (_take - 1) div {CHUNK})"))).repartition("rep", "sample_size", "set_name", "_chunk")
+    draws = chunks.withColumn("_d", F.explode(F.expr(f"sequence(_chunk * {CHUNK}, least((_chunk + 1) * {CHUNK}, _take) - 1)")))
+    s, rep, size = F.lit(seed).cast("long"), F.col("rep").cast("long"), F.coalesce(F.col("sample_size"), F.lit(0)).cast("long")
+    if replace:
+        from varistrata.functions import permutation
+
+        @F.pandas_udf("long")
+        def hashed(pool, *key):
+            import pandas as pd
+
+            return pd.Series(permutation.keyed(*[k.to_numpy() for k in key]) % pool.to_numpy())
+
+        spot = F.when(F.col("sample_size").isNull(), F.col("_d")).otherwise(hashed(F.col("_pool"), s, F.col("_turn"), rep, size, F.col("_d")))
+    else:
+        spot = F.when(F.col("sample_size").isNull(), F.col("_d")).otherwise(_permuted(F.col("_d"), F.col("_pool"), s, F.col("_turn"), rep, size))
+    at = draws.withColumn("_index", _permuted(F.col("_start") + spot, F.lit(n).cast("long"), s, F.lit(_PLACES).cast("long"), rep))
+    numbered = ordered_places(subjects.select(key), key, f"keyed{seed}").select(key, (F.col("pos") - 1).cast("long").alias("_index"))
+    return at.join(numbered, "_index").select(F.lit(subset).alias("subset"), "rep", "sample_size", "set_name", (F.col("_d") + 1).cast("int").alias("draw"), key)
+
+
 def age_group(column: str, width: int = 5) -> Column:
     return F.floor(F.col(column) / width).cast("int")

@@ -137,7 +137,7 @@ def _pair(spark, sf_dir):
 
 @query(PAIR_AXES + """ SELECT eid, round(max(CASE WHEN component = 1 THEN u * wu + v * wv END), 4) + 0.0 AS pc1,
  round(max(CASE WHEN component = 2 THEN u * wu + v * wv END), 4) + 0.0 AS pc2 FROM z, turned GROUP BY eid""")
-def nan_pca_2x2(spark, sf_dir):
+def nan_pca_scores(spark, sf_dir):
     """Scores on both components of two columns with missing values."""
     w, model = _pair(spark, sf_dir)
     return linear.pca_scores(w, list(PAIR.values()), model).select("eid", F.round("PC1", 4).alias("pc1"), F.round("PC2", 4).alias("pc2"))
@@ -155,7 +155,7 @@ FRACTIONS = [k / 20 for k in range(20)]
 
 @query(PAIR_AXES + f""", c AS (SELECT sum(share) OVER (ORDER BY component) AS reached FROM turned)
 SELECT fraction, CAST(1 + count(*) FILTER (reached <= fraction) AS INTEGER) AS components FROM c, (SELECT unnest({FRACTIONS}::DOUBLE[]) AS fraction) GROUP BY 1""")
-def components_reaching(spark, sf_dir):
+def components_by_fraction(spark, sf_dir):
     """How many components hold each fraction of the variance."""
     _, model = _pair(spark, sf_dir)
     return spark.createDataFrame(list(zip(FRACTIONS, linear.components_reaching(model, FRACTIONS), strict=True)), "fraction double, components int")

@@ -9,9 +9,11 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None) -> Callable:
-    """Register a function (spark, sf_dir) -> DataFrame under its name."""
+    """Register a function (spark, sf_dir) -> DataFrame under its name; a name can be taken once."""
 
     def add(fn: Callable) -> Callable:
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"there is a query {fn.__name__} already")
         QUERIES[fn.__name__] = fn
         if sql is not None:
             ORACLES[fn.__name__] = sql
