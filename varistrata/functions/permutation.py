@@ -51,15 +51,21 @@ def permuted(i: np.ndarray, n: int | np.ndarray, *key) -> np.ndarray:
     return out
 
 
-def sql(i: str, n: str, *key: str) -> str:
-    """The same in DuckDB's SQL, for expressions of whole numbers. Walks up to 64 steps, which small n need at most and large n never do."""
-    m = lambda x: (
-        f"list_reduce([CAST(({x} + {OFFSET}) & {MASK} AS BIGINT), 0, 0, 0, 0], lambda v, _, k: CASE k WHEN 2 THEN (v * {FIRST}) & {MASK} WHEN 3 THEN xor(v, v >> 15) WHEN 4 THEN (v * {SECOND}) & {MASK} ELSE xor(v, v >> 13) END)"
-    )
-    base = "CAST(0 AS BIGINT)"
+def _sql_mix(x: str) -> str:
+    return f"list_reduce([CAST(({x} + {OFFSET}) & {MASK} AS BIGINT), 0, 0, 0, 0], lambda fv, _, fk: CASE fk WHEN 2 THEN (fv * {FIRST}) & {MASK} WHEN 3 THEN xor(fv, fv >> 15) WHEN 4 THEN (fv * {SECOND}) & {MASK} ELSE xor(fv, fv >> 13) END)"
+
+
+def sql_keyed(*key: str) -> str:
+    """`keyed` in DuckDB's SQL, for expressions of whole numbers."""
+    out = "CAST(0 AS BIGINT)"
     for part in key:
-        base = m(f"({base} + (CAST({part} AS BIGINT) & {MASK}))")
-    step = f"list_reduce(list_concat([{{'h': s.v // s.a, 'l': s.v % s.a}}], list_transform(s.turns, lambda t: {{'h': t, 'l': CAST(0 AS BIGINT)}})), lambda p, q: {{'h': p.l, 'l': (p.h + {m('(p.l + q.h)')}) % s.a}})"
-    state = f"{{'v': CAST({i} AS BIGINT), 'a': CAST(ceil(sqrt({n})) AS BIGINT), 'n': CAST({n} AS BIGINT), 'turns': list_transform(range({ROUNDS}), lambda k: {m(f'({base} + k)')}), 'go': true}}"
-    walk = f"{{'v': z.h * s.a + z.l, 'a': s.a, 'n': s.n, 'turns': s.turns, 'go': z.h * s.a + z.l >= s.n}}"
-    return f"list_reduce(list_concat([{state}], list_transform(range(64), lambda _: CAST(NULL AS STRUCT(v BIGINT, a BIGINT, n BIGINT, turns BIGINT[], go BOOLEAN)))), lambda s, _: CASE WHEN s.go THEN list_transform([{step}], lambda z: {walk})[1] ELSE s END).v"
+        out = _sql_mix(f"({out} + (CAST({part} AS BIGINT) & {MASK}))")
+    return out
+
+
+def sql(i: str, n: str, *key: str) -> str:
+    """`permuted` in DuckDB's SQL. Walks up to 64 steps, which small n need at most and large n never do. Columns of the query must not be named fs, fz and the like."""
+    step = f"list_reduce(list_concat([{{'h': fs.v // fs.a, 'l': fs.v % fs.a}}], list_transform(fs.turns, lambda ft: {{'h': ft, 'l': CAST(0 AS BIGINT)}})), lambda fp, fq: {{'h': fp.l, 'l': (fp.h + {_sql_mix('(fp.l + fq.h)')}) % fs.a}})"
+    state = f"{{'v': CAST({i} AS BIGINT), 'a': CAST(ceil(sqrt({n})) AS BIGINT), 'n': CAST({n} AS BIGINT), 'turns': list_transform([{sql_keyed(*key)}], lambda fb: list_transform(range({ROUNDS}), lambda fr: {_sql_mix('(fb + fr)')}))[1], 'go': true}}"
+    walk = "{'v': fz.h * fs.a + fz.l, 'a': fs.a, 'n': fs.n, 'turns': fs.turns, 'go': fz.h * fs.a + fz.l >= fs.n}"
+    return f"list_reduce(list_concat([{state}], list_transform(range(64), lambda _: CAST(NULL AS STRUCT(v BIGINT, a BIGINT, n BIGINT, turns BIGINT[], go BOOLEAN)))), lambda fs, _: CASE WHEN fs.go THEN list_transform([{step}], lambda fz: {walk})[1] ELSE fs END).v"

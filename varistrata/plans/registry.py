@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from varistrata.plans import models, relational, statistics, surface, tables  # noqa: E402, F401
+from varistrata.plans import grids, models, relational, statistics, surface, tables  # noqa: E402, F401

@@ -65,6 +65,33 @@ def composite_select(spark, sf_dir):
     return catalog.select_columns(A.udi_table(spark, sf_dir), fields, A.category_tree(spark, sf_dir), recommended, [101], [3, 5], "numeric", titles_reject=["blue"], instances=[1, 2]).select("udi")
 
 
+def _any_kind(spark, sf_dir):
+    """Fields of which some have no value type or one that isn't known, and identifiers with instances from 1 to 4."""
+    kind = F.when(F.col("field_id") % 7 == 0, F.lit(None)).when(F.col("field_id") % 11 == 0, F.lit(199)).otherwise(F.col("value_type"))
+    u = A.udi_table(spark, sf_dir).withColumn("instance", F.col("instance") + 1)
+    return A.catalogue(spark, sf_dir).withColumn("value_type", kind), u.withColumn("udi", F.concat(F.col("field_id").cast("string"), F.lit("-"), F.col("instance").cast("string"), F.lit("."), F.col("array_index").cast("string")))
+
+
+@query(f"""WITH RECURSIVE {A.TREE}, {A.CATALOGUE}, {A.UDIS}, seen AS (SELECT 101::BIGINT AS category_id, 0 AS depth UNION ALL SELECT child_id, depth + 1 FROM seen JOIN tree ON parent_id = category_id WHERE depth < 8)
+SELECT concat(field_id, '-', instance + 1, '.', array_index) AS udi FROM udis WHERE field_id IN (SELECT field_id FROM field WHERE main_category IN (SELECT category_id FROM seen))""")
+def default_select(spark, sf_dir):
+    """All there is below a category: neither value types nor instances are filtered by."""
+    fields, udis = _any_kind(spark, sf_dir)
+    none = fields.limit(0).select(F.col("main_category").alias("category_id"), "field_id")
+    return catalog.select_columns(udis, fields, A.category_tree(spark, sf_dir), none, [101]).select("udi")
+
+
+@query(f"""WITH {A.CATALOGUE}, {A.UDIS}, category AS (SELECT CAST(n_nationkey AS BIGINT) AS category_id, n_name AS title FROM nation)
+SELECT udi, concat(f.title, ' (', udi, ')') AS encoded, f.title AS plain FROM udis JOIN field f USING (field_id) JOIN category c ON f.main_category = c.category_id""")
+def unsuffixed_labels(spark, sf_dir):
+    """Labels of names without an encoding: such a name is its own suffix, where suffixes are shown."""
+    categories = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("category_id"), F.col("n_name").alias("title"))
+    udis = A.udi_table(spark, sf_dir)
+    merged = catalog.merged_catalog(udis, A.catalogue(spark, sf_dir), categories)
+    told = [catalog.labels(udis.select(F.col("udi").alias("udi_encoded")), merged, suffixes=s).select("udi", F.col("label").alias(n)) for s, n in ((True, "encoded"), (False, "plain"))]
+    return told[0].join(told[1], "udi")
+
+
 @query(f"""WITH {A.CATALOGUE}, {A.UDIS}, category AS (SELECT CAST(n_nationkey AS BIGINT) AS category_id, n_name AS title FROM nation), e AS (SELECT udi, concat(udi, CASE WHEN array_index = 0 THEN '_orig' WHEN array_index = 1 THEN '_squared' ELSE '_mean3' END) AS udi_encoded, field_id FROM udis)
 SELECT udi_encoded, concat('[', c.title, '] ', f.title, CASE WHEN udi_encoded LIKE '%mean3' THEN ' (mean3)' ELSE '' END) AS label FROM e JOIN field f USING (field_id) JOIN category c ON f.main_category = c.category_id""")
 def catalog_labels(spark, sf_dir):
