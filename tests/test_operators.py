@@ -176,10 +176,6 @@ def test_grid(spark):
     wide = corr.pivot_table(index=["sample_size", "rep", "cca_type"], columns="set_name", values="value")
     assert (wide.learn - wide.val).mean() > -0.05
     assert got.where("metric = 'loading'").count() == 2 * 2 * 2 * 2 * 11 * 3
-    joined = experiment.run_grid(frame, data, design, settings, ["c0", "c1"], ["x0", "y0"], broadcast_bytes=0)
-    key = ["sample_size", "rep", "cca_type", "set_name", "metric", "dataset", "feature", "component"]
-    a, b = (g.toPandas().sort_values(key).value.to_numpy(float) for g in (got, joined))
-    assert np.allclose(a, b)
     null = experiment.run_grid(frame, data, design, experiment.Settings(n_pcs=(3, 3), cca_types=("without_cv",)), ["c0", "c1"], null_model=True)
     val = null.where("metric = 'corr' and component = 1 and set_name = 'val'").toPandas().value
     assert val.abs().mean() < corr.value.mean() - 0.2  # fitted on shuffled rows, looked at on rows as they are
@@ -188,6 +184,48 @@ def test_grid(spark):
     assert (np.sign(first.m) == np.sign(first.m.iloc[0])).all()
 
 
+def test_grid_with_keys_of_any_kind(spark):
+    """Text keys give what numbers give; a sampled key the frame lacks is left out; one it has twice gives both rows, in whatever order they come."""
+    frame, data, design = grid_inputs(spark)
+    settings = experiment.Settings(n_pcs=(3, 3), cca_types=("without_cv",))
+    by = ["sample_size", "rep", "set_name", "metric", "dataset", "feature", "component"]
+    run = lambda f, d: f"{experiment.run_grid(f, data, d, settings, ['c0', 'c1']).toPandas().sort_values(by).value.round(9).tolist()}"
+    design = design.where("sample_size is null or sample_size = 60").where("rep = 0")
+    text = lambda d: d.withColumn("eid", F.concat(F.lit("s"), F.col("eid").cast("string")))
+    plain = run(frame, design)
+    assert run(text(frame), text(design)) == plain
+    absent = design.unionByName(design.where("set_name = 'learn'").limit(1).withColumn("eid", F.lit(10**6).cast("long")).withColumn("draw", F.lit(10**6)))
+    assert run(frame, absent) == plain
+    twice = frame.unionByName(frame.where("eid < 40").withColumn("x0", F.lit(0.5)))
+    assert run(twice.repartition(1), design) == run(twice.repartition(5), design) != plain
+
+
+def test_only_singular_fits_are_tried_again(monkeypatch):
+    rng = np.random.default_rng(1)
+    x, y = rng.standard_normal((60, 3)), rng.standard_normal((60, 3))
+    v = experiment.Views([x, y], [list("abc"), list("def")], None, [np.zeros(3, bool)] * 2)
+    settings = experiment.Settings(n_pcs=(2, 2), cv_reps=1, n_folds=2, missing=0.9, frequency=1.0, cca_types=("repeated_cv",))
+    fit, calls = experiment.Model.fit, []
+
+    def failing(error, times):
+        def once(self, views, shuffle=None):
+            calls.append(1)
+            if 1 < len(calls) <= 1 + times:  # the first is the plain model
+                raise error
+            return fit(self, views, shuffle)
+
+        return once
+
+    for error, times, again in ((np.linalg.LinAlgError("singular"), 2, True), (ValueError(experiment.NOT_FINITE), 2, True), (ValueError("shapes differ"), 1, False), (np.linalg.LinAlgError("singular"), 99, False)):
+        calls.clear()
+        monkeypatch.setattr(experiment.Model, "fit", failing(error, times))
+        if again:
+            assert experiment.unit(v, v, settings, False, [1])
+        else:
+            with pytest.raises(type(error)):
+                experiment.unit(v, v, settings, False, [1])
+
+
 def test_result_tables(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", 5.0)], "k string, v double")
     assert {r.k: (r.mean, r.std) for r in results.mean_std(df, ["k"], "v", loadings=False).collect()} == {"a": (2.0, 1.0), "b": (5.0, 0.0)}

@@ -1,7 +1,7 @@
 """The experiment grid: canonical correlation for each sub-cohort, repetition and sample size.
 
-Every unit is one group of a grouped Arrow kernel. The analysis table goes to the workers once, as a broadcast array,
-if its size is within BROADCAST_BYTES; a larger one is joined to the samples instead, so a unit gets its own rows.
+Every unit is one group of a grouped Arrow kernel: its samples are joined to the analysis table, so it gets its own rows.
+Where columns are only standardised, `folds.run_linear_grid` needs no group of rows.
 """
 
 from __future__ import annotations
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from varistrata.functions import kernels
 from varistrata.operators.columns import filtered_quantile_columns
 
-BROADCAST_BYTES = 256 << 20
+#: What a fit says of values that are not finite.
+NOT_FINITE = "array must not contain infs or NaNs"
 RESULT = "subset string, null_model boolean, sample_size int, rep int, cca_type string, set_name string, metric string, dataset string, feature string, component int, pos long, value double"
 
 
@@ -172,9 +173,10 @@ def repeated_cv(learn: Views, sets: dict[str, Views], reference: list[np.ndarray
     while len(models) < settings.cv_reps * settings.n_folds:
         try:
             models += [Model(settings).fit(learn.rows(t), rng if null_model else None) for t in folds(len(learn.x[0]), settings.n_folds, rng)]
-        except (np.linalg.LinAlgError, ValueError):
+        except (np.linalg.LinAlgError, ValueError) as error:
+            # Only what other folds can mend; any other error is one of the program or its input.
             failures += 1
-            if failures > settings.retries:
+            if failures > settings.retries or not (isinstance(error, np.linalg.LinAlgError) or str(error) == NOT_FINITE):
                 raise
     turned = []
     changed = settings.model_transform or (lambda scores: scores)
@@ -226,11 +228,12 @@ def unit(learn: Views, val: Views, settings: Settings, null_model: bool, seed: S
     return [(*r[:-1], None if not np.isfinite(r[-1]) else r[-1]) for r in rows]
 
 
-def run_grid(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFrame, settings: Settings, confounds: Sequence[str] = (), quantile: Sequence[str] = (), null_model: bool = False, key: str = "eid", broadcast_bytes: int = BROADCAST_BYTES, value_type: dict[str, int] | None = None) -> DataFrame:
+def run_grid(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFrame, settings: Settings, confounds: Sequence[str] = (), quantile: Sequence[str] = (), null_model: bool = False, key: str = "eid", value_type: dict[str, int] | None = None) -> DataFrame:
     """RESULT rows of all units. frame: key and the columns of the two datasets and the confounds; samples: as sampling.design gives them.
 
     value_type: codes by column; those of integers and continuous values (and row means and deviations) are turned into
     normal scores, and such confounds are squared. Without it `quantile` names the columns, and all confounds are numeric.
+    Keys are of any type. A sampled key that the frame lacks is left out, one that it has twice gives both rows.
     """
     import pandas as pd
 
@@ -263,24 +266,13 @@ def run_grid(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFram
     units = samples.where("sample_size is not null").unionByName(shared).select("subset", "rep", "sample_size", "set_name", "draw", key)
     by = ["subset", "rep", "sample_size"]
     numbers = [F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)]
-    if frame.count() * (len(columns) + 1) * 8 <= broadcast_bytes:
-        table = frame.select(F.col(key).cast("long"), *numbers).toPandas().sort_values(key)
-        held = frame.sparkSession.sparkContext.broadcast((table[key].to_numpy(), kernels.masked(table.drop(columns=key).to_numpy(dtype=float))))
-
-        def from_broadcast(group, pdf):
-            ids, x = held.value
-            pdf = pdf.sort_values("draw")
-            at = np.searchsorted(ids, pdf[key].to_numpy())
-            learn = pdf["set_name"].to_numpy() == "learn"
-            return solved(group, x[at[learn]], x[at[~learn]])
-
-        return units.groupBy(*by).applyInPandas(from_broadcast, RESULT)
-
     packed = frame.select(key, F.array(*[F.coalesce(n, F.lit(float("nan"))) for n in numbers]).alias("_x"))
 
     def from_rows(group, pdf):
-        pdf = pdf.sort_values("draw")
+        # Rows of one draw (a key that the frame has twice) in the order of their values, so the order of arrival doesn't count.
         x = kernels.masked(np.stack(pdf["_x"].to_list()))
+        order = np.lexsort((*x.T[::-1], pdf["draw"].to_numpy()))
+        pdf, x = pdf.iloc[order], x[order]
         learn = pdf["set_name"].to_numpy() == "learn"
         return solved(group, x[learn], x[~learn])
 
