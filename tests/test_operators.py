@@ -226,6 +226,37 @@ def test_only_singular_fits_are_tried_again(monkeypatch):
                 experiment.unit(v, v, settings, False, [1])
 
 
+def test_majority_vote(spark):
+    """Shares over a half are exact, whatever the types, the order of the rows and how they are parted; without one the share is 0."""
+    import datetime
+    import decimal
+
+    rng = np.random.default_rng(4)
+    n = 1500
+    mostly = lambda value, other, share: [value if u < share else other(i) for i, u in enumerate(rng.random(n))]
+    data = {
+        "text string": mostly("a", lambda i: f"b{i % 300}", 0.55), "even string": ["x", "y"] * (n // 2), "number double": mostly(-0.0, lambda i: 0.0 if i % 2 else i / 7, 0.4), "nan double": mostly(float("nan"), lambda i: 1.5, 0.7),
+        "whole long": mostly(2**60 + 1, lambda i: 2**60 + i % 2, 0.3), "flag boolean": mostly(True, lambda i: None, 0.2), "day date": mostly(datetime.date(2020, 2, 29), lambda i: datetime.date(2021, 1, 1 + i % 28), 0.8),
+        "money decimal(9,2)": mostly(decimal.Decimal("1.50"), lambda i: decimal.Decimal(i) / 100, 0.6), "few string": mostly(None, lambda i: f"{i}", 0.9), "none double": [None] * n, "float float": mostly(0.1, lambda i: float(i), 0.65),
+    }
+    names = [k.split()[0] for k in data]
+    df = spark.createDataFrame(list(zip(*data.values(), strict=True)), ", ".join(data))
+    sorted_first = df.orderBy("text", "whole")  # all of one kind in some tasks
+    want = {r["column"]: r["mode"] for r in columns.mode_fraction(df, names).collect()}
+    for rows in (df.repartition(7), df.coalesce(1), sorted_first.repartitionByRange(5, "text")):
+        got = {r["column"]: r["mode"] for r in columns.majority_fraction(rows, names).collect()}
+        assert got.pop("none") is None
+        assert got == {c: want[c] if want[c] > 0.5 else 0.0 for c in got}
+    assert {c for c in names if (want[c] or 0) > 0.5} == {"text", "number", "nan", "whole", "flag", "day", "money", "float"}
+    assert {r["column"]: r["kinds"] for r in columns.distinct_values(df, names).collect()}["whole"] == 2
+    found = columns.find_bad_columns(df, names, missing=0.95, mode=0.6, outlier=1e9, largest=1e9, prepare=None)
+    assert set(found.dropped["mode"]) == {c for c in names if c != "none" and want[c] >= 0.6} and found.dropped["missing"] == ["none"]
+    empty = columns.majority_fraction(df.limit(0), names)
+    assert {r["mode"] for r in empty.collect()} == {None}
+    plan = columns.majority_candidates(df, names)._jdf.queryExecution().toString()
+    assert "Generate" not in plan and "Expand" not in plan
+
+
 def test_result_tables(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", None), ("a", 3.0), ("b", 5.0)], "k string, v double")
     assert {r.k: (r.mean, r.std) for r in results.mean_std(df, ["k"], "v", loadings=False).collect()} == {"a": (2.0, 1.0), "b": (5.0, 0.0)}

@@ -238,3 +238,66 @@ def test_encoded_files(spark, tmp_path):
     got, pairs = tables.load_encoded(spark, str(tmp_path))
     assert pairs == [("1-2.0", "1-2.0_a"), ("2-0.0", "2-0.0")]
     assert sorted(map(tuple, got.collect())) == [(0, 'x, "y"', None), (1, 'x, "y"', None), (10, None, "3"), (11, None, "3")]
+
+
+def scattered(n, p, seed):
+    """Correlated columns with gaps everywhere, so nearly every row misses another set of columns."""
+    rng = np.random.default_rng(seed)
+    full = rng.standard_normal((n, 3)) @ rng.standard_normal((3, p)) + 0.3 * rng.standard_normal((n, p)) + 100 * np.arange(p)
+    x = full.copy()
+    x[rng.random(x.shape) < 0.3] = np.nan
+    return full, x
+
+
+def as_frame(spark, x):
+    rows = [(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)]
+    return spark.createDataFrame(rows, "eid long, " + ", ".join(f"v{i} double" for i in range(x.shape[1])))
+
+
+def values_of(df, p):
+    return df.orderBy("eid").toPandas()[[f"v{i}" for i in range(p)]].to_numpy()
+
+
+def test_imputation_with_many_sets_of_missing_columns(spark, monkeypatch):
+    """20 columns and more sets than the driver takes: the rows are passed over, and all values equal those of one block of all rows."""
+    full, x = scattered(5000, 20, 3)
+    df = as_frame(spark, x).repartition(6).cache()
+    assert len({tuple(r) for r in np.isnan(x)}) > linear.MOST_PATTERNS
+    own = linear.moments(df, [f"v{i}" for i in range(20)], centre=True)
+    assert linear._pattern_products(df.drop("eid"), own.means) is None
+    want = kernels.IterativeImputer(rounds=2)
+    filled = want.fit_transform(x)
+    got = values_of(linear.iterative_impute(df, [f"v{i}" for i in range(20)], "eid", rounds=2), 20)
+    assert np.abs(got - filled).max() < 1e-6 and (got == np.where(np.isnan(x), got, x)).all()
+    assert np.abs(got - full)[np.isnan(x)].mean() < 0.6 * np.abs(np.nanmean(x, axis=0) - full)[np.isnan(x)].mean()
+
+
+def test_both_ways_of_imputing_agree(spark, monkeypatch):
+    full, x = scattered(300, 4, 4)
+    df = as_frame(spark, x).repartition(3)
+    names = [f"v{i}" for i in range(4)]
+    want = kernels.IterativeImputer().fit_transform(x)
+    sets = values_of(linear.iterative_impute(df, names, "eid"), 4)
+    monkeypatch.setattr(linear, "MOST_PATTERNS", 3)
+    passes = values_of(linear.iterative_impute(df, names, "eid"), 4)
+    assert np.abs(sets - want).max() < 1e-7 and np.abs(passes - want).max() < 1e-7
+
+
+def test_confounds_are_imputed_by_regression(spark):
+    """Other rows go through the updates of the rows the chain was fitted on; a column without gaps in the fit has a model too."""
+    full, x = scattered(200, 3, 5)
+    x[:100, 0] = full[:100, 0]
+    first, second = as_frame(spark, x[:100]), as_frame(spark, x[100:])
+    names = ["v0", "v1", "v2"]
+    chain = estimators.confound_chain()
+    assert [n for n, _ in chain.steps] == ["impute", "quantile", "scale", "square"] and isinstance(dict(chain.steps)["impute"], estimators.RegressionImpute)
+    step = estimators.RegressionImpute().fit(first, names)
+    kernel = kernels.IterativeImputer()
+    kernel.fit_transform(x[:100])
+    assert np.abs(values_of(step.transform(second), 3) - kernel.transform(x[100:])).max() < 1e-7
+    out = chain.fit(first, names).transform(second)
+    assert out.where(" or ".join(f"{c} is null" for c in chain.columns_out)).count() == 0
+    none = first.limit(0)
+    assert step.transform(none).count() == 0 and linear.fit_imputation(none, names).updates == []
+    whole = as_frame(spark, full[:50])
+    assert np.array_equal(values_of(linear.iterative_impute(whole, names, "eid"), 3), full[:50])

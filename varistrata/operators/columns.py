@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,19 +55,77 @@ def largest_value(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _one_row(df, {c: F.max(_q(c).cast("double")) for c in columns}, "largest")
 
 
+def _as_text(df: DataFrame, column: str) -> Column:
+    """A value as text that equal values, and no others, share, whatever the column's type."""
+    fraction = isinstance(df.schema[column].dataType, (T.FloatType, T.DoubleType))
+    return (_q(column) + F.lit(0.0).cast(df.schema[column].dataType) if fraction else _q(column)).cast("string")  # -0.0 is 0.0
+
+
+def _texts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return df.select(*[_as_text(df, c).alias(c) for c in columns]).unpivot([], [_q(c) for c in columns], "column", "value")
+
+
 def distinct_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """column, kinds: distinct values that are not NULL."""
-    return wide_to_long(df, [], columns).groupBy("column").agg(F.count_distinct("value").cast("double").alias("kinds"))
+    """column, kinds: distinct values that are not NULL, of columns of any type."""
+    return _texts(df, columns).groupBy("column").agg(F.count_distinct("value").cast("double").alias("kinds"))
 
 
 def mode_fraction(df: DataFrame, columns: Sequence[str], null_as_value: bool = False) -> DataFrame:
-    """column, mode: the most frequent value's count over that of present values. null_as_value: NULL may be that value."""
-    counts = wide_to_long(df, [], columns).groupBy("column", "value").agg(F.count("*").alias("n"))
+    """column, mode: the most frequent value's count over that of present values, of columns of any type. null_as_value: NULL may be that value.
+
+    All values are shuffled; `majority_fraction` does without for shares over a half.
+    """
+    counts = _texts(df, columns).groupBy("column", "value").agg(F.count("*").alias("n"))
     present = F.sum(F.when(F.col("value").isNotNull(), F.col("n")))
     top = F.max("n") if null_as_value else F.max(F.when(F.col("value").isNotNull(), F.col("n")))
     return counts.groupBy("column").agg((top / present).alias("mode"))
 
 
+def majority_candidates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """place (of the column), candidate (as text): the one value of each column that more than half of its present values can have.
+
+    Every task keeps a candidate and a weight for each column by majority vote: a batch votes with its most frequent value,
+    weighted by what it has over half of the batch, and unequal candidates cancel out. The candidate with the largest
+    sum of weights over all tasks is the majority value if there is one. What is shuffled is a row for each task and column.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def vote(batches):
+        held = [(None, 0)] * len(columns)
+        for batch in batches:
+            for i in range(batch.num_columns):
+                have = batch.column(i).drop_null()
+                if not len(have):
+                    continue
+                counts = pc.value_counts(have)
+                at = int(np.argmax(counts.field("counts").to_numpy(zero_copy_only=False)))
+                value, weight = str(counts.field("values")[at].as_py()), 2 * counts.field("counts")[at].as_py() - len(have)
+                old, before = held[i]
+                if weight > 0:
+                    held[i] = (value, before + weight) if value == old else (old, before - weight) if before >= weight else (value, weight - before)
+        told = [(i, value, weight) for i, (value, weight) in enumerate(held) if weight > 0]
+        yield pa.RecordBatch.from_arrays([pa.array([t[k] for t in told], kind) for k, kind in enumerate((pa.int32(), pa.string(), pa.int64()))], ["place", "candidate", "weight"])
+
+    named = df.select(*[(_q(c) + F.lit(0.0).cast(df.schema[c].dataType) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else _q(c)).alias(f"c{i}") for i, c in enumerate(columns)])
+    votes = named.mapInArrow(vote, "place int, candidate string, weight long").groupBy("place", "candidate").agg(F.sum("weight").alias("weight"))
+    return votes.groupBy("place").agg(F.max_by("candidate", F.struct("weight", "candidate")).alias("candidate"))
+
+
+def majority_fraction(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """column, mode: the share of the value that more than half of the present values have; 0 if there is none, NULL without present values.
+
+    Candidates by majority vote (one for each column), then one exact count of each: two passes, and no value is shuffled.
+    """
+    found = {r["place"]: r["candidate"] for r in majority_candidates(df, columns).collect()}
+    exprs = {}
+    for i, c in enumerate(columns):
+        hits = F.count_if(_q(c) == F.lit(found[i]).cast(df.schema[c].dataType)) if i in found else F.lit(0)
+        share = F.try_divide(hits, F.count(_q(c)))
+        exprs[c] = F.when(share > 0.5, share).when(F.count(_q(c)) > 0, 0.0)
+    return _one_row(df, exprs, "mode")
+
+
 def outlier_ratio(df: DataFrame, columns: Sequence[str], prepare: str | None = None) -> DataFrame:
     """column, outlier: the largest squared distance from the median over the mean one; NULL if there is no spread.
 
@@ -150,16 +209,20 @@ class BadColumns:
 
 
 def find_bad_columns(df: DataFrame, columns: Sequence[str], missing: float | None = None, mode: float | None = None, outlier: float | None = None, largest: float | None = None, prepare: str | None = "ranks") -> BadColumns:
-    """Filters in this order, each on what the one before left: shares and ratios at the threshold or over it, any value over `largest`. prepare: as in outlier_ratio."""
+    """Filters in this order, each on what the one before left: shares and ratios at the threshold or over it, any value over `largest`. prepare: as in outlier_ratio.
+
+    Columns of any type; outliers and large values are looked for in numeric ones.
+    """
     out = BadColumns(list(columns))
-    steps = [("missing", missing, missing_fraction, lambda v, t: v >= t), ("mode", mode, mode_fraction, lambda v, t: v is None or v >= t), ("outlier", outlier, lambda d, c: outlier_ratio(d, c, prepare), lambda v, t: v is None or v >= t), ("largest", largest, largest_value, lambda v, t: v is not None and v > t)]
+    steps = [("missing", missing, missing_fraction, lambda v, t: v >= t), ("mode", mode, majority_fraction if mode is not None and mode > 0.5 else mode_fraction, lambda v, t: v is None or v >= t), ("outlier", outlier, lambda d, c: outlier_ratio(d, c, prepare), lambda v, t: v is None or v >= t), ("largest", largest, largest_value, lambda v, t: v is not None and v > t)]
     for name, threshold, statistic, bad in steps:
         if threshold is None or not out.kept:
             continue
         if name in ("missing", "mode") and not 0 <= threshold <= 1:
             raise ValueError(f"{name} must be from 0 to 1")
-        found = {r["column"]: r[name] for r in statistic(df, out.kept).collect()}
-        out.dropped[name] = [c for c in out.kept if bad(found.get(c), threshold)]
+        asked = [c for c in out.kept if isinstance(df.schema[c].dataType, (T.NumericType, T.BooleanType))] if name in ("outlier", "largest") else out.kept
+        found = {r["column"]: r[name] for r in statistic(df, asked).collect()} if asked else {}
+        out.dropped[name] = [c for c in asked if bad(found.get(c), threshold)]
         out.kept = [c for c in out.kept if c not in set(out.dropped[name])]
     return out
 
@@ -281,13 +344,6 @@ def robust_scale(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.withColumns(scaled)
 
 
-def average_rank(value: str, partition: Sequence[str] = ()) -> Column:
-    """1-based rank among present values, equal ones sharing their mean rank."""
-    present = Window.partitionBy(*partition, F.col(value).isNull())
-    ordered = present.orderBy(value)
-    return F.when(F.col(value).isNotNull(), F.rank().over(ordered) + (F.count(value).over(Window.partitionBy(*partition, value)) - 1) / 2)
-
-
 #: Ranges of values in which ranks are worked out separately, and how many groups' bounds are broadcast (about 500 bytes each).
 RANGES, BROADCAST_GROUPS = 64, 10_000
 
@@ -345,8 +401,6 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], most: int = 1000) -> di
     Values are counted and their places worked out range by range; only those next to a wanted place, about three for
     each step, come to the driver. They are interpolated there, so ties stay ties to the last bit.
     """
-    import numpy as np
-
     counts = wide_to_long(df, [], columns).where("value is not null").groupBy("column", "value").agg(F.count("*").alias("_n"))
     placed = running_counts(counts, ["column"], "value")
     step = (F.least(F.col("_total"), F.lit(most)) - 1) / F.greatest(F.col("_total") - 1, F.lit(1))
@@ -368,8 +422,6 @@ def fit_quantiles(df: DataFrame, columns: Sequence[str], most: int = 1000) -> di
 
 def quantile_transform(df: DataFrame, references: dict[str, list[float]]) -> DataFrame:
     """The columns with references as normal scores; others stay."""
-    import numpy as np
-
     def scorer(q: list[float]):
         points = np.array(q)
 

@@ -132,6 +132,22 @@ class MeanImpute(Estimator):
         return df.withColumns({c: F.coalesce(_q(c).cast("double"), F.lit(m)) for c, m in self.means.items()})
 
 
+@dataclass
+class RegressionImpute(Estimator):
+    """Missing values by Bayesian regressions of each column on all others, round after round."""
+
+    rounds: int = 100
+    tolerance: float = 1e-3
+
+    def fit(self, df, columns, confounds=()):
+        super().fit(df, columns, confounds)
+        self.model = linear.fit_imputation(df, columns, self.rounds, self.tolerance)
+        return self
+
+    def transform(self, df):
+        return linear.impute(df, self.model)
+
+
 @dataclass
 class SelectColumns(Estimator):
     """Drops columns with too many missing values, then those with a dominant one; `dropped` tells which and why."""
@@ -275,7 +291,7 @@ def data_chain(n_components: int, value_type: dict[str, int] | None = None) -> C
 
 
 def confound_chain(value_type: dict[str, int] | None = None) -> Chain:
-    return Chain([("impute", MeanImpute()), ("quantile", QuantileNormal(value_type)), ("scale", RobustScale()), ("square", Square(value_type))])
+    return Chain([("impute", RegressionImpute()), ("quantile", QuantileNormal(value_type)), ("scale", RobustScale()), ("square", Square(value_type))])
 
 
 def fit_views_cca(views: Views, df: DataFrame, datasets: dict[str, Sequence[str]], confounds: Sequence[str] = (), n_components: int | None = None) -> kernels.Cca:

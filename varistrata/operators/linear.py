@@ -18,7 +18,7 @@ from varistrata.functions import kernels
 
 #: Partial sums that reach the driver, at most.
 BLOCKS = 16
-#: Sets of missing columns that imputation can work with on the driver (12 columns have no more), and rounds that one pass over the data measures.
+#: Sets of missing columns whose products imputation takes to the driver (12 columns have no more; with more sets it passes over the rows), and rounds that one pass over the data measures.
 MOST_PATTERNS, ROUNDS = 4096, 10
 
 
@@ -132,95 +132,172 @@ def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "i string, j string, value double")
 
 
-def _by_pattern(batch: pa.RecordBatch, p: int, shift: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """pattern (bits of the missing columns), places of its rows and [1, values less shift, missing ones as 0] of them; the columns are the batch's last p."""
-    x = _block(batch.select(list(range(batch.num_columns - p, batch.num_columns))))
+@dataclass
+class Imputation:
+    """Column means and the updates of missing values (column, weights of the others, constant), in the order they are made."""
+
+    columns: list[str]
+    means: np.ndarray
+    updates: list[tuple[int, np.ndarray, float]]
+
+
+def _by_pattern(x: np.ndarray, shift: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """pattern (bits of the missing columns) and [1, values less shift, missing ones as 0] of its rows."""
     gone = ~np.isfinite(x)
     e = np.column_stack([np.ones(len(x)), np.where(gone, 0.0, x - shift)])
-    bits = gone @ (1 << np.arange(p))
+    bits = gone @ (1 << np.arange(x.shape[1]))
     for pattern in np.unique(bits):
-        at = np.flatnonzero(bits == pattern)
-        yield int(pattern), at, e[at]
+        yield int(pattern), e[bits == pattern]
 
 
-def iterative_impute(df: DataFrame, columns: Sequence[str], key: str, rounds: int = 100, tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
-    """key and the columns, missing values filled as kernels.IterativeImputer fills one block of all rows.
+def _pattern_products(rows: DataFrame, shift: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """Which columns each set of missing columns lacks, and the products of [1, values less shift] of its rows; None if there are more than MOST_PATTERNS sets."""
+    import pandas as pd
 
-    A filled value is a linear function of its row's known values, the same in all rows that miss the same columns.
-    So sums of products by missing columns give every round's regressions, and rows are filled where they lie.
-    """
-    p = len(columns)
-    rows = df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`").cast("double").alias(c) for c in columns])
-    shift = moments(rows, columns, centre=True).means
+    p, most = len(shift), MOST_PATTERNS
+    if p > 62:
+        return None
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        top = 0.0
         for batch in batches:
-            for pattern, _, e in _by_pattern(batch, p, shift):
+            for pattern, e in _by_pattern(_block(batch), shift):
                 total[pattern] = total.get(pattern, 0.0) + (e.T @ e).ravel()
-                top = max([top, *(np.abs(e[:, 1 + j] + shift[j]).max() for j in range(p) if not pattern >> j & 1)])
-        for pattern, values in (total | {-1: np.array([top])}).items():
-            yield pa.RecordBatch.from_arrays([pa.array([pattern] * len(values), pa.int64()), pa.array(range(len(values)), pa.int32()), pa.array(values)], ["pattern", "k", "value"])
-
-    added = rows.mapInArrow(sums, "pattern long, k int, value double").groupBy("pattern", "k").agg(F.when(F.col("pattern") < 0, F.max("value")).otherwise(F.sum("value")).alias("value"))
-    if added.where("k = 0 and pattern >= 0").count() > MOST_PATTERNS:
-        raise ValueError(f"more than {MOST_PATTERNS} sets of missing columns: impute fewer columns")
-    found = {(r["pattern"], r["k"]): r["value"] for r in added.collect()}
-    limit = tolerance * found.pop((-1, 0), 0.0)
-    patterns = sorted({pattern for pattern, _ in found})
-    index = {pattern: i for i, pattern in enumerate(patterns)}
-    products = np.array([[found[q, k] for k in range((p + 1) ** 2)] for q in patterns]).reshape(-1, p + 1, p + 1)
-    gone = np.array([[bool(q >> j & 1) for j in range(p)] for q in patterns]).reshape(-1, p)
-    missing = gone.T @ products[:, 0, 0]
-    order = [j for j in np.argsort(missing, kind="stable") if not gone[:, j].all()]
-    # [1, known] @ maps[i] are the filled columns of pattern i.
-    maps = np.where(gone[:, None, :], 0.0, np.eye(p + 1)[None, :, 1:])
-    one = np.eye(p + 1)[:, :1]
-
-    def next_round(maps: np.ndarray) -> np.ndarray:
-        maps = maps.copy()
-        for j in order:
-            whole = np.concatenate([np.broadcast_to(one, (len(maps), p + 1, 1)), maps], axis=2)
-            g = np.einsum("iab,iac,icd->bd", whole[~gone[:, j]], products[~gone[:, j]], whole[~gone[:, j]])
-            m, others = g[0, 1:] / g[0, 0], [k for k in range(p) if k != j]
-            centred = g[1:, 1:] - g[0, 0] * np.outer(m, m)
-            gram = centred[np.ix_(others, others)]
-            lift = ridge * (np.trace(gram) / max(1, p - 1) + 1e-12) * np.eye(p - 1)
-            w = np.linalg.solve(gram + lift, centred[others, j])
-            maps[gone[:, j], :, j] = (maps[:, :, others] @ w)[gone[:, j]] + one[:, 0] * (m[j] - m[others] @ w)
-        return maps
-
-    done = 0
-    while gone.any() and done < rounds:
-        steps = [maps]
-        for _ in range(min(ROUNDS, rounds - done)):
-            steps.append(next_round(steps[-1]))
-        moved = np.diff(np.array(steps), axis=0)
-
-        def changes(batches: Iterator[pa.RecordBatch], moved: np.ndarray = moved) -> Iterator[pa.RecordBatch]:
-            top = np.zeros(len(moved))
-            for batch in batches:
-                for pattern, _, e in _by_pattern(batch, p, shift):
-                    top = np.maximum(top, [np.abs(e @ d[index[pattern]]).max() for d in moved])
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(top)), pa.int32()), pa.array(top)], ["round", "change"])
-
-        top = {r["round"]: r["change"] for r in rows.mapInArrow(changes, "round int, change double").groupBy("round").agg(F.max("change").alias("change")).collect()}
-        last = next((r for r in range(len(moved)) if top[r] < limit), None)
-        maps = steps[-1 if last is None else last + 1]
-        done += len(moved)
+            if len(total) > most:  # this task alone says that there are too many
+                total = dict(list(total.items())[: most + 1])
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["pattern", "sums"])
+
+    def add(pdf):
+        return pd.DataFrame({"pattern": pdf["pattern"].iloc[:1], "sums": [np.sum([np.frombuffer(v) for v in pdf["sums"]], axis=0).tobytes()]})
+
+    parts = rows.mapInArrow(sums, "pattern long, sums binary")
+    found = parts.groupBy("pattern").applyInPandas(add, "pattern long, sums binary").limit(most + 1).collect()
+    if len(found) > most:
+        return None
+    gone = np.array([[bool(r["pattern"] >> j & 1) for j in range(p)] for r in found]).reshape(-1, p)
+    return gone, np.array([np.frombuffer(bytes(r["sums"])) for r in found]).reshape(-1, p + 1, p + 1)
+
+
+def _replayed(batch: pa.RecordBatch, means: np.ndarray, updates: Sequence) -> tuple[np.ndarray, np.ndarray]:
+    x = _block(batch)
+    gone = ~np.isfinite(x)
+    return kernels.refilled(np.where(gone, means, x), gone, updates), gone
+
+
+def _observed_products(rows: DataFrame, means: np.ndarray, updates: list, j: int) -> np.ndarray:
+    """Products of [1, values less means] of the rows that have column j, as the updates so far fill them."""
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(means) + 1, len(means) + 1))
+        for batch in batches:
+            filled, gone = _replayed(batch, means, updates)
+            e = np.column_stack([np.ones(len(filled)), filled - means])[~gone[:, j]]
+            total += e.T @ e
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum(np.frombuffer(v) for batch in batches for v in batch.column(0).to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()] if isinstance(total, np.ndarray) else [], pa.binary())], ["sums"])
+
+    few = rows.mapInArrow(first, "sums binary").repartition(BLOCKS).mapInArrow(second, "sums binary").collect()
+    return np.sum([np.frombuffer(bytes(r["sums"])) for r in few], axis=0).reshape(len(means) + 1, -1)
+
+
+def _changes(rows: DataFrame, means: np.ndarray, before: list, rounds: list[list]) -> list[float]:
+    """The largest change of any filled value by each round of updates, in one pass."""
+
+    def largest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = np.zeros(len(rounds))
+        for batch in batches:
+            filled, gone = _replayed(batch, means, before)
+            for i, own in enumerate(rounds):
+                old = filled.copy()
+                top[i] = max(top[i], np.abs(kernels.refilled(filled, gone, own) - old).max(initial=0.0))
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(top)), pa.int32()), pa.array(top)], ["round", "change"])
+
+    found = rows.mapInArrow(largest, "round int, change double").groupBy("round").agg(F.max("change").alias("change")).collect()
+    return [c for _, c in sorted((r["round"], r["change"]) for r in found)]
+
+
+def _weights(products: np.ndarray, means: np.ndarray, j: int, ridge: float | None) -> tuple[int, np.ndarray, float]:
+    """The update of column j, from products of [1, values less means] of the rows that have it."""
+    n = products[0, 0]
+    m = products[0, 1:] / n
+    w = kernels.imputation_weights(products[1:, 1:] - n * np.outer(m, m), n, j, ridge)
+    own = means + m
+    return int(j), w, float(own[j] - np.delete(own, j) @ w)
+
+
+def fit_imputation(df: DataFrame, columns: Sequence[str], rounds: int = 100, tolerance: float = 1e-3, ridge: float | None = None) -> Imputation:
+    """The updates that kernels.IterativeImputer makes on one block of all rows.
+
+    A filled value is a linear function of its row's known values, the same in all rows that miss the same columns. So sums of
+    products by sets of missing columns give every round's regressions. Beyond MOST_PATTERNS sets each regression has a pass of its
+    own, in which rows are filled as far as the updates go; the updates are the same but for rounding.
+    """
+    p = len(columns)
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    own = moments(rows, rows.columns, centre=True)
+    means, missing = own.means, own.n - own.counts
+    top = rows.agg(*[F.max(F.abs(F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c)))) for c in rows.columns]).first() if p else ()
+    limit = tolerance * max((v for v in top if v is not None), default=0.0)
+    order = [int(j) for j in np.argsort(missing, kind="stable") if missing[j] < own.n]
+    some = bool(missing.any())
+    found = _pattern_products(rows, means)
+    if found is not None:
+        gone, products = found
+        # [1, known less means] @ maps[i] are the filled columns of set i, less means.
+        maps = np.where(gone[:, None, :], 0.0, np.eye(p + 1)[None, :, 1:])
+        one = np.eye(p + 1)[:, :1]
+
+    def update(so_far: list, j: int) -> tuple[int, np.ndarray, float]:
+        if found is None:
+            return _weights(_observed_products(rows, means, so_far, j), means, j, ridge)
+        whole = np.concatenate([np.broadcast_to(one, (len(maps), p + 1, 1)), maps], axis=2)[~gone[:, j]]
+        made = _weights(np.einsum("iab,iac,icd->bd", whole, products[~gone[:, j]], whole), means, j, ridge)
+        others = [k for k in range(p) if k != j]
+        constant = made[2] - means[j] + means[others] @ made[1]
+        maps[gone[:, j], :, j] = (maps[:, :, others] @ made[1])[gone[:, j]] + one[:, 0] * constant
+        return made
+
+    updates: list = []
+    # With sums by sets, a pass measures several rounds; the ones beyond the last are not kept.
+    at_once, done = (ROUNDS if found is not None else 1), 0
+    while order and done < (rounds if some else 1):
+        made: list[list] = []
+        for _ in range(min(at_once, rounds - done) if some else 1):
+            made.append([])
+            for j in order:
+                made[-1].append(update([*updates, *(u for r in made for u in r)], j))
+        done += len(made)
+        changes = _changes(rows, means, updates, made) if some else [0.0]
+        last = next((i for i, c in enumerate(changes) if c < limit), None)
+        for own_round in made if last is None else made[: last + 1]:
+            updates += own_round
         if last is not None:
             break
+    return Imputation(list(columns), means, updates)
+
+
+def impute(df: DataFrame, model: Imputation) -> DataFrame:
+    """df with the missing values of the model's columns filled, row by row where they lie; other columns stay."""
+    others = [c for c in df.columns if c not in set(model.columns)]
+    rows = df.select(*[F.col(f"`{c}`") for c in others], *[F.col(f"`{c}`").cast("double").alias(c) for c in model.columns])
+
+    names = rows.columns
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = _block(batch.select(list(range(1, p + 1))))
-            for pattern, at, e in _by_pattern(batch, p, shift):
-                lost = [j for j in range(p) if pattern >> j & 1]
-                out[np.ix_(at, lost)] = (e @ maps[index[pattern]] + shift)[:, lost]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(c) for c in out.T]], names=[key, *columns])
+            filled, _ = _replayed(batch.select(list(range(len(others), batch.num_columns))), model.means, model.updates)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.array(c) for c in filled.T]], names=names)
+
+    return rows.mapInArrow(fill, rows.schema).select(*[F.col(f"`{c}`") for c in df.columns])
+
 
-    return rows.mapInArrow(fill, rows.schema)
+def iterative_impute(df: DataFrame, columns: Sequence[str], key: str, rounds: int = 100, tolerance: float = 1e-3, ridge: float | None = None) -> DataFrame:
+    """key and the columns, missing values filled by regressions of each column on all others (Bayesian; ridge: a fixed one)."""
+    return impute(df.select(F.col(f"`{key}`"), *[F.col(f"`{c}`") for c in columns]), fit_imputation(df, columns, rounds, tolerance, ridge))
 
 
 def _dot(columns: Sequence[str], weights: np.ndarray) -> Column:

@@ -139,3 +139,10 @@ def halves(spark: SparkSession, sf_dir: str, dims: int = 32) -> DataFrame:
     """Embeddings as two views of 32 columns each (x*, y*) and the label as confounds."""
     e = table(spark, sf_dir, "embeddings")
     return e.select(F.col("vec_id").alias("eid"), "label", *[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(dims)], *[F.col("embedding")[dims + i].cast("double").alias(f"y{i}") for i in range(dims)])
+
+
+#: Names of the columns of `halves`.
+EMBEDDED = [f"{v}{i}" for v in "xy" for i in range(32)]
+
+#: CTEs `n` and `sizes` (s): six sizes of samples of customers, evenly spaced in logarithm.
+SIZES = """n AS (SELECT count(*) AS n FROM customer), sizes AS (SELECT i, CAST(CASE WHEN i = 0 THEN 5 WHEN i = 5 THEN n // 2 ELSE floor(exp(ln(5) + i * (ln(n // 2) - ln(5)) / 5)) END AS INTEGER) AS s FROM n, (SELECT unnest(range(6)) AS i))"""

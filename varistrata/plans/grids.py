@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 from varistrata.functions import permutation
 from varistrata.operators import experiment, folds, results, sampling
 from varistrata.plans import adapters as A
-from varistrata.plans.models import EMBEDDED
 from varistrata.plans.registry import query
-from varistrata.plans.statistics import SIZES
 
 SEED = sampling.SEED
 
@@ -27,7 +25,7 @@ spots AS (SELECT rep, s, 'learn' AS set_name, d, {_at('d', 'h', str(sampling._LE
 design AS (SELECT rep, s, set_name, CAST(d + 1 AS BIGINT) AS draw, eid FROM (SELECT rep, s, set_name, d, {_at('p', 'n', str(sampling._PLACES), 'rep')} AS i FROM spots) JOIN numbered USING (i))"""
 
 
-@query(f"""WITH {SIZES}, {design_sql('SELECT c_custkey AS eid FROM customer', 3)},
+@query(f"""WITH {A.SIZES}, {design_sql('SELECT c_custkey AS eid FROM customer', 3)},
 pools AS (SELECT 'learn' AS set_name, 0 AS start, h AS pool, {sampling._LEARN} AS turn, n FROM total UNION ALL SELECT 'val', h, n - h, {sampling._VAL}, n FROM total),
 again AS (SELECT *, start + {permutation.sql_keyed(str(SEED), 'turn', 'rep', 's', 'd')} % pool AS p FROM (SELECT rep, s, set_name, start, pool, turn, n, unnest(range(s)) AS d FROM sizes, turns, pools))
 SELECT 'once' AS subset, CAST(rep AS BIGINT) AS rep, CAST(s AS BIGINT) AS sample_size, set_name, draw, eid FROM design
@@ -79,7 +77,7 @@ def _embedded(spark, sf_dir, null_model: bool, reps: int, **settings):
     v = A.halves(spark, sf_dir).select("*", *[F.when(F.col("label") == k, 1.0).otherwise(0.0).alias(f"c{k}") for k in range(3)])
     n = v.count()
     design = sampling.keyed_design(v.select("eid"), sampling.planned_sizes(n, 3, 20), reps)
-    names = {"behavioural": EMBEDDED[:32], "brain": EMBEDDED[32:]}
+    names = {"behavioural": A.EMBEDDED[:32], "brain": A.EMBEDDED[32:]}
     return folds.run_linear_grid(v, names, design, experiment.Settings(**settings), ["c0", "c1", "c2"], numeric=[], null_model=null_model)
 
 

@@ -16,7 +16,7 @@ def deconfound_one(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 4).alias("x"))
 
 
-EMBEDDED = [f"{v}{i}" for v in "xy" for i in range(32)]
+EMBEDDED = A.EMBEDDED
 
 
 @query("WITH e AS (SELECT CASE WHEN d <= 32 THEN concat('x', d - 1) ELSE concat('y', d - 33) END AS name, d, vec_id, CAST(embedding[d] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS d)) SELECT a.name AS i, b.name AS j, round(sum(a.v * b.v), 6) AS value FROM e a JOIN e b USING (vec_id) WHERE a.d <= b.d GROUP BY 1, 2")

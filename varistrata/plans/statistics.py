@@ -23,6 +23,29 @@ def mode_fraction(spark, sf_dir):
     return columns.mode_fraction(A.table(spark, sf_dir, "lineitem"), MEASURES).select(F.col("column").alias("col"), A.r6(F.col("mode")).alias("mode"))
 
 
+TEXTS = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "o_orderpriority", "rare": "CASE WHEN o_orderkey % 10 > 0 THEN 'usual' ELSE o_orderpriority END", "half": "CASE WHEN o_orderkey % 2 = 0 THEN 'x' ELSE concat('y', o_custkey) END", "day": "CASE WHEN o_orderkey % 7 < 5 THEN DATE '1995-01-01' ELSE CAST(o_orderdate AS DATE) END", "wide": "CASE WHEN o_orderkey % 3 > 0 THEN 9007199254740993 ELSE 9007199254740992 + o_custkey % 2 END", "none": "CAST(NULL AS VARCHAR)"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS col, round(max(CASE WHEN v IS NOT NULL THEN CASE WHEN 2 * n > total THEN n / total ELSE 0 END END), 6) AS mode FROM (SELECT v, count(*) AS n, sum(CASE WHEN v IS NOT NULL THEN count(*) END) OVER () AS total FROM (SELECT {x} AS v FROM orders) GROUP BY v)" for c, x in TEXTS.items()))
+def majority_fraction(spark, sf_dir):
+    """The share of a value that more than half of a column has, of columns of text, dates and large whole numbers."""
+    o = A.table(spark, sf_dir, "orders").select(*[F.expr(x.replace("VARCHAR", "string")).alias(c) for c, x in TEXTS.items()])
+    return columns.majority_fraction(o, list(TEXTS)).select(F.col("column").alias("col"), A.r6(F.col("mode")).alias("mode"))
+
+
+CHAIN = {"l_quantity": "l_quantity", "l_extendedprice": "l_extendedprice", "flat": "CASE WHEN l_linenumber < 7 THEN 1.0 ELSE l_tax END", "few": "CASE WHEN l_quantity > 40 THEN l_tax END", "spike": "CASE WHEN l_orderkey = 1 AND l_linenumber = 1 THEN 1e6 ELSE l_quantity END", "large": "l_extendedprice * 100", "empty": "CAST(NULL AS DOUBLE)"}
+
+
+@query("WITH v AS (" + " UNION ALL ".join(f"SELECT '{c}' AS col, CAST({x} AS DOUBLE) AS x FROM lineitem" for c, x in CHAIN.items()) + """), f AS (SELECT col, x, count(*) AS n FROM v WHERE x IS NOT NULL GROUP BY 1, 2), m AS (SELECT col, max(n) / sum(n) AS mode FROM f GROUP BY 1),
+s AS (SELECT col, avg(CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END) AS missing, max(x) AS largest, quantile_cont(x, 0.5) AS middle FROM v GROUP BY 1), o AS (SELECT col, max(power(x - middle, 2)) / nullif(avg(power(x - middle, 2)), 0) AS outlier FROM v JOIN s USING (col) GROUP BY 1)
+SELECT col, CASE WHEN missing >= 0.5 THEN 'missing' WHEN mode IS NULL OR mode >= 0.8 THEN 'mode' WHEN outlier IS NULL OR outlier >= 500 THEN 'outlier' WHEN largest > 1e6 THEN 'largest' ELSE 'kept' END AS state FROM s JOIN o USING (col) LEFT JOIN m USING (col)""")
+def column_filter_chain(spark, sf_dir):
+    """The four filters one after the other, each on what the one before left."""
+    l = A.table(spark, sf_dir, "lineitem").select(*[F.expr(x).cast("double").alias(c) for c, x in CHAIN.items()])  # noqa: E741
+    found = columns.find_bad_columns(l, list(CHAIN), missing=0.5, mode=0.8, outlier=500, largest=1e6, prepare=None)
+    return spark.createDataFrame([(c, "kept") for c in found.kept] + [(c, why) for why, names in found.dropped.items() for c in names], "col string, state string")
+
+
 @query("""WITH v AS (SELECT 'value' AS col, value AS x FROM events UNION ALL SELECT 'squared', value * value FROM events), m AS (SELECT col, quantile_cont(x, 0.5) AS m FROM v GROUP BY 1)
 SELECT col, round(max((x - m) * (x - m)) / avg((x - m) * (x - m)), 6) AS outlier FROM v JOIN m USING (col) GROUP BY 1""")
 def outlier_ratio(spark, sf_dir):
@@ -277,7 +300,7 @@ def stratified_split(spark, sf_dir):
     return sampling.split_in_out(c, 3, c.count() // 4, strata="nation").select("eid", F.col("rep").cast("long").alias("rep"), "is_in")
 
 
-SIZES = """n AS (SELECT count(*) AS n FROM customer), sizes AS (SELECT i, CAST(CASE WHEN i = 0 THEN 5 WHEN i = 5 THEN n // 2 ELSE floor(exp(ln(5) + i * (ln(n // 2) - ln(5)) / 5)) END AS INTEGER) AS s FROM n, (SELECT unnest(range(6)) AS i))"""
+SIZES = A.SIZES
 _MD5 = lambda *parts: f"md5(concat_ws('-', {', '.join(f'CAST({p} AS VARCHAR)' for p in parts)}))"
 _NUMBER = lambda *parts: f"CAST('0x' || substr({_MD5(*parts)}, 1, 12) AS BIGINT)"
 
