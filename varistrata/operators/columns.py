@@ -236,12 +236,20 @@ def row_mean_std(df: DataFrame, columns: Sequence[str], field_name: str) -> Data
     if len(instances) != 1:
         raise NotImplementedError("the columns are of several instances")
     values = F.filter(F.array(*[_q(c).cast("double") for c in columns]), lambda x: x.isNotNull())
-    n = F.size(values)
-    mean = F.when(n > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n)
-    spread = F.when(n > 1, F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / (n - 1)))
+    # One walk over the values: how many, their mean so far, and the sum of squares around it.
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
+
+    def walk(so_far: Column, x: Column) -> Column:
+        n = so_far["n"] + 1
+        mean = so_far["mean"] + (x - so_far["mean"]) / n
+        return F.struct(n.alias("n"), mean.alias("mean"), (so_far["square"] + (x - so_far["mean"]) * (x - mean)).alias("square"))
+
+    walked = df.withColumn("_row", F.aggregate(values, start, walk))
+    mean = F.when(F.col("_row.n") > 0, F.col("_row.mean"))
+    spread = F.when(F.col("_row.n") > 1, F.sqrt(F.col("_row.square") / (F.col("_row.n") - 1)))
     first = min(c.split(".")[1] for c in columns)
     base, k = f"{field_name}-{instances.pop()}.{first}", len(columns)
-    return df.select(*[_q(c) for c in df.columns if c not in set(columns)], mean.alias(f"{base}_mean{k}"), spread.alias(f"{base}_std{k}"))
+    return walked.select(*[_q(c) for c in df.columns if c not in set(columns)], mean.alias(f"{base}_mean{k}"), spread.alias(f"{base}_std{k}"))
 
 
 def level_name(level) -> str:

@@ -125,10 +125,33 @@ def moments(df: DataFrame, columns: Sequence[str], centre: bool = False) -> Mome
     return unpacked(added(bytes(r["sums"]) for r in few.collect()))
 
 
+def cross_products(df: DataFrame, columns: Sequence[str]) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, present values of each column, and sums of products with missing values as 0: one matrix, where moments has four."""
+    p = len(columns)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 + p + p * p)
+        for batch in batches:
+            x = _block(batch)
+            m = np.isfinite(x)
+            z = np.where(m, x, 0.0)
+            total += np.concatenate([[len(x)], m.sum(axis=0), (z.T @ z).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = sum((np.frombuffer(v) for batch in batches for v in batch.column(0).to_pylist()), np.zeros(1 + p + p * p))
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
+
+    rows = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+    few = rows.mapInArrow(first, "sums binary").repartition(BLOCKS).mapInArrow(second, "sums binary").collect()
+    total = sum((np.frombuffer(bytes(r["sums"])) for r in few), np.zeros(1 + p + p * p))
+    return int(total[0]), total[1 : 1 + p], total[1 + p :].reshape(p, p)
+
+
 def gram_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """i, j, value for i <= j: sums of products, missing values as 0."""
-    m = moments(df, columns)
-    rows = [(a, b, float(m.products[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    _, _, products = cross_products(df, columns)
+    rows = [(a, b, float(products[i, j])) for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
     return df.sparkSession.createDataFrame(rows, "i string, j string, value double")
 
 
@@ -306,11 +329,11 @@ def _dot(columns: Sequence[str], weights: np.ndarray) -> Column:
 
 def deconfound_weights(df: DataFrame, columns: Sequence[str], confounds: Sequence[str]) -> np.ndarray:
     """Confounds by columns: least squares without intercept, missing values of a column as 0; one pass."""
-    m = moments(df, [*confounds, *columns])
+    n, counts, products = cross_products(df, [*confounds, *columns])
     q = len(confounds)
-    if (m.counts[:q] < m.n).any():
+    if (counts[:q] < n).any():
         raise ValueError("confounds must have no missing values")
-    return np.linalg.pinv(m.products[:q, :q]) @ m.products[:q, q:]
+    return np.linalg.pinv(products[:q, :q]) @ products[:q, q:]
 
 
 def remove_confounds(df: DataFrame, columns: Sequence[str], confounds: Sequence[str], weights: np.ndarray) -> DataFrame:
@@ -359,9 +382,8 @@ def components_reaching(model: kernels.NanPca, fractions: Sequence[float]) -> li
 
 def rotate_to(df: DataFrame, scores: Sequence[str], reference: Sequence[str], mode: str = "aligned") -> DataFrame:
     """df with the scores rotated to the reference columns; the rotation comes from sums of products of all rows, one pass."""
-    m = moments(df, [*scores, *reference])
-    cross = m.products[: len(scores), len(scores) :]
-    q = kernels.rotation(cross, mode)
+    _, _, products = cross_products(df, [*scores, *reference])
+    q = kernels.rotation(products[: len(scores), len(scores) :], mode)
     turned = [sum((F.col(f"`{c}`") * float(w) for c, w in zip(scores, q[:, k], strict=True)), F.lit(0.0)) for k in range(len(scores))]
     return df.withColumns(dict(zip(scores, turned, strict=True)))
 
@@ -422,8 +444,41 @@ def regression_scores(df: DataFrame, components: Sequence[str], covariates: Sequ
     return df.sparkSession.createDataFrame(rows, "components int, set_name string, score double")
 
 
+def fit_mcca(df: DataFrame, views: Sequence[Sequence[str]], n_components: int | None = None) -> kernels.MultiCca:
+    """Canonical correlation of two or more views from one pass; rows with a missing value in any view are left out."""
+    columns = [c for v in views for c in v]
+    m = moments(df.na.drop("any", subset=columns), columns, centre=True)
+    return kernels.MultiCca.from_moments(m.means, m.centred() / max(1, m.n - 1), [len(v) for v in views], n_components)
+
+
+def mcca_scores(df: DataFrame, views: dict[str, Sequence[str]], model: kernels.MultiCca) -> DataFrame:
+    """df with one column for each view and component, named by the view and the component's number."""
+    out = {}
+    for (name, columns), mean, weights in zip(views.items(), model.means, model.weights, strict=True):
+        for k in range(weights.shape[1]):
+            out[f"{name}{k + 1}"] = sum(((F.col(f"`{c}`").cast("double") - float(m)) * float(w) for c, m, w in zip(columns, mean, weights[:, k], strict=True)), F.lit(0.0))
+    return df.withColumns(out)
+
+
+def correlation_tensor(df: DataFrame, scores: dict[str, Sequence[str]]) -> DataFrame:
+    """view_a, view_b, component (from 1), corr of each pair of views (each with itself too), over the rows that have both; one aggregation. All views have as many scores."""
+    names = list(scores)
+    if len({len(c) for c in scores.values()}) != 1:
+        raise ValueError("the views have different numbers of scores")
+    cells = [(a, b, k) for i, a in enumerate(names) for b in names[i:] for k in range(len(scores[a]))]
+    value = lambda v, k: F.col(f"`{scores[v][k]}`").cast("double")
+    row = df.agg(*[F.corr(value(a, k), value(b, k)).alias(f"c{i}") for i, (a, b, k) in enumerate(cells)])
+    both = [(x, y, k, i) for i, (a, b, k) in enumerate(cells) for x, y in dict.fromkeys([(a, b), (b, a)])]
+    told = [F.struct(F.lit(x).alias("view_a"), F.lit(y).alias("view_b"), F.lit(k + 1).alias("component"), F.when(F.isnan(f"c{i}"), None).otherwise(F.col(f"c{i}")).alias("corr")) for x, y, k, i in both]
+    return row.select(F.inline(F.array(*told)))
+
+
+def mean_pair_correlation(df: DataFrame, scores: dict[str, Sequence[str]]) -> DataFrame:
+    """component, score: the mean correlation over the pairs of different views; NULL if one of them is."""
+    pairs = correlation_tensor(df, scores).where("view_a < view_b")
+    return pairs.groupBy("component").agg(F.when(F.count("corr") == F.count("*"), F.avg("corr")).alias("score"))
+
+
 def pairwise_score(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
-    """component (from 1) and score: the mean correlation of each pair of views' columns (two views: their correlation)."""
-    row = df.agg(*[F.corr(F.col(f"`{a}`").cast("double"), F.col(f"`{b}`").cast("double")).alias(f"c{i}") for i, (a, b) in enumerate(pairs)])
-    parts = F.array(*[F.struct(F.lit(i + 1).alias("component"), ((2 * F.col(f"c{i}") + 2 - 2) / 2).alias("score")) for i in range(len(pairs))])
-    return row.select(F.inline(parts))
+    """component (from 1) and score of two views, given as pairs of columns: their correlations."""
+    return mean_pair_correlation(df, {"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})

@@ -173,25 +173,70 @@ def poisson_thresholds() -> list[str]:
     return out
 
 
+#: Rows that are weighed for all resamples at once, and groups whose sums a task holds before it passes them on.
+WEIGHED_ROWS, HELD_GROUPS = 2000, 1000
+
+
 def bootstrap_intervals(df: DataFrame, keys: Sequence[str], value: str, level: float = 95, draws: int = 1000, seed: int = 3791, row: str | None = None) -> DataFrame:
     """keys, low, high: percentile interval of the mean of the present values.
 
     Each row counts a Poisson number of times in each resample, by a hash of the resample and of the column `row`, which
     tells rows apart (without it, of the row's place, so intervals then depend a little on how the rows are stored).
-    Sums of the resamples are added up where the rows lie, so no group is gathered. A resample of a group in which no
-    row counts is left out.
+    A task adds the sums of all resamples up as it reads the rows, and passes on one record for each group: no row is
+    repeated or shuffled, and no group gathered. A resample of a group in which no row counts is left out.
     """
+    import hashlib
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    names = list(keys)
     tag = F.monotonically_increasing_id() if row is None else F.col(row)
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_value"), tag.cast("string").alias("_row"))
-    # One hash has the digits of eight resamples.
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // 8))).alias("_b"))
-    digits = F.md5(F.concat_ws("-", F.lit(str(seed)), "_row", F.col("_b").cast("string")))
-    split = each.withColumn("_h", digits).select(*keys, "_value", "_b", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("_h").substr(4 * i + 1, F.lit(4)))).alias("_i", "_x"))
-    counted = sum(((F.col("_x") >= t).cast("int") for t in poisson_thresholds()), F.lit(0))
-    weighed = split.withColumn("_draw", F.col("_b") * 8 + F.col("_i")).where(f"_draw < {draws}").withColumn("_w", counted).where("_w > 0")
-    means = weighed.groupBy(*keys, "_draw").agg((F.sum(F.col("_w") * F.col("_value")) / F.sum("_w")).alias("_mean"))
-    low, high = (50 - level / 2) / 100, (50 + level / 2) / 100
-    return means.groupBy(*keys).agg(F.percentile("_mean", F.lit(low)).alias("low"), F.percentile("_mean", F.lit(high)).alias("high"))
+    rows = df.where(F.col(value).isNotNull()).select(*names, F.col(value).cast("double").alias("_value"), tag.cast("string").alias("_row"))
+    steps, hashes = np.array([int(t, 16) for t in poisson_thresholds()]), (draws - 1) // 8 + 1
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in names)
+
+    def weights(tags: list[str]) -> np.ndarray:
+        """Rows by draws; one hash has the digits of eight resamples."""
+        digests = b"".join(hashlib.md5(f"{seed}-{t}-{b}".encode()).digest() for t in tags for b in range(hashes))
+        return np.searchsorted(steps, np.frombuffer(digests, ">u2"), side="right").reshape(len(tags), -1)[:, :draws].astype(float)
+
+    def sums(batches):
+        held: dict[tuple, np.ndarray] = {}
+        types: list = []
+
+        def told():
+            cells = [pa.array([k[i] for k in held], types[i]) for i in range(len(names))]
+            return pa.RecordBatch.from_arrays([*cells, pa.array([v.tobytes() for v in held.values()], pa.binary())], [*names, "_sums"])
+
+        for whole in batches:
+            types = types or [whole.schema.field(i).type for i in range(len(names))]
+            for start in range(0, whole.num_rows, WEIGHED_ROWS):
+                batch = whole.slice(start, WEIGHED_ROWS)
+                w, x = weights(batch.column(len(names) + 1).to_pylist()), batch.column(len(names)).to_numpy(zero_copy_only=False)
+                at: dict[tuple, list[int]] = {}
+                for i, k in enumerate(zip(*[c.to_pylist() for c in batch.columns[: len(names)]], strict=True) if names else [()] * batch.num_rows):
+                    at.setdefault(k, []).append(i)
+                for k, own in at.items():
+                    one = np.stack([w[own].sum(axis=0), x[own] @ w[own]])
+                    held[k] = held[k] + one if k in held else one
+                if len(held) > HELD_GROUPS:
+                    yield told()
+                    held = {}
+        if held:
+            yield told()
+
+    low, high = 50 - level / 2, 50 + level / 2
+
+    def interval(pdf):
+        n, total = np.sum([np.frombuffer(v) for v in pdf["_sums"]], axis=0).reshape(2, -1)
+        means = total[n > 0] / n[n > 0]
+        ends = np.percentile(means, [low, high]) if len(means) else [None, None]
+        return pd.DataFrame({k: pdf[k].iloc[:1] for k in names} | {"low": ends[:1], "high": ends[1:]})
+
+    parts = rows.mapInArrow(sums, ", ".join(filter(None, [kinds, "_sums binary"])))
+    return parts.groupBy(*names).applyInPandas(interval, ", ".join(filter(None, [kinds, "low double, high double"])))
 
 
 def subset_label(df: DataFrame) -> DataFrame:

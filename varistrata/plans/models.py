@@ -176,3 +176,29 @@ def regressions_with_covariate(spark, sf_dir):
     v = A.customer_views(spark, sf_dir)
     scores = [linear.regression_scores(v, ["a0", "a1"], ["c0"], "b0", F.col("eid") % 2 == 0, method=m, root=m == "mse").withColumnRenamed("score", n) for m, n in (("r2", "r2"), ("mse", "rmse"))]
     return scores[0].join(scores[1], ["components", "set_name"]).select("components", "set_name", A.r6(F.col("r2")).alias("r2"), A.r6(F.col("rmse")).alias("rmse"))
+
+
+TRIPLE = {"orders": ["a0", "a1"], "lines": ["b0", "b2"], "person": ["c0", "c1"]}
+
+
+@query(f"WITH {A.VIEWS} " + " UNION ALL ".join(f"SELECT '{v}' AS view_a, '{w}' AS view_b, {k + 1} AS component, round(corr({TRIPLE[v][k]}, {TRIPLE[w][k]}), 6) AS corr FROM views" for v in TRIPLE for w in TRIPLE for k in range(2)))
+def correlation_tensor(spark, sf_dir):
+    """Three views' columns, each with its counterpart in every view."""
+    return linear.correlation_tensor(A.customer_views(spark, sf_dir), TRIPLE).withColumn("corr", A.r6(F.col("corr")))
+
+
+@query(f"WITH {A.VIEWS} " + " UNION ALL ".join("SELECT " + f"{k + 1} AS component, round((" + " + ".join(f"corr({TRIPLE[v][k]}, {TRIPLE[w][k]})" for v, w in (("orders", "lines"), ("orders", "person"), ("lines", "person"))) + ") / 3, 6) AS score FROM views" for k in range(2)))
+def three_view_score(spark, sf_dir):
+    return linear.mean_pair_correlation(A.customer_views(spark, sf_dir), TRIPLE).withColumn("score", A.r6(F.col("score")))
+
+
+#: The largest root of the characteristic cubic of three columns' correlations (p, q, r), by the cosine of a third of an angle.
+CUBIC = f"""{A.VIEWS}, c AS (SELECT corr(a1, b2) AS p, corr(a1, c0) AS q, corr(b2, c0) AS r FROM views),
+root AS (SELECT *, 2 * sqrt(u / 3) * cos(acos(greatest(-1, least(1, 3 * p * q * r / u * sqrt(3 / u)))) / 3) AS t FROM (SELECT *, p * p + q * q + r * r AS u FROM c))"""
+
+
+@query(f"WITH {CUBIC} SELECT round(1 + t, 6) AS value FROM root")
+def three_view_cca(spark, sf_dir):
+    """Three views of one column each: the largest eigenvalue of their correlations."""
+    model = linear.fit_mcca(A.customer_views(spark, sf_dir), [["a1"], ["b2"], ["c0"]])
+    return spark.createDataFrame([(round(float(model.values[0]), 6),)], "value double")
