@@ -301,3 +301,61 @@ def test_confounds_are_imputed_by_regression(spark):
     assert step.transform(none).count() == 0 and linear.fit_imputation(none, names).updates == []
     whole = as_frame(spark, full[:50])
     assert np.array_equal(values_of(linear.iterative_impute(whole, names, "eid"), 3), full[:50])
+
+
+def test_exact_quantiles_by_windows(spark):
+    """Ties, gaps, NULL keys, tiny and large groups: the quantiles are those of numpy."""
+    rng = np.random.default_rng(6)
+    groups = {"normal": rng.standard_normal(30_000), "ties": rng.integers(0, 5, 20_000).astype(float), "one": np.array([3.5]), "two": np.array([1.0, 2.0]), None: rng.exponential(size=777), "flat": np.full(5000, 7.0), "far": np.r_[np.full(9000, 1.0), 1e300, -1e300]}
+    steps = [0, 0.025, 0.25, 0.5, 0.75, 0.999, 1]
+    rows = [(k, float(v)) for k, x in groups.items() for v in x] + [("normal", None), ("gone", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = {r["k"]: [r[f"q{i}"] for i in range(len(steps))] for r in columns.exact_quantiles(df, ["k"], "v", steps).collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        assert np.allclose(got[k], np.quantile(x, steps), rtol=1e-12), k
+    all_of = columns.exact_quantiles(df.where("k = 'normal'"), [], "v", [0.5]).collect()
+    assert len(all_of) == 1 and all_of[0].q0 == pytest.approx(np.median(groups["normal"]), abs=1e-12)
+    assert columns.exact_quantiles(df.limit(0), ["k"], "v", [0.5]).collect() == []
+
+
+def test_masks_without_keys_and_thresholds_with_null_keys(spark):
+    means = spark.createDataFrame([("a", 0.5), ("b", 0.2), ("c", 0.0)], "feature string, value double")
+    null = spark.createDataFrame([("a", -0.1, 0.1), ("b", -0.3, 0.3)], "feature string, low double, high double")
+    got = results.significance_mask(means, null)
+    assert got.columns == ["feature", "value", "low", "high", "masked"]
+    assert {r.feature: (round(r.low, 9), r.masked) for r in got.collect()} == {"a": (-0.1, False), "b": (-0.3, True), "c": (-0.2, True)}
+    sizes = spark.createDataFrame([(None, 10, 1.0), (None, 20, 3.0), ("x", 10, 5.0)], "k string, sample_size int, r_val double")
+    assert {r.k: r.threshold for r in results.null_threshold(sizes, ["k"], q=0.5).collect()} == {None: 3.0, "x": 5.0}
+
+
+def test_rows_are_counted_by_the_job_that_writes_them(spark, tmp_path):
+    df = spark.range(1000).withColumnRenamed("id", "eid").withColumn("x", F.col("eid") * 2)
+    tracker, group = spark.sparkContext.statusTracker(), "write-subset"
+    spark.sparkContext.setJobGroup(group, "")
+    told = tables.write_subset(df, f"{tmp_path}/a/b.parquet", ["x"], lambda d: d.where("x >= 10"))
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setJobGroup("other", "")
+    assert told == (995, 1) and jobs == 1
+    assert tables.write_subset(df.limit(0), f"{tmp_path}/none.parquet", ["x"]) == (0, 1)
+
+
+def test_several_views_from_moments(spark):
+    rng = np.random.default_rng(12)
+    s = rng.standard_normal((200, 2))
+    x = np.c_[s @ rng.standard_normal((2, 8)) + rng.standard_normal((200, 8))]
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "eid long, " + ", ".join(f"v{i} double" for i in range(8))).repartition(4)
+    views = {"p": ["v0", "v1", "v2"], "q": ["v3", "v4"], "r": ["v5", "v6", "v7"]}
+    model = linear.fit_mcca(df, list(views.values()))
+    want = kernels.MultiCca().fit([x[:, :3], x[:, 3:5], x[:, 5:]])
+    assert np.allclose(model.values, want.values)
+    scored = linear.mcca_scores(df, views, model)
+    names = {v: [f"{v}1", f"{v}2"] for v in views}
+    got = {r.component: r.score for r in linear.mean_pair_correlation(scored, names).collect()}
+    assert np.allclose([got[1], got[2]], kernels.component_scores(want.transform([x[:, :3], x[:, 3:5], x[:, 5:]])))
+    tensor = {(r.view_a, r.view_b, r.component): r.corr for r in linear.correlation_tensor(scored, names).collect()}
+    assert len(tensor) == 18 and tensor["p", "q", 1] == tensor["q", "p", 1] and tensor["r", "r", 2] == pytest.approx(1)
+    flat = linear.mean_pair_correlation(df.withColumn("z", F.lit(1.0)), {"a": ["v0"], "b": ["z"]}).collect()
+    assert [r.score for r in flat] == [None]
+    with pytest.raises(ValueError):
+        linear.correlation_tensor(df, {"a": ["v0"], "b": ["v1", "v2"]})

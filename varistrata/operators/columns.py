@@ -372,20 +372,48 @@ def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str =
     return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn("_upto", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
 
 
+#: Accuracy of the approximate quantiles that windows are cut by, and by how many of its errors a window goes beyond the place wanted.
+ACCURACY, MARGIN = 10_000, 5
+
+
 def exact_quantiles(long: DataFrame, keys: Sequence[str], value: str, steps: Sequence[float]) -> DataFrame:
     """keys, q0, q1, ...: linearly interpolated quantiles of the present values of each group.
 
-    Values are counted and their places worked out range by range, so no group's values are held in one place.
+    Approximate quantiles a little below and above each step cut a window of values (about a thousandth of the rows) that
+    holds the place wanted. One pass counts the rows below each window and the values inside; all other rows end as one count in
+    the task that reads them, so values are neither shuffled nor sorted but for those in windows.
     """
     by = list(keys)
-    counts = long.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    placed = running_counts(counts, by, value)
-    cells = []
-    for i, step in enumerate(steps):
-        at = F.lit(float(step)) * (F.col("_total") - 1)
-        low = F.floor(at)
-        cells += [F.min(F.when(F.col("_upto") > low, F.col(value))).alias(f"_a{i}"), F.min(F.when(F.col("_upto") > F.least(low + 1, F.col("_total") - 1), F.col(value))).alias(f"_b{i}"), F.first(at - low).alias(f"_t{i}")]
-    return placed.groupBy(*by).agg(*cells).select(*by, *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * F.col(f"_t{i}")).alias(f"q{i}") for i in range(len(steps))])
+    present = long.where(F.col(value).isNotNull())
+    ends = [min(1.0, max(0.0, q + side * MARGIN / ACCURACY)) for q in steps for side in (-1, 1)]
+    bounds = cut_lineage(present.groupBy(*by).agg(F.percentile_approx(value, ends, ACCURACY).alias("_b"), F.count("*").alias("_total")))
+    small = F.broadcast(bounds) if bounds.count() <= BROADCAST_GROUPS else bounds
+    named = small.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(by)})
+    joined = present.join(named, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(by)]) if by else present.join(named)
+    v, many = F.col(value), range(len(steps))
+    inside = [(v >= F.col("_b")[2 * i]) & (v <= F.col("_b")[2 * i + 1]) for i in many]
+    told = F.array(*[F.when(c, F.lit(i)) for i, c in enumerate(inside)])
+    low, high = (lambda i: F.col("_b")[2 * i]), (lambda i: F.col("_b")[2 * i + 1])
+    # Beside a window count the nearest values outside, which interpolation may need.
+    outside = [c for i in many for c in (F.count_if(v < low(i)).alias(f"_c{i}"), F.max(F.when(v < low(i), v)).alias(f"_p{i}"), F.min(F.when(v > high(i), v)).alias(f"_s{i}"))]
+    cells = joined.groupBy(*by, F.when(F.array_size(F.array_compact(told)) > 0, v).alias("_v")).agg(F.count("*").alias("_n"), F.max("_total").alias("_total"), F.max("_b").alias("_b"), *outside)
+    whole = Window.partitionBy(*by)
+    step = [F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q"), low(i).alias("low"), high(i).alias("high"), F.sum(f"_c{i}").over(whole).alias("below"), F.max(f"_p{i}").over(whole).alias("before"), F.min(f"_s{i}").over(whole).alias("after")) for i, q in enumerate(steps)]
+    placed = cells.withColumn("_steps", F.array(*step)).where("_v is not null").select(*by, "_v", "_n", "_total", F.explode("_steps").alias("_s"))
+    own = placed.where("_v >= _s.low and _v <= _s.high").withColumn("_i", F.col("_s.i"))
+    upto = F.col("_s.below") + F.sum("_n").over(Window.partitionBy(*by, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    at = F.col("_s.q") * (F.col("_total") - 1)
+    ranked = own.withColumns({"_upto": upto, "_t": at - F.floor(at), "_first": F.floor(at), "_next": F.least(F.floor(at) + 1, F.col("_total") - 1)})
+    found = ranked.groupBy(*by, "_i").agg(*[F.min(F.when(F.col("_upto") > F.col(r), F.col("_v"))).alias(f"{r}_v") for r in ("_first", "_next")], F.max("_upto").alias("_end"), *[F.first(c).alias(n) for c, n in (("_t", "_t"), ("_first", "_first"), ("_next", "_next"), ("_s.below", "_below"), ("_s.before", "_before"), ("_s.after", "_after"))])
+
+    def value_at(rank: str) -> Column:
+        missed = F.raise_error(F.lit("a quantile lies outside of its window")).cast("double")
+        at_edge = F.when(F.col(rank) == F.col("_below") - 1, F.col("_before")).when(F.col(rank) == F.col("_end"), F.col("_after")).otherwise(missed)
+        return F.when((F.col(rank) >= F.col("_below")) & (F.col(rank) < F.col("_end")), F.col(f"{rank}_v")).otherwise(at_edge)
+
+    ends = found.withColumns({"_low": value_at("_first"), "_high": value_at("_next")})
+    told = ends.withColumn("_q", (F.col("_low") + (F.col("_high") - F.col("_low")) * F.col("_t")).cast("double"))
+    return told.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in many])
 
 
 def inverse_normal(long: DataFrame, value: str = "value", partition: Sequence[str] = ("column",), method: str = "blom") -> DataFrame:

@@ -467,7 +467,12 @@ def correlation_tensor(df: DataFrame, scores: dict[str, Sequence[str]]) -> DataF
         raise ValueError("the views have different numbers of scores")
     cells = [(a, b, k) for i, a in enumerate(names) for b in names[i:] for k in range(len(scores[a]))]
     value = lambda v, k: F.col(f"`{scores[v][k]}`").cast("double")
-    row = df.agg(*[F.corr(value(a, k), value(b, k)).alias(f"c{i}") for i, (a, b, k) in enumerate(cells)])
+
+    def corr(x: Column, y: Column) -> Column:
+        both = x.isNotNull() & y.isNotNull()
+        return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(F.when(both, x)) * F.var_pop(F.when(both, y))))  # NULL without spread
+
+    row = df.agg(*[corr(value(a, k), value(b, k)).alias(f"c{i}") for i, (a, b, k) in enumerate(cells)])
     both = [(x, y, k, i) for i, (a, b, k) in enumerate(cells) for x, y in dict.fromkeys([(a, b), (b, a)])]
     told = [F.struct(F.lit(x).alias("view_a"), F.lit(y).alias("view_b"), F.lit(k + 1).alias("component"), F.when(F.isnan(f"c{i}"), None).otherwise(F.col(f"c{i}")).alias("corr")) for x, y, k, i in both]
     return row.select(F.inline(F.array(*told)))

@@ -34,6 +34,14 @@ def null_quantiles(df: DataFrame, keys: Sequence[str], value: str, quantiles: Se
     return df.groupBy(*keys).agg(*[c.alias(f"q{i}") for i, c in enumerate(cells)])
 
 
+def _beside(rows: DataFrame, totals: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what totals (a row for each group, in equal names of keys) has for their group; NULL is a group."""
+    named = totals.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    if not keys:
+        return rows.join(F.broadcast(named))
+    return rows.join(named, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]).drop(*[f"_k{i}" for i in range(len(keys))])
+
+
 def significance_mask(means: DataFrame, null: DataFrame, feature: str = "feature", keys: Sequence[str] = ()) -> DataFrame:
     """means (keys, feature, value) with low, high, masked: true if the value lies inside the null band, so is not significant.
 
@@ -41,8 +49,8 @@ def significance_mask(means: DataFrame, null: DataFrame, feature: str = "feature
     """
     band = null.select(feature, F.when(F.col("low") != F.col("high"), F.col("low")).alias("low"), F.when(F.col("low") != F.col("high"), F.col("high")).alias("high"))
     joined = means.join(band, feature, "left")
-    over = Window.partitionBy(*keys)
-    filled = joined.withColumns({"low": F.coalesce("low", F.avg("low").over(over)), "high": F.coalesce("high", F.avg("high").over(over))})
+    middle = joined.groupBy(*keys).agg(F.avg("low").alias("_low"), F.avg("high").alias("_high"))  # one row without keys
+    filled = _beside(joined, middle, keys).withColumns({"low": F.coalesce("low", "_low"), "high": F.coalesce("high", "_high")}).drop("_low", "_high")
     return filled.withColumn("masked", (F.col("low") < F.col("value")) & (F.col("value") < F.col("high")))
 
 
@@ -102,7 +110,7 @@ def with_inflation(df: DataFrame) -> DataFrame:
 
 def null_threshold(null: DataFrame, keys: Sequence[str], value: str = "r_val", q: float = 0.99, size: str = "sample_size") -> DataFrame:
     """keys, threshold: the quantile at the largest size of each group."""
-    largest = null.withColumn("_most", F.max(size).over(Window.partitionBy(*keys))).where(F.col(size) == F.col("_most"))
+    largest = _beside(null, null.groupBy(*keys).agg(F.max(size).alias("_most")), keys).where(F.col(size) == F.col("_most"))
     return largest.groupBy(*keys).agg(F.percentile(value, F.lit(q)).alias("threshold"))
 
 

@@ -78,6 +78,16 @@ def stream_append(spark, sf_dir):
     return spark.read.parquet(f"{folder}/out")
 
 
+@query("WITH e AS (SELECT CASE WHEN value > 12 THEN value END AS high, CASE WHEN event_id % 3 > 0 THEN event_type END AS kind, ts FROM events) SELECT 'high' AS col, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN high IS NULL THEN 1.0 ELSE 0.0 END), 6) AS missing FROM e UNION ALL SELECT 'kind', count(*), round(avg(CASE WHEN kind IS NULL THEN 1.0 ELSE 0.0 END), 6) FROM e UNION ALL SELECT 'ts', count(*), 0 FROM e")
+def running_missing(spark, sf_dir):
+    """Shares of missing values of columns of several types, as chunks of a stream come in."""
+    folder = _folder(spark)
+    e = A.table(spark, sf_dir, "events").select(F.when(F.col("value") > 12, F.col("value")).alias("high"), F.when(F.col("event_id") % 3 > 0, F.col("event_type")).alias("kind"), "ts")
+    e.repartition(5).write.parquet(f"{folder}/in")
+    ingest.keep_missing(ingest.read_chunks(spark, f"{folder}/in", e.schema, files_at_once=2), ["high", "kind", "ts"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select(F.col("column").alias("col"), "n", A.r6(F.col("missing")).alias("missing"))
+
+
 @query("""SELECT n_name AS name, concat(n_name, '-clean.csv') AS clean, concat('a/', n_name, '-new.csv') AS suffixed, concat('samples-', n_name, '-', n_nationkey + 1, 'reps-2sizes_5-50-stratified.parquet') AS sample,
 concat('PCs_20_20/', n_name, '-null_model/sample_size_', n_nationkey + 50, '/sample_size_', n_nationkey + 50, '-rep3.parquet') AS result FROM nation""")
 def file_names(spark, sf_dir):

@@ -12,7 +12,7 @@ from functools import reduce
 from pathlib import PurePosixPath
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -80,12 +80,13 @@ def parse_udis(spark: SparkSession, columns: Iterable[str]) -> DataFrame:
 
 
 def write_subset(df: DataFrame, path: str, columns: Sequence[str], fn: Callable[[DataFrame], DataFrame] | None = None, key: str = "eid") -> tuple[int, int]:
-    """Project to the key and the columns, apply fn, write Parquet; rows and columns (without key) written."""
+    """Project to the key and the columns, apply fn, write Parquet; rows and columns (without key) written. The rows are counted by the job that writes them."""
     wanted = [key, *[c for c in columns if c != key]]
     out = df.select(*[F.col(f"`{c}`") for c in wanted])
     out = out if fn is None else out.transform(fn)
-    out.write.mode("overwrite").parquet(path)
-    return df.sparkSession.read.parquet(path).count(), len(out.columns) - 1
+    seen = Observation()
+    out.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(path)
+    return seen.get["rows"], len(out.columns) - 1
 
 
 def add_suffix(path: str, suffix: str) -> str:

@@ -25,3 +25,9 @@ def running_missing(chunks: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, n, missing: the share of NULLs so far, for output mode complete."""
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").isNull().cast("double").alias("gone")) for c in columns])
     return chunks.select(F.explode(cells).alias("x")).groupBy("x.column").agg(F.count("*").alias("n"), F.avg("x.gone").alias("missing"))
+
+
+def keep_missing(chunks: DataFrame, columns: Sequence[str], path: str, checkpoint: str) -> StreamingQuery:
+    """The shares so far are written to `path` after each chunk, instead of those before; the query ends with what is there."""
+    write = lambda told, _: told.coalesce(1).write.mode("overwrite").parquet(path)  # noqa: E731  a row for each column
+    return running_missing(chunks, columns).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
