@@ -227,15 +227,11 @@ def find_bad_columns(df: DataFrame, columns: Sequence[str], missing: float | Non
     return out
 
 
-def row_mean_std(df: DataFrame, columns: Sequence[str], field_name: str) -> DataFrame:
-    """df without the columns of one field and instance, with their row mean and sample deviation, NULLs left out.
+def row_means(df: DataFrame, groups: Sequence[tuple[str, Sequence[str]]]) -> DataFrame:
+    """df with, instead of the columns of each field and instance (name of the field, columns), their row mean and sample deviation, NULLs left out; one projection.
 
     The new names have the array index that is first as text and the number of columns.
     """
-    instances = {c.split("-")[1].split(".")[0] for c in columns}
-    if len(instances) != 1:
-        raise NotImplementedError("the columns are of several instances")
-    values = F.filter(F.array(*[_q(c).cast("double") for c in columns]), lambda x: x.isNotNull())
     # One walk over the values: how many, their mean so far, and the sum of squares around it.
     start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("square"))
 
@@ -244,12 +240,23 @@ def row_mean_std(df: DataFrame, columns: Sequence[str], field_name: str) -> Data
         mean = so_far["mean"] + (x - so_far["mean"]) / n
         return F.struct(n.alias("n"), mean.alias("mean"), (so_far["square"] + (x - so_far["mean"]) * (x - mean)).alias("square"))
 
-    walked = df.withColumn("_row", F.aggregate(values, start, walk))
-    mean = F.when(F.col("_row.n") > 0, F.col("_row.mean"))
-    spread = F.when(F.col("_row.n") > 1, F.sqrt(F.col("_row.square") / (F.col("_row.n") - 1)))
-    first = min(c.split(".")[1] for c in columns)
-    base, k = f"{field_name}-{instances.pop()}.{first}", len(columns)
-    return walked.select(*[_q(c) for c in df.columns if c not in set(columns)], mean.alias(f"{base}_mean{k}"), spread.alias(f"{base}_std{k}"))
+    walked, told, gone = {}, [], set()
+    for i, (field_name, columns) in enumerate(groups):
+        instances = {c.split("-")[1].split(".")[0] for c in columns}
+        if len(instances) != 1:
+            raise NotImplementedError("the columns are of several instances")
+        values = F.filter(F.array(*[_q(c).cast("double") for c in columns]), lambda x: x.isNotNull())
+        walked[f"_row{i}"] = F.aggregate(values, start, walk)
+        n, mean, square = (F.col(f"_row{i}.{part}") for part in ("n", "mean", "square"))
+        base, k = f"{field_name}-{instances.pop()}.{min(c.split('.')[1] for c in columns)}", len(columns)
+        told += [F.when(n > 0, mean).alias(f"{base}_mean{k}"), F.when(n > 1, F.sqrt(square / (n - 1))).alias(f"{base}_std{k}")]
+        gone |= set(columns)
+    return df.withColumns(walked).select(*[_q(c) for c in df.columns if c not in gone], *told) if groups else df
+
+
+def row_mean_std(df: DataFrame, columns: Sequence[str], field_name: str) -> DataFrame:
+    """row_means of one field and instance."""
+    return row_means(df, [(field_name, columns)])
 
 
 def level_name(level) -> str:
@@ -310,8 +317,7 @@ def clean(domains: dict[str, DataFrame], plans: dict[str, CleaningPlan], extra:
         if plan.holdout:
             others[f"holdout_{name}"] = df.select(key, *[_q(c) for c in plan.holdout])
             df = df.select(*[_q(c) for c in df.columns if c not in set(plan.holdout)])
-        for field_name, columns in plan.average.items():
-            df = row_mean_std(df, columns, field_name)
+        df = row_means(df, list(plan.average.items()))
         for column, keep in plan.encode.items():
             df = one_hot(df, column, keep=keep)
         if plan.square:

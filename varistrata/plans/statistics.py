@@ -70,10 +70,9 @@ def column_filter(spark, sf_dir):
 @query(f"""WITH {A.LONG} SELECT eid, split_part(col, '.', 1) AS field, round(avg(value), 6) AS mean3, round(stddev_samp(value), 6) AS std3 FROM long GROUP BY 1, 2""")
 def row_mean_std(spark, sf_dir):
     """Every field and instance of the wide table."""
-    out, told = A.wide(spark, sf_dir), []
-    for field in dict.fromkeys(c.split(".")[0] for c in A.COLUMNS):
-        out = columns.row_mean_std(out, [c for c in A.COLUMNS if c.startswith(f"{field}.")], field.split("-")[0])
-        told.append(F.struct(F.lit(field).alias("field"), A.r6(F.col(f"`{field}.0_mean3`")).alias("mean3"), A.r6(F.col(f"`{field}.0_std3`")).alias("std3")))
+    fields = list(dict.fromkeys(c.split(".")[0] for c in A.COLUMNS))
+    out = columns.row_means(A.wide(spark, sf_dir), [(f.split("-")[0], [c for c in A.COLUMNS if c.startswith(f"{f}.")]) for f in fields])
+    told = [F.struct(F.lit(f).alias("field"), A.r6(F.col(f"`{f}.0_mean3`")).alias("mean3"), A.r6(F.col(f"`{f}.0_std3`")).alias("std3")) for f in fields]
     return out.select("eid", F.inline(F.array(*told)))
 
 
