@@ -359,3 +359,17 @@ def test_several_views_from_moments(spark):
     assert [r.score for r in flat] == [None]
     with pytest.raises(ValueError):
         linear.correlation_tensor(df, {"a": ["v0"], "b": ["v1", "v2"]})
+
+
+def test_functions_of_python_under_keys(spark):
+    """Numpy where it works, pandas where it doesn't; lists of arrays; NULL keys; what is missing stays so."""
+    df = spark.createDataFrame([("a", 1, 3.0, 2), ("a", 1, 1.0, 1), ("a", 1, 7.0, 3), (None, 2, 5.0, 1), ("b", 1, None, 1)], "k string, n int, v double, o int").repartition(3)
+    held = results.Nested(df, ("k", "n"), "v")
+    got = held.apply_any({"first": lambda v: v[0], "median": lambda v: v.median(), "sum": np.nansum, "none": lambda v: None}, order=["o"])
+    assert got.levels == ("k", "n", "func")
+    assert {(r.k, r.func): r.v for r in got.frame.collect()} == {("a", "first"): 1.0, ("a", "median"): 3.0, ("a", "sum"): 11.0, ("a", "none"): None, (None, "first"): 5.0, (None, "median"): 5.0, (None, "sum"): 5.0, (None, "none"): None, ("b", "first"): None, ("b", "median"): None, ("b", "sum"): 0.0, ("b", "none"): None}
+    vectors = results.Nested(spark.createDataFrame([("a", [1.0, 2.0]), ("a", [3.0, 6.0]), ("b", [0.0, 1.0])], "k string, v array<double>"), ("k",), "v")
+    means = vectors.apply_any({"mean": lambda m: m.mean(axis=0)}, kind="array<double>")
+    assert {r.k: r.v for r in means.frame.collect()} == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
+    with pytest.raises(Exception, match="no such"):
+        held.apply_any({"bad": lambda v: (_ for _ in ()).throw(ValueError("no such"))}).frame.collect()

@@ -286,6 +286,28 @@ def mode_counts(rows: DataFrame, basis: Basis) -> DataFrame:
     return counts.groupBy(*UNIT, "place").agg(F.max("n").alias("n"))
 
 
+def selected_columns(frame: DataFrame, datasets: dict[str, list[str]], samples: DataFrame, settings: Settings, key: str = "eid") -> DataFrame:
+    """subset, rep, sample_size, dataset, feature, rows, present, most, kept: which columns each learning sample keeps, for all samples together.
+
+    present: rows with a value; most: how many have the most frequent one, where that is over half of them (else 0). Kept are columns with few
+    missing values and no dominant one (Settings.missing, Settings.frequency), as the learning rows alone tell.
+    """
+    frequency = 1 - 1 / settings.n_folds if settings.frequency is None else settings.frequency
+    if frequency < 0.5:
+        raise ValueError("a frequency of a half at least is needed")
+    basis = basis_of(frame, datasets)
+    learn = sampled_rows(frame, basis, samples, key).where("set_name = 'learn'")
+    there = [F.count_if(~F.isnan(F.col("_x")[j])).alias(f"p{j}") for j in range(len(basis.columns))]
+    counts = learn.groupBy(*UNIT).agg(F.count("*").alias("rows"), *there)
+    names = [(d, c) for d, columns in datasets.items() for c in columns]
+    cells = F.array(*[F.struct(F.lit(d).alias("dataset"), F.lit(c).alias("feature"), F.lit(j).alias("place"), F.col(f"p{j}").alias("present")) for j, (d, c) in enumerate(names)])
+    told = counts.select(*UNIT, "rows", F.inline(cells)).join(mode_counts(learn, basis), [*UNIT, "place"], "left")
+    n, present, most = F.col("rows"), F.col("present"), F.coalesce(F.col("n"), F.lit(0))
+    dominant = F.when(2 * most > present, most).otherwise(0)
+    kept = (present > 0) & (1 - present / n < settings.missing) & (F.try_divide(dominant, present) < frequency)
+    return told.select(*UNIT, "dataset", "feature", "rows", "present", dominant.alias("most"), F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
 def kept_columns(basis: Basis, gram: np.ndarray, modes: dict[int, int], settings: Settings) -> list[list[int]]:
     """The columns of each view with few missing values and no dominant one, from a learning sample's counts."""
     frequency = 1 - 1 / settings.n_folds if settings.frequency is None else settings.frequency

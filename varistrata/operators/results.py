@@ -337,6 +337,41 @@ class Nested:
         self._match(key, True)
         return self._with(self.frame, key, value)
 
+    def apply_any(self, functions: dict[str, Callable], kind: str = "double", level: str = "func", order: Sequence[str] = ()) -> Nested:
+        """What functions of Python make of the values under each key, with the functions' names as a further level.
+
+        A function gets one numpy array for a key (rows of a matrix, if values are arrays), missing values as NaN, in the order of
+        the columns `order` and then of the values; where it can't work on that (TypeError, AttributeError) it gets a
+        pandas Series or DataFrame. It returns a `kind`. Each key is a group of its own with all its
+        values, so there should be as many as there are repetitions or models, not rows of a cohort; keys are spread over the tasks.
+        """
+        import numpy as np
+        import pandas as pd
+
+        names, value, wanted = list(self.levels), self.value, list(order)
+        several = self.frame.schema[value].dataType.typeName() == "array"
+
+        def made(fn: Callable, values: np.ndarray):
+            try:
+                out = fn(values)
+            except (TypeError, AttributeError):
+                out = fn(pd.DataFrame(values) if several else pd.Series(values))
+            return out.tolist() if isinstance(out, (np.ndarray, pd.Series)) else None if out is None or out != out else out
+
+        def apply(pdf):
+            if several:
+                values = np.stack([np.asarray(v, float) for v in pdf["_v"]])
+                values = values[np.lexsort((*values.T[::-1], *[pdf[f"_o{i}"].to_numpy() for i in reversed(range(len(wanted)))]))]
+            else:
+                values = pdf.sort_values([*[f"_o{i}" for i in range(len(wanted))], "_v"])["_v"].to_numpy(float)
+            rows = [(*[pdf[f"_k{i}"].iloc[0] for i in range(len(names))], name, made(fn, values)) for name, fn in functions.items()]
+            return pd.DataFrame(rows, columns=[*[f"_k{i}" for i in range(len(names))], "_f", "_r"])
+
+        rows = self.frame.select(*[F.col(n).alias(f"_k{i}") for i, n in enumerate(names)], F.col(value).alias("_v"), *[F.col(o).alias(f"_o{i}") for i, o in enumerate(wanted)])
+        schema = ", ".join([*[f"_k{i} {self.frame.schema[n].dataType.simpleString()}" for i, n in enumerate(names)], "_f string", f"_r {kind}"])
+        out = rows.groupBy(*[f"_k{i}" for i in range(len(names))]).applyInPandas(apply, schema)
+        return Nested(out.select(*[F.col(f"_k{i}").alias(n) for i, n in enumerate(names)], F.col("_f").alias(level), F.col("_r").alias(value)), (*names, level), value)
+
     def apply(self, functions: dict[str, Callable[[str], Column]]) -> DataFrame:
         """One row for each key, a column for each function of its values."""
         return self.frame.groupBy(*self.levels).agg(*[fn(self.value).alias(n) for n, fn in functions.items()])

@@ -92,3 +92,23 @@ def moments_null_band(spark, sf_dir):
     """The 2.5 % and 97.5 % of the validation correlations of 100 repetitions on dealt rows, at 20 components."""
     out = _embedded(spark, sf_dir, True, 100, cca_types=("without_cv",), cv_reps=0)
     return results.null_quantiles(out.where("metric = 'corr' and set_name = 'val'"), ["subset", "sample_size", "cca_type", "component"], "value", skip_missing=False)
+
+
+#: Columns of the wide table, some with their values cut down to few kinds so that one of them dominates.
+CUT = {c: (f"floor(\"{c}\" / 40)" if i % 3 == 0 else f'"{c}"') for i, c in enumerate(A.COLUMNS[:12])}
+
+
+@query(f"""WITH {A.WIDE}, m AS (SELECT eid, {', '.join(f'{x} AS "{c}"' for c, x in CUT.items())} FROM wide), k AS (SELECT count(*) AS n FROM m), sizes AS (SELECT n // 8 AS s FROM k UNION ALL SELECT n // 3 FROM k),
+{design_sql('SELECT eid FROM m', 3)},
+l AS (SELECT rep, s, col, x FROM design JOIN m USING (eid), LATERAL (SELECT unnest([{', '.join(f"'{c}'" for c in CUT)}]) AS col, unnest([{', '.join(f'"{c}"' for c in CUT)}]) AS x) WHERE set_name = 'learn'),
+v AS (SELECT rep, s, col, x, count(*) AS n FROM l GROUP BY ALL),
+t AS (SELECT rep, s, col, sum(n) AS total, coalesce(sum(CASE WHEN x IS NOT NULL THEN n END), 0) AS present, max(CASE WHEN x IS NOT NULL THEN n END) AS most FROM v GROUP BY ALL)
+SELECT CAST(rep AS BIGINT) AS rep, CAST(s AS BIGINT) AS sample_size, col, CAST(total AS BIGINT) AS n, CAST(present AS BIGINT) AS present, CAST(CASE WHEN 2 * most > present THEN most ELSE 0 END AS BIGINT) AS most,
+ coalesce(present > 0 AND 1 - present / total < 0.95 AND most / present < 0.8, false) AS kept FROM t""")
+def sample_features(spark, sf_dir):
+    """Which columns each of several learning samples keeps: those with few missing values and no dominant one in the sample's own rows."""
+    w = A.wide(spark, sf_dir).select("eid", *[(F.floor(F.col(f"`{c}`") / 40) if "floor" in x else F.col(f"`{c}`")).alias(c) for c, x in CUT.items()])
+    n = w.count()
+    design = sampling.keyed_design(w.select("eid"), [n // 8, n // 3], 3)
+    out = folds.selected_columns(w, {"all": list(CUT)}, design, experiment.Settings(missing=0.95))
+    return out.select(F.col("rep").cast("long").alias("rep"), F.col("sample_size").cast("long").alias("sample_size"), F.col("feature").alias("col"), F.col("rows").alias("n"), "present", F.col("most").cast("long").alias("most"), "kept")

@@ -305,6 +305,17 @@ def nested_apply(spark, sf_dir):
     return out.withColumns({c: A.r6(F.col(c)) for c in ("mean", "std")})
 
 
+@query(f"""WITH {A.RESULTS}, x AS (SELECT event_type, sample_size, rep, CASE WHEN event_id % 11 > 0 THEN loading END AS v FROM results), t AS (SELECT event_type, sample_size, rep, 'spread' AS func, CASE WHEN count(v) = count(*) THEN mad(v) END AS value FROM x GROUP BY ALL
+UNION ALL SELECT event_type, sample_size, rep, 'middle', median(v) FROM x GROUP BY ALL UNION ALL SELECT event_type, sample_size, rep, 'range', max(v) - min(v) FROM x GROUP BY ALL)
+SELECT event_type, CAST(sample_size AS BIGINT) AS sample_size, CAST(rep AS BIGINT) AS rep, func, round(value, 6) AS value FROM t""")
+def functions_under_keys(spark, sf_dir):
+    """Functions of Python over the list under each key: one that a missing value makes missing, one for pandas only, one of numpy."""
+    r = A.results(spark, sf_dir).withColumn("loading", F.when(F.col("event_id") % 11 > 0, F.col("loading")))
+    held = results.Nested(r, ("event_type", "sample_size", "rep"), "loading")
+    found = held.apply_any({"spread": lambda v: np.median(np.abs(v - np.median(v))), "middle": lambda v: v.median(skipna=True), "range": lambda v: np.nanmax(v) - np.nanmin(v) if np.isfinite(v).any() else None}, order=["event_id"])
+    return _long(found.frame, "sample_size", "rep").select("event_type", "sample_size", "rep", "func", A.r6(F.col("loading")).alias("value"))
+
+
 @query(f"WITH {A.KEYED} SELECT eid, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std FROM keyed GROUP BY 1")
 def list_stats(spark, sf_dir):
     lists = A.keyed_events(spark, sf_dir).groupBy("eid").agg(F.collect_list("value").alias("values"))
