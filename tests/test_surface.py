@@ -373,3 +373,30 @@ def test_functions_of_python_under_keys(spark):
     assert {r.k: r.v for r in means.frame.collect()} == {"a": [2.0, 4.0], "b": [0.0, 1.0]}
     with pytest.raises(Exception, match="no such"):
         held.apply_any({"bad": lambda v: (_ for _ in ()).throw(ValueError("no such"))}).frame.collect()
+
+
+def test_places_without_one_task_for_all(spark):
+    rng = np.random.default_rng(15)
+    values = [None if v < 0.02 else round(float(v), 2) for v in rng.random(3000)]
+    df = spark.createDataFrame([(i, v, "place") for i, v in enumerate(values)], "i long, v double, kind string").repartition(6)
+    got = columns.numbered(df, [F.desc_nulls_last("v"), F.col("i")], "at").collect()
+    want = sorted(range(3000), key=lambda i: (values[i] is None, -(values[i] or 0), i))
+    assert [r.i for r in sorted(got, key=lambda r: r["at"])] == want and sorted(r["at"] for r in got) == list(range(3000))
+    assert columns.numbered(df, [F.col("v")]).columns == ["i", "v", "kind", "place"]
+    assert columns.numbered(df.limit(0), [F.col("v")]).count() == 0
+    one = columns.numbered(df.withColumn("v", F.lit(1.0)), [F.col("v")])  # all rows are equal in the order
+    assert sorted(r.place for r in one.collect()) == list(range(3000))
+
+
+def test_levels_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(columns, "MOST_LEVELS", 3)
+    df = spark.createDataFrame([(i, i % 4) for i in range(20)], "i long, k long")
+    with pytest.raises(ValueError, match="more than 3 levels"):
+        columns.one_hot(df, "k")
+    assert len(columns.one_hot(df.where("k < 3"), "k").columns) == 4
+
+
+def test_sizes_of_subsets(spark):
+    sizes = [50, 61, 100]
+    got = sampling.sizes_of_subsets(spark.createDataFrame([("a", 130), ("b", 99), ("c", 1000)], "k string, n long"), sizes).collect()
+    assert {k: [r.sample_size for r in got if r.k == k] for k in "abc"} == {"a": sampling.subset_sizes(sizes, 130), "b": [], "c": sizes}

@@ -264,10 +264,17 @@ def level_name(level) -> str:
     return text[:-2] if text.endswith(".0") else text
 
 
+#: Levels that a column may have to be encoded, each of them a new column.
+MOST_LEVELS = 10_000
+
+
 def one_hot(df: DataFrame, column: str, levels: Sequence | None = None, keep=None) -> DataFrame:
-    """df with a 0/1 column for each level instead of the column; NULL gives 0 everywhere. keep: that level's column only."""
+    """df with a 0/1 column for each level instead of the column; NULL gives 0 everywhere. keep: that level's column only. More than MOST_LEVELS levels are an error."""
     if levels is None:
-        levels = sorted(r[0] for r in df.select(_q(column)).where(_q(column).isNotNull()).distinct().collect())
+        found = df.select(_q(column)).where(_q(column).isNotNull()).distinct().limit(MOST_LEVELS + 1).collect()
+        if len(found) > MOST_LEVELS:
+            raise ValueError(f"{column} has more than {MOST_LEVELS} levels")
+        levels = sorted(r[0] for r in found)
     if keep is not None and keep not in levels:
         raise KeyError(f"{column} has no level {keep}")
     wanted = [keep] if keep is not None else list(levels)
@@ -378,6 +385,22 @@ def running_counts(counts: DataFrame, keys: Sequence[str], value: str, n: str =
     return ranged.withColumn("_own", own).join(starts, [*keys, "_range"]).withColumn("_upto", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
 
 
+def numbered(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """df with its rows' places from 0 in an order of all rows, without a task that sees them all.
+
+    Rows are parted by ranges of the order, sorted and numbered within their parts, and a part begins where the ones before
+    end. The parts are checkpointed, so they are the same for their counts and their numbers; as many counts as parts are
+    broadcast. Rows that are equal in the order have places next to each other, which of them first is open.
+    """
+    spread = df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    fixed = cut_lineage(spread.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
+    counts = fixed.groupBy("_part").agg(F.count("*").alias("_n"), F.min("_at").alias("_from"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select(F.col("_part").alias("_of"), "_from", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    joined = fixed.join(F.broadcast(starts), F.col("_part") == F.col("_of"))
+    return joined.withColumn(place, F.col("_start") + F.col("_at") - F.col("_from")).drop("_part", "_at", "_of", "_from", "_start")
+
+
 #: Accuracy of the approximate quantiles that windows are cut by, and by how many of its errors a window goes beyond the place wanted.
 ACCURACY, MARGIN = 10_000, 5
 

@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from varistrata.operators.columns import numbered
+
 QUANTILES = (0.025, 0.975, 0.05, 0.95)
 
 
@@ -257,9 +259,13 @@ def mark_reference(df: DataFrame, column: str, reference) -> DataFrame:
     return df.withColumn("is_ref", F.coalesce(F.col(column) == F.lit(reference), F.lit(False)))
 
 
-def correlation_table(df: DataFrame) -> DataFrame:
-    """Correlations in the order of subset, cca_type, size and repetition."""
-    return df.orderBy("subset", "cca_type", "sample_size", "rep", *[c for c in ("component", "set_name") if c in df.columns])
+def _in_order(df: DataFrame, order: Sequence[Column], place: str | None) -> DataFrame:
+    return df.orderBy(*order) if place is None else numbered(df, order, place)
+
+
+def correlation_table(df: DataFrame, place: str | None = None) -> DataFrame:
+    """Correlations in the order of subset, cca_type, size and repetition; place: instead of sorting all, a column with each row's place from 0."""
+    return _in_order(df, [F.col(c) for c in ("subset", "cca_type", "sample_size", "rep", "component", "set_name") if c in df.columns], place)
 
 
 def repetition_matrix(df: DataFrame, features: Sequence[str], rep: str = "rep", feature: str = "feature", value: str = "loading") -> DataFrame:
@@ -267,9 +273,9 @@ def repetition_matrix(df: DataFrame, features: Sequence[str], rep: str = "rep",
     return df.groupBy(rep).pivot(feature, list(features)).agg(F.first(value, ignorenulls=True)).orderBy(rep)
 
 
-def by_largest_size(table: DataFrame, sizes: Sequence[int], feature: str = "feature") -> DataFrame:
-    """Rows of a table with a column for each size, largest values of the largest size first, NULL last."""
-    return table.orderBy(F.desc_nulls_last(f"`{max(sizes)}`"), feature)
+def by_largest_size(table: DataFrame, sizes: Sequence[int], feature: str = "feature", place: str | None = None) -> DataFrame:
+    """Rows of a table with a column for each size, largest values of the largest size first, NULL last; place: as in correlation_table."""
+    return _in_order(table, [F.desc_nulls_last(f"`{max(sizes)}`"), F.col(feature)], place)
 
 
 def key_product(*tables: DataFrame) -> DataFrame:

@@ -33,6 +33,12 @@ def subset_sizes(sizes: Sequence[int], n_subset: int, validation: float = 0.5) -
     return [s for s in sizes if s <= int((1 - validation) * n_subset)]
 
 
+def sizes_of_subsets(subsets: DataFrame, sizes: Sequence[int], n: str = "n", validation: float = 0.5) -> DataFrame:
+    """subsets (with the number of their subjects) and `sample_size`: a row for each of the sizes that subset_sizes gives."""
+    cells = F.array(*[F.lit(int(s)) for s in sizes])
+    return subsets.withColumn("sample_size", F.explode(F.filter(cells, lambda s: s <= ((1 - validation) * F.col(n)).cast("long"))))
+
+
 def planned_sizes(n_subjects: int, n_sizes: int, most_components: int, **bounds) -> list[int]:
     return sample_sizes(*size_bounds(n_subjects, most_components, **bounds), n_sizes)
 
@@ -79,13 +85,20 @@ def split_in_out(subjects: DataFrame, n_reps: int, n_in: int, key: str = "eid",
     crossed = subjects.select(*keep).crossJoin(reps).withColumn("_o", order)
     if strata is None:
         return _positions(crossed, ["rep"], key).select("rep", key, "pos", (F.col("pos") <= n_in).alias("is_in"))
-    counts = {r[strata]: r["n"] for r in subjects.groupBy(strata).agg(F.count("*").alias("n")).collect()}
-    quota = stratified_quota(counts, n_in)
-    quotas = F.broadcast(subjects.sparkSession.createDataFrame([(g, q) for g, q in quota.items()], f"_g {subjects.schema[strata].dataType.simpleString()}, _q int"))
+    quotas = _quotas(subjects.groupBy(F.col(strata).alias("_g")).agg(F.count("*").alias("_c")), F.lit(n_in), [])
     ranked = _positions(crossed, ["rep", strata], key).join(quotas, F.col(strata).eqNullSafe(F.col("_g")))
     return ranked.select("rep", key, "pos", (F.col("pos") <= F.col("_q")).alias("is_in"))
 
 
+def _quotas(groups: DataFrame, n: Column, by: list[str]) -> DataFrame:
+    """groups (by, _g, members _c) with `_q`: whole parts of n in proportion to the members; the largest remainders get one more. A row for each group goes through one window task of its `by`."""
+    whole = Window.partitionBy(*by)
+    exact = n * F.col("_c") / F.sum("_c").over(whole)
+    based = groups.withColumn("_exact", exact).withColumn("_base", F.floor("_exact"))
+    turn = F.row_number().over(whole.orderBy(F.desc(F.col("_exact") - F.col("_base")), F.col("_g").cast("string")))
+    return based.withColumns({"_rest": n - F.sum("_base").over(whole), "_turn": turn}).withColumn("_q", (F.col("_base") + (F.col("_turn") <= F.col("_rest")).cast("int")).cast("int")).drop("_exact", "_base", "_rest", "_turn")
+
+
 def stratified_quota(counts: dict, n: int) -> dict:
     """Whole parts of n in proportion to the counts; the largest remainders get one more."""
     total = sum(counts.values())
@@ -139,11 +152,7 @@ def design(subjects: DataFrame, sizes: Sequence[int], n_reps: int, key: str = "e
     def stratified(pool: DataFrame, name: str) -> DataFrame:
         """Each group's share of every size: whole numbers, then the largest remainders, as the pool of a repetition has the groups."""
         groups = pool.groupBy("rep", "_g").agg(F.count("*").alias("_c")).crossJoin(wanted)
-        exact = F.col("sample_size") * F.col("_c") / F.sum("_c").over(Window.partitionBy("rep", "sample_size"))
-        based = groups.withColumn("_base", F.floor(exact)).withColumn("_left", exact - F.col("_base"))
-        rest = F.col("sample_size") - F.sum("_base").over(Window.partitionBy("rep", "sample_size"))
-        turn = F.row_number().over(Window.partitionBy("rep", "sample_size").orderBy(F.desc("_left"), F.col("_g").cast("string")))
-        quotas = based.withColumns({"_rest": rest, "_turn": turn}).select("rep", "sample_size", F.col("_g").alias("_group"), (F.col("_base") + (F.col("_turn") <= F.col("_rest")).cast("int")).cast("int").alias("_q"), F.col("_c").alias("_members"))
+        quotas = _quotas(groups, F.col("sample_size"), ["rep", "sample_size"]).select("rep", "sample_size", F.col("_g").alias("_group"), "_q", F.col("_c").alias("_members"))
         if replace:
             numbered = _positions(pool.drop("pos").withColumn("_o", _order(key, F.col("rep"), F.lit(f"{name}{seed}"))), ["rep", "_g"], key).select("rep", F.col("_g").alias("_group"), F.col("pos").alias("_at"), key)
             draws = quotas.where("_q > 0").select("*", F.explode(F.sequence(F.lit(1), "_q")).alias("_k"))

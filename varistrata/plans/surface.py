@@ -25,7 +25,7 @@ def _long(df: DataFrame, *names: str) -> DataFrame:
 
 
 def _numbered(df: DataFrame) -> DataFrame:
-    """The rows of a small ordered table with their place."""
+    """The rows of a small ordered table (a bounded report) with their place."""
     return df.coalesce(1).withColumn("place", F.monotonically_increasing_id())
 
 
@@ -122,7 +122,7 @@ def long_csv(spark, sf_dir):
 
 @query(f"WITH {A.KEYED}, {CORRS} SELECT subset, cca_type, CAST(sample_size AS BIGINT) AS sample_size, CAST(rep AS BIGINT) AS rep, CAST(row_number() OVER (ORDER BY subset, cca_type, sample_size, rep) - 1 AS BIGINT) AS place FROM corrs")
 def correlation_order(spark, sf_dir):
-    return _long(_numbered(results.correlation_table(_corrs(spark, sf_dir))), "sample_size", "rep").drop("corr")
+    return _long(results.correlation_table(_corrs(spark, sf_dir), "place"), "sample_size", "rep").drop("corr")
 
 
 @query("""WITH p AS (SELECT DISTINCT concat('x/sample_size_', c_nationkey * 10 + 50, '-rep', c_custkey % 40, '.parquet') AS path, c_nationkey * 10 + 50 AS s, c_custkey % 40 AS r FROM customer)
@@ -186,7 +186,7 @@ def heatmap_deviation(spark, sf_dir):
 
 @query(f"WITH {HEAT} SELECT feature, CAST(row_number() OVER (ORDER BY abs(v) DESC, feature) - 1 AS BIGINT) AS place FROM f WHERE sample_size = 400")
 def heatmap_order(spark, sf_dir):
-    return _numbered(results.by_largest_size(_heat(spark, sf_dir)["mag"], SIZES)).select("feature", "place")
+    return results.by_largest_size(_heat(spark, sf_dir)["mag"], SIZES, place="place").select("feature", "place")
 
 
 # Metadata.
@@ -373,8 +373,7 @@ def subset_sizes(spark, sf_dir):
     """Sizes of the whole cohort that each subset can have."""
     c = A.table(spark, sf_dir, "customer")
     sizes = sampling.planned_sizes(c.count(), 10, 20)
-    rows = [(r.c_mktsegment, s) for r in c.groupBy("c_mktsegment").count().collect() for s in sampling.subset_sizes(sizes, r["count"])]
-    return spark.createDataFrame(rows, "c_mktsegment string, size long")
+    return sampling.sizes_of_subsets(c.groupBy("c_mktsegment").agg(F.count("*").alias("n")), sizes).select("c_mktsegment", F.col("sample_size").cast("long").alias("size"))
 
 
 # Estimators.
