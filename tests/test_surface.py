@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from varistrata.functions import kernels, normal
-from varistrata.operators import catalog, cohort, columns, estimators, experiment, linear, results, sampling
+from varistrata.operators import catalog, cohort, columns, estimators, experiment, linear, results, sampling, stages
 from varistrata.sources import scratch, tables
 
 
@@ -400,3 +400,36 @@ def test_sizes_of_subsets(spark):
     sizes = [50, 61, 100]
     got = sampling.sizes_of_subsets(spark.createDataFrame([("a", 130), ("b", 99), ("c", 1000)], "k string, n long"), sizes).collect()
     assert {k: [r.sample_size for r in got if r.k == k] for k in "abc"} == {"a": sampling.subset_sizes(sizes, 130), "b": [], "c": sizes}
+
+
+def test_stages_of_a_pipeline_are_stored(spark, tmp_path):
+    """Every transformer, fitted in a Pipeline of Spark's, written, read in another session and applied to other rows: the same values."""
+    from pyspark.ml import Pipeline, PipelineModel
+
+    full, x = scattered(300, 4, 11)
+    df = as_frame(spark, np.c_[x, np.sin(np.arange(300))])
+    names, first, second = ["v0", "v1", "v2", "v3"], df.where("eid < 200"), df.where("eid >= 200")
+    made = Pipeline(
+        stages=[
+            stages.FrameStage(estimators.RegressionImpute(rounds=3), names), stages.FrameStage(estimators.QuantileNormal(most=50), names[:2]), stages.FrameStage(estimators.RobustScale(), names), stages.FrameStage(estimators.Standardise(ddof=1), names),
+            stages.FrameStage(estimators.Square(), ["v3"]), stages.FrameStage(estimators.Deconfound(), names, ["v4"]), stages.FrameStage(estimators.Components(2), [*names, "v3_squared"]),
+        ]
+    )
+    made.write().save(f"{tmp_path}/plain")
+    again = Pipeline.load(f"{tmp_path}/plain")
+    fitted = made.fit(first)
+    fitted.write().save(f"{tmp_path}/fitted")
+    want = fitted.transform(second).orderBy("eid").collect()
+    assert want and {"PC1", "PC2"} <= set(want[0].asDict()) and len(want) == 100
+    assert again.fit(first).transform(second).orderBy("eid").collect() == want
+    session = spark.newSession()
+    rows = session.createDataFrame(second.collect(), second.schema)
+    assert PipelineModel.load(f"{tmp_path}/fitted").transform(rows).orderBy("eid").collect() == want
+    chain = stages.FrameStage(estimators.Chain([("fill", estimators.MeanImpute()), ("pick", estimators.SelectColumns(mode=0.9))]), names).fit(first)
+    chain.save(f"{tmp_path}/chain")
+    read = stages.FrameModel.load(f"{tmp_path}/chain")
+    assert read.fitted.columns_out == chain.fitted.columns_out and read.uid == chain.uid and read.transform(second).collect() == chain.transform(second).collect()
+    with pytest.raises(TypeError):
+        stages.encoded(object())
+    with pytest.raises(TypeError):
+        stages.decoded({"kind": "Other", "held": {"pairs": []}})

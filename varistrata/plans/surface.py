@@ -5,12 +5,14 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varistrata.functions import kernels
-from varistrata.operators import catalog, cohort, columns, estimators, experiment, linear, results, sampling
+from varistrata.operators import catalog, cohort, columns, estimators, experiment, linear, results, sampling, stages
 from varistrata.plans import adapters as A
+from varistrata.plans import registry
 from varistrata.plans.registry import query
 from varistrata.sources import scratch, tables
 from varistrata.streaming import ingest
@@ -399,6 +401,20 @@ def chain_scale_deconfound(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", A.r6(F.col("l_quantity")).alias("l_quantity"))
 
 
+SCALED_LESS_TAX = registry.ORACLES["chain_scale_deconfound"]
+
+
+@query(SCALED_LESS_TAX)
+def stored_pipeline(spark, sf_dir):
+    """The same two steps as stages of a Pipeline of Spark's, written when fitted, read again and applied."""
+    rows = _lines(spark, sf_dir, "l_quantity", "l_tax")
+    made = Pipeline(stages=[stages.FrameStage(estimators.RobustScale(), ["l_quantity"]), stages.FrameStage(estimators.Deconfound(), ["l_quantity"], ["l_tax"])])
+    path = _folder(spark) + "/model"
+    made.fit(rows).write().save(path)
+    out = PipelineModel.load(path).transform(rows)
+    return out.select("l_orderkey", "l_linenumber", A.r6(F.col("l_quantity")).alias("l_quantity"))
+
+
 @query(f"""WITH s AS (SELECT avg(l_tax) AS m, stddev_samp(l_tax) AS r FROM lineitem), z AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, (l_tax - m) / r AS a, ((l_tax - m) / r) * ((l_tax - m) / r) AS b FROM lineitem, s),
 g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb, sum(a * x) AS ax, sum(b * x) AS bx FROM z), w AS (SELECT (bb * ax - ab * bx) / (aa * bb - ab * ab) AS wa, (aa * bx - ab * ax) / (aa * bb - ab * ab) AS wb FROM g)
 SELECT {LINE}, round(x - a * wa - b * wb, 4) AS x FROM z, w""")
