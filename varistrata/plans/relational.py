@@ -204,3 +204,40 @@ def result_paths(spark, sf_dir):
 def key_cross_product(spark, sf_dir):
     r = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("a"))
     return results.key_product(r, r.select(F.col("a").alias("b")))
+
+
+#: Categories of all named domains; half of the fields lie in one below them (its number and this more).
+DOMAIN_CATEGORIES = sorted({c for d in catalog.DOMAINS.values() for c in d.get("categories", ())})
+BELOW = 500_000
+#: What titles of fields end with, so that each domain's patterns meet some.
+ENDINGS = ["L1 part", "Index for card A", "ICD10 code", "Place of birth in UK", "Time elapsed in trial", "plain", "mean of L3"]
+
+
+def _domain_fields(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    at = F.element_at(F.array(*[F.lit(c) for c in DOMAIN_CATEGORIES]), (F.col("p_partkey") % len(DOMAIN_CATEGORIES) + 1).cast("int"))
+    below = F.when(F.col("p_partkey") % 16 >= 8, F.lit(BELOW)).otherwise(0)
+    ending = F.element_at(F.array(*[F.lit(e) for e in ENDINGS]), (F.col("p_partkey") % len(ENDINGS) + 1).cast("int"))
+    return p.select(F.col("p_partkey").alias("field_id"), F.concat_ws(" ", "p_name", ending).alias("title"), (F.col("p_size") % 3 + 11).cast("int").alias("value_type"), (at + below).cast("long").alias("main_category"))
+
+
+def _domain_sql(name: str) -> str:
+    d = catalog.DOMAINS[name]
+    listed = lambda values: ", ".join(str(v) for v in values)
+    inside = [f"main_category IN ({listed([*d['categories'], *(c + BELOW for c in d['categories'])])})"] if d.get("categories") else []
+    inside += [f"field_id IN ({listed(d['extra_fields'])})"] if d.get("extra_fields") else []
+    titles = [f"regexp_matches(title, '{d['title']}')"] if "title" in d else []
+    titles += [f"NOT regexp_matches(title, '{t}')" for t in d.get("titles_reject", ())]
+    chosen = f"SELECT u.*, max(instance) OVER (PARTITION BY field_id, array_index) AS top FROM udis u WHERE instance IN ({listed(d['instances'])}) AND field_id IN (SELECT field_id FROM df WHERE {' AND '.join(['(' + ' OR '.join(inside) + ')', *titles])})"
+    return f"SELECT '{name}' AS domain, udi FROM ({chosen})" + (" WHERE instance = top" if d.get("keep_instance") == "max" else "")
+
+
+@query(f"""WITH {A.UDIS}, df AS (SELECT p_partkey AS field_id, concat_ws(' ', p_name, {ENDINGS}[p_partkey % {len(ENDINGS)} + 1]) AS title,
+ {DOMAIN_CATEGORIES}[p_partkey % {len(DOMAIN_CATEGORIES)} + 1] + CASE WHEN p_partkey % 16 >= 8 THEN {BELOW} ELSE 0 END AS main_category FROM part) """ + " UNION ALL ".join(_domain_sql(n) for n in catalog.DOMAINS))
+def named_domains(spark, sf_dir):
+    """The columns of every named domain, by its categories and those below them, single fields, titles and instances."""
+    fields = _domain_fields(spark, sf_dir)
+    tree = fields.where(f"main_category > {BELOW}").select((F.col("main_category") - BELOW).alias("parent_id"), F.col("main_category").alias("child_id")).distinct()
+    none = fields.limit(0).select(F.col("main_category").alias("category_id"), "field_id")
+    parts = [catalog.select_columns(A.udi_table(spark, sf_dir), fields, tree, none, **d).select(F.lit(n).alias("domain"), "udi") for n, d in catalog.DOMAINS.items()]
+    return columns.concat(parts)

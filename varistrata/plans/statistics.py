@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from varistrata.functions import normal
-from varistrata.operators import columns, results, sampling
+from varistrata.operators import columns, estimators, results, sampling
 from varistrata.plans import adapters as A
 from varistrata.plans.registry import query
 
@@ -365,6 +365,16 @@ def quantile_transform(spark, sf_dir):
     return out.select("l_orderkey", "l_linenumber", *[F.round(c, 4).alias(c) for c in names])
 
 
+@query(f"""WITH v AS ({TWO}), {quantile_sql('v', 't')} SELECT l_orderkey, l_linenumber, round(a.z, 4) AS number, round(l_extendedprice, 4) AS code, round(b.z, 4) AS averaged FROM lineitem
+JOIN t a ON a.col = 'l_quantity' AND a.x = l_quantity JOIN t b ON b.col = 'l_extendedprice' AND b.x = l_extendedprice""")
+def quantile_by_value_type(spark, sf_dir):
+    """Normal scores of the columns whose value type is a number's, and of row means; a column of codes stays as it is."""
+    given = {"l_quantity": "1-0.0", "l_extendedprice": "2-0.0"}
+    l = A.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *[F.col(c).alias(n) for c, n in given.items()], F.col("l_extendedprice").alias("2-0.0_mean3"))  # noqa: E741
+    out = estimators.QuantileNormal({"1-0.0": 31, "2-0.0": 21}).fit_transform(l, ["1-0.0", "2-0.0", "2-0.0_mean3"])
+    return out.select("l_orderkey", "l_linenumber", *[F.round(F.col(f"`{c}`"), 4).alias(n) for c, n in (("1-0.0", "number"), ("2-0.0", "code"), ("2-0.0_mean3", "averaged"))])
+
+
 OUTLIER = "m AS (SELECT col, quantile_cont(z, 0.5) AS m FROM {0} GROUP BY 1) SELECT col, round(max((z - m) * (z - m)) / avg((z - m) * (z - m)), 4) AS outlier FROM {0} JOIN m USING (col) GROUP BY 1"
 
 
