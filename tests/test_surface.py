@@ -433,3 +433,10 @@ def test_stages_of_a_pipeline_are_stored(spark, tmp_path):
         stages.encoded(object())
     with pytest.raises(TypeError):
         stages.decoded({"kind": "Other", "held": {"pairs": []}})
+
+
+def test_folders_of_a_column_of_roots(spark):
+    """The same folders as those of one study after the other."""
+    own = tables.Paths("/a/", results="/r")
+    got = spark.createDataFrame([("/a/",)], "root string").select(F.inline(tables.study_folders(F.col("root"), own))).collect()
+    assert {r.what: r.path for r in got} == {w: own.of(w) for w in ("data", "schema", "samples", "results", "figures")}

@@ -142,10 +142,12 @@ def repetition_matrix(spark, sf_dir):
     return _long(results.repetition_matrix(r, [f"{t}_{i}" for t in A.EVENT_TYPES for i in range(3)]), "rep")
 
 
-@query("SELECT unnest(['data', 'schema', 'results']) AS what, unnest(['/study/data', '/else', '/study/results']) AS path")
+@query("SELECT DISTINCT c_mktsegment AS subset, what, CASE what WHEN 'schema' THEN '/else' ELSE concat('/study/', c_mktsegment, '/', what) END AS path FROM customer, (SELECT unnest(['data', 'schema', 'samples', 'results', 'figures']) AS what)")
 def study_paths(spark, sf_dir):
-    p = tables.Paths("/study/", schema="/else")
-    return spark.createDataFrame([(w, p.of(w)) for w in ("data", "schema", "results")], "what string, path string")
+    """The folders of a study for each segment of customers, one of them shared by all."""
+    segments = A.table(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("subset")).distinct()
+    folders = tables.study_folders(F.concat(F.lit("/study/"), "subset", F.lit("//")), tables.Paths(schema="/else"))
+    return segments.select("subset", F.inline(folders))
 
 
 # Heatmaps.

@@ -177,6 +177,13 @@ class Paths:
         return Paths(**{f.name: os.environ[prefix + f.name.upper()] for f in fields(Paths) if prefix + f.name.upper() in os.environ})
 
 
+def study_folders(root: Column, paths: Paths = Paths()) -> Column:
+    """An array of (what, path) of all folders of a study whose root is a column; folders that `paths` sets by itself are the same for all roots."""
+    base = F.regexp_replace(root, "/+$", "")
+    own = {f.name: getattr(paths, f.name) for f in fields(Paths) if f.name != "root"}
+    return F.array(*[F.struct(F.lit(what).alias("what"), (F.lit(path) if path else F.concat(base, F.lit(f"/{what}"))).alias("path")) for what, path in own.items()])
+
+
 def sample_path(subset: str, n_reps: int, sizes: Sequence[int], stratified: bool = False, replace: bool = False) -> str:
     """The name of a design: subset, repetitions, sizes, and how it was drawn."""
     tags = [subset, f"{n_reps}reps", f"{len(sizes)}sizes_{min(sizes)}-{max(sizes)}", *(["stratified"] if stratified else []), *(["replace"] if replace else [])]
