@@ -28,7 +28,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """No document is lost: each is used once or more, a source twice at most. Null is a source; rows without tokens are used as often as their source, whole."""
+    """No document is lost: each is used once or more, a source twice at most. Null is a source; rows without tokens are used as often as their source, whole. Rows are written block by block, in the order of their places."""
     return mixing.mix(docs, mixing.fit(docs, repeat_limit=mixing.REPEAT_LIMIT))
 
 

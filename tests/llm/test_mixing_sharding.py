@@ -93,6 +93,51 @@ def test_blocks_keep_budget_and_order(spark, args):
     assert not args or big and all(o != sorted(o, key=lambda d: d or 0) for o in orders)
 
 
+def test_mixed_rows_lie_in_the_order_of_blocks(spark, tmp_path):
+    """Every run of rows from the first on has each source's weight of its tokens, but for a block's part and a document; stored rows and others alike."""
+    rows, docs = corpus(spark)
+    docs.write.parquet(str(tmp_path / "docs"))
+    for given in (docs, spark.read.parquet(str(tmp_path / "docs"))):
+        mixture = mixing.fit(given, target_entropy=1.2, budget=90_000.0)
+        mixed = mixing.mix(given, mixture, block_tokens=2000)
+        assert mixed.rdd.getNumPartitions() > 1
+        mixed.write.parquet(str(tmp_path / "mixed"), mode="overwrite")
+        files = sorted((tmp_path / "mixed").glob("*.parquet"))
+        got = [r for f in files for r in spark.read.parquet(str(f)).collect()]
+        want = Counter()
+        for r in mixing.with_copies(given, mixture).collect():
+            want[r.doc_id, r.text] += int(r.copies)
+        assert Counter((r.doc_id, r.text) for r in got) == +want
+        weight = {(t[1:] if t[0] == "s" else None): w for t, _, w, *_ in mixture.frame.collect()}
+        n = [len((r.text or "").split()) for r in got]
+        most = defaultdict(int)
+        for r, k in zip(got, n, strict=True):
+            most[r.source] = max(most[r.source], k)
+        held, total, over = defaultdict(int), 0, sum(most.values())
+        for r, k in zip(got, n, strict=True):
+            held[r.source] += k
+            total += k
+            assert all(abs(held[s] - w * total) <= 2 * (w * 2000 + most[s]) + w * over for s, w in weight.items() if w)
+        # A source's documents come in an order other than that of their keys, and all of them before one comes again.
+        big = [r.doc_id for r in got if r.source == "big"]
+        assert big != sorted(big)
+        first = {}
+        for i, d in enumerate(big):
+            first.setdefault(d, i)
+        assert weight["big"] * 90_000 < sum(len(r[1].split()) for r in rows if r[2] == "big") or max(first.values()) <= len(first) + 400
+
+
+def test_names_of_the_operator_are_free(spark):
+    names = ["_tag", "_place", "_epochs", "_weight", "_end0", "_end1", "_end2", "_doc", "_file", "_row", "_metadata", "_spot", "_cell", "_part", "block", "place", "use", "n_tokens", "a.b"]
+    docs = spark.createDataFrame([(i, "w " * (i + 1), "s" if i % 2 else None, *[f"{c}{i}" for c in names]) for i in range(6)], ["doc_id", "text", "source", *names])
+    mixture = mixing.fit(docs)
+    counted = mixing.with_copies(docs, mixture)
+    assert counted.columns == [*docs.columns, "weight", "copies"]
+    assert sorted(tuple(r)[:-2] for r in counted.collect()) == sorted(map(tuple, docs.collect()))
+    mixed = mixing.mix(docs, mixture)
+    assert mixed.columns == docs.columns and {tuple(r) for r in mixed.collect()} == {tuple(r) for r in docs.collect()}
+
+
 def test_many_sources_stay_distributed(spark, monkeypatch):
     _, docs = corpus(spark)
     for args in ({"budget": 30_000.0, "repeat_limit": 4.0}, {"target_entropy": 1.2, "budget": 90_000.0}):

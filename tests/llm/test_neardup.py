@@ -176,3 +176,10 @@ def test_checkpoints_are_deleted(spark, tmp_path):
         assert sum(len(d) for d in (os.listdir(f"{tmp_path}/{x}") for x in os.listdir(tmp_path))) == 2 and out.count() == 80
     finally:
         context.setCheckpointDir(before or "/tmp/varistrata-tests")
+
+
+def test_names_of_the_operator_are_free(spark):
+    text = "one two three four five six seven"
+    docs = spark.createDataFrame([(1, text, 0, 0, "a", "b"), (2, text, 1, 2, "c", "d"), (3, "else", None, None, None, None)], "doc_id long, text string, _gone long, _gone_th long, _key string, _doc string")
+    got = N.drop_near_duplicates(docs, 4, 80)
+    assert got.columns == docs.columns and sorted(map(tuple, got.collect())) == [(1, text, 0, 0, "a", "b"), (3, "else", None, None, None, None)]

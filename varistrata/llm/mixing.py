@@ -14,6 +14,7 @@ block all uses are permuted. Tokens before a use are summed cell by cell of the
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from varistrata.llm.common import cut_lineage, salted_join, table
+from varistrata.llm.common import Scratch, cut_lineage, salted_join, shared_folder, table
 
 LEVELS, DIGIT_BITS = 3, 12
 SEED = 31
@@ -149,8 +150,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 
     Null is a source of its own. A source without tokens has weight 0 and each of its rows is used once. An empty table gives no sources.
     """
-    narrow = cut_lineage(docs.select(_tag(source).alias("_tag"), tokens_of(text).alias("n"), _place(key, text, seed).alias("place")))
-    sources = cut_lineage(narrow.groupBy("_tag").agg(F.sum("n").alias("n")))
+    cut = Scratch()
+    narrow = cut(docs.select(_tag(source).alias("_tag"), tokens_of(text).alias("n"), _place(key, text, seed).alias("place")))
+    sources = cut(narrow.groupBy("_tag").agg(F.sum("n").alias("n")))
     count = sources.count()
     totals = Totals(sources)
     limit = None if target_entropy is not None else repeat_limit
@@ -162,7 +164,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     weight = F.when(F.col("n") > 0, F.exp(F.lit(exponent) * F.log(F.col("n").cast("double")) - F.lit(totals.sums(exponent)[0]))).otherwise(0.0)
     shared = sources.withColumn("_weight", weight).withColumn("_share", F.round(F.col("_weight") * F.lit(total)).cast("long"))
     shared = shared.withColumn("_epochs", F.when(F.col("n") > 0, F.expr("_share div n")).otherwise(1).cast("int"))
-    state = cut_lineage(shared.withColumn("_rest", F.when(F.col("n") > 0, F.col("_share") - F.col("_epochs") * F.col("n")).otherwise(0)))
+    state = cut(shared.withColumn("_rest", F.when(F.col("n") > 0, F.col("_share") - F.col("_epochs") * F.col("n")).otherwise(0)))
     # Level by level: the sums of the cells inside the cell of the level before, and the one in which the rest runs out.
     for level in range(LEVELS):
         ends = [f"_end{i}" for i in range(level)]
@@ -173,7 +175,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
         upto = F.sum("_n").over(Window.partitionBy("_tag").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
         last = sums.withColumn("upto", upto).where("upto - _n < _rest and upto >= _rest and _n > 0").select("_tag", "cell", (F.col("upto") - F.col("_n")).alias("before"))
         found = state.join(last, "_tag", "left").withColumn(f"_end{level}", F.coalesce("cell", F.lit(-1))).withColumn("_rest", F.col("_rest") - F.coalesce("before", F.lit(0)))
-        state = cut_lineage(found.drop("cell", "before"))
+        state = cut(found.drop("cell", "before"))
+    cut.release(state)
     return Mixture(exponent, total, count, state.select("_tag", "n", "_weight", "_epochs", *[f"_end{i}" for i in range(LEVELS)]))
 
 
@@ -194,37 +197,76 @@ def with_copies(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: st
 
     Nothing is shuffled but for a catalogue of over DRIVER_SOURCES. Rows without tokens get the whole epochs of their source. Rows with equal keys stand or fall together.
     """
-    return _with_copies(docs.withColumns({"_tag": _tag(source), "_place": _place(key, text, seed)}), mixture).drop("_tag", "_place")
+    held = _with_copies(docs.select(_whole(docs), _tag(source).alias("_tag"), _place(key, text, seed).alias("_place")), mixture)
+    return held.select(*[F.col("_doc").getField(c).alias(c) for c in docs.columns if c not in {"weight", "copies"}], "weight", "copies")
 
 
-def blocks(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
-    """doc_id, source, n_tokens, weight, copies, use (from 1), block and place (from 0 in the block) for each use of each row.
+def _whole(docs: DataFrame) -> Column:
+    """A row as one column, so that no name of docs meets one of the names used here."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc")
 
-    A block has each source's weight of block_tokens tokens, up to the document that crosses its end; the last block
-    may have less. Every source goes through its documents in another order for each use, and only then begins anew.
-    Uses of sources without tokens are dealt out over all blocks. Repeated rows have uses of their own; which of them
-    comes first depends on how the rows are stored. An empty table gives no rows.
-    """
-    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), tokens_of(text).alias("n_tokens"), _tag(source).alias("_tag"), _place(key, text, seed).alias("_place"), F.monotonically_increasing_id().alias("_row"))
-    used = cut_lineage(_with_copies(rows, mixture).where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("use")).withColumn("_spot", F.xxhash64("_place", "use", "_row")))
+
+def _dealt(rows: DataFrame, mixture: Mixture, of_row: list[str], block_tokens: int, seed: int) -> DataFrame:
+    """rows (with _tag, _place, n_tokens and what tells a row) once for each use, with weight, copies, use, block and place. Written once, so all steps see the same uses."""
+    used = cut_lineage(_with_copies(rows, mixture).where("copies > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("use")).withColumn("_spot", F.xxhash64("_place", "use", *of_row)))
     of_cell = ["_tag", "use", "_cell"]
     celled = used.withColumn("_cell", _digit(F.col("_spot"), 0))
     sums = celled.groupBy(*of_cell).agg(F.sum("n_tokens").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("_tag").orderBy("use", "_cell").rowsBetween(Window.unboundedPreceding, -1))
     starts = sums.withColumn("_start", F.coalesce(before, F.lit(0))).drop("_n")
-    own = F.sum("n_tokens").over(Window.partitionBy(*of_cell).orderBy("_spot", "_row").rowsBetween(Window.unboundedPreceding, 0))
+    own = F.sum("n_tokens").over(Window.partitionBy(*of_cell).orderBy("_spot", *of_row).rowsBetween(Window.unboundedPreceding, 0))
     placed = celled.withColumn("_own", own).join(starts, of_cell)
-    last = max(0, int(np.ceil(mixture.budget / block_tokens)) - 1)
+    last = _block_count(mixture, block_tokens) - 1
     filled = F.least(F.floor((F.col("_start") + F.col("_own") - F.col("n_tokens")) / (F.col("weight") * F.lit(block_tokens))), F.lit(last))
     dealt = placed.withColumn("block", F.when(F.col("weight") > 0, filled).otherwise(F.pmod("_spot", F.lit(last + 1))).cast("long"))
-    within = Window.partitionBy("block").orderBy(F.xxhash64("_spot", F.lit(seed)), "_row", "use")
-    return dealt.withColumn("place", (F.row_number().over(within) - 1).cast("long")).select("doc_id", "source", "n_tokens", "weight", "copies", "use", "block", "place")
+    within = Window.partitionBy("block").orderBy(F.xxhash64("_spot", F.lit(seed)), *of_row, "use")
+    return dealt.withColumn("place", (F.row_number().over(within) - 1).cast("long"))
+
+
+def _block_count(mixture: Mixture, block_tokens: int) -> int:
+    return max(1, int(np.ceil(mixture.budget / block_tokens)))
+
+
+def blocks(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """doc_id, source, n_tokens, weight, copies, use (from 1), block and place (from 0 in the block) for each use of each row.
 
+    A block has each source's weight of block_tokens tokens, up to the document that crosses its end; the last block
+    may have less. Every source goes through its documents in another order for each use, and only then begins anew.
+    Uses of sources without tokens are dealt out over all blocks. Repeated rows have uses of their own; which of them
+    comes first depends on how the rows are stored. An empty table gives no rows.
+    """
+    rows = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), tokens_of(text).alias("n_tokens"), _tag(source).alias("_tag"), _place(key, text, seed).alias("_place"), F.monotonically_increasing_id().alias("_row"))
+    return _dealt(rows, mixture, ["_row"], block_tokens, seed).select("doc_id", "source", "n_tokens", "weight", "copies", "use", "block", "place")
+
+
+def _as_stored(docs: DataFrame) -> DataFrame:
+    """docs as a table of files, which has a file and a place in it for each row: as it was read, or else written to the shared folder and read again."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        return docs
+    path = f"{shared_folder(docs.sparkSession)}/mixing-{uuid.uuid4().hex}"
+    docs.write.parquet(path)
+    return docs.sparkSession.read.parquet(path)
 
-def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """The rows of docs, each as often as the mixture uses it, with the columns of docs. `blocks` tells in which order they are to be read."""
-    counted = with_copies(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(key).alias("_k"), F.col(text).alias("_t"), F.col(source).alias("_s")), mixture, "_k", "_t", "_s")
-    return counted.where("copies > 0").select("_row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("_row.*")
+
+def mix(docs: DataFrame, mixture: Mixture, key: str = "doc_id", text: str = "text", source: str = "source", block_tokens: int = BLOCK_TOKENS, seed: int = SEED) -> DataFrame:
+    """The rows of docs, each as often as the mixture uses it, with the columns of docs, in the order of their blocks and places.
+
+    Partitions hold whole blocks, ascending from partition to partition; within one, rows ascend by block and place, so
+    files written of it are to be read from the first to the last. Blocks are dealt by keys, tokens and the places of
+    rows in their files; texts are shuffled twice, to meet their places and to lie in their blocks. Rows that are not a
+    table of files are written to the shared folder first. An empty table gives no rows.
+    """
+    stored = _as_stored(docs)
+    meta = stored.metadataColumn("_metadata")
+    of_row = {"_file": meta.getField("file_path"), "_row": meta.getField("row_index")}
+    named = stored.select(_whole(stored), tokens_of(text).alias("n_tokens"), _tag(source).alias("_tag"), _place(key, text, seed).alias("_place"), *[c.alias(n) for n, c in of_row.items()])
+    placed = _dealt(named.drop("_doc"), mixture, [*of_row], block_tokens, seed).select(*of_row, "block", "place")
+    count = _block_count(mixture, block_tokens)
+    parts = min(count, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = named.select("_doc", *of_row).join(placed, [*of_row])
+    # Blocks have equal weights of tokens, so equal runs of them make equal partitions, without a sample of the rows.
+    run = F.expr(f"int(block * {parts} div {count})")
+    return met.select("_doc", "block", "place", run.alias("_part")).repartitionById(parts, "_part").sortWithinPartitions("block", "place").select("_doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

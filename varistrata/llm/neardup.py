@@ -363,8 +363,9 @@ def drop_near_duplicates(docs: DataFrame, k: int = WORDS_IN_SHINGLE, percent: in
     """
     gone = grouped(docs, k, percent, key, text).where("top is not null and (doc_id != top.doc_id or th != top.th)")
     gone = gone.select(F.col("doc_id").alias("_gone"), F.col("th").alias("_gone_th")).distinct()
-    there = (F.col(f"`{key}`") == F.col("_gone")) & (F.xxhash64(F.col(f"`{text}`")) == F.col("_gone_th"))
-    return docs.join(gone, there, "left_anti")
+    # A row is one column, so that no name of docs meets one of these.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col(f"`{key}`").alias("_key"), F.xxhash64(F.col(f"`{text}`")).alias("_th"))
+    return rows.join(gone, (F.col("_key") == F.col("_gone")) & (F.col("_th") == F.col("_gone_th")), "left_anti").select("_doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
