@@ -440,3 +440,30 @@ def test_folders_of_a_column_of_roots(spark):
     own = tables.Paths("/a/", results="/r")
     got = spark.createDataFrame([("/a/",)], "root string").select(F.inline(tables.study_folders(F.col("root"), own))).collect()
     assert {r.what: r.path for r in got} == {w: own.of(w) for w in ("data", "schema", "samples", "results", "figures")}
+
+
+def test_names_as_columns(spark):
+    paths = ["a/b.csv", "b", "a.b/c", ".rc", "a/.rc", "a.tar.gz", "x..y", "/a/b-c.d_e"]
+    df = spark.createDataFrame([(p,) for p in [*paths, None]], "p string")
+    got = df.select(tables.with_suffix(F.col("p"), "-new")).collect()
+    assert [r[0] for r in got] == [*[tables.add_suffix(p, "-new") for p in paths], None]
+    units = [("all", 3, 50, True, False, [9, 5]), ("sub", 0, 61, False, True, [7]), (None, 1, 2, True, True, [1])]
+    df = spark.createDataFrame(units, "s string, rep int, size int, a boolean, b boolean, sizes array<int>")
+    s, rep, a, b = F.col("s"), F.col("rep"), F.col("a"), F.col("b")
+    got = df.select(tables.data_name(s, a), tables.design_name(s, rep, F.col("sizes"), a, b), tables.result_name((2, 3), s, F.col("size"), rep, b)).collect()
+    for r, (name, n, size, x, y, sizes) in zip(got, units, strict=True):
+        assert tuple(r) == ((None,) * 3 if name is None else (tables.data_path(name, x), tables.sample_path(name, n, sizes, x, y), tables.result_path((2, 3), name, size, n, y)))
+
+
+def test_nested_maps_as_rows(spark):
+    schema = "id int, `a.b` int, m map<string, map<int, double>>"
+    items = {"x": {1: 0.5, 2: None}, "y": {1: 0.25, 2: 1.0}}
+    got = results.nested_frame(spark.createDataFrame([(7, 8, items), (9, 9, None)], schema), "m", ["kind", "n"])
+    assert got.columns == ["id", "a.b", "kind", "n", "value"]
+    assert sorted((r.kind, r.n, r.value) for r in got.collect()) == sorted(results.nested_rows(items, ["kind", "n"]))
+    assert results.nested_frame(spark.createDataFrame([(7, 8, items)], schema), "m", ["kind"]).count() == 2
+    for bad in ([(1, 1, {"x": {1: 1.0}, "y": {2: 1.0}})], [(1, 1, {"x": {1: 1.0}}), (2, 2, {"y": {1: 1.0}})], [(1, 1, {})], [(1, 1, {"x": {}})], [(1, 1, None)], []):
+        with pytest.raises(RuntimeError):
+            results.nested_frame(spark.createDataFrame(bad, schema), "m", ["kind", "n"])
+    with pytest.raises(RuntimeError):
+        results.nested_frame(spark.createDataFrame([(7, 8, items)], schema), "m", ["kind", "n", "deeper"])

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from varistrata.operators.columns import numbered
@@ -445,3 +446,28 @@ def nested_rows(items: dict, levels: Sequence[str]) -> list[tuple]:
     if not rows:
         raise RuntimeError("nothing to aggregate")
     return rows
+
+
+def nested_frame(df: DataFrame, column: str, levels: Sequence[str], value: str = "value") -> DataFrame:
+    """nested_rows for a column of maps in maps: the other columns, a column for each level, and the value.
+
+    Every branch of every row must have the same keys at a level. Rows whose map is null have no branch. What lies
+    where: one aggregate over all levels, of which a row for each comes to the driver; keys, not values, are compared.
+    """
+    others = [c for c in df.columns if c != column]
+    out = df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{column}`").alias("_held"))
+    seen = []
+    for at, level in enumerate(levels):
+        if not isinstance(out.schema["_held"].dataType, MapType):
+            raise RuntimeError(f"there is no level {level} below {list(levels[:at])}")
+        keys = F.sort_array(F.map_keys("_held"))
+        seen.append(out.where("_held is not null").select(F.lit(at).alias("at"), F.to_json(F.struct(keys.alias("k"))).alias("k")))
+        kept = [c for c in out.columns if c != "_held"]
+        out = out.select(*[F.col(f"`{c}`") for c in kept], F.explode("_held").alias(level, "_held"))
+    found = reduce(DataFrame.unionByName, seen).groupBy("at").agg(F.min("k").alias("least"), F.max("k").alias("most")).collect()
+    for r in found:
+        if r.least != r.most:
+            raise RuntimeError(f"branches have different keys at level {levels[r['at']]}")
+    if len(found) < len(levels) or any(r.least == '{"k":[]}' for r in found):
+        raise RuntimeError("nothing to aggregate")
+    return out.withColumnRenamed("_held", value)

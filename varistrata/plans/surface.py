@@ -93,8 +93,18 @@ def running_missing(spark, sf_dir):
 @query("""SELECT n_name AS name, concat(n_name, '-clean.csv') AS clean, concat('a/', n_name, '-new.csv') AS suffixed, concat('samples-', n_name, '-', n_nationkey + 1, 'reps-2sizes_5-50-stratified.parquet') AS sample,
 concat('PCs_20_20/', n_name, '-null_model/sample_size_', n_nationkey + 50, '/sample_size_', n_nationkey + 50, '-rep3.parquet') AS result FROM nation""")
 def file_names(spark, sf_dir):
-    rows = [(n.n_name, tables.data_path(n.n_name, clean=True), tables.add_suffix(f"a/{n.n_name}.csv", "-new"), tables.sample_path(n.n_name, n.n_nationkey + 1, [5, 50], stratified=True), tables.result_path((20, 20), n.n_name, n.n_nationkey + 50, 3, null_model=True)) for n in A.table(spark, sf_dir, "nation").collect()]
-    return spark.createDataFrame(rows, "name string, clean string, suffixed string, sample string, result string")
+    """Names of data, designs and results for each row, as columns."""
+    name, number = F.col("n_name"), F.col("n_nationkey")
+    sample = tables.design_name(name, number + 1, F.array(F.lit(5), F.lit(50)), stratified=True)
+    result = tables.result_name((20, 20), name, number + 50, F.lit(3), null_model=True)
+    return A.table(spark, sf_dir, "nation").select(name.alias("name"), tables.data_name(name, clean=True).alias("clean"), tables.with_suffix(F.concat(F.lit("a/"), name, F.lit(".csv")), "-new").alias("suffixed"), sample.alias("sample"), result.alias("result"))
+
+
+@query(f"""WITH {A.RESULTS} SELECT DISTINCT concat('PCs_20_20/', event_type, CASE WHEN rep % 2 = 1 THEN '-null_model' ELSE '' END, '/sample_size_', sample_size, '/sample_size_', sample_size, '-rep', rep, '.parquet') AS path, CAST(sample_size AS BIGINT) AS sample_size, CAST(rep AS BIGINT) AS rep FROM results""")
+def unit_files(spark, sf_dir):
+    """The file of each unit of a grid, named from its columns and found again by its name."""
+    units = A.results(spark, sf_dir).select(tables.result_name((20, 20), F.col("event_type"), F.col("sample_size"), F.col("rep"), F.col("rep") % 2 == 1).alias("path")).distinct()
+    return _long(tables.find_results(units), "sample_size", "rep")
 
 
 @query(f"WITH {A.RESULTS} SELECT event_type AS subset, false AS null_model, CAST(sample_size AS BIGINT) AS sample_size, feature, loading FROM results")
@@ -286,9 +296,23 @@ def concat_rows(spark, sf_dir):
 @query("SELECT r_name AS region, CAST(k AS VARCHAR) AS nation, kind, CAST(r_regionkey * 10 + k + CASE kind WHEN 'a' THEN 0 ELSE 100 END AS BIGINT) AS value FROM region, (SELECT unnest([0, 1, 2]) AS k), (SELECT unnest(['a', 'b']) AS kind)")
 def nested_items(spark, sf_dir):
     """A nested mapping as rows."""
-    regions = A.table(spark, sf_dir, "region").collect()
-    items = {r.r_name: {str(k): {"a": r.r_regionkey * 10 + k, "b": r.r_regionkey * 10 + k + 100} for k in range(3)} for r in regions}
-    return spark.createDataFrame(results.nested_rows(items, ["region", "nation", "kind"]), "region string, nation string, kind string, value long")
+    key = F.col("r_regionkey") * 10
+    held = F.create_map(*[x for k in range(3) for x in (F.lit(str(k)), F.create_map(F.lit("a"), (key + k).cast("long"), F.lit("b"), (key + k + 100).cast("long")))])
+    regions = A.table(spark, sf_dir, "region").select(F.col("r_name").alias("region"), held.alias("held"))
+    return results.nested_frame(regions, "held", ["nation", "kind"])
+
+
+STATUSES, PRIORITIES = ("F", "O", "P"), ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+@query(f"""SELECT o_custkey, status, priority, CAST(count(*) FILTER (WHERE o_orderstatus = status AND o_orderpriority = priority) AS BIGINT) AS n
+FROM orders, (SELECT unnest({list(STATUSES)}) AS status), (SELECT unnest({list(PRIORITIES)}) AS priority) GROUP BY ALL""")
+def nested_counts(spark, sf_dir):
+    """Counts of each customer's orders as maps of status and priority, and as rows again."""
+    cells = [[F.count(F.when((F.col("o_orderstatus") == s) & (F.col("o_orderpriority") == p), 1)) for p in PRIORITIES] for s in STATUSES]
+    maps = [x for s, row in zip(STATUSES, cells, strict=True) for x in (F.lit(s), F.create_map(*[y for p, n in zip(PRIORITIES, row, strict=True) for y in (F.lit(p), n)]))]
+    held = A.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.create_map(*maps).alias("held"))
+    return results.nested_frame(held, "held", ["status", "priority"], "n")
 
 
 def _nested(spark, sf_dir):

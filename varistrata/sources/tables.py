@@ -99,6 +99,17 @@ def data_path(name: str, clean: bool = False, extension: str = ".csv") -> str:
     return f"{name}{'-clean' if clean else ''}{extension}"
 
 
+def with_suffix(path: Column, suffix: str | Column) -> Column:
+    """add_suffix for a column of paths; null stays null."""
+    extension = F.regexp_extract(path, r"(?<=[^/])\.[^./]+$", 0)
+    return F.concat(F.substring(path, F.lit(1), F.length(path) - F.length(extension)), suffix if isinstance(suffix, Column) else F.lit(suffix), extension)
+
+
+def data_name(name: Column, clean: bool | Column = False, extension: str = ".csv") -> Column:
+    """data_path for a column of names."""
+    return F.concat(name, F.when(clean if isinstance(clean, Column) else F.lit(clean), F.lit("-clean")).otherwise(F.lit("")), F.lit(extension))
+
+
 def save_json(path: str, value) -> None:
     with open(path, "w", encoding="utf-8") as f:
         json.dump(value, f, indent=2)
@@ -195,6 +206,24 @@ def result_path(n_pcs: Sequence[int], subset: str, sample_size: int, rep: int, n
     return f"PCs_{'_'.join(map(str, n_pcs))}/{tag}/sample_size_{sample_size}/sample_size_{sample_size}-rep{rep}.parquet"
 
 
+def design_name(subset: Column, n_reps: Column, sizes: Column, stratified: bool | Column = False, replace: bool | Column = False) -> Column:
+    """sample_path for columns; sizes is an array of them."""
+
+    def tag(said: bool | Column, word: str) -> Column:
+        return F.when(said if isinstance(said, Column) else F.lit(said), F.lit(word))
+
+    span = F.concat(F.size(sizes), F.lit("sizes_"), F.array_min(sizes), F.lit("-"), F.array_max(sizes))
+    parts = F.concat_ws("-", F.lit("samples"), F.concat(subset, F.lit("-"), n_reps, F.lit("reps")), span, tag(stratified, "stratified"), tag(replace, "replace"))
+    return F.when(subset.isNotNull() & n_reps.isNotNull() & span.isNotNull(), F.concat(parts, F.lit(".parquet")))
+
+
+def result_name(n_pcs: Sequence[int], subset: Column, sample_size: Column, rep: Column, null_model: bool | Column = False) -> Column:
+    """result_path for columns: the file of each unit of a grid; null where a part is."""
+    tag = F.concat(subset, F.when(null_model if isinstance(null_model, Column) else F.lit(null_model), F.lit("-null_model")).otherwise(F.lit("")))
+    size = F.concat(F.lit("sample_size_"), sample_size)
+    return F.concat(F.lit(f"PCs_{'_'.join(map(str, n_pcs))}/"), tag, F.lit("/"), size, F.lit("/"), size, F.lit("-rep"), rep, F.lit(".parquet"))
+
+
 def find_results(paths: DataFrame, labels: DataFrame | None = None, label: int | None = None, limit: int | None = None) -> DataFrame:
     """path, sample_size, rep of result files (column `path`), largest size first, then by rep; of one label's repetitions if asked."""
     name = F.element_at(F.split("path", "/"), -1)
