@@ -467,3 +467,23 @@ def test_nested_maps_as_rows(spark):
             results.nested_frame(spark.createDataFrame(bad, schema), "m", ["kind", "n"])
     with pytest.raises(RuntimeError):
         results.nested_frame(spark.createDataFrame([(7, 8, items)], schema), "m", ["kind", "n", "deeper"])
+
+
+def test_objects_on_the_file_system_of_the_cluster(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    model = kernels.Cca(2).fit([rng.standard_normal((40, 3)), rng.standard_normal((40, 2))])
+    path = f"file://{tmp_path}/saved/deep/m.json"
+    for _ in range(2):  # the second replaces the first
+        tables.save_object(path, model, spark)
+    again = tables.load_object(path, kernels.Cca, spark)
+    assert np.array_equal(again.correlations, model.correlations)
+    with pytest.raises(TypeError):
+        tables.load_object(path, kernels.NanPca, spark)
+    tables.save_json(f"file://{tmp_path}/s.json", {"name": "é", "sizes": [1, 2]}, spark)
+    assert tables.load_json(f"file://{tmp_path}/s.json", dict, spark) == tables.load_json(f"{tmp_path}/s.json", dict) == {"name": "é", "sizes": [1, 2]}
+    (tmp_path / "bad.json").write_text("no")
+    for name in ("bad.json", "none.json"):
+        with pytest.raises(RuntimeError):
+            tables.load_object(f"file://{tmp_path}/{name}", kernels.Cca, spark)
+    with pytest.raises(OSError):
+        tables.load_json(f"file://{tmp_path}/none.json", spark=spark)

@@ -110,14 +110,42 @@ def data_name(name: Column, clean: bool | Column = False, extension: str = ".csv
     return F.concat(name, F.when(clean if isinstance(clean, Column) else F.lit(clean), F.lit("-clean")).otherwise(F.lit("")), F.lit(extension))
 
 
-def save_json(path: str, value) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(value, f, indent=2)
+def write_text(path: str, text: str, spark: SparkSession | None = None) -> None:
+    """A small file, replaced where there is one: on the file system that the path names to Spark, or without a session on the driver's own."""
+    if spark is None:
+        with open(path, "w", encoding="utf-8") as f:
+            f.write(text)
+        return
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def read_text(path: str, spark: SparkSession | None = None) -> str:
+    """A small file, whole. One that isn't there is an OSError either way."""
+    if spark is None:
+        with open(path, encoding="utf-8") as f:
+            return f.read()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(place):
+        raise FileNotFoundError(path)
+    source = system.open(place)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
 
+def save_json(path: str, value, spark: SparkSession | None = None) -> None:
+    write_text(path, json.dumps(value, indent=2), spark)
 
-def load_json(path: str, kind: type | None = None):
-    with open(path, encoding="utf-8") as f:
-        value = json.load(f)
+
+def load_json(path: str, kind: type | None = None, spark: SparkSession | None = None):
+    value = json.loads(read_text(path, spark))
     if kind is not None and not isinstance(value, kind):
         raise TypeError(f"{path} holds a {type(value).__name__}, not a {kind.__name__}")
     return value
@@ -153,17 +181,15 @@ def object_of(text: str, kind: type):
     return out
 
 
-def save_object(path: str, value) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(object_text(value))
+def save_object(path: str, value, spark: SparkSession | None = None) -> None:
+    write_text(path, object_text(value), spark)
 
 
-def load_object(path: str, kind: type):
+def load_object(path: str, kind: type, spark: SparkSession | None = None):
     """No such file, or one that holds no saved object, is an error."""
     try:
-        with open(path, encoding="utf-8") as f:
-            return object_of(f.read(), kind)
-    except (OSError, json.JSONDecodeError) as error:
+        return object_of(read_text(path, spark), kind)
+    except (OSError, ValueError) as error:
         raise RuntimeError(f"{path} holds no saved object") from error
 
 
