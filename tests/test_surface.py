@@ -102,6 +102,23 @@ def test_catalogue_errors(spark):
         cohort.join_extracts([fields, fields], "field_id")
 
 
+def test_outliers_of_ranks_are_of_the_same_values_in_every_pass(spark, monkeypatch):
+    """Means and deviations of scores are not worked out again for each pass: their last bits would depend on how rows are dealt."""
+    seen, real = [], columns.exact_quantiles
+    monkeypatch.setattr(columns, "exact_quantiles", lambda long, *rest: (seen.append(long), real(long, *rest))[1])
+    df = spark.range(0, 30000, 1, 8).select((F.hash("id") % 997).cast("double").alias("x"), ((F.hash("id") % 50) / 7).alias("y"))
+    columns.outlier_ratio(df, ["x", "y"], "ranks").collect()
+    shuffles = spark.conf.get("spark.sql.shuffle.partitions")
+    found = []
+    try:
+        for parts in ("1", "3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            found.append({(r.column, r.value) for r in seen[0].select("column", "value").distinct().collect()})
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+    assert found[0] == found[1] == found[2]
+
+
 def test_outliers_and_quantiles(spark):
     rng = np.random.default_rng(4)
     x = np.round(rng.standard_normal(500), 1)
