@@ -218,3 +218,16 @@ def test_keyed_design(spark):
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     with pytest.raises(ValueError):
         sampling.keyed_design(people, [98], 1)
+
+
+def test_samples_are_not_broadcast(spark):
+    """Draws of many repetitions are few bytes once compressed and many in memory: their joins are by shuffles, whatever adaptive execution measures."""
+    x, y, c = made(120)
+    df, names = frame_of(spark, x, y, c)
+    design = sampling.keyed_design(df.select("eid"), [20, 60], 4)
+    rows = folds.sampled_rows(df, folds.basis_of(df, names, ["c0", "c1"]), design, "eid")
+    for found, n in ((design, 4 * (20 + 60 + 60)), (rows, 4 * (20 + 60 + 60))):
+        assert len(found.collect()) == n
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin [_index" in plan or "_index" not in plan
+        assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("[_index" in line or "[_key" in line)], plan
