@@ -28,3 +28,12 @@ def test_the_rest_works_alone(tmp_path):
             f.write(body)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True)
     assert said.returncode == 0 and "no_such_library_at_all" in said.stderr
+
+
+def test_customer_views_are_joined_once(spark):
+    """Models take several passes over the views: each reads rows that are there, not orders and lineitems again."""
+    from varistrata.plans import adapters
+
+    v = adapters.customer_views(spark, "/root/testdata/sf0.001")
+    plan = v._jdf.queryExecution().optimizedPlan().toString()
+    assert v.count() > 0 and "Join" not in plan and "Aggregate" not in plan, plan
