@@ -37,3 +37,20 @@ def test_customer_views_are_joined_once(spark):
     v = adapters.customer_views(spark, "/root/testdata/sf0.001")
     plan = v._jdf.queryExecution().optimizedPlan().toString()
     assert v.count() > 0 and "Join" not in plan and "Aggregate" not in plan, plan
+
+
+def test_column_identifiers_are_kept_as_bits_of_parts(spark, tmp_path):
+    """Identifiers are distinct rows of lineitem, NULLs too, and no task has a row for each of them before the parts are exploded."""
+    from pyspark.sql import functions as F
+
+    from varistrata.plans import adapters
+
+    rows = [(p, n, s) for p in (1, 2, 7) for n in (1, 2, 3, 4, 7, None) for s in (1, 5, 9, 11, None) if (p, n) != (7, 4)] * 2
+    spark.createDataFrame(rows, "l_partkey long, l_linenumber int, l_suppkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    u = adapters.udi_table(spark, str(tmp_path))
+    want = {(p, None if n is None else n % 4, None if s is None else s % 5) for p, n, s in rows}
+    got = [tuple(r) for r in u.select("field_id", "instance", "array_index").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert dict(u.dtypes) == {"field_id": "bigint", "instance": "int", "array_index": "int", "udi": "string"}
+    assert u.where(F.col("udi").isNull() != (F.col("instance").isNull() | F.col("array_index").isNull())).isEmpty()
+    assert "Aggregate" not in u._jdf.queryExecution().optimizedPlan().toString()
