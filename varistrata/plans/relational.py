@@ -239,5 +239,6 @@ def named_domains(spark, sf_dir):
     fields = _domain_fields(spark, sf_dir)
     tree = fields.where(f"main_category > {BELOW}").select((F.col("main_category") - BELOW).alias("parent_id"), F.col("main_category").alias("child_id")).distinct()
     none = fields.limit(0).select(F.col("main_category").alias("category_id"), "field_id")
-    parts = [catalog.select_columns(A.udi_table(spark, sf_dir), fields, tree, none, **d).select(F.lit(n).alias("domain"), "udi") for n, d in catalog.DOMAINS.items()]
+    udis = A.udi_table(spark, sf_dir)
+    parts = [catalog.select_columns(udis, fields, tree, none, **d).select(F.lit(n).alias("domain"), "udi") for n, d in catalog.DOMAINS.items()]
     return columns.concat(parts)
