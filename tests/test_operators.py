@@ -1,11 +1,13 @@
 """Operators on small hand-made tables."""
 
+from dataclasses import replace
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from varistrata.functions import kernels
-from varistrata.operators import catalog, cohort, columns, experiment, linear, results, sampling
+from varistrata.operators import blocks, catalog, cohort, columns, experiment, linear, results, sampling
 from varistrata.sources import tables
 
 from tests.twins import twin_regression
@@ -200,6 +202,26 @@ def test_grid_with_keys_of_any_kind(spark):
     assert run(twice.repartition(1), design) == run(twice.repartition(5), design) != plain
 
 
+@pytest.mark.parametrize("null_model", [False, True])
+def test_grid_of_blocks(spark, monkeypatch, null_model):
+    """A sample of several blocks gives what one group of all its rows gives, in every kind of fit, with missing values, a dominant column and scores."""
+    frame, data, design = grid_inputs(spark)
+    frame = frame.withColumn("x5", F.when(F.col("eid") % 50 == 0, F.col("x5")).otherwise(0.0)).withColumn("c1", F.floor("c1"))
+    settings = experiment.Settings(n_pcs=(3, 3), cv_reps=2, cca_types=("without_cv", "repeated_cv", "cv"), ensemble="nanmedian", scores=True)
+    types = {"x0": 31, "y0": 31, "y1": 31, "c0": 11, "c1": 21}
+    by = ["sample_size", "rep", "cca_type", "set_name", "metric", "dataset", "feature", "component", "pos"]
+    run = lambda s, confounds: experiment.run_grid(frame, data, design, s, confounds, null_model=null_model, value_type=types).toPandas().sort_values(by).reset_index(drop=True)
+
+    for confounds in (["c0", "c1"], []):
+        # With a model_transform all rows of a sample are one group.
+        want = run(replace(settings, model_transform=lambda scores: scores), confounds)
+        monkeypatch.setattr(blocks, "BLOCK_ROWS", 32)
+        got = run(settings, confounds)
+        monkeypatch.undo()
+        assert len(got) == len(want) > 1000 and got[by].astype(str).equals(want[by].astype(str))
+        np.testing.assert_allclose(got.value, want.value, rtol=1e-6, atol=1e-8)
+
+
 def test_only_singular_fits_are_tried_again(monkeypatch):
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((60, 3)), rng.standard_normal((60, 3))
