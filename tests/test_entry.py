@@ -5,6 +5,8 @@ import shutil
 import subprocess
 import sys
 
+import pytest
+
 import __spark_entry__
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -39,6 +41,24 @@ def test_customer_views_are_joined_once(spark):
     assert v.count() > 0 and "Join" not in plan and "Aggregate" not in plan, plan
 
 
+def test_views_hold_only_the_columns_asked_for(spark, monkeypatch):
+    """What the grid of one-column views doesn't look at (quantities, discounts, counts and means of orders) is never summed or shuffled."""
+    from varistrata.plans import adapters, registry
+
+    class Kept(Exception):
+        pass
+
+    def kept(df):
+        raise Kept(df.columns, df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(adapters, "cut_lineage", kept)
+    with pytest.raises(Kept) as told:
+        registry.QUERIES["grid_one_column_views"](spark, "/root/testdata/sf0.001")
+    columns, plan = told.value.args
+    assert columns == ["eid", "a2", "b2", "c0"]
+    assert "sum_l_extendedprice" in plan and not any(c in plan for c in ("sum_l_quantity", "sum_l_discount", "AS a0#", "AS a1#", "AS c1#"))
+
+
 def test_column_identifiers_are_kept_as_bits_of_parts(spark, tmp_path):
     """Identifiers are distinct rows of lineitem, NULLs too, and no task has a row for each of them before the parts are exploded."""
     from pyspark.sql import functions as F

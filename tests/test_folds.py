@@ -231,3 +231,13 @@ def test_samples_are_not_broadcast(spark):
         plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert "SortMergeJoin [_index" in plan or "_index" not in plan
         assert not [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("[_index" in line or "[_key" in line)], plan
+
+
+def test_blocks_name_their_candidates_once(spark):
+    """The counts of dominant values ask twice for what the blocks named: it is kept, so samples aren't dealt and grouped again."""
+    full = spark.createDataFrame([(i, float(i % 3 == 0), float(i)) for i in range(200)], "eid long, a double, b double")
+    basis = folds.basis_of(full, {"a": ["a"], "b": ["b"]})
+    found = folds.mode_counts(folds.sampled_rows(full, basis, sampling.keyed_design(full.select("eid"), [60], 2), "eid"), basis)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan, plan
+    assert {r["place"] for r in found.collect()} == {0}

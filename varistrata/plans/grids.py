@@ -64,7 +64,7 @@ told AS (SELECT rep, s, 'without_cv' AS cca_type, set_name, NULL AS fold, sign(a
 SELECT CAST(rep AS BIGINT) AS rep, CAST(s AS BIGINT) AS sample_size, cca_type, set_name, CAST(fold AS BIGINT) AS fold, round(corr, 6) AS corr FROM told""")
 def grid_one_column_views(spark, sf_dir):
     """The whole grid with one column a view (one has missing values) and a confound, where canonical correlation has a closed form: on all learning rows, on each fold, and as an ensemble of models."""
-    v = A.customer_views(spark, sf_dir).select("eid", "a2", "b2", "c0")
+    v = A.customer_views(spark, sf_dir, "a2", "b2", "c0")
     n = v.count()
     design = sampling.keyed_design(v.select("eid"), [n // 6, n // 3], REPS)
     settings = experiment.Settings(n_pcs=(1, 1), n_folds=N_FOLDS, cv_reps=CV_REPS, cca_types=("without_cv", "repeated_cv", "cv"), missing=1.0, frequency=1.0)

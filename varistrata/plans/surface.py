@@ -515,14 +515,14 @@ e AS (SELECT p * t + q * v + r * u + s * w AS trace, (p * t + q * v) * (r * u +
 @query(f"WITH {CANONICAL} SELECT CAST(1 AS BIGINT) AS component, round(sqrt(trace / 2 + sqrt(trace * trace / 4 - det)), 6) AS corr FROM e UNION ALL SELECT 2, round(sqrt(trace / 2 - sqrt(trace * trace / 4 - det)), 6) FROM e")
 def cca_2x2(spark, sf_dir):
     """Two columns each: the eigenvalues of a 2 by 2 matrix."""
-    model = linear.fit_cca(A.customer_views(spark, sf_dir), ["a0", "a1"], ["b0", "b2"])
+    model = linear.fit_cca(A.customer_views(spark, sf_dir, "a0", "a1", "b0", "b2"), ["a0", "a1"], ["b0", "b2"])
     return spark.createDataFrame([(k + 1, round(float(c), 6)) for k, c in enumerate(model.correlations)], "component long, corr double")
 
 
 @query(f"WITH {A.VIEWS}, r AS (SELECT regr_slope(b2, a1) AS s, regr_intercept(b2, a1) AS i FROM views) SELECT eid, round(i + s * a1, 4) AS b2 FROM views, r")
 def cca_predict(spark, sf_dir):
     """The second view from the first; of one column each, that is the regression line."""
-    v = A.customer_views(spark, sf_dir)
+    v = A.customer_views(spark, sf_dir, "a1", "b2")
     model = linear.fit_cca(v, ["a1"], ["b2"])
     return linear.cca_predict(v, ["a1"], ["b2"], model).select("eid", F.round("b2_predicted", 4).alias("b2"))
 
@@ -532,7 +532,7 @@ q AS (SELECT a + t * d AS p, b - t * c AS q, c - t * b AS r, d + t * a AS s FROM
 SELECT eid, round((a0 * p + a1 * r) / f, 2) AS a0, round((a0 * q + a1 * s) / f, 2) AS a1 FROM views, f""")
 def rotated_scores(spark, sf_dir):
     """Two scores rotated to two references: the nearest orthogonal matrix of a 2 by 2 one."""
-    out = linear.rotate_to(A.customer_views(spark, sf_dir), ["a0", "a1"], ["c0", "b0"])
+    out = linear.rotate_to(A.customer_views(spark, sf_dir, "a0", "a1", "b0", "c0"), ["a0", "a1"], ["c0", "b0"])
     return out.select("eid", F.round("a0", 2).alias("a0"), F.round("a1", 2).alias("a1"))
 
 
@@ -579,7 +579,7 @@ def nan_pca_2x2(spark, sf_dir):
 def views_cca(spark, sf_dir):
     """Two datasets, each through its own chain, and their canonical correlation."""
     chain = lambda: estimators.Chain([("scale", estimators.RobustScale()), ("components", estimators.Components(1))])
-    v = A.customer_views(spark, sf_dir).na.drop("any", subset=["a1", "b2"])
+    v = A.customer_views(spark, sf_dir, "a1", "b2").na.drop("any", subset=["a1", "b2"])
     model = estimators.fit_views_cca(estimators.Views({"a": chain(), "b": chain()}), v, {"a": ["a1"], "b": ["b2"]})
     return spark.createDataFrame([(round(float(model.correlations[0]), 6),)], "corr double")
 
