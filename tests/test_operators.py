@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import pickle
 from dataclasses import replace
 
 import numpy as np
@@ -222,6 +223,25 @@ def test_grid_of_blocks(spark, monkeypatch, null_model):
         np.testing.assert_allclose(got.value, want.value, rtol=1e-6, atol=1e-8)
 
 
+def test_blocks_are_scaled_a_few_rows_at_a_time(monkeypatch):
+    """A task's tables of scaled rows don't grow with the block, and their sums are those of all its rows."""
+    rng = np.random.default_rng(2)
+    shape = blocks.Shape((("a", "b"), ("c", "d")), 1, np.zeros(4, bool), np.ones(1, bool))
+    x, dealt = (rng.standard_normal((2 * experiment.PIECE + 100, 5)) for _ in range(2))
+    s = blocks.Scalings(shape, [(j, pickle.dumps((True, False, [(None, 0.1 * j, 1.0 + j), (None, 0.2, 2.0)])), None) for j in range(5)])
+    scalings = [s.preprocessor(i, (1, 1)) for i in range(2)]
+    inside = [np.arange(len(x)), np.arange(50, len(x), 3)]
+    whole, other = ([s.basis(p, shape.views(t)) for p in scalings] for t in (x, dealt))
+    basis, rows = blocks.Scalings.basis, []
+    monkeypatch.setattr(blocks.Scalings, "basis", lambda self, p, v: rows.append(len(v.x[0])) or basis(self, p, v))
+    got = blocks.block_grams(s, shape.views(x), list(zip(scalings, inside, strict=True)), dict(enumerate([dealt, dealt[inside[1]]])))
+    assert max(rows) <= experiment.PIECE
+    for i, at in enumerate(inside):
+        e = whole[i]
+        np.testing.assert_allclose(got[i], [e[at].T @ e[at], e.T @ e, e.T @ whole[0], e[at].T @ other[i][at], e.T @ other[0]], atol=1e-8)
+    np.testing.assert_allclose(blocks.block_grams(s, shape.views(x), list(zip(scalings, inside, strict=True)), None), got[:, :3])
+
+
 def test_only_singular_fits_are_tried_again(monkeypatch):
     rng = np.random.default_rng(1)
     x, y = rng.standard_normal((60, 3)), rng.standard_normal((60, 3))
